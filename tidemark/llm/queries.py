@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, license, media, packing, pii
+from tidemark.llm import chat, license, media, mixing, packing, pii, prefixhash, sharding
 from tidemark.llm.common import documents
 
 #: Parameters: the tokenizer's file, and the key of the pseudonyms (a deployment passes its own).
@@ -26,6 +26,28 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", *(x.split()[0] for x in media.READ.split(", ")))
 
 
+#: The mixture: flatter languages and sources, topics as they are nearly; half of all tokens.
+MIX_POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+MIX_FRACTION = 0.5
+
+
+def mix_dimensions() -> dict[str, Column]:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic()}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return mixing.sample_probabilities(rows, mix_dimensions(), MIX_POWERS, MIX_FRACTION).select("doc_id", "mix.*")
+
+
+def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.compare_edited(documents(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -45,6 +67,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_mixing": op2_mixing,
+    "op3_prefix_hash": op3_prefix_hash,
+    "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
     "op7_license": op7_license,
     "op9_pii": op9_pii,
