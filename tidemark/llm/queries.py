@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, license, media, mixing, packing, pii, prefixhash, sharding
+from tidemark.llm import chat, license, media, mixing, packing, pii, prefixhash, quality, sharding
 from tidemark.llm.common import documents
 
 #: Parameters: the tokenizer's file, and the key of the pseudonyms (a deployment passes its own).
@@ -44,6 +44,11 @@ def op3_prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixhash.compare_edited(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(documents(spark, sf_dir), labels, ["doc_id", "lang", "text"]).drop("text")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_mixing": op2_mixing,
     "op3_prefix_hash": op3_prefix_hash,
+    "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
     "op7_license": op7_license,
