@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, license, media, mixing, packing, pii, prefixhash, quality, sharding
+from tidemark.llm import chat, jaccard, license, media, mixing, packing, pii, prefixhash, quality, sharding
 from tidemark.llm.common import documents
 
 #: Parameters: the tokenizer's file, and the key of the pseudonyms (a deployment passes its own).
@@ -61,6 +61,10 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(documents(spark, sf_dir))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymize(documents(spark, sf_dir), PII_KEY)
     return done.select("doc_id", "text", F.size("found").alias("n_found"), "found")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_chat": op6_chat,
     "op7_license": op7_license,
+    "op8_jaccard": op8_jaccard,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
