@@ -26,7 +26,7 @@ from tidemark.llm.common import materialize, text_or_empty
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,11 +37,11 @@ class WordEncoder:
     """Ids of a text, word by word.
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
-    blank-separated words in turn; every distinct word is tokenised once per worker.
+    blank-separated words in turn; every distinct word is tokenised once per worker. It also lowers
+    case and parts letters from marks, so an ASCII word shares its ids with its lower-case form, and a
+    word that ends in a letter and a stop or comma has the ids of both.
     """
 
-    BLANKS = str.maketrans("\n\t\r", "   ")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -49,18 +49,34 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word's stem, which is to be tokenised, and its last mark or ''."""
+        stem = word.lower() if word.isascii() else word
+        if len(stem) > 1 and stem[-1] in ",." and stem[-2].isalpha() and stem[-2] < "\u0180":
+            return stem[:-1], stem[-1]
+        return stem, ""
+
+    def learn(self, words: list[str]) -> None:
+        known = self.known
+        parted = [(w, *self.parts(w)) for w in words]
+        new = [s for s in {s for _, s, _ in parted} | {",", "."} if s not in known]
+        for i in range(0, len(new), 8192):
+            some = new[i : i + 8192]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat, at = np.array([x for own in ids for x in own], "<u2").tobytes(), 0
+            for w, own in zip(some, ids, strict=True):
+                known[w] = flat[at : (at := at + 2 * len(own))]
+        for w, stem, mark in parted:
+            known[w] = known[stem] + known[mark]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 16-bit ids of each text."""
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {"": b""}
-        known = self.known
-        words = [t.translate(self.BLANKS).split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.learn([w for w in set().union(*words) if w not in self.known])
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -103,7 +119,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     # One row per partition of the input, so a single ordered window holds them.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, "part").select("doc_id", "ids", "doc_tokens", (F.col("base") + F.col("local_start")).alias("at"))
+    # Bases are as many as the input has partitions: small whatever the documents hold.
+    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "ids", "doc_tokens", (F.col("base") + F.col("local_start")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
