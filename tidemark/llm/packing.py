@@ -26,7 +26,7 @@ from tidemark.llm.common import materialize, text_or_empty
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED_WORDS = 1_200_000
+REMEMBERED_WORDS = 2_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
