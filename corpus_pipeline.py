@@ -29,7 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each class of near duplicates."""
     classes = jaccard.near_duplicates(docs)
-    kept = classes.select(F.col("class_id").alias("kept")).distinct()
+    kept = classes.select(F.col("class_id").alias("kept")).distinct().hint("merge")
     rows = docs.select(*DOC_COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return rows.dropDuplicates(["doc_id"])
 

@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, levels: int = LEVELS) ->
     sets = materialize(signed.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"]), "jaccard-sets")
     coarse = materialize(coarse_components(sets, runs, levels).join(copies, "set"), "jaccard-coarse")
     # The texts of the sets that take part, once each.
-    texts = docs.select("doc_id", "text").join(coarse.select(F.col("first").alias("f")).distinct(), F.coalesce(F.col("doc_id").cast("long"), lowest) == F.col("f"), "left_semi")
+    chosen = coarse.select(F.col("first").alias("f")).distinct().hint("merge")  # as many as near duplicates: never broadcast
+    texts = docs.select("doc_id", "text").join(chosen, F.coalesce(F.col("doc_id").cast("long"), lowest) == F.col("f"), "left_semi")
     found = _map_texts(texts, "doc_id long, set long, found binary", lambda s: (set_id(s), s.tobytes()), ["doc_id", "set", "found"], [pa.int64(), pa.binary()])
     members = found.select("set", "found").join(coarse.select("set", "component", "copies"), "set").dropDuplicates(["set"])
     members = materialize(members, "jaccard-members")
