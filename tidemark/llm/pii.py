@@ -133,10 +133,9 @@ def _phone(found: str, key: bytes, undo: bool) -> str | None:
         code = len(re.match(r"\+(\d{1,3}?)(?:\D|(?=\d{10}$)|$)", found + " ")[1]) if re.match(r"\+\d{1,3}\D", found) else 2
         own = digits[code:]
         return _refill(found, digits[:code] + _mixed([(c, DIGITS) for c in own], key, f"phone{digits[:code]}", undo))
-    own = digits[-10:]
-    if (len(digits) != 10 and digits[:-10] != "1") or own[0] < "2" or own[3] < "2":
+    if len(digits) != 10 and digits[:-10] != "1":
         return None
-    return _refill(found, digits[:-10] + _mixed([(c, DIGITS[2:] if i in (0, 3) else DIGITS) for i, c in enumerate(own)], key, "phone1", undo))
+    return _refill(found, digits[:-10] + _mixed([(c, DIGITS) for c in digits[-10:]], key, "phone1", undo))
 
 
 def _iban(found: str, key: bytes, undo: bool) -> str | None:
