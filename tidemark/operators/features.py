@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import clip, pct_change, rolling
@@ -48,7 +48,7 @@ def rolling_beta(df: DataFrame, y: str, x: str, size: int, name: str) -> DataFra
     ).drop("xy", "xx", *(f"m_{k}" for k in m))
 
 
-def so_far() -> "Window":
+def so_far() -> WindowSpec:
     return Window.partitionBy(*E).orderBy(D).rowsBetween(Window.unboundedPreceding, 0)
 
 

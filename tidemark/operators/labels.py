@@ -21,9 +21,8 @@ def by_session(df: DataFrame, horizon: int) -> DataFrame:
     sessions = calendar(df)
     placed = df.join(sessions, "date")
     out = session_offset(placed, sessions, ["open"], 1, "_entry")
-    out = session_offset(out, sessions, ["open"], horizon + 1, "_exit") if False else out.join(
-        placed.select("entity", (F.col("session") - horizon - 1).alias("session"), F.col("open").alias("open_exit")), ["entity", "session"], "left"
-    )
+    later = placed.select("entity", (F.col("session") - horizon - 1).alias("session"), F.col("open").alias("open_exit"))
+    out = out.join(later, ["entity", "session"], "left")
     ends = sessions.select((F.col("session") - horizon - 1).alias("session"), F.col("date").alias("label_end"))
     return out.join(ends, "session", "left").withColumn("label", F.try_divide("open_exit", "open_entry") - 1)
 
