@@ -22,6 +22,12 @@ def test_spans_and_extensions():
         assert x.windows(1).tolist() == [x.span(i, i + 1) for i in range(len(a))]
 
 
+def test_common_start(monkeypatch):
+    monkeypatch.setattr(ph, "BLOCK", 7)
+    for a, b, n in (("", "", 0), ("abc", "abd", 2), ("x" * 30, "x" * 21, 21), ("x" * 14 + "y", "x" * 14 + "z", 14)):
+        assert ph.common_start(a, b) == n
+
+
 def test_fingerprint_by_brute_force(monkeypatch):
     monkeypatch.setattr(ph, "BLOCK", 100)
     r = random.Random(6)

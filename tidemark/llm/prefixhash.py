@@ -12,13 +12,17 @@ taken block by block.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import partitions, text_or_empty
 
 PRIME = np.uint64(2**31 - 1)
 BASES = (911_382_323, 972_663_749)
@@ -140,74 +144,78 @@ def from_hex(text: str) -> np.ndarray:
 
 @F.pandas_udf(T.StringType())
 def fingerprint_column(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: to_hex(fingerprint(t)))
+    return text.map(lambda t: None if t is None else to_hex(fingerprint(t)))
 
 
-@F.pandas_udf(T.DoubleType())
-def likeness_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([likeness(from_hex(x), from_hex(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+def common_start(a: str, b: str) -> int:
+    """Longest common extension of the starts of two texts, block by block."""
+    total = 0
+    for lo in range(0, min(len(a), len(b)), BLOCK):
+        found = PrefixHash(a[lo : lo + BLOCK]).extension(0, 0, PrefixHash(b[lo : lo + BLOCK]))
+        total += found
+        if found < BLOCK:
+            break
+    return total
 
 
 @F.pandas_udf(T.LongType())
 def extension_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common extension of the starts of two texts."""
-    return pd.Series([PrefixHash(x).extension(0, 0, PrefixHash(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty), fingerprint."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.withColumn("fingerprint", fingerprint_column("text"))
+    return pd.Series([common_start(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def with_next(docs: DataFrame, values: DataFrame, columns: list[str], ranges: int = RANGES) -> DataFrame:
-    """Each row of ``values`` with the ``next_`` columns of the next row by descending doc_id (nulls last; equal ids by text); after the last comes the first.
+def in_order(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """doc_id, text (null as empty), range, guest: rows dealt by ranges of doc_id and sorted by descending doc_id (nulls last; equal ids by text) within each.
 
-    Rows are dealt by ranges of doc_id; a copy of the first row of every range joins the range before it.
+    A copy of the first row of every range (the guest) ends the range before it, and that of the very
+    first row the last range, so each row but a guest is followed by the next one. Texts are shuffled once.
     """
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"))
+    lowest = F.lit(-(2**63)).cast("long")
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("at"))
     bounds = sorted({int(x) for x in ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))})
     limits = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
     within = F.size(F.filter(limits, lambda b: F.col("at") > b))
-    heads = {r["range"]: r["head"] for r in ids.groupBy(within.alias("range")).agg(F.max("at").alias("head")).collect()}
+    heads = {r["range"]: r["head"] for r in ids.groupBy(within.alias("range")).agg(F.max("at").alias("head")).collect()}  # a row per range
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("at", F.coalesce("doc_id", lowest))
+    rows = rows.withColumns({"range": within, "tie": F.xxhash64("text"), "guest": F.lit(False)})
     order = sorted(heads, reverse=True)
-    rows = values.withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("range", within).withColumn("tie", F.xxhash64("text")).withColumn("guest", F.lit(False))
-    if not order:
-        return rows.select("doc_id", *columns, *(F.col(c).alias(f"next_{c}") for c in columns)).limit(0)
-    before = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, order[i - 1])))
-    first = Window.partitionBy("range").orderBy("tie")
+    before = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, order[i - 1]))) if order else F.create_map().cast("map<int,int>")
     wanted = [h for h in heads.values() if h != -(2**63)]
-    ask = F.col("doc_id").isin(wanted)
-    if len(wanted) < len(heads):
-        ask |= F.col("doc_id").isNull()
+    ask = F.col("doc_id").isin(wanted) | (F.col("doc_id").isNull() if len(wanted) < len(heads) else F.lit(False))
+    first = Window.partitionBy("range").orderBy("tie")
     guests = rows.where(ask).withColumn("place", F.row_number().over(first)).where("place = 1").drop("place").withColumn("guest", F.lit(True)).withColumn("range", before[F.col("range")])
-    own = Window.partitionBy("range").orderBy("guest", F.desc("at"), "tie")
-    return (
-        rows.unionByName(guests)
-        .withColumns({f"next_{c}": F.lead(c).over(own) for c in columns})
-        .where(~F.col("guest"))
-        .select("doc_id", *columns, *(f"next_{c}" for c in columns))
-    )
+    dealt = rows.unionByName(guests).repartition(partitions(docs.sparkSession), "range")
+    return dealt.sortWithinPartitions("range", "guest", F.desc("at"), "tie").select("doc_id", "text", "range", "guest")
 
 
-def edited(text: str = "text", following: str = "next_text") -> F.Column:
-    """The text with its last third replaced by as much of the following one."""
-    n = F.length(text)
-    third = F.floor(n / 3).cast("int")
-    return F.concat(F.substring(F.col(text), F.lit(1), n - third), F.substring(F.col(following), F.lit(1), third))
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_extension long"
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
-    """Every document's fingerprint beside that of its edited text and of the next document."""
-    near = with_next(docs, fingerprints(docs), ["text", "fingerprint"])
-    both = near.withColumn("edited", edited()).withColumn("edited_fingerprint", fingerprint_column("edited"))
-    return both.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        likeness_column("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness_column("fingerprint", "next_fingerprint").alias("near_next"),
-        extension_column("text", "edited").alias("edited_extension"),
-    )
+    """Every document's fingerprint beside that of its edited text (the last third replaced by as much of the next document) and of the next document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the row that waits for its next one: doc_id, text, fingerprint, range, guest
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part, rows = batch.slice(lo, 512), []
+                for doc_id, text, group, guest in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    own = fingerprint(text)
+                    if before is not None and before[3] == group and not before[4]:
+                        rows.append(_compared(*before[:3], text, own))
+                    before = (doc_id, text, own, group, guest)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+    return in_order(docs).mapInArrow(run, COMPARED)
+
+
+def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
+    third = len(text) // 3
+    edited = text[: len(text) - third] + following[:third]
+    changed = fingerprint(edited)
+    digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, len(text), digest, to_hex(own), to_hex(changed), likeness(own, changed), likeness(own, its), common_start(text, edited)
+
+
+_NAMES = [x.split()[0] for x in COMPARED.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in COMPARED.split(", ")]
