@@ -165,9 +165,8 @@ def score(docs: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
     shard = F.pmod(F.xxhash64("lang", "gram"), F.lit(shards))
     for s in range(shards):
         part = model.where(shard == s).select("lang", "gram", F.log("p").alias("w")).toArrow()
-        langs = part.column("lang").to_pylist()
-        names = sorted(set(langs))
-        which = np.array([names.index(x) for x in langs], np.int64) if names else np.zeros(0, np.int64)
+        coded = part.column("lang").combine_chunks().dictionary_encode()
+        names, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         keys, logs, table = part.column("gram").to_numpy().view(np.uint64), part.column("w").to_numpy(), {}
         for i, lang in enumerate(names):
             k, w = keys[which == i], logs[which == i]
@@ -204,7 +203,8 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: f
     """``columns`` of docs (doc_id, text and lang among them) with n_grams, perplexity, threshold and keep."""
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_or_empty().alias("text"))
-    trusted = materialize(texts.join(trusted_ids(labels), "doc_id", "left_semi"), "quality-trusted")
+    # Labels grow with the documents: a merge join at every size, never a broadcast of ids.
+    trusted = materialize(texts.join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi"), "quality-trusted")
     tables = count_tables(gram_counts(trusted.where(fold != 0)))
     asked = materialize(gram_counts(texts).groupBy("lang", "gram").agg(F.lit(1).alias("one")).select("lang", "gram"), "quality-asked")
     model = materialize(probabilities(tables, asked), "quality-model")
