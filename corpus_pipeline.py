@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, near duplicates, pseudonyms, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one as Parquet to
-the shared folder and reads it again as the next one's docs. doc_id names a document: rows that repeat
-one count once from the second stage on.
+the shared folder and reads it again as the next one's docs. A class of near duplicates goes on as one row;
+rows of different texts stay, whether their doc_ids are null, equal or neither.
 """
 
 from __future__ import annotations
@@ -27,11 +27,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near duplicates."""
-    classes = jaccard.near_duplicates(docs)
-    kept = classes.select(F.col("class_id").alias("kept")).distinct().hint("merge")
-    rows = docs.select(*DOC_COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """The document with the least doc_id (nulls last) of each class of near duplicates."""
+    return jaccard.one_per_class(docs, list(DOC_COLUMNS))
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

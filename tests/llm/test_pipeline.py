@@ -31,3 +31,27 @@ def test_stages(spark):
 def test_run(spark):
     rows = cp.run(spark, SF).collect()
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_null_and_repeated_ids(spark):
+    from tests.llm.helpers import DOCS
+
+    def prose(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    near = [" ".join([*prose(9).split(), f"tail{i}"]) for i in range(3)]
+    rows = [(None, prose(k)) for k in range(4)]  # different texts of null id
+    rows += [(1, prose(5)), (1, prose(6)), (1, prose(6))]  # different texts, and copies, of one id
+    rows += [(None, near[0]), (7, near[1]), (5, near[2])]  # a class with a null id
+    rows += [(None, prose(10)), (None, prose(10).upper())]  # a class of null ids only
+    rows += [(20, None), (None, "")]  # texts without words
+    made = [(i, t, "en", "a", None if t is None else len(t), "x", 1, None) for i, t in rows]
+    want = [(None, prose(k)) for k in range(4)] + [(1, prose(5)), (1, prose(6)), (5, near[2]), (20, None)]
+    key = lambda r: (str(r[0]), str(r[1]))
+    for order in (made, made[::-1]):
+        got = [(r.doc_id, r.text) for r in cp.one_of_each(spark, spark.createDataFrame(order, DOCS), SF).collect()]
+        either = [r for r in got if (r[1] or "").lower() == prose(10)]
+        assert len(either) == 1 and either[0][0] is None
+        assert sorted((r for r in got if r not in either), key=key) == sorted(want, key=key)
+        chosen = either if order is made else chosen
+        assert either == chosen  # the order of the rows doesn't matter

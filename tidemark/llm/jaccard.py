@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, partitions, text_or_empty
@@ -95,20 +95,23 @@ def set_id(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def _map_texts(docs: DataFrame, schema: str, make: Callable[[np.ndarray], tuple], names: list[str], types: list[pa.DataType]) -> DataFrame:
+def _map_texts(docs: DataFrame, schema: str, make: Callable[[np.ndarray], tuple], names: list[str], types: list[pa.DataType], mark: Column | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 own = batch.slice(lo, 1024)
                 made = [make(shingles(t)) for t in own.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True))], names)
+                kept = [own.column(i) for i in range(own.num_columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True))], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    marks = [] if mark is None else [mark.alias("mark")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *marks).mapInArrow(run, schema)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set (id of the shingle set), tokens (null where it is empty)."""
-    return _map_texts(docs, "doc_id long, set long, tokens binary", lambda s: (set_id(s), tokens(s).tobytes() if len(s) else None), ["doc_id", "set", "tokens"], [pa.int64(), pa.binary()])
+def signatures(docs: DataFrame, mark: Column | None = None) -> DataFrame:
+    """doc_id, mark (a number of the row, 0 unless given), set (id of the shingle set), tokens (null where it is empty)."""
+    names = ["doc_id", "mark", "set", "tokens"]
+    return _map_texts(docs, "doc_id long, mark long, set long, tokens binary", lambda s: (set_id(s), tokens(s).tobytes() if len(s) else None), names, [pa.int64(), pa.binary()], F.lit(0).cast("long") if mark is None else mark)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -315,9 +318,8 @@ def exact_links(members: DataFrame) -> DataFrame:
     return dealt.repartition(partitions(members.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "set").mapInArrow(run, "kind int, a long, b long, n long, m long")
 
 
-def near_duplicates(docs: DataFrame, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents at or above the threshold, copies too) and n_set_links (different sets among them)."""
-    signed = materialize(signatures(docs), "jaccard-signatures")
+def _classes(docs: DataFrame, signed: DataFrame, runs: int, levels: int) -> DataFrame:
+    """set, root (the set that names its class), class_id, n_links, n_set_links. signed: the signatures of docs, materialized."""
     lowest = F.lit(-(2**63)).cast("long")
     copies = signed.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", lowest)).alias("first"))
     sets = materialize(signed.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"]), "jaccard-sets")
@@ -336,10 +338,34 @@ def near_duplicates(docs: DataFrame, runs: int = RUNS, levels: int = LEVELS) ->
     counts = links.where("kind = 1").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     by_set = copies.join(roots.withColumnRenamed("node", "set"), "set", "left").join(counts, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = by_set.groupBy("root").agg(F.min("first").alias("least"))
-    classes = by_set.join(least, "root").select(
+    return by_set.join(least, "root").select(
         "set",
+        "root",
         F.when(F.col("least") != lowest, F.col("least")).alias("class_id"),
         (F.coalesce("m", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("n", F.lit(0)).alias("n_set_links"),
     )
-    return signed.select("doc_id", "set").join(classes, "set").select("doc_id", "class_id", "n_links", "n_set_links")
+
+
+def near_duplicates(docs: DataFrame, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents at or above the threshold, copies too) and n_set_links (different sets among them)."""
+    signed = materialize(signatures(docs), "jaccard-signatures")
+    return signed.select("doc_id", "set").join(_classes(docs, signed, runs, levels), "set").select("doc_id", "class_id", "n_links", "n_set_links")
+
+
+def one_per_class(docs: DataFrame, columns: list[str], runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+    """``columns`` of one row per class of near duplicates: the least doc_id, nulls last, then the least hash of the row.
+
+    Classes are told apart by their sets, rows by doc_id and a hash of all ``columns``, so rows of null or equal doc_ids
+    stand for themselves; rows equal in every column are one.
+    """
+    rows = docs.select(*columns)
+    # Null columns don't change a hash, so their places go in as well.
+    mark = F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+    signed = materialize(signatures(rows, mark), "jaccard-signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    roots = _classes(rows, signed, runs, levels).select("set", "root")
+    first = signed.select("doc_id", "mark", "set").join(roots, "set").groupBy("root").agg(F.min(order).alias("first"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    kept = first.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("first.mark").alias("__mark")).hint("merge")
+    return rows.withColumns({"__id": key, "__mark": mark}).join(kept, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"]).select(*columns)
