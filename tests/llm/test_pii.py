@@ -57,3 +57,27 @@ def test_documents(spark):
     for f in a.found:
         assert text[f.start : f.end] not in a.text
     assert pii.pseudonymize(docs(spark, []), KEY).count() == 0
+
+
+FORMS = [
+    ("iban", "ES9121000418450200051332", " EUR 100"), ("iban", "BE68 5390 0754 7034", " IS"), ("iban", "AT611904300234573201", " THE END"), ("iban", "CZ65 0800 0000 1920 0014 5399", " EUR"),
+    ("iban", "SE45 5000 0000 0583 9825 7466", " SEK 20"), ("iban", "PL61109010140000071219812874", " PLN 5"), ("iban", "NO93 8601 1117 947", " NOK"),
+    ("date", "2024-01-15", "T10:00:00Z"), ("phone", "555 123 4567", " now"), ("phone", "1-555-123-4567", "."), ("phone", "1 555 123 4567", ","), ("phone", "+33 1 23 45 67 89", "."),
+    ("phone", "+49 30 12 34 56 78", ","), ("phone", "+45 12 34 56 78", ""), ("phone", "+7 12 345 678 90", ""),
+]
+
+
+@pytest.mark.parametrize(("kind", "value", "after"), FORMS)
+def test_forms_among_other_words(kind, value, after):
+    done, found = pii.replace(f"by {value}{after}", KEY)
+    assert found == [(kind, 3, 3 + len(value))]
+    new = done[3 : 3 + len(value)]
+    assert value not in done and done == f"by {new}{after}" and pii.reveal(kind, new, KEY) == value
+    assert pii.find(done) == [(3, 3 + len(value), kind)]
+
+
+def test_search_goes_on_inside_what_is_not_valid():
+    # Neither the IBAN's form nor the number of 13 to 19 digits is valid; the values inside are.
+    for text, value in [("XX00 1234 5678 4111 1111 1111 1111", "4111 1111 1111 1111"), ("AA11 BE68 5390 0754 7034", "BE68 5390 0754 7034")]:
+        done, found = pii.replace(text, KEY)
+        assert [text[a:b] for _, a, b in found] == [value] and value not in done

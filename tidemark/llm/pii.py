@@ -27,14 +27,18 @@ ROUNDS = 10
 #: Days that dates are permuted among.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
-NUMBERS = re.compile(
-    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<card>(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{4}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d))"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-)
+#: What looks like a value that has digits, by kind; the first that is valid counts.
+PATTERNS = [(k, re.compile(p)) for k, p in [
+    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    ("date", r"(?<![\w/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?:(?=[Tt]\d\d)|(?![\w/-]|\.\d))"),
+    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
+    ("card", r"(?<!\d)(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{4}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d)"),
+    ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w)])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d)"),
+    ("phone", r"\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,4}){2,6}(?!\d)"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+]]
+#: Where any of them begins.
+NUMBERS = re.compile("|".join(f"(?:{p.pattern})" for _, p in PATTERNS))
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
 SECRET = re.compile(r"""(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passwd|password)["']?\s*[:=]\s*["']?([A-Za-z0-9_\-]{8,})""")
 
@@ -198,11 +202,42 @@ def reveal(kind: str, value: str, key: bytes) -> str | None:
     return KINDS[kind](value, key, True)
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of what looks like a value, by place; at one place the longer of two comes first."""
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 "
+        "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 "
+        "SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
+
+def _ends(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value may end: an IBAN at its country's length, or else before any word that its pattern took in too, the longest first."""
+    if kind != "iban":
+        return [end]
+    ends = [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    return sorted(ends, key=lambda e: len(text[start:e].replace(" ", "")) != size)
+
+
+def _numbers(text: str, valid: Callable[[str, str], object]) -> Iterator[tuple[int, int, str]]:
+    """Valid values that have digits; after one that isn't valid, the search goes on inside it."""
+    at = 0
+    while (met := NUMBERS.search(text, at)) is not None:
+        at = met.start() + 1
+        tries = ((m.start(), e, k) for k, p in PATTERNS if (m := p.match(text, met.start())) for e in _ends(k, text, m.start(), m.end()))
+        if (own := next((s for s in tries if valid(s[2], text[s[0] : s[1]]) is not None), None)) is not None:
+            yield own
+            at = own[1]
+
+
+def find(text: str, key: bytes = b"") -> list[tuple[int, int, str]]:
+    """Start, end and kind of the values, by place; at one place the longer of two comes first."""
     spans = []
     if any(c in text for c in DIGITS):
-        spans += [(m.start(), m.end(), m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if k in m.groupdict() and m[k])) for m in NUMBERS.finditer(text)]
+        spans += _numbers(text, lambda kind, value: pseudonym(kind, value, key))
     if "@" in text:
         spans += [(m.start(1), m.end(1), "email") for m in EMAIL.finditer(text)]
     if ":" in text or "=" in text:
@@ -213,7 +248,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start, end (in the original) of each."""
     out, at, found = [], 0, []
-    for start, end, kind in find(text):
+    for start, end, kind in find(text, key):
         if start < at or (new := pseudonym(kind, text[start:end], key)) is None:
             continue
         out += [text[at:start], new]
