@@ -216,3 +216,19 @@ def test_text(spark):
     assert page == "a c"
     h = text.hashed_counts(spark.createDataFrame([(1, "abab")], "k int, t string"), "k", text.char_ngrams(F.col("t"), 2), 1 << 20).collect()
     assert sum(r.weight**2 for r in h) == pytest.approx(1) and sorted(round(r.weight * math.sqrt(5), 6) for r in h) == [1, 2]
+
+
+def test_ngram_counts_of_any_length(spark):
+    texts = ["abcabcabc", "ab", "", None, "a\nb😀\n" * 80, "".join(chr(97 + i * i % 23) for i in range(401)), "xyzé😀 " * 1500, "q" * 2000, "q" * 2001, "q" * 4002]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for n in (1, 3, 6):
+        want = {k: (len(g), len(set(g))) for k, t in enumerate(texts) if (g := [t[i : i + n] for i in range(len(t or "") - n + 1)])}
+        assert {r.k: (r.grams, r.distinct_grams) for r in text.ngram_counts(df, "k", "t", n).collect()} == want
+
+
+def test_every_document_has_its_ngrams(spark):
+    from tests.conftest import SF
+    from tidemark.plans import load
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 2")
+    assert load()[0]["char_ngrams_all"](spark, SF).count() == docs.count() > 150
