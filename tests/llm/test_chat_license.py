@@ -49,3 +49,13 @@ def test_every_known_text_is_itself(spark):
     rows = license.scan(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.license_id for r in rows[: len(TEXTS)]] == [k for k, _ in TEXTS]
     assert [r.notice_ids for r in rows[len(TEXTS) :]] == [k for k, _ in NOTICES]
+
+
+def test_long_licenses(spark):
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3"}
+    files |= {"MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+    texts = [Path("/usr/share/common-licenses", f).read_text() for f in files.values()]
+    rows = license.scan(docs(spark, [*texts, *(t.upper().replace(" ", "  ") for t in texts), texts[0][:-200]])).orderBy("doc_id").collect()
+    assert [r.license_id for r in rows] == [*files, *files, None]

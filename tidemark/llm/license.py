@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.license_texts import NOTICES, SPELLINGS, TEXTS
+from tidemark.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[|by )|\(c\)[ \t]|©|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}]*$)"
 #: Known tables of at most so many rows may be broadcast.
@@ -39,7 +39,10 @@ def known_texts(spark: SparkSession, texts: list[tuple[str, str]] | None = None)
     """license_id and canonical digest, with and without the title line."""
     rows = [(k, v) for k, t in (TEXTS if texts is None else texts) for v in (t, t.partition("\n\n")[2]) if v]
     raw = spark.createDataFrame(rows, "license_id string, text string")
-    return raw.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("known_digest")).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
+    known = raw.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("known_digest"))
+    if texts is None:
+        known = known.unionByName(spark.createDataFrame(DIGESTS, "license_id string, known_digest string"))
+    return known.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, notices: list[tuple[str, str]] | None = None) -> DataFrame:
