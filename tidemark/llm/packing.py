@@ -12,6 +12,7 @@ an empty table gives no pieces; extra columns are ignored. Only the last sequenc
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,58 +26,180 @@ from tidemark.llm.common import materialize, text_or_empty
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED_WORDS = 2_000_000
+#: Bytes of words and ids that a Python worker remembers; beyond them the older part is forgotten, results stay the same.
+MEMORY_BYTES = 64_000_000
+#: Bytes of text encoded at a time; longer texts are taken in pieces that end at white space.
+PIECE_BYTES = 1 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, WordEncoder] = {}
+_GAPS = re.compile(rb"[ \t\n\r]")
+
+
+_U = np.uint64
+_GAP = np.isin(np.arange(256), list(b" \t\n\r"))
+_LETTER = np.array([chr(i).isascii() and chr(i).isalpha() for i in range(256)])
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+#: Bytes that keep a word as it is written: those beyond ASCII, and '<', which may begin a special token.
+_AS_IS = (np.arange(256) >= 128) | (np.arange(256) == ord("<"))
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Longest word, in bytes, that the table holds.
+SHORT = 15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+class Words:
+    """Words of up to 15 bytes, told apart by all their bytes and their length, with place and number of their ids."""
+
+    def __init__(self) -> None:
+        self.columns = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int32, np.int32)]  # sort key, bytes 0-7, bytes 8-14 and length, place, number
+
+    def find(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word whether it is known, and its row."""
+        keys, first, rest = self.columns[:3]
+        if not len(keys):
+            return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        row = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return (keys[row] == key) & (first[row] == a) & (rest[row] == b), row
+
+    def add(self, rows: list[np.ndarray]) -> None:
+        """Add words that aren't there."""
+        order = np.argsort(rows[0])
+        spots = np.searchsorted(self.columns[0], rows[0][order])
+        for i, new in enumerate(rows):
+            self.columns[i] = np.insert(self.columns[i], spots, new[order])
 
 
 class WordEncoder:
-    """Ids of a text, word by word.
+    """Ids of texts, word by word.
 
     The tokenizer splits at white space before anything else, so the ids of a text are those of its
-    blank-separated words in turn; every distinct word is tokenised once per worker. It also lowers
-    case and parts letters from marks, so an ASCII word shares its ids with its lower-case form, and a
-    word that ends in a letter and a stop or comma has the ids of both.
+    blank-separated words in turn. It also lowers case and parts letters from marks, so an ASCII word
+    shares its ids with its lower-case form, and a word that ends in an ASCII letter and a stop or comma
+    has the ids of both. Words are cut, looked up and put together by arrays; a word is tokenised when it
+    is first met.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """A word's stem, which is to be tokenised, and its last mark or ''."""
-        stem = word.lower() if word.isascii() else word
-        if len(stem) > 1 and stem[-1] in ",." and stem[-2].isalpha() and stem[-2] < "\u0180":
-            return stem[:-1], stem[-1]
-        return stem, ""
-
-    def learn(self, words: list[str]) -> None:
-        known = self.known
-        parted = [(w, *self.parts(w)) for w in words]
-        new = [s for s in {s for _, s, _ in parted} | {",", "."} if s not in known]
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat, at = np.array([x for own in ids for x in own], "<u2").tobytes(), 0
-            for w, own in zip(some, ids, strict=True):
-                known[w] = flat[at : (at := at + 2 * len(own))]
-        for w, stem, mark in parted:
-            known[w] = known[stem] + known[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 16-bit ids of each text."""
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn([w for w in set().union(*words) if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.fresh, self.long = Words(), Words(), {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+
+    def bound(self) -> None:
+        """Hold the memory: words met lately join the others, and all go where that is too much."""
+        if len(self.fresh.columns[0]) > 1 << 16:
+            self.words.add(self.fresh.columns)
+            self.fresh = Words()
+        if sum(c.nbytes for c in self.words.columns) + 2 * self.used > MEMORY_BYTES or len(self.long) > 1 << 15:
+            self.forget()
+
+    def tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of words."""
+        places, counts = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        for i in range(0, len(words), 4096):
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+            n = np.array([len(x) for x in own], np.int32)
+            flat = np.fromiter((x for ids in own for x in ids), np.uint16, int(n.sum()))
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            places[i : i + len(n)], counts[i : i + len(n)] = self.used + np.cumsum(n) - n, n
+            self.used += len(flat)
+        return places, counts
+
+    def encode_bytes(self, text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the white-space-separated pieces that begin at ``starts`` in a UTF-8 text, one after another, and the number of each."""
+        self.bound()
+        padded = text + b"\0" * 16
+        raw = np.frombuffer(padded, np.uint8)
+        lower = _LOWER[raw]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _GAP[raw[: len(text)]], [True]]).view(np.int8)))
+        begin, end = edges[::2], edges[1::2]
+        last = raw[end - 1]
+        cut = (end - begin > 1) & ((last == ord(",")) | (last == ord("."))) & _LETTER[raw[end - 2]]
+        # Units: a word, and its last mark after it where it has one.
+        at = np.arange(len(begin)) + np.cumsum(cut) - cut
+        lo, hi = np.zeros((2, len(begin) + int(cut.sum())), np.int64)
+        lo[at], hi[at] = begin, end - cut
+        lo[at[cut] + 1], hi[at[cut] + 1] = end[cut] - 1, end[cut]
+        size = hi - lo
+        kept = np.concatenate([[0], np.cumsum(_AS_IS[raw[: len(text)]], dtype=np.int32)])
+        kept = kept[hi] > kept[lo]
+        a, b = np.zeros((2, len(lo)), np.uint64)
+        for which, source in ((kept, raw), (~kept, lower)):
+            eight = np.ndarray(len(text) + 9, "<u8", source, strides=(1,))
+            own = lo[which]
+            a[which], b[which] = eight[own], eight[np.minimum(own + 8, len(text) + 8)]
+        a &= _FIRST[np.minimum(size, 8)]
+        b = b & _FIRST[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << _U(56)
+        key = _mix(a ^ _mix(b))
+        place, count = np.zeros((2, len(lo)), np.int32)
+        short = size <= SHORT
+        left = np.flatnonzero(short)
+        for table in (self.words, self.fresh):
+            known, row = table.find(key[left], a[left], b[left])
+            place[left[known]], count[left[known]] = table.columns[3][row[known]], table.columns[4][row[known]]
+            left = left[~known]
+        word = lambda i: (padded if kept[i] else lower)[lo[i] : hi[i]]
+        one_by_one = np.flatnonzero(~short)
+        if len(left):
+            _, first, which = np.unique(key[left], return_index=True, return_inverse=True)
+            new = left[first]
+            same = (a[left] == a[new][which]) & (b[left] == b[new][which])
+            places, counts = self.tokenized([bytes(word(i)).decode() for i in new.tolist()])
+            self.fresh.add([key[new], a[new], b[new], places, counts])
+            place[left], count[left] = places[which], counts[which]
+            one_by_one = np.concatenate([one_by_one, left[~same]])  # words that share their sort key
+        if len(one_by_one):
+            words = [bytes(word(i)) for i in one_by_one.tolist()]
+            if unknown := [w for w in dict.fromkeys(words) if w not in self.long]:
+                for w, p, n in zip(unknown, *(x.tolist() for x in self.tokenized([w.decode() for w in unknown])), strict=True):
+                    self.long[w] = (p, n)
+            for i, w in zip(one_by_one.tolist(), words, strict=True):
+                place[i], count[i] = self.long[w]
+        spot = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        piece = np.searchsorted(starts, lo, "right") - 1
+        return self.ids[spot], np.bincount(piece, count, len(starts)).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and how many each has."""
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        held, owners, size = [], [], 0
+
+        def settle() -> None:
+            nonlocal held, owners, size
+            starts = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+            own, n = self.encode_bytes(b"\n".join(held), starts)
+            ids.append(own)
+            np.add.at(counts, owners, n)
+            held, owners, size = [], [], 0
+
+        for i, text in enumerate(texts):
+            raw, at = text.encode(), 0
+            while at < len(raw):
+                stop = len(raw)
+                if stop - at > PIECE_BYTES:
+                    gap = next((m.start() for m in _GAPS.finditer(raw, at + PIECE_BYTES)), stop)
+                    stop = gap
+                held.append(raw[at:stop])
+                owners.append(i)
+                size, at = size + stop - at, stop
+                if size >= PIECE_BYTES:
+                    settle()
+        if held:
+            settle()
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint16), counts
 
 
 def encoder(path: str) -> WordEncoder:
@@ -92,18 +215,21 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     """doc_id, ids (16-bit, with the end id), doc_tokens, and where the document stood: part, local_start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u2").tobytes()
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 own = batch.slice(lo, 256)
-                ids = [x + end for x in encoder(tokenizer_path).encode(own.column(1).to_pylist())]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
+                flat, n = encoder(tokenizer_path).encode(own.column(1).to_pylist())
+                flat = np.insert(flat, np.cumsum(n), end_id).astype("<u2")
+                n = n + 1
+                ends = np.cumsum(n)
+                places = np.concatenate([[0], 2 * ends]).astype(np.int64)
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(starts)],
+                    [own.column(0), ids, pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(at + ends - n)],
                     ["doc_id", "ids", "doc_tokens", "part", "local_start"],
                 )
+                at += int(ends[-1])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
         run, "doc_id long, ids binary, doc_tokens long, part long, local_start long"
