@@ -67,6 +67,39 @@ def test_large_group_of_near_copies_and_hot_passage(spark, monkeypatch):
     assert got(jaccard.near_duplicates(docs(spark, texts))) == brute(enumerate(texts))
 
 
+def test_pieces_of_a_long_text(monkeypatch):
+    r = random.Random(8)
+    for n in (1, 3, 4, 5, 6, 40, 300):
+        text = " ".join("w" * r.randrange(1, 9) + str(r.randrange(60)) for _ in range(n))
+        monkeypatch.setattr(jaccard, "PIECE_BYTES", 1 << 20)
+        whole = jaccard.shingles(text).tolist()
+        monkeypatch.setattr(jaccard, "PIECE_BYTES", 25)
+        assert jaccard.shingles(text).tolist() == whole
+
+
+def test_recall(spark, monkeypatch):
+    """Pairs near the threshold, found by a plain inverted index of shingles, that the recursion links; every large node is split down."""
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    r = random.Random(5)
+    common = [f"p{i}" for i in range(40)]  # a passage of every text
+    texts = []
+    for k in range(400):
+        base = common + [f"w{k}x{i}" for i in range(160)]
+        copy = base.copy()
+        copy[190 - r.randrange(4, 21) :] = [f"v{k}x{i}" for i in range(r.randrange(5, 20))]
+        texts += [" ".join(base), " ".join(copy)]
+    want = brute_pairs(list(enumerate(texts)))
+    rows = {x.doc_id: x.class_id for x in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    met = sum(rows[a] == rows[b] for a, b in want)
+    assert len(want) > 100 and met >= 0.99 * len(want)
+
+
+def brute_pairs(rows):
+    """Pairs at or above the threshold, candidates from an inverted index of all shingles."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows if (w := (t or "").lower().split())}
+    return [(a, b) for a in sets for b in sets if a < b and abs(len(sets[a]) - len(sets[b])) < 60 and len(sets[a] & sets[b]) * 9 >= 4 * (len(sets[a]) + len(sets[b]))]
+
+
 def test_whole_table(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     assert got(jaccard.near_duplicates(df)) == brute([(r.doc_id, r.text) for r in df.collect()])

@@ -1,13 +1,19 @@
 """N-gram Jaccard join: chosen-path join over word shingles.
 
 Every whole text becomes its set of five-word shingle hashes (a shorter text is one shingle) and 64
-min-hash tokens of it. Equal sets are collapsed to one representative. Representatives are split
-recursively on sampled shared tokens: a node samples, in expectation, 1 / threshold of the token places,
-and its members go on to a child per sampled place and value; nodes of up to LIMIT members, and those
-at the last level, are compared by brute force. RUNS independent runs repeat this. A pair at the
-threshold meets at the first level of a run with probability of at least 0.8 and survives a level of
-recursion as a critical branching process does (0.49 of runs at the third level), so twelve runs miss
-fewer than 4 pairs in 10,000 at the threshold itself, and fewer above it.
+min-hash tokens of it. Equal sets (told apart by 128 bits) are collapsed to one representative.
+Representatives are split recursively on sampled shared tokens: the root samples, in expectation,
+1 / threshold of the token places and a deeper node two, and its members go on to a child per sampled
+place and value. Nodes of up to LIMIT members are compared by brute force; larger ones are split
+further, with no last level. What recursion cannot part, large groups of near copies, goes by pivots:
+every member of a large node is compared with one drawn member, in as many tasks as the node's size
+asks for. All that share LINK tokens with it are linked to it, and those that share CLOSE leave the
+node: whoever is similar to them is linked to the pivot too (a bound five standard deviations wide).
+
+Independent runs repeat this until the target recall: a pair at the threshold meets in a run's first level
+with probability of at least 0.8 and is carried on for ever by 0.94 of the runs after that (a branching
+process with 1.6 children in the mean), 0.7 in all where the tokens are unkind, so that eight runs miss
+fewer than 1 in 10,000. Tests measure the recall against brute force.
 
 What meets is linked if the tokens allow for similarity (a bound five standard deviations below the
 threshold), which gives coarse components; inside them every pair of sets is then compared exactly, in
@@ -22,11 +28,14 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, partitions, text_or_empty
@@ -38,9 +47,18 @@ NUMERATOR, DENOMINATOR = 4, 5
 TOKENS = 64
 #: Of 64 tokens a pair at 0.8 shares 51 on average, with a deviation of 3.2.
 SHARED = 35
-RUNS, LEVELS, LIMIT = 12, 3, 256
+#: In a large node: tokens shared with the pivot that link a member to it, and that settle all of the member's own links.
+CLOSE = 45
+LINK = SHARED + CLOSE - TOKENS
+#: Target recall at the threshold, and the share of such pairs that one run finds at least.
+RECALL, FOUND = 0.9999, 0.7
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
+#: Members of a node that are compared by brute force.
+LIMIT = 256
 #: Members, and bytes of sets, of one block of an exact comparison.
-BLOCK_SETS, BLOCK_BYTES = 512, 32_000_000
+BLOCK_SETS, BLOCK_BYTES = 512, 8_000_000
+#: Bytes of text hashed at a time.
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -61,26 +79,43 @@ def _power(n: int, inverse: bool) -> np.ndarray:
     base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
     while len(table) < n:
         table = np.concatenate([table, table * _U(pow(base, len(table), 1 << 64))])
-    _powers[inverse] = table
+    if n <= 2 * PIECE_BYTES:
+        _powers[inverse] = table  # a longer one, for a single huge word, isn't kept
     return table[:n]
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     raw = " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
-    if not raw:
-        return np.zeros(0, np.uint64)
+    parts, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        stop = raw.find(b" ", at + PIECE_BYTES)
+        while 0 <= stop < len(raw) and raw.count(b" ", at, stop) < words - 1:
+            stop = raw.find(b" ", stop + 1)
+        stop = len(raw) if stop < 0 else stop
+        parts.append(_shingles(raw[at:stop], words, at == 0))
+        if stop == len(raw):
+            break
+        for _ in range(words - 1):  # the last words begin shingles that end in the next piece
+            stop = raw.rfind(b" ", 0, stop)
+        at = stop + 1
+    return np.unique(np.concatenate(parts))
+
+
+def _shingles(raw: bytes, words: int, whole: bool) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     stops = np.flatnonzero(b == 32)
     starts, ends = np.concatenate([[0], stops + 1]), np.concatenate([stops, [len(b)]])
-    if len(starts) > words:
+    if len(starts) >= words:
         starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
-    else:
+    elif whole:
         starts, ends = starts[:1], ends[-1:]
+    else:
+        return np.zeros(0, np.uint64)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(mix(b.astype(np.uint64) + _U(1)) * _power(len(b), False), out=sums[1:])
     spans = (sums[ends] - sums[starts]) * _power(len(b) + 1, True)[starts]
-    return np.unique(mix(spans + mix((ends - starts).astype(np.uint64))))
+    return mix(spans + mix((ends - starts).astype(np.uint64)))
 
 
 def tokens(found: np.ndarray) -> np.ndarray:
@@ -91,40 +126,46 @@ def tokens(found: np.ndarray) -> np.ndarray:
     return (out >> _U(32)).astype(np.uint32)
 
 
-def set_id(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True)
+def set_hash(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs."""
+    raw = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
 def _map_texts(docs: DataFrame, schema: str, make: Callable[[np.ndarray], tuple], names: list[str], types: list[pa.DataType], mark: Column | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 own = batch.slice(lo, 1024)
                 made = [make(shingles(t)) for t in own.column(1).to_pylist()]
                 kept = [own.column(i) for i in range(own.num_columns) if i != 1]
-                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True))], names)
+                rows = pa.array(np.arange(row, row + len(made), dtype=np.int64))
+                row += len(made)
+                yield pa.RecordBatch.from_arrays([*kept, rows, *(pa.array(x, k) for x, k in zip(zip(*made, strict=True), types, strict=True))], names)
 
     marks = [] if mark is None else [mark.alias("mark")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *marks).mapInArrow(run, schema)
 
 
 def signatures(docs: DataFrame, mark: Column | None = None) -> DataFrame:
-    """doc_id, mark (a number of the row, 0 unless given), set (id of the shingle set), tokens (null where it is empty)."""
-    names = ["doc_id", "mark", "set", "tokens"]
-    return _map_texts(docs, "doc_id long, mark long, set long, tokens binary", lambda s: (set_id(s), tokens(s).tobytes() if len(s) else None), names, [pa.int64(), pa.binary()], F.lit(0).cast("long") if mark is None else mark)
+    """doc_id, mark (a number of the row, 0 unless given), row (unique), h1 and h2 (128 bits of the shingle set), tokens (null where it is empty)."""
+    names = ["doc_id", "mark", "row", "h1", "h2", "tokens"]
+    make = lambda s: (*set_hash(s), tokens(s).tobytes() if len(s) else None)
+    return _map_texts(docs, "doc_id long, mark long, row long, h1 long, h2 long, tokens binary", make, names, [pa.int64(), pa.int64(), pa.binary()], F.lit(0).cast("long") if mark is None else mark)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def children(nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and child node of each member: one token place that the node samples, and a second one by chance (1 / threshold in all)."""
+def children(nodes: np.ndarray, values: np.ndarray, root: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row and child node of each member: two token places that the node samples, the root's second one by chance (1 / threshold in all)."""
     rows, out = [], []
     for k in range(2):
         h = mix(nodes + _U(k + 1) * _U(_BASE))
         place = (h % _U(TOKENS)).astype(np.int64)
-        own = np.flatnonzero((h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR)) if k else np.arange(len(nodes))
+        own = np.flatnonzero((h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR)) if root and k else np.arange(len(nodes))
         value = values[own, place[own]].astype(np.uint64)
         out.append(mix(mix(nodes[own] ^ (place[own].astype(np.uint64) << _U(48))) + value * _U(_BASE)))
         rows.append(own)
@@ -138,7 +179,7 @@ def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
                 continue
             values, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
             for r in range(runs):
-                row, node = children(np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]), values)
+                row, node = children(np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]), values, True)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], ["node", "set"])
 
     return sets.select("set", "tokens").mapInArrow(run, "node long, set long")
@@ -149,12 +190,32 @@ def next_nodes(members: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, node = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)))
+            row, node = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)), False)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["node", "set"])
 
     return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
 
 
+def pivot_links(members: DataFrame) -> DataFrame:
+    """node, set, pivot (null unless the set is linked to it) and settled, for the members (node, set, n, tokens) of large nodes."""
+    parts = F.ceil(F.col("n") / LIMIT).cast("int")
+    drawn = F.struct(F.xxhash64("node", "set").alias("at"), "set")
+    # A node's pivot goes to each of its parts, which hold some LIMIT members: as many rows as there are parts.
+    pivots = members.groupBy("node", "n").agg(F.min(drawn)["set"].alias("pivot")).join(members.select(F.col("set").alias("pivot"), F.col("tokens").alias("theirs")).dropDuplicates(["pivot"]), "pivot")
+    pivots = pivots.select("node", "pivot", "theirs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(pivots.hint("merge"), ["node", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(1)
+            own, pivot = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pivot, mask=(same < LINK) | (own == pivot)), pa.array(same >= CLOSE)], ["node", "set", "pivot", "settled"])
+
+    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "node long, set long, pivot long, settled boolean")
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of equal leading columns, whole, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -196,29 +257,8 @@ def _spread(near: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _large_links(values: np.ndarray) -> np.ndarray:
-    """The same for a node of any size: members close to a pivot follow it, and pivots near enough that members of both could be similar are joined."""
-    label, pivots = np.full(len(values), -1), []
-    left = np.arange(len(values))
-    while len(left):
-        pivot = left[0]
-        close = (values[left] == values[pivot]).sum(1) >= TOKENS * NUMERATOR // DENOMINATOR + 1
-        close[0] = True
-        label[left[close]] = len(pivots)
-        pivots.append(pivot)
-        left = left[~close]
-    pivots = np.array(pivots)
-    root = np.arange(len(pivots))
-    for i in range(len(pivots)):
-        near = np.flatnonzero((values[pivots[i + 1 :]] == values[pivots[i]]).sum(1) >= TOKENS // 6) + i + 1
-        if len(near):
-            joined = np.unique(root[np.concatenate([[i], near])])
-            root[np.isin(root, joined)] = joined[0]
-    return pivots[root][label]
-
-
 def coarse_links(members: DataFrame) -> DataFrame:
-    """a, b: links within nodes. members: node, set, tokens."""
+    """a, b: links within nodes of up to LIMIT members. members: node, set, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -227,7 +267,7 @@ def coarse_links(members: DataFrame) -> DataFrame:
             if len(ids) == 2:
                 at = np.array([0, 0 if (values[0] == values[1]).sum() >= SHARED else 1])
             else:
-                at = _small_links(values) if len(ids) <= LIMIT else _large_links(values)
+                at = _small_links(values)
             moved = np.flatnonzero(at != np.arange(len(ids)))
             left.append(ids[moved])
             right.append(ids[at[moved]])
@@ -241,20 +281,22 @@ def coarse_links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def coarse_components(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """set, component of the sets that meet one that may be similar. sets: set (distinct), tokens."""
-    nodes, links = first_nodes(sets, runs), None
-    for level in range(1, levels + 1):
-        size = F.count("*").over(Window.partitionBy("node"))
-        met = materialize(nodes.withColumn("n", size).where("n > 1"), f"paths-{level}")
-        done = F.lit(True) if level == levels else F.col("n") <= LIMIT
-        here = materialize(coarse_links(met.where(done).join(sets, "set")).distinct(), f"links-{level}")
-        links = here if links is None else links.unionByName(here)
-        more = met.where(~done)
-        if level == levels or more.isEmpty():
+    nodes, links = first_nodes(sets, runs), []
+    while True:
+        # Counts are added up before they are shuffled; a hot node's members are spread by the skew join.
+        counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        met = materialize(nodes.join(counts.hint("merge"), "node").distinct(), "paths")
+        links.append(materialize(coarse_links(met.where(F.col("n") <= LIMIT).join(sets, "set")).distinct(), "links"))
+        large = met.where(F.col("n") > LIMIT)
+        if large.isEmpty():
             break
-        nodes = next_nodes(more.join(sets, "set"))
-    return components(links).select(F.col("node").alias("set"), F.col("root").alias("component"))
+        large = materialize(large.join(sets, "set"), "large-nodes")
+        pivoted = materialize(pivot_links(large), "pivots")
+        links.append(pivoted.where("pivot is not null").select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct())
+        nodes = next_nodes(pivoted.where("not settled").select("node", "set").join(sets, "set"))
+    return components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("set"), F.col("root").alias("component"))
 
 
 def _overlaps(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -318,17 +360,19 @@ def exact_links(members: DataFrame) -> DataFrame:
     return dealt.repartition(partitions(members.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "set").mapInArrow(run, "kind int, a long, b long, n long, m long")
 
 
-def _classes(docs: DataFrame, signed: DataFrame, runs: int, levels: int) -> DataFrame:
-    """set, root (the set that names its class), class_id, n_links, n_set_links. signed: the signatures of docs, materialized."""
+def _classes(docs: DataFrame, signed: DataFrame, runs: int) -> DataFrame:
+    """h1, h2 (a set), root (the set that names its class), class_id, n_links, n_set_links. signed: the signatures of docs, materialized."""
     lowest = F.lit(-(2**63)).cast("long")
-    copies = signed.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", lowest)).alias("first"))
-    sets = materialize(signed.where("tokens is not null").select("set", "tokens").dropDuplicates(["set"]), "jaccard-sets")
-    coarse = materialize(coarse_components(sets, runs, levels).join(copies, "set"), "jaccard-coarse")
+    # A set goes by the least row that has it.
+    copies = materialize(signed.groupBy("h1", "h2").agg(F.min("row").alias("set"), F.count("*").alias("copies"), F.min(F.coalesce("doc_id", lowest)).alias("first")), "jaccard-copies")
+    chosen = copies.select(F.col("set").alias("row")).hint("merge")  # as many as different texts: never broadcast
+    sets = materialize(signed.where("tokens is not null").join(chosen, "row", "left_semi").select(F.col("row").alias("set"), "tokens"), "jaccard-sets")
+    coarse = materialize(coarse_components(sets, runs).join(copies, "set"), "jaccard-coarse")
     # The texts of the sets that take part, once each.
     chosen = coarse.select(F.col("first").alias("f")).distinct().hint("merge")  # as many as near duplicates: never broadcast
     texts = docs.select("doc_id", "text").join(chosen, F.coalesce(F.col("doc_id").cast("long"), lowest) == F.col("f"), "left_semi")
-    found = _map_texts(texts, "doc_id long, set long, found binary", lambda s: (set_id(s), s.tobytes()), ["doc_id", "set", "found"], [pa.int64(), pa.binary()])
-    members = found.select("set", "found").join(coarse.select("set", "component", "copies"), "set").dropDuplicates(["set"])
+    found = _map_texts(texts, "doc_id long, row long, h1 long, h2 long, found binary", lambda s: (*set_hash(s), s.tobytes()), ["doc_id", "row", "h1", "h2", "found"], [pa.int64(), pa.int64(), pa.binary()])
+    members = found.select("h1", "h2", "found").join(coarse.select("h1", "h2", "set", "component", "copies"), ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["set"])
     members = materialize(members, "jaccard-members")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum(F.octet_length("found")) / BLOCK_BYTES)).cast("int")
     sizes = members.groupBy("component").agg(blocks.alias("blocks"))
@@ -339,7 +383,8 @@ def _classes(docs: DataFrame, signed: DataFrame, runs: int, levels: int) -> Data
     by_set = copies.join(roots.withColumnRenamed("node", "set"), "set", "left").join(counts, "set", "left").withColumn("root", F.coalesce("root", "set"))
     least = by_set.groupBy("root").agg(F.min("first").alias("least"))
     return by_set.join(least, "root").select(
-        "set",
+        "h1",
+        "h2",
         "root",
         F.when(F.col("least") != lowest, F.col("least")).alias("class_id"),
         (F.coalesce("m", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
@@ -347,13 +392,13 @@ def _classes(docs: DataFrame, signed: DataFrame, runs: int, levels: int) -> Data
     )
 
 
-def near_duplicates(docs: DataFrame, runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), n_links (other documents at or above the threshold, copies too) and n_set_links (different sets among them)."""
     signed = materialize(signatures(docs), "jaccard-signatures")
-    return signed.select("doc_id", "set").join(_classes(docs, signed, runs, levels), "set").select("doc_id", "class_id", "n_links", "n_set_links")
+    return signed.select("doc_id", "h1", "h2").join(_classes(docs, signed, runs), ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_set_links")
 
 
-def one_per_class(docs: DataFrame, columns: list[str], runs: int = RUNS, levels: int = LEVELS) -> DataFrame:
+def one_per_class(docs: DataFrame, columns: list[str], runs: int = RUNS) -> DataFrame:
     """``columns`` of one row per class of near duplicates: the least doc_id, nulls last, then the least hash of the row.
 
     Classes are told apart by their sets, rows by doc_id and a hash of all ``columns``, so rows of null or equal doc_ids
@@ -364,8 +409,8 @@ def one_per_class(docs: DataFrame, columns: list[str], runs: int = RUNS, levels:
     mark = F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
     signed = materialize(signatures(rows, mark), "jaccard-signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    roots = _classes(rows, signed, runs, levels).select("set", "root")
-    first = signed.select("doc_id", "mark", "set").join(roots, "set").groupBy("root").agg(F.min(order).alias("first"))
+    roots = _classes(rows, signed, runs).select("h1", "h2", "root")
+    first = signed.select("doc_id", "mark", "h1", "h2").join(roots, ["h1", "h2"]).groupBy("root").agg(F.min(order).alias("first"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     kept = first.select(F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("__id"), F.col("first.mark").alias("__mark")).hint("merge")
     return rows.withColumns({"__id": key, "__mark": mark}).join(kept, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"]).select(*columns)
