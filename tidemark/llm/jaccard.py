@@ -54,7 +54,7 @@ LINK = SHARED + CLOSE - TOKENS
 RECALL, FOUND = 0.9999, 0.7
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
 #: Members of a node that are compared by brute force.
-LIMIT = 256
+LIMIT = 512
 #: Members, and bytes of sets, of one block of an exact comparison.
 BLOCK_SETS, BLOCK_BYTES = 512, 8_000_000
 #: Bytes of text hashed at a time.
@@ -165,7 +165,10 @@ def children(nodes: np.ndarray, values: np.ndarray, root: bool) -> tuple[np.ndar
     for k in range(2):
         h = mix(nodes + _U(k + 1) * _U(_BASE))
         place = (h % _U(TOKENS)).astype(np.int64)
-        own = np.flatnonzero((h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR)) if root and k else np.arange(len(nodes))
+        other = place != before if k else np.ones(len(nodes), bool)  # one place taken twice gives one child
+        if root and k:
+            other &= (h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR)
+        own, before = np.flatnonzero(other), place
         value = values[own, place[own]].astype(np.uint64)
         out.append(mix(mix(nodes[own] ^ (place[own].astype(np.uint64) << _U(48))) + value * _U(_BASE)))
         rows.append(own)
@@ -185,23 +188,15 @@ def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
     return sets.select("set", "tokens").mapInArrow(run, "node long, set long")
 
 
-def next_nodes(members: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, node = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)), False)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["node", "set"])
+def split(members: DataFrame) -> DataFrame:
+    """kind 0: a, b, links of members of large nodes to their node's pivot; kind 1: a, b, child nodes and the sets that go on to them.
 
-    return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
-
-
-def pivot_links(members: DataFrame) -> DataFrame:
-    """node, set, pivot (null unless the set is linked to it) and settled, for the members (node, set, n, tokens) of large nodes."""
+    members: node, set, n, tokens.
+    """
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     drawn = F.struct(F.xxhash64("node", "set").alias("at"), "set")
     # A node's pivot goes to each of its parts, which hold some LIMIT members: as many rows as there are parts.
-    pivots = members.groupBy("node", "n").agg(F.min(drawn)["set"].alias("pivot")).join(members.select(F.col("set").alias("pivot"), F.col("tokens").alias("theirs")).dropDuplicates(["pivot"]), "pivot")
+    pivots = members.groupBy("node", "n").agg(F.min(drawn)["set"].alias("pivot")).join(members.select("node", F.col("set").alias("pivot"), F.col("tokens").alias("theirs")), ["node", "pivot"])
     pivots = pivots.select("node", "pivot", "theirs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     dealt = members.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(pivots.hint("merge"), ["node", "part"])
 
@@ -209,11 +204,15 @@ def pivot_links(members: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(1)
-            own, pivot = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pivot, mask=(same < LINK) | (own == pivot)), pa.array(same >= CLOSE)], ["node", "set", "pivot", "settled"])
+            values = _matrix(batch.column(2))
+            same = (values == _matrix(batch.column(4))).sum(1)
+            node, own, pivot = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            near, on = (same >= LINK) & (own != pivot), same < CLOSE
+            row, child = children(node[on], values[on], False)
+            kind = np.repeat(np.array([0, 1], np.int32), [int(near.sum()), len(row)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([own[near], child.view(np.int64)])), pa.array(np.concatenate([pivot[near], own[on][row]]))], ["kind", "a", "b"])
 
-    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "node long, set long, pivot long, settled boolean")
+    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "kind int, a long, b long")
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -283,19 +282,18 @@ def coarse_links(members: DataFrame) -> DataFrame:
 
 def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """set, component of the sets that meet one that may be similar. sets: set (distinct), tokens."""
-    nodes, links = first_nodes(sets, runs), []
+    nodes, small, links = first_nodes(sets, runs), [], []
     while True:
         # Counts are added up before they are shuffled; a hot node's members are spread by the skew join.
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        met = materialize(nodes.join(counts.hint("merge"), "node").distinct(), "paths")
-        links.append(materialize(coarse_links(met.where(F.col("n") <= LIMIT).join(sets, "set")).distinct(), "links"))
-        large = met.where(F.col("n") > LIMIT)
-        if large.isEmpty():
+        met = materialize(nodes.join(counts.hint("merge"), "node"), "paths")
+        small.append(met.where(F.col("n") <= LIMIT))
+        if (met.agg(F.max("n")).first()[0] or 0) <= LIMIT:
             break
-        large = materialize(large.join(sets, "set"), "large-nodes")
-        pivoted = materialize(pivot_links(large), "pivots")
-        links.append(pivoted.where("pivot is not null").select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct())
-        nodes = next_nodes(pivoted.where("not settled").select("node", "set").join(sets, "set"))
+        parted = materialize(split(materialize(met.where(F.col("n") > LIMIT).join(sets, "set"), "large-nodes")), "split-nodes")
+        links.append(parted.where("kind = 0").select("a", "b"))
+        nodes = parted.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("set"))
+    links.append(coarse_links(reduce(DataFrame.unionByName, small).join(sets, "set")))
     return components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("set"), F.col("root").alias("component"))
 
 
