@@ -6,7 +6,9 @@ rules, giving composited frames with start time, delay and a colour histogram. `
 ``frames`` apply it to a column.
 
 Edge cases: null media give no frames and null features; a null text counts as empty, whose payload is
-64 zero bytes; equal texts give equal media; a truncated or malformed stream raises ValueError.
+64 zero bytes; equal texts give equal media and repeated rows are rows of their own. ``decode`` raises
+ValueError for a truncated or malformed stream, or one whose screen is larger than ``MAX_PIXELS`` (a
+parameter); in a column such media get null features, or no further frames, and a text in ``error``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ WIDTH = 64
 ROWS_PER_FRAME = 4096
 DELAY_CS = 4
 BINS = 64
+#: Pixels of the largest screen that is decoded (three bytes each).
+MAX_PIXELS = 1 << 24
 
 _LIMIT = 4096
 #: Colour of sample rrrgggbb: its bits in the high bits of each channel, so that a colour names its sample.
@@ -151,21 +155,22 @@ class Frame:
     transparent: int | None
     canvas: np.ndarray  # height x width x 3 of the whole screen, as shown
 
-    def histogram(self) -> np.ndarray:
-        c = self.canvas >> 6
+    def histogram(self, whole: bool = True) -> np.ndarray:
+        """Colours of the whole screen, or of the frame's own area."""
+        c = (self.canvas if whole else self.area()) >> 6
         return np.bincount((c[..., 0] << 4 | c[..., 1] << 2 | c[..., 2]).ravel(), minlength=BINS)
 
     def area(self) -> np.ndarray:
         return self.canvas[self.top : self.top + self.height, self.left : self.left + self.width]
 
 
-def decode(data: bytes) -> Iterator[Frame]:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
     """Frames of a GIF as shown, one at a time; each canvas is the frame's own copy."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     view = memoryview(data)
     try:
-        yield from _decode(data, view)
+        yield from _decode(data, view, max_pixels)
     except (IndexError, struct.error) as e:
         raise ValueError("truncated GIF") from e
 
@@ -187,8 +192,10 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     return table, at + n
 
 
-def _decode(data: bytes, view: memoryview) -> Iterator[Frame]:
+def _decode(data: bytes, view: memoryview, max_pixels: int) -> Iterator[Frame]:
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > max_pixels:
+        raise ValueError("screen too large")
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -213,6 +220,8 @@ def _decode(data: bytes, view: memoryview) -> Iterator[Frame]:
         if colours is None:
             raise ValueError("frame without a palette")
         if left + w > width or top + h > height:  # the screen grows to hold the frame
+            if max(width, left + w) * max(height, top + h) > max_pixels:
+                raise ValueError("screen too large")
             grown = np.empty((max(height, top + h), max(width, left + w), 3), np.uint8)
             grown[:] = ground
             grown[:height, :width] = canvas
@@ -266,11 +275,22 @@ def text_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long, error string"
 
 
-def read_media(df: DataFrame) -> DataFrame:
-    """Decode the media column frame by frame; the other columns stay. The feature is the frames' summed colour histogram."""
+def _features(data: bytes, max_pixels: int) -> tuple:
+    digest, n, tail, bins, count, lasts = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
+    for frame in decode(data, max_pixels):
+        part = payload_of(frame)
+        digest.update(part)
+        n, tail = n + len(part), (tail + part)[-64:]
+        bins += frame.histogram(whole=False)
+        count, lasts = count + 1, frame.start_ms + frame.delay_ms
+    return n, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, bins.tolist())), count, lasts, None
+
+
+def read_media(df: DataFrame, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """Decode the media column frame by frame; the other columns stay. The feature is the summed colour histogram of the frames' own areas."""
     keep = [f for f in df.schema.fields if f.name != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,39 +299,41 @@ def read_media(df: DataFrame) -> DataFrame:
             for media in batch.column("media"):
                 data = media.as_py()
                 if data is None:
-                    rows.append((None,) * 8)
+                    rows.append((None,) * 9)
                     continue
-                digest, n, tail, bins, count, lasts = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
-                for frame in decode(data):
-                    part = payload_of(frame)
-                    digest.update(part)
-                    n, tail = n + len(part), (tail + part)[-64:]
-                    bins += frame.histogram()
-                    count, lasts = count + 1, frame.start_ms + frame.delay_ms
-                rows.append((n, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, bins.tolist())), count, lasts))
-            new = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+                try:
+                    rows.append(_features(data, max_pixels))
+                except ValueError as e:
+                    rows.append((*(None,) * 8, str(e)))
+            new = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), *(pa.array(list(x), k) for x, k in zip(new, kinds, strict=True))], [*(f.name for f in keep), *(x.split()[0] for x in READ.split(", "))])
 
     return df.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [READ]))
 
 
-def frames(df: DataFrame, key: str = "doc_id", pixels: bool = False) -> DataFrame:
-    """A row per frame: key, index, timing, place, disposal, 64-bin colour histogram and, if asked for, the RGB bytes of the screen."""
+def frames(df: DataFrame, key: str = "doc_id", pixels: bool = False, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """A row per frame: key, index, timing, place, disposal, 64-bin colour histogram and, if asked for, the RGB bytes of the screen.
+
+    Media that can't be decoded, or not to their end, have a last row without a frame whose ``error`` says why.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, media in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if (data := media.as_py()) is None:
                     continue
-                for f in decode(data):
-                    yield pa.RecordBatch.from_pylist(
-                        [{"key": k, "frame": f.index, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": f.transparent, "histogram": f.histogram().tolist(), "rgb": f.canvas.tobytes() if pixels else None}],
-                        SCHEMA,
-                    )
+                try:
+                    for f in decode(data, max_pixels):
+                        yield pa.RecordBatch.from_pylist(
+                            [{"key": k, "frame": f.index, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": f.transparent, "histogram": f.histogram().tolist(), "rgb": f.canvas.tobytes() if pixels else None}],
+                            SCHEMA,
+                        )
+                except ValueError as e:
+                    yield pa.RecordBatch.from_pylist([{"key": k, "error": str(e)}], SCHEMA)
 
     i32 = pa.int32()
-    SCHEMA = pa.schema([("key", pa.int64()), ("frame", i32), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((x, i32) for x in ("left", "top", "width", "height", "disposal", "transparent")), ("histogram", pa.list_(pa.int64())), ("rgb", pa.binary())])
+    SCHEMA = pa.schema([("key", pa.int64()), ("frame", i32), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((x, i32) for x in ("left", "top", "width", "height", "disposal", "transparent")), ("histogram", pa.list_(pa.int64())), ("rgb", pa.binary()), ("error", pa.string())])
     return df.select(F.col(key).cast("long").alias("key"), "media").mapInArrow(
-        run, "key long, frame int, start_ms long, delay_ms long, `left` int, top int, width int, height int, disposal int, transparent int, histogram array<long>, rgb binary"
+        run, "key long, frame int, start_ms long, delay_ms long, `left` int, top int, width int, height int, disposal int, transparent int, histogram array<long>, rgb binary, error string"
     )
