@@ -1,9 +1,13 @@
+import hashlib
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tests.llm.helpers import docs
 from tidemark.llm import mixing
-
-from pyspark.sql import functions as F
+from tidemark.llm.queries import MIX_FRACTION, MIX_POWERS, mix_dimensions
 
 
 def cells(spark):
@@ -52,3 +56,61 @@ def test_sampling(spark, monkeypatch, broadcast):
     again = {r.doc_id: r.sampled for r in out.select("doc_id", "mix.sampled").collect()}
     assert again == {r.doc_id: r.sampled for r in rows}
     assert mixing.sample_probabilities(docs(spark, []), {"source": F.col("source")}, {"source": 0.5}, 0.4).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(i % 5 or None, "word " * (i % 7), "ab"[i % 2], 1, 2, 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix int, mix_cell int, mix_probability int")
+    out = mixing.sample_probabilities(df, {"source": F.col("source")}, {"source": 0.5}, 0.5)
+    got = out.collect()
+    assert out.columns == df.columns and len(got) == 60 and all((r.mix_cell, r.mix_probability) == (2, 3) for r in got)
+    fate = {}
+    for r in got:
+        assert fate.setdefault((r.doc_id, r.source), r.mix.sampled) == r.mix.sampled
+
+
+def test_raking_that_cannot_settle(spark):
+    df = docs(spark, ["w " * 50, "w"], source=["a", "b"], lang=["x", "y"])
+    dims = {"source": F.col("source"), "lang": F.col("lang")}  # both fix the same two cells, to different shares
+    with pytest.raises(ValueError, match="settled"):
+        mixing.sample_probabilities(df, dims, {"source": 0.1, "lang": 1.0}, 0.5)
+
+
+def test_query_by_brute_force(spark):
+    """The whole query again in plain Python: cells, targets, raking, scale and draws."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = mixing.sample_probabilities(df, mix_dimensions(), MIX_POWERS, MIX_FRACTION).collect()
+    texts = {r.doc_id: r for r in df.collect()}
+    names = list(MIX_POWERS)
+    cells = {}
+    for r in rows:
+        assert r.mix.tokens == len(re.findall(r"\S+", texts[r.doc_id].text or "", re.ASCII))
+        assert (r.mix.source, r.mix.lang) == (texts[r.doc_id].source or "", texts[r.doc_id].lang or "")
+        key = tuple(r.mix[n] for n in names)
+        cells[key] = cells.get(key, 0) + r.mix.tokens
+    total = sum(cells.values())
+    weight = {k: v / total for k, v in cells.items()}
+    share = []
+    for i, n in enumerate(names):
+        sums = {}
+        for k, v in cells.items():
+            sums[k[i]] = sums.get(k[i], 0) + v
+        whole = sum(v ** MIX_POWERS[n] for v in sums.values())
+        share.append({x: v ** MIX_POWERS[n] / whole for x, v in sums.items()})
+    for _ in range(400):
+        for i in range(len(names)):
+            now = {}
+            for k, w in weight.items():
+                now[k[i]] = now.get(k[i], 0) + w
+            weight = {k: w * share[i][k[i]] / now[k[i]] for k, w in weight.items()}
+    low, high = 0.0, max(cells[k] / w for k, w in weight.items() if w)
+    for _ in range(100):
+        s = (low + high) / 2
+        low, high = (s, high) if sum(min(v, weight[k] * s) for k, v in cells.items()) < MIX_FRACTION * total else (low, s)
+    for r in rows:
+        key = tuple(r.mix[n] for n in names)
+        want = min(1.0, weight[key] * high / cells[key]) if cells[key] else 1.0
+        assert r.mix.probability == pytest.approx(want, abs=1e-4)
+        drawn = int(hashlib.md5(f"7:{r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+        assert r.mix.sampled == (drawn < r.mix.probability)
+    assert len({r.mix.topic for r in rows}) > 4

@@ -9,9 +9,13 @@ document's id and a seed.
 Cells are aggregated before anything is shuffled by value; joining them back broadcasts them only up
 to a checked number of cells and salts beyond it.
 
+Raking looks at its marginals every third sweep and ends when none is off by more than a tolerance; one
+that has not come within ``ACCEPTED`` of its targets after all sweeps raises an error.
+
 Edge cases: a null dimension value counts as ''; a null text has no tokens and goes by its cell's
-probability; rows with equal doc_id share their fate; cells without tokens have probability one; an
-empty table gives no rows; extra columns are kept under their own names.
+probability; rows with equal (or null) doc_id share their fate if they are of one cell; cells without
+tokens have probability one; an empty table gives no rows; extra columns are kept under their own names,
+but one named ``mix`` gives way to the result.
 """
 
 from __future__ import annotations
@@ -22,19 +26,27 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-SWEEPS, SWEEPS_AT_ONCE, TOLERANCE = 60, 3, 1e-6
+SWEEPS, SWEEPS_AT_ONCE, TOLERANCE, ACCEPTED = 120, 3, 1e-6, 1e-3
 BROADCAST_CELLS = 100_000
-#: Up to so many cells (counted first) are raked on the driver; more are raked by joins.
+#: Up to so many cells (counted first) are raked on the driver; more are raked by joins, by the same rule.
 DRIVER_CELLS = 50_000
 SALTS = 64
 #: Candidates per pass, and passes, of the search for the scale.
 GRID, PASSES = 64, 8
 
 
-def topic() -> Column:
-    """A coarse topic by what a text contains."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.when(text.contains(" | "), "tables").when(text.contains("@") | text.contains("555-"), "contacts").when(F.length(text) > 6000, "long").otherwise("prose")
+def topic(bits: int = 3) -> Column:
+    """One of 2 ^ bits topics by what a text's words say: bit k tells on which side of a fixed random plane its distinct words of four or more letters lie.
+
+    Each word's hash gives it a sign per plane; texts of like words come to like sums.
+    """
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    long = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
+    hashes = F.transform(long, lambda w: F.xxhash64(w))
+    side = lambda h, k: F.shiftright(h, 7 * k).bitwiseAND(F.lit(1)).cast("long")
+    none = F.struct(*(F.lit(0).cast("long").alias(f"p{k}") for k in range(bits)))
+    counts = F.aggregate(hashes, none, lambda a, h: F.struct(*((a[f"p{k}"] + side(h, k)).alias(f"p{k}") for k in range(bits))), lambda a: F.struct(*(a[f"p{k}"].alias(f"p{k}") for k in range(bits))))
+    return F.concat(*(F.when(2 * counts[f"p{k}"] > F.size(long), "1").otherwise("0") for k in range(bits)))
 
 
 def words() -> Column:
@@ -69,8 +81,8 @@ def rake_on_driver(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int,
         for r in target.collect():  # at most as many values as cells, else no cell has them
             if r["value"] in at:
                 shares[d][at[r["value"]]] = r["share"]
-    for _ in range(sweeps if rows else 0):
-        for d in targets:
+    for _ in range(0, sweeps if rows else 0, SWEEPS_AT_ONCE):
+        for d in [*targets] * SWEEPS_AT_ONCE:
             now = np.bincount(places[d], weight, len(shares[d]))
             weight = weight * np.divide(shares[d], now, out=np.zeros_like(now), where=now > 0)[places[d]]
         deviation = max(np.abs(np.bincount(places[d], weight, len(shares[d])) - shares[d]).max() for d in targets)
@@ -133,25 +145,32 @@ def sample_probabilities(docs: DataFrame, dimensions: dict[str, Column], powers:
 
     powers: for each dimension the power of its smoothed targets. fraction: expected share of all tokens.
     """
-    mixed = docs.withColumn("mix", F.struct(*(F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in dimensions.items()), words().alias("tokens")))
     names = list(dimensions)
+    cell, found, salt = (_free(docs, n) for n in ("cell", "probability", "salt"))
+    mixed = docs.withColumn("mix", F.struct(*(F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in dimensions.items()), words().alias("tokens")))
     cells = mixed.groupBy(*(F.col(f"mix.{d}").alias(d) for d in names)).agg(F.sum("mix.tokens").alias("tokens"))
     cells = materialize(cells, "mixing-cells")
     targets = {d: materialize(smoothed_targets(cells, d, powers[d]), f"mixing-{d}") for d in names}
-    raked, _ = rake(cells, targets)
+    raked, deviation = rake(cells, targets)
+    if deviation > ACCEPTED:
+        raise ValueError(f"raking has not settled: a marginal is off by {deviation:.2g}")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     scale = scale_for(raked, fraction * total)
     chance = F.coalesce(F.least(F.lit(1.0), F.try_divide("weight", "tokens") * scale), F.lit(1.0))
-    calibrated = raked.select(F.struct(*names).alias("cell"), chance.alias("probability"))
+    calibrated = raked.select(F.struct(*names).alias(cell), chance.alias(found))
     key = F.struct(*(F.col(f"mix.{d}").alias(d) for d in names))
-    held = mixed.withColumn("mix", F.col("mix").withField("cell", key))
     if cells.count() <= BROADCAST_CELLS:
-        joined = held.join(F.broadcast(calibrated.withColumnRenamed("probability", "mix_probability").withColumnRenamed("cell", "mix_cell")), F.col("mix.cell") == F.col("mix_cell"))
+        joined = mixed.join(F.broadcast(calibrated), key == F.col(cell))
     else:
-        salted = calibrated.select(F.col("cell").alias("mix_cell"), F.col("probability").alias("mix_probability"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_salt"))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        joined = held.join(salted, (F.col("mix.cell") == F.col("mix_cell")) & (salt == F.col("mix_salt"))).drop("mix_salt")
-    fields = [F.col(f"mix.{d}").alias(d) for d in names]
-    return joined.withColumn(
-        "mix", F.struct(*fields, F.col("mix.tokens").alias("tokens"), F.col("mix_probability").alias("probability"), (uniform(seed) < F.col("mix_probability")).alias("sampled"))
-    ).drop("mix_cell", "mix_probability")
+        salted = calibrated.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = mixed.join(salted, (key == F.col(cell)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int") == F.col(salt))).drop(salt)
+    return joined.withColumn("mix", F.struct(F.col("mix.*"), F.col(found).alias("probability"), (uniform(seed) < F.col(found)).alias("sampled"))).drop(cell, found)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns} | {"mix"}
+    name = f"mix_{name}"
+    while name in taken:
+        name += "_"
+    return name
