@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs
 from tidemark.llm import prefixhash as ph
@@ -64,12 +66,13 @@ def brute(rows):
     return out
 
 
-def test_query(spark):
+def test_query(spark, monkeypatch):
     r = random.Random(8)
     texts = ["", None, "a", "ab", "😀é" * 50, "long " * 40_000] + ["".join(r.choice("abc d") for _ in range(r.randrange(300))) for _ in range(60)]
     rows = [(7 * i - 50, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, range int, fingerprint string")
-    for own in (rows, rows[:1], rows[:2]):
+    for own, size in ((rows, 100), (rows, 10**7), (rows[:1], 1), (rows[:2], 1)):
+        monkeypatch.setattr(ph, "RANGE_BYTES", size)
         got = ph.compare_edited(df.where(df.doc_id.isin([i for i, _ in own])))
         assert {x.doc_id: tuple(x)[1:7] for x in got.collect()} == brute(own)
     assert ph.compare_edited(docs(spark, [])).count() == 0
@@ -80,3 +83,25 @@ def test_null_and_repeated_ids(spark):
     rows = ph.compare_edited(df).collect()
     assert sorted((r.doc_id or 0, r.n_chars) for r in rows) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
     assert np.all([r.fingerprint == r.edited_fingerprint for r in rows if r.n_chars < 3])
+
+
+@pytest.mark.parametrize("size", [10, 200, 10**6])
+def test_hot_ids_go_to_several_ranges(spark, size):
+    """Every row but a guest is followed by the next in one order of all rows, however many share an id."""
+    r = random.Random(3)
+    rows = [(r.choice([None, 5, 5, 5, 9, *range(20, 40)]), "t" * r.randrange(9) + str(i % 150)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = ph.in_order(df, size)
+    parts = {}
+    for x in dealt.withColumn("tie", F.xxhash64("text")).collect():
+        parts.setdefault(x.range, []).append(x)
+    key = lambda x: (x.doc_id is None, -(x.doc_id or 0), x.tie)
+    order = [x for k in sorted(parts) for x in parts[k] if not x.guest]
+    assert [key(x) for x in order] == sorted(map(key, order)) and len(order) == len(rows)
+    for i, k in enumerate(sorted(parts)):
+        guests = [x for x in parts[k] if x.guest]
+        following = sorted(parts)[(i + 1) % len(parts)]
+        assert len(guests) == 1 and key(guests[0]) == key(parts[following][0])
+    if size == 10:
+        most = max(sum(not x.guest for x in p) for p in parts.values())
+        assert len(parts) > 30 and most < 40

@@ -13,14 +13,13 @@ taken block by block.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import partitions, text_or_empty
 
@@ -29,8 +28,10 @@ BASES = (911_382_323, 972_663_749)
 SPAN = 32
 KEPT = 64
 BLOCK = 1 << 17
-#: Ranges of doc_id by which neighbours are found side by side.
-RANGES = 256
+#: Bytes of text of a range of doc_ids, within which neighbours are found side by side, and the most ranges there are.
+RANGE_BYTES, RANGES = 8_000_000, 8192
+#: Longest table of powers that is kept.
+KEPT_POWERS = 2 * BLOCK
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
@@ -51,7 +52,8 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     while len(table) < n:
         step = pow(pow(base, -1, int(PRIME)) if inverse else base, len(table), int(PRIME))
         table = np.concatenate([table, _mod(table * np.uint64(step))])
-    _powers[base, inverse] = table
+    if n <= KEPT_POWERS:
+        _powers[base, inverse] = table
     return table[:n]
 
 
@@ -142,11 +144,6 @@ def from_hex(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
 
 
-@F.pandas_udf(T.StringType())
-def fingerprint_column(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else to_hex(fingerprint(t)))
-
-
 def common_start(a: str, b: str) -> int:
     """Longest common extension of the starts of two texts, block by block."""
     total = 0
@@ -158,32 +155,50 @@ def common_start(a: str, b: str) -> int:
     return total
 
 
-@F.pandas_udf(T.LongType())
-def extension_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_start(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _places(bounds: list[int]) -> tuple[Column, Column]:
+    """How many of the bounds lie above the column ``at``, and how many equal it: looked up in two steps of about the root of their number."""
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]  # ascending
+    table = F.array(*(F.array(*(F.lit(b).cast("long") for b in g)) for g in groups))
+    heads = F.array(*(F.lit(g[0]).cast("long") for g in groups))
+
+    def below(strictly: bool) -> Column:
+        """Bounds under ``at``, or up to it."""
+        under = (lambda b: F.col("at") > b) if strictly else (lambda b: F.col("at") >= b)
+        full = F.size(F.filter(heads, under))
+        return F.when(full == 0, 0).otherwise((full - 1) * width + F.size(F.filter(F.element_at(table, F.greatest(full, F.lit(1))), under)))
+
+    upto = below(False)
+    return F.lit(len(bounds)) - upto, upto - below(True)
 
 
-def in_order(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """doc_id, text (null as empty), range, guest: rows dealt by ranges of doc_id and sorted by descending doc_id (nulls last; equal ids by text) within each.
+def in_order(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, text (null as empty), range, guest: rows dealt by ranges and sorted by descending doc_id (nulls last; equal ids by a hash of the text) within each.
 
-    A copy of the first row of every range (the guest) ends the range before it, and that of the very
+    Ranges hold about as many bytes each; an id (or null) that has the rows of several ranges is dealt among them by
+    the hash. A copy of the first row of every range (the guest) ends the range before it, and that of the very
     first row the last range, so each row but a guest is followed by the next one. Texts are shuffled once.
     """
     lowest = F.lit(-(2**63)).cast("long")
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("at"))
-    bounds = sorted({int(x) for x in ids.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))})
-    limits = F.array(*(F.lit(b).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
-    within = F.size(F.filter(limits, lambda b: F.col("at") > b))
-    heads = {r["range"]: r["head"] for r in ids.groupBy(within.alias("range")).agg(F.max("at").alias("head")).collect()}  # a row per range
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("at", F.coalesce("doc_id", lowest))
-    rows = rows.withColumns({"range": within, "tie": F.xxhash64("text"), "guest": F.lit(False)})
-    order = sorted(heads, reverse=True)
-    before = F.create_map(*(F.lit(x) for i, r in enumerate(order) for x in (r, order[i - 1]))) if order else F.create_map().cast("map<int,int>")
-    wanted = [h for h in heads.values() if h != -(2**63)]
-    ask = F.col("doc_id").isin(wanted) | (F.col("doc_id").isNull() if len(wanted) < len(heads) else F.lit(False))
-    first = Window.partitionBy("range").orderBy("tie")
-    guests = rows.where(ask).withColumn("place", F.row_number().over(first)).where("place = 1").drop("place").withColumn("guest", F.lit(True)).withColumn("range", before[F.col("range")])
-    dealt = rows.unionByName(guests).repartition(partitions(docs.sparkSession), "range")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(RANGES, max(1, -(-size // range_bytes)))
+    # As many numbers as there are ranges, RANGES at most.
+    bounds = sorted(int(x) for x in rows.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))) if ranges > 1 else []
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    if bounds:
+        above, equal = _places(bounds)
+        share = (F.col("tie").cast("double") / F.lit(float(2**64)) + 0.5) * (equal + 1)
+        rows = rows.withColumn("range", (above + F.least(F.floor(share), equal)).cast("int"))
+    else:
+        rows = rows.withColumn("range", F.lit(0))
+    first = F.max(F.struct("at", F.bitwise_not("tie").alias("tie"))).alias("first")
+    heads = {r["range"]: (r["first"]["at"], ~r["first"]["tie"]) for r in rows.groupBy("range").agg(first).collect()}  # a row per range
+    order = sorted(heads)
+    wanted = docs.sparkSession.createDataFrame([(*heads[r], order[i - 1]) for i, r in enumerate(order)], "at long, tie long, before int")
+    guests = rows.join(F.broadcast(wanted), ["at", "tie"]).dropDuplicates(["at", "tie"])
+    guests = guests.select("doc_id", "text", "at", "tie", F.col("before").alias("range"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("guest", F.lit(False)).unionByName(guests).repartition(partitions(docs.sparkSession), "range")
     return dealt.sortWithinPartitions("range", "guest", F.desc("at"), "tie").select("doc_id", "text", "range", "guest")
 
 
@@ -206,7 +221,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-    return in_order(docs).mapInArrow(run, COMPARED)
+    return in_order(docs, RANGE_BYTES).mapInArrow(run, COMPARED)
 
 
 def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, its: np.ndarray) -> tuple:
