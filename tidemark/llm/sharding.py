@@ -30,8 +30,8 @@ ROW_BYTES = 8
 FIRST_BITS, MORE_BITS = 12, 8
 #: Groups of refined atoms come one by one when there are no more than so many.
 SINGLES = 20_000
-#: Ranges by which the rows of a shard are numbered side by side.
-CELLS = 64
+#: Rows of a shard are numbered side by side in so many ranges at least, and so many that a shard with all rows had about CELL_ROWS in each.
+CELLS, CELL_ROWS = 64, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -145,8 +145,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         number += (F.col("key") > key).cast("int")
     for i, key in enumerate(peeled):
         number = F.when(F.col("key") == key, i).otherwise(number)
-    placed = rows.withColumns({"shard": number.cast("int"), "cell": F.pmod(F.xxhash64("doc_id", "key"), F.lit(CELLS))})
-    # At most shards x CELLS counts: numbered per shard, then added to the numbers within a cell.
+    cells = max(CELLS, rows.count() // CELL_ROWS)
+    placed = rows.withColumns({"shard": number.cast("int"), "cell": F.pmod(F.xxhash64("doc_id", "key"), F.lit(cells))})
+    # A count per shard and cell: numbered per shard, then added to the numbers within a cell.
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
