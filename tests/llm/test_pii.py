@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 
+from tests.conftest import SF
 from tests.llm.helpers import docs
 from tidemark.llm import pii
 
@@ -81,3 +83,62 @@ def test_search_goes_on_inside_what_is_not_valid():
     for text, value in [("XX00 1234 5678 4111 1111 1111 1111", "4111 1111 1111 1111"), ("AA11 BE68 5390 0754 7034", "BE68 5390 0754 7034")]:
         done, found = pii.replace(text, KEY)
         assert [text[a:b] for _, a, b in found] == [value] and value not in done
+
+
+@pytest.mark.parametrize("form", ["{y:04d}-{m:02d}-{d:02d}", "{y:04d}/{m}/{d}", "{d:02d}.{m:02d}.{y:04d}", "{d}.{m}.{y:04d}", "{m:02d}/{d:02d}/{y:04d}", "{d:02d}/{m:02d}/{y:04d}", "{m}-{d}-{y:04d}", "{d}-{m:02d}-{y:04d}", "{m:02d}-{d}-{y:04d}"])
+def test_dates_of_all_notations_come_back(form):
+    r = random.Random(form)
+    for _ in range(1200):
+        day = dt.date.fromordinal(r.randrange(pii.FIRST_DAY, pii.LAST_DAY + 1))
+        value = form.format(y=day.year, m=day.month, d=day.day)
+        new = pii.pseudonym("date", value, KEY)
+        assert len(new) == len(value) and pii.reveal("date", new, KEY) == value
+
+
+def naive(text):
+    """The values of a text, by trying every kind at every place, the longest first where IBANs end."""
+    out, at = [], 0
+    while at < len(text):
+        for kind, pattern in pii.PATTERNS:
+            m = pattern.match(text, at)
+            ends = [] if m is None else [m.end()] if kind != "iban" else [e for e in range(m.end(), at, -1) if e == m.end() or text[e] == " "]
+            ends.sort(key=lambda e: len(text[at:e].replace(" ", "")) != pii.IBAN_LENGTHS.get(text[at : at + 2]))
+            end = next((e for e in ends if pii.KINDS[kind](text[at:e], KEY, False) is not None), None)
+            if end is not None:
+                out.append((at, end, kind))
+                at = end - 1
+                break
+        at += 1
+    out += [(m.start(1), m.end(1), "email") for m in pii.EMAIL.finditer(text)] + [(m.start(1), m.end(1), "secret") for m in pii.SECRET.finditer(text)]
+    kept, free = [], 0
+    for a, b, kind in sorted(out, key=lambda x: (x[0], -x[1])):
+        if a >= free and pii.KINDS[kind](text[a:b], KEY, False) is not None:
+            kept.append((kind, a, b))
+            free = b
+    return kept
+
+
+def test_whole_table(spark):
+    """Finds equal those of a search at every place; pseudonyms lead back to each whole text, and one value has one pseudonym."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    df = df.unionByName(df.limit(3))  # repeated rows
+    texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    rows = pii.pseudonymize(df, KEY).collect()
+    linked = {}
+    assert len(rows) == len(texts) + 3
+    for r in rows:
+        text, back, at = texts[r.doc_id], [], 0
+        found = [(f.kind, f.start, f.end) for f in r.found]
+        if text is None:
+            assert r.text is None and not found
+            continue
+        assert found == naive(text)
+        shift = 0
+        for kind, a, b in found:
+            new = pii.pseudonym(kind, text[a:b], KEY)
+            assert linked.setdefault((kind, text[a:b]), new) == new
+            assert r.text[a + shift : a + shift + len(new)] == new
+            back += [r.text[at : a + shift], pii.reveal(kind, new, KEY)]
+            shift += len(new) - (b - a)
+            at = b + shift
+        assert "".join([*back, r.text[at:]]) == text

@@ -5,10 +5,10 @@ addresses, calendar dates, e-mail names, assigned secrets) are found in the whol
 a keyed permutation of themselves within their own format: a number stays a valid number of the same
 length and punctuation, a date a date in the same notation. The permutation depends on the kind, the
 canonical value and the key alone, so equal values stay linked across documents and notations, and
-``reveal`` undoes it for whoever holds the key.
+``reveal`` undoes it, to the letter, for whoever holds the key.
 
 Edge cases: a null text stays null with no finds; values that fail validation are left alone; equal
-texts give equal results; extra columns are ignored. One pass, no shuffle.
+texts give equal results, so repeated rows stay repeated; extra columns are ignored. One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -170,11 +170,17 @@ def _date(found: str, key: bytes, undo: bool) -> str | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    new = dt.date.fromordinal(FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo))
-    # A slashed or dashed date is read month first where it can be; one that would then be read otherwise keeps the order by its text.
-    wide = all(len(p) > 1 for p in parts)
-    num = lambda n: f"{n:02d}" if wide else str(n)
-    return mark.join({"y": f"{new.year:04d}", "m": num(new.month), "d": num(new.day)}[k] for k in order)
+    new, kept = None, _date_class(m, d)
+    while new is None or _date_class(new.month, new.day) != kept:
+        day = FIRST_DAY + feistel(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo)
+        new = dt.date.fromordinal(day)
+    written = {"y": new.year, "m": new.month, "d": new.day}
+    return mark.join(f"{written[k]:0{len(part)}d}" for k, part in zip(order, parts, strict=True))
+
+
+def _date_class(month: int, day: int) -> tuple[bool, int]:
+    """Dates are permuted within those that have as many digits and that can or can't be read month first alike, so that a pseudonym is read as its value was."""
+    return month > 9, (day > 9) + (day > 12)
 
 
 def _word(kind: str) -> Callable[[str, bytes, bool], str | None]:
@@ -191,7 +197,7 @@ KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
 }
 
 
-@lru_cache(100_000)
+@lru_cache(30_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None where it isn't valid for its kind."""
     return KINDS[kind](value, key, False)
