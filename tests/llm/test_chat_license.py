@@ -29,6 +29,14 @@ def test_snapshots_collapse(spark):
     assert chat.collapse(conversations(spark, [])).count() == 0
 
 
+def test_equal_turn_numbers_and_repeated_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "user", "c"), (1, 1, "user", "c"), (2, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "user", "c"), (3, 0, "user", "a"), (3, 0, "user", "b")]
+    for own in (rows, rows[::-1]):
+        got = chat.collapse(spark.createDataFrame(own, "conv_id long, turn long, role string, text string")).collect()
+        assert [(r.conv_id, r.n_turns, r.n_logged) for r in got] == [(1, 4, 1)]  # the others are prefixes of it
+        assert sorted(got[0].rendered.split("<|end|>\n"))[1:] == [f"<|user|>\n{t}\n" for t in "abcc"]
+
+
 def test_null_conversation(spark):
     got = chat.collapse(conversations(spark, [(None, [("user", "x")]), (1, [("user", "y")])])).collect()
     assert {r.conv_id for r in got} == {None, 1}
@@ -37,10 +45,15 @@ def test_null_conversation(spark):
 def test_licenses(spark):
     mit = dict(TEXTS)["MIT"]
     spelt = mit.upper().replace("COPYRIGHT (C) <YEAR> <HOLDERS>", "Copyright 2019 Somebody\nAll rights reserved.").replace("LICENSE", "LICENCE").replace(" ", "  ", 5)
-    texts = [mit, spelt, mit + " more", None, "", "text\nReleased under the MIT licence\nx", "released under the MIT License, or not", "Licensed under CC BY-NC 4.0."]
+    texts = [mit, spelt, mit + " more", None, "", "text\nReleased under the MIT licence\nx", "released under the MIT License, or not", "Licensed under CC BY-NC 4.0.", "x", f"Words before\n-----\n{mit}\n=====\nand after", "SPDX-License-Identifier: Apache-2.0\ncode", "filler words \n" * 40_000 + "Licensed under CC BY 4.0."]
     rows = license.scan(docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r.license_id for r in rows] == ["MIT", "MIT", None, None, None, None, None, None]
-    assert [r.notice_ids for r in rows] == ["", "", "", "", "", "MIT", "", "CC-BY-NC-4.0"]
+    assert [r.license_id for r in rows] == ["MIT", "MIT", None, None, None, None, None, "CC-BY-NC-4.0", None, None, None, None]
+    assert [r.part_ids for r in rows] == ["", "", "", "", "", "MIT", "", "CC-BY-NC-4.0", "", "MIT", "Apache-2.0", "CC-BY-4.0"]
+    twice = docs(spark, [mit, mit, None]).selectExpr("if(doc_id = 1, null, 0L) as doc_id", "text", "text as digest", "text as parts")
+    assert sorted(str(r.license_id) for r in license.scan(twice.unionByName(twice)).collect()) == ["MIT"] * 4 + ["None"] * 2
+    own = license.known_texts(spark, [("Mine", "Do as\n\nyou like.")], [("Mine", "SPDX: Mine")])
+    got = license.scan(docs(spark, ["DO AS you like", "a\nSPDX - mine\nb"]), own).orderBy("doc_id").collect()
+    assert [(r.license_id, r.part_ids) for r in got] == [("Mine", "Mine"), (None, "Mine")]
     assert license.scan(docs(spark, [])).count() == 0
 
 
@@ -48,7 +61,7 @@ def test_every_known_text_is_itself(spark):
     texts = [t for _, t in TEXTS] + [n for _, n in NOTICES]
     rows = license.scan(docs(spark, texts)).orderBy("doc_id").collect()
     assert [r.license_id for r in rows[: len(TEXTS)]] == [k for k, _ in TEXTS]
-    assert [r.notice_ids for r in rows[len(TEXTS) :]] == [k for k, _ in NOTICES]
+    assert [r.part_ids for r in rows[len(TEXTS) :]] == [k for k, _ in NOTICES]
 
 
 def test_long_licenses(spark):

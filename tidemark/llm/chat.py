@@ -5,11 +5,13 @@ hash salted with its place; the running xor of these hashes (two independent 64-
 prefix that ends there. A conversation whose full hash is a proper prefix of another, or equal to that
 of one with a lower id, goes by anti-join; the others are rendered.
 
-Turns are ordered by (turn, role, text); running values are taken in two levels (blocks of turns, then
-blocks), and each level is dealt by conversation and block, so a conversation of any length is spread.
+Turns are ordered by (turn, role, MD5 of the text); running values are taken in two levels (blocks of turns,
+then blocks), and each level is dealt by conversation and block, so a conversation of any length is spread.
+Prefixes are written once, without texts; texts are read again for the conversations that stay.
 
 Edge cases: null roles and texts count as empty; a null conv_id is a conversation of its own; rows
-repeated exactly are turns like any other; an empty table gives no conversations.
+repeated exactly are turns like any other, and so are turns of equal number; an empty table gives no
+conversations; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,31 +19,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 BLOCK = 256
 
 
-def turns_with_prefixes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv, at (place from 1), role, text and the two hashes of the prefix up to and with this turn."""
-    rows = conversations.select(
+def _order(conversations: DataFrame) -> DataFrame:
+    """conv, turn, role, text and the digest of the text: what turns are ordered by is turn, role, digest."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return conversations.select(
         F.col("conv_id").cast("long").alias("conv"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / block))
-    own = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    blocks = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
+        text.alias("text"),
+        F.unhex(F.md5(text)).alias("digest"),
+    )
+
+
+def prefixes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
+    """conv, at (place from 1), n (turns of the conversation) and the two hashes of the prefix up to and with this turn. Texts go as digests."""
+    rows = _order(conversations).drop("text").withColumn("block", F.floor(F.col("turn") / block))
+    own = Window.partitionBy("conv", "block").orderBy("turn", "role", "digest")
+    placed = materialize(rows.withColumn("local", F.row_number().over(own)).select("conv", "block", "local", F.xxhash64("role", "digest").alias("h"), F.xxhash64(F.lit(7), "digest", "role").alias("g")), "chat-turns")
+    # Places and running hashes within a block; the blocks before it add theirs.
+    blocks = placed.groupBy("conv", "block").agg(F.count("*").alias("m"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = blocks.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     same = F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
-    placed = rows.withColumn("local", F.row_number().over(own)).join(bases, same, "left").drop("c", "b").withColumn("at", F.col("base") + F.col("local"))
-    hashed = placed.withColumns({"h1": F.xxhash64("at", "role", "text"), "h2": F.xxhash64(F.lit(7), "text", "role", "at")})
-    sums = hashed.groupBy("conv", "block").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"))
-    heads = sums.select(F.col("conv").alias("c"), F.col("block").alias("b"), *(F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(y) for x, y in (("x1", "o1"), ("x2", "o2"))))
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    at = placed.join(bases, same, "left").select("conv", "block", (F.col("base") + F.col("local")).alias("at"), "h", "g")
+    hashed = materialize(at.withColumns({"h1": F.xxhash64("at", "h"), "h2": F.xxhash64("g", "at")}).drop("h", "g"), "chat-hashes")
+    sums = hashed.groupBy("conv", "block").agg(F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.max("at").alias("last"))
+    heads = sums.select(
+        F.col("conv").alias("c"),
+        F.col("block").alias("b"),
+        F.max("last").over(Window.partitionBy("conv")).alias("n"),
+        *(F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(y) for x, y in (("x1", "o1"), ("x2", "o2"))),
+    )
+    upto = Window.partitionBy("conv", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return (
         hashed.withColumns({"r1": F.bit_xor("h1").over(upto), "r2": F.bit_xor("h2").over(upto)})
         .join(heads, same, "left")
-        .select("conv", "at", "role", "text", F.col("r1").bitwiseXOR(F.col("o1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("o2")).alias("p2"))
+        .select("conv", "at", "n", F.col("r1").bitwiseXOR(F.col("o1")).alias("p1"), F.col("r2").bitwiseXOR(F.col("o2")).alias("p2"))
     )
 
 
@@ -52,17 +70,18 @@ def render(role: Column, text: Column) -> Column:
 
 def collapse(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_logged (equal conversations) and the rendered text of each maximal conversation."""
-    turns = turns_with_prefixes(conversations)
-    whole = turns.groupBy("conv").agg(F.max(F.struct("at", "p1", "p2")).alias("last")).select("conv", "last.*")
+    known = materialize(prefixes(conversations), "chat-prefixes")
+    whole = known.where("at = n").select("conv", "at", "p1", "p2")
     distinct = whole.groupBy("at", "p1", "p2").agg(F.min("conv").alias("conv"), F.count("*").alias("n_logged"))
     # A prefix is proper where its conversation goes on; every prefix once, however many share it.
-    last = whole.select(F.col("conv").alias("c"), F.col("at").alias("n"))
-    inner = turns.join(last, F.col("conv").eqNullSafe(F.col("c")) & (F.col("at") < F.col("n"))).select("at", "p1", "p2").distinct()
-    kept = distinct.join(inner, ["at", "p1", "p2"], "left_anti")
+    inner = known.where("at < n").select("at", "p1", "p2").distinct()
+    kept = materialize(distinct.join(inner, ["at", "p1", "p2"], "left_anti"), "chat-kept")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "digest", "text")))
     text = (
-        turns.join(kept.select(F.col("conv").alias("c")), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+        _order(conversations)
+        .join(kept.select(F.col("conv").alias("c")), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
         .groupBy("conv")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "role", "text"))), lambda t: render(t["role"], t["text"])), "").alias("rendered"))
+        .agg(F.array_join(F.transform(turns, lambda t: render(t["role"], t["text"])), "").alias("rendered"))
         .select(F.col("conv").alias("c"), "rendered")
     )
     return kept.join(text, F.col("conv").eqNullSafe(F.col("c"))).select(F.col("conv").alias("conv_id"), F.col("at").alias("n_turns"), "n_logged", "rendered")

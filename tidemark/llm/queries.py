@@ -87,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-CHAT_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations),
+CHAT_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns, list([role, text] ORDER BY pos) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY 1),
 p AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.l[1] = b.l[1] AND b.n_turns > a.n_turns AND b.l[1:a.n_turns] = a.l)
 SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_logged, rendered FROM c WHERE conv_id NOT IN (SELECT conv_id FROM p) GROUP BY n_turns, l, rendered"""
@@ -106,18 +106,21 @@ def license_sql() -> str:
         return f"trim({out})"
 
     def canonical(x: str) -> str:
-        lines = rf"regexp_split_to_array(lower({x}), '\r?\n')"
+        lines = rf"regexp_split_to_array({x}, '\r?\n')"
         kept = f"list_filter({lines}, lambda x: NOT regexp_matches(x, {quoted(license.COPYRIGHT_LINE)}))"
         return plain(f"array_to_string({kept}, ' ')")
 
     texts = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, t in license_texts.TEXTS for v in (t, t.partition("\n\n")[2]))
     notices = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in license_texts.NOTICES)
-    return f"""WITH known AS (SELECT sha256({canonical("t")}) AS digest, min(k) AS license_id FROM (VALUES {texts}) v(k, t) GROUP BY 1),
-notices AS (SELECT DISTINCT {plain("lower(t)")} AS line, k FROM (VALUES {notices}) v(k, t)),
-lines AS (SELECT doc_id, {plain("line")} AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\r?\n')) AS line FROM documents) WHERE contains(line, 'licen')),
-named AS (SELECT doc_id, string_agg(DISTINCT k, ',' ORDER BY k) AS notice_ids FROM lines JOIN notices USING (line) GROUP BY 1),
-docs AS (SELECT doc_id, sha256({canonical("coalesce(text, '')")}) AS digest FROM documents)
-SELECT doc_id, digest, license_id, coalesce(notice_ids, '') AS notice_ids FROM docs LEFT JOIN known USING (digest) LEFT JOIN named USING (doc_id)"""
+    digests = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in license_texts.DIGESTS)
+    return f"""WITH known AS (SELECT digest, min(k) AS license_id FROM (SELECT k, sha256({canonical("lower(t)")}) AS digest FROM (VALUES {texts}) v(k, t)
+ UNION ALL SELECT k, sha256({plain("lower(t)")}) FROM (VALUES {notices}) v(k, t) UNION ALL SELECT k, t FROM (VALUES {digests}) v(k, t)) GROUP BY 1),
+whole AS (SELECT row_number() OVER () AS n, doc_id, lower(coalesce(text, '')) AS text FROM documents),
+parts AS (SELECT n, {plain("x")} AS own FROM (SELECT n, unnest(regexp_split_to_array(text, '\r?\n')) AS x FROM whole)
+ UNION ALL SELECT n, {canonical("x")} FROM (SELECT n, unnest(b) AS x FROM (SELECT n, regexp_split_to_array(text, {quoted(license.RULE)}) AS b FROM whole) WHERE len(b) > 1)),
+named AS (SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS part_ids FROM parts JOIN known ON known.digest = sha256(own) GROUP BY 1),
+docs AS (SELECT n, doc_id, sha256({canonical("text")}) AS digest FROM whole)
+SELECT doc_id, digest, license_id, coalesce(part_ids, '') AS part_ids FROM docs LEFT JOIN known USING (digest) LEFT JOIN named USING (n)"""
 
 
 #: The other operators hash, decode, tokenise, permute or iterate beyond what SQL can say.
