@@ -103,11 +103,30 @@ def test_ledger_conserves_value(spark):
     assert got[-1].nav == pytest.approx(last / marks[held])
 
 
-def test_regime_hysteresis(spark):
-    xs = [0.0, -0.04, -0.11, -0.09, -0.07, -0.06, -0.04, -0.2, -0.01]
-    df = spark.createDataFrame([("s", DAY + dt.timedelta(i), x) for i, x in enumerate(xs)], "k string, date date, x double")
-    got = [r.state for r in portfolio.regime_states(df, "k", "date", "x").orderBy("date").collect()]
-    assert got == ["full", "full", "defensive", "defensive", "cautious", "cautious", "full", "defensive", "full"]
+def test_regime_hysteresis(spark, monkeypatch):
+    """Against the rules taken one after another, in blocks and at once."""
+    r = random.Random(3)
+    rows = [(k, DAY + dt.timedelta(i), r.choice([None, *(round(-r.random() * 0.16, 3) for _ in range(9))]), r.choice([None, -1.0, 1.0])) for k in "st" for i in range(300)]
+
+    def step(state, d, m):
+        d, m = d or 0.0, m or 0.0
+        if d <= -0.12:
+            return "defensive"
+        if state == "defensive":
+            return "cautious" if d > -0.08 and m > 0 else state
+        if d <= -0.06:
+            return "cautious"
+        return "full" if state == "cautious" and d > -0.04 and m > 0 else state
+
+    want, state = {}, {"s": "full", "t": "full"}
+    for k, day, d, m in rows:
+        state[k] = want[k, day] = step(state[k], d, m)
+    df = spark.createDataFrame(rows, "k string, date date, d double, m double")
+    for steps in (7, 1000):
+        monkeypatch.setattr(portfolio, "STEPS", steps)
+        got = portfolio.regime_states(df, "k", "date", "d", "m").collect()
+        assert {(x.k, x.date): x.state for x in got} == want
+        assert all(x.exposure == {"full": 1.0, "cautious": 0.7, "defensive": 0.4}[x.state] for x in got)
 
 
 def test_bootstrap_is_repeatable(spark):
@@ -123,9 +142,31 @@ def test_sleeves_and_weights(spark):
     assert rows[DAY + dt.timedelta(1), "b"] == 0.5 and rows[DAY + dt.timedelta(1), "a"] == 0.25
 
 
-def test_quotas_by_largest_remainder(spark):
-    df = spark.createDataFrame([("d", "x", 7), ("d", "y", 2), ("d", "z", 1)], "d string, g string, n long")
-    assert {r.g: r.quota for r in portfolio.quotas(df, "d", "g", "n", 4).collect()} == {"x": 3, "y": 1, "z": 0}
+def test_quotas_place_by_place(spark):
+    """Against adding and taking back one place at a time."""
+    r = random.Random(6)
+    cases = {k: ({g: r.choice([1, 1, 2, 3, r.randrange(1, 60)]) for g in "abcdefgh"[: r.randrange(1, 9)]}, r.choice([1, 2, 5, 9, 20, 40])) for k in range(120)}
+
+    def place(counts, n):
+        target, total = min(n, sum(counts.values())), sum(counts.values())
+        raw = {g: c / total * target for g, c in counts.items()}
+        q = {g: min(max(int(round(raw[g], 9)), 1), c) for g, c in counts.items()}
+        while sum(q.values()) < target:
+            free = sorted(g for g in q if q[g] < counts[g])
+            if not free:
+                break
+            q[max(free, key=lambda g: round(raw[g] - q[g], 9))] += 1
+        while sum(q.values()) > target:
+            more = sorted(g for g in q if q[g] > 1)
+            if not more:
+                break
+            q[max(more, key=lambda g: round(q[g] - raw[g], 9))] -= 1
+        return q
+
+    for n in {n for _, n in cases.values()}:
+        rows = [(k, g, c) for k, (counts, m) in cases.items() if m == n for g, c in counts.items()]
+        got = {(x.d, x.g): x.quota for x in portfolio.quotas(spark.createDataFrame(rows, "d int, g string, n long"), "d", "g", "n", n).collect()}
+        assert got == {(k, g): q for k, (counts, m) in cases.items() if m == n for g, q in place(counts, n).items()}
 
 
 def test_asof_keeps_the_right_row_whole(spark):
@@ -153,11 +194,17 @@ def test_scalars(spark):
     row = spark.createDataFrame([("688001", 1.96, float("nan"), "1234567")], "c string, x double, nan double, long string")
     r = row.select(
         market.board(F.col("c")).alias("b"), expr.normal_cdf(F.col("x")).alias("p"), expr.finite(F.col("nan")).alias("f"), expr.zfill(F.col("long"), 6).alias("z"),
-        expr.clip(F.lit(None).cast("double"), 0.0, 1.0).alias("n"), market.confidence([(F.lit(1.0), 2.0), (F.lit(None), 1.0)], F.lit(0.9)).alias("k"),
-        market.price_limit(F.lit("300001"), F.lit(False), F.lit("2019-01-01").cast("date")).alias("old"),
+        expr.clip(F.lit(None).cast("double"), 0.0, 1.0).alias("n"),
+        market.confidence(F.lit(0.75), {k: F.lit(v) for k, v in {"oos_skill": 1.5, "calibration_quality": 0.5, "regime_consistency": -1.0, "sector_stability": None, "feature_completeness": 1.0}.items()}, F.lit(0.9)).alias("k"),
+        market.price_limit(F.lit("300001"), F.lit(None), F.lit("2019-01-01").cast("date")).alias("old"),
     ).first()
-    assert (r.b, r.f, r.z, r.n) == ("STAR", None, "1234567", None)
-    assert float(r.old) == 0.1 and r.p == pytest.approx(0.9750021, abs=2e-7) and r.k == pytest.approx(0.6)
+    assert (r.b, r.f, r.z, r.n) == ("科创板", None, "1234567", None)
+    assert float(r.old) == 0.1 and r.p == pytest.approx(0.9750021, abs=2e-7) and r.k == pytest.approx((0.22 + 0.09 + 0.075 + 0.2) * 0.9)
+    codes = {"300001": ("创业板", 0.2, "sz"), "301001": ("创业板", 0.2, "sz"), "688001": ("科创板", 0.2, "sh"), "689001": ("沪市主板", 0.1, "sh"), "430001": ("北交所", 0.3, "sz"), "830001": ("北交所", 0.3, "sz"), "921001": ("北交所", 0.3, "sh"),
+             "930001": ("深市主板", 0.1, "sh"), "600001": ("沪市主板", 0.1, "sh"), "510001": ("深市主板", 0.1, "sh"), "000001": ("深市主板", 0.1, "sz")}
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    got = df.select("c", market.board(F.col("c")), market.price_limit(F.col("c"), F.lit("x"), F.lit("2020-08-24").cast("date")).cast("double"), F.substring(market.market_symbol(F.col("c")), 1, 2)).collect()
+    assert {x[0]: tuple(x[1:]) for x in got} == codes
 
 
 def test_correlation_guards(spark):

@@ -59,7 +59,14 @@ def test_append_days(spark, feed, tmp_path):
 
 
 def test_settlement(spark):
-    predictions = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "entity string, session int")
-    prices = spark.createDataFrame([("a", s, 10.0 + s) for s in range(1, 5)] + [("b", 4, 1.0), ("c", 2, 1.0)], "entity string, session int, open double")
-    got = {(r.entity, r.session): (r.status, r.actual) for r in obs.settle(predictions, prices, 2).collect()}
-    assert got == {("a", 1): ("SETTLED", 14 / 12 - 1), ("a", 2): ("PENDING", None), ("b", 1): ("MISSING_ENTRY", None), ("c", 1): ("MISSING_EXIT", None)}
+    predictions = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1), ("d", 1), ("e", 1), ("f", 1), ("g", 1)], "entity string, session int")
+    made = [("a", s, 10.0 + s, None, None) for s in range(1, 5)] + [("b", 4, 1.0, None, None), ("c", 2, 1.0, None, None)]
+    made += [("d", 2, 1.0, None, None), ("d", 4, 2.0, None, True), ("e", 2, 1.0, True, None), ("e", 4, 2.0, None, None), ("f", 2, float("nan"), None, None), ("f", 4, 2.0, None, None), ("g", 2, 1.0, None, None), ("g", 4, 2.0, True, True)]
+    prices = spark.createDataFrame(made, "entity string, session int, open double, suspended boolean, delisted boolean")
+    index = spark.createDataFrame([(2, 5.0), (4, 6.0)], "session int, open double")
+    got = {(r.entity, r.session): (r.status, r.actual) for r in obs.settle(predictions, prices, index, 2).collect()}
+    assert got == {
+        ("a", 1): ("SETTLED", 14 / 12 - 1), ("a", 2): ("PENDING", None), ("b", 1): ("MISSING_ENTRY_PRICE", None), ("c", 1): ("MISSING_EXIT_PRICE", None), ("d", 1): ("DELISTED_AT_EXIT", None),
+        ("e", 1): ("SUSPENDED_PRICE_UNAVAILABLE", None), ("f", 1): ("MISSING_ENTRY_PRICE", None), ("g", 1): ("DELISTED_AT_EXIT", None),
+    }
+    assert {r.status for r in obs.settle(predictions, prices, index.where("session < 4"), 2).where("entity = 'a' and session = 1").collect()} == {"MISSING_BENCHMARK_PRICE"}

@@ -15,28 +15,37 @@ def starts(code: Column, *prefixes: str) -> Column:
     return out
 
 
+#: Boards by prefix of the code, in the order in which they are tried (fixed values).
+BOARDS = [("创业板", ("300", "301")), ("科创板", ("688",)), ("北交所", ("4", "8", "92")), ("沪市主板", ("6",))]
+OTHER_BOARD = "深市主板"
+WIDER_SINCE = "2020-08-24"
+
+
 def board(code: Column) -> Column:
-    """Board of a six-character code by its prefix (fixed values)."""
+    """Board of a code, which is filled with zeros to six characters."""
     c = zfill(code, 6)
-    return F.when(starts(c, "688", "689"), "STAR").when(starts(c, "300", "301"), "ChiNext").when(starts(c, "4", "8", "920"), "BSE").otherwise("Main")
+    out = F.lit(OTHER_BOARD)
+    for name, prefixes in reversed(BOARDS):
+        out = F.when(starts(c, *prefixes), name).otherwise(out)
+    return out
 
 
-def price_limit(code: Column, special: Column, date: Column) -> Column:
-    """Daily price limit: 5 % for special treatment; 30 %, 20 % (ChiNext since 2020-08-24) or 10 % by board."""
+def price_limit(code: Column, name: Column, date: Column) -> Column:
+    """Normal daily price limit: 5 % where the name has ST, else 30 %, 20 % (ChiNext since 2020-08-24) or 10 % by board."""
     b = board(code)
+    early = F.coalesce(date < F.lit(WIDER_SINCE).cast("date"), F.lit(False))
     return (
-        F.when(F.coalesce(special, F.lit(False)), 0.05)
-        .when(b == "BSE", 0.30)
-        .when(b == "STAR", 0.20)
-        .when((b == "ChiNext") & (date >= F.lit("2020-08-24").cast("date")), 0.20)
+        F.when(F.upper(F.coalesce(name, F.lit(""))).contains("ST"), 0.05)
+        .when(b == "创业板", F.when(early, 0.10).otherwise(0.20))
+        .when(b == "科创板", 0.20)
+        .when(b == "北交所", 0.30)
         .otherwise(0.10)
     )
 
 
 def market_symbol(code: Column) -> Column:
-    """Code with its exchange as suffix."""
-    c = zfill(code, 6)
-    return F.concat(c, F.when(starts(c, "6", "9"), ".SH").when(starts(c, "4", "8"), ".BJ").otherwise(".SZ"))
+    """Code with its exchange before it."""
+    return F.concat(F.when(starts(code, "5", "6", "9"), "sh").otherwise("sz"), code)
 
 
 def first_match(text: Column, groups: list[tuple[str, list[str]]], otherwise: str) -> Column:
@@ -62,17 +71,27 @@ def keyword_flags(text: Column, groups: dict[str, list[str]]) -> list[Column]:
 
 
 def signal_strength(percentile: Column) -> Column:
-    return F.when(percentile >= 0.9, "STRONG").when(percentile >= 0.8, "GOOD").when(percentile >= 0.5, "NEUTRAL").when(percentile.isNotNull(), "WEAK")
+    """Strength by a percentile from 0 to 100; LOW without one."""
+    return F.when(percentile >= 95, "VERY_HIGH").when(percentile >= 90, "HIGH").when(percentile >= 70, "MEDIUM").otherwise("LOW")
+
+
+#: Weights of the evidence for a prediction.
+EVIDENCE = {"oos_skill": 0.22, "calibration_quality": 0.18, "regime_consistency": 0.15, "sector_stability": 0.10, "distance": 0.15, "feature_completeness": 0.20}
+
+
+def unit(x: Column) -> Column:
+    """Held to [0, 1]; null counts as 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.cast("double"), F.lit(0.0))))
 
 
-def confidence(evidence: list[tuple[Column, float]], drift: Column) -> Column:
-    """Weighted evidence in [0, 1] times a drift multiplier; missing evidence counts as none."""
-    total = sum(w for _, w in evidence)
+def confidence(probability: Column, evidence: dict[str, Column], drift: Column) -> Column:
+    """Weighted evidence in [0, 1] times a drift multiplier; the probability's distance from one half is part of it."""
+    distance = unit(F.abs(F.greatest(F.lit(0.0), F.least(F.lit(1.0), probability)) - 0.5) * 2)
     score = F.lit(0.0)
-    for c, w in evidence:
-        score += F.coalesce(c, F.lit(0.0)) * F.lit(w / total)
-    return score * drift
+    for name, weight in EVIDENCE.items():
+        score += weight * (distance if name == "distance" else unit(evidence[name]))
+    return unit(score * unit(drift))
 
 
-def confidence_level(score: Column) -> Column:
-    return F.when(score >= 0.66, "HIGH").when(score >= 0.33, "MEDIUM").otherwise("LOW")
+def confidence_level(score: Column, low: float = 0.40, medium: float = 0.70) -> Column:
+    return F.when(score < low, "LOW").when(score < medium, "MEDIUM").otherwise("HIGH")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import correlation, rank_first_bucket, rank_pct, row_in, share_of, size_of
+from tidemark.functions.expr import correlation, normal_cdf, rank_first_bucket, rank_pct, row_in, share_of, size_of
 
 
 def rank_ic(df: DataFrame, score: str, label: str, keys: list[str], least: int = 10) -> DataFrame:
@@ -38,9 +38,11 @@ def buckets(df: DataFrame, score: str, keys: list[str], q: int, tie: str, name:
     return own.withColumn(name, rank_first_bucket(row_in([score, tie], keys), size_of(keys), q))
 
 
-def quantile_returns(df: DataFrame, score: str, label: str, key: str, tie: str, q: int = 5) -> DataFrame:
-    """bucket, n, mean label over dates of the bucket means, and the mean spread of top over bottom."""
-    daily = buckets(df.where(F.col(label).isNotNull()), score, [key], q, tie).groupBy(key, "bucket").agg(F.avg(label).alias("r"), F.count("*").alias("k"))
+def quantile_returns(df: DataFrame, score: str, label: str, key: str, tie: str, q: int = 5, least: int = 10) -> DataFrame:
+    """bucket, n, mean label over dates of the bucket means, and the mean spread of top over bottom; dates with fewer than ``least`` rows a bucket or q scores are left out."""
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    wide = rows.groupBy(key).agg(F.count("*").alias("k"), F.countDistinct(score).alias("scores")).where(F.col("k") >= q * least).where(F.col("scores") >= q)
+    daily = buckets(rows.join(wide.select(key), key, "left_semi"), score, [key], q, tie).groupBy(key, "bucket").agg(F.avg(label).alias("r"), F.count("*").alias("k"))
     per = daily.groupBy("bucket").agg(F.sum("k").alias("n"), F.avg("r").alias("mean_return"))
     spread = daily.groupBy(key).agg((F.max(F.when(F.col("bucket") == q, F.col("r"))) - F.max(F.when(F.col("bucket") == 1, F.col("r")))).alias("s")).agg(F.avg("s").alias("spread"))
     return per.crossJoin(F.broadcast(spread))  # one row
@@ -64,43 +66,98 @@ def confusion(df: DataFrame, p: str, y: str, *keys: str, cut: float = 0.5) -> Da
     })
 
 
+#: Ranges of a column within which running values are taken side by side.
+RANGES = 64
+
+
+def value_range(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
+    """Number of the range of about equally many rows that a value falls in, in ascending order."""
+    bounds = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda b: b < F.col(column)))
+
+
+def _before(df: DataFrame, *sums: str, keys: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """keys, __r and, for each column, its sum over the ranges before (all rows of them) and over all: a row per range."""
+    by = df.groupBy(*keys, "__r").agg(*(F.sum(c).alias(c) for c in sums))
+    order = F.desc("__r") if descending else F.asc("__r")
+    group = Window.partitionBy(*keys)
+    w = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return by.select(*keys, "__r", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__b_{c}") for c in sums), *(F.sum(c).over(group).alias(f"__all_{c}") for c in sums))
+
+
+def quantiles(df: DataFrame, column: str, probabilities: list[float], *keys: str) -> DataFrame:
+    """keys and ``q``, the exact quantiles (interpolated) of a column per group.
+
+    Equal values are counted together, values ranked within ranges and the ranges' counts added up, so no group
+    goes through one task and no state holds a group's values.
+    """
+    v = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    v = v.withColumn("__r", value_range(v, "__v"))
+    placed = v.join(F.broadcast(_before(v, "__n", keys=keys)) if not keys else _before(v, "__n", keys=keys), [*keys, "__r"])
+    upto = F.col("__b___n") + F.sum("__n").over(Window.partitionBy(*keys, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumn("__upto", upto)
+    spots = [F.lit(p) * (F.col("__all___n") - 1) for p in probabilities]
+    at = lambda i: F.max(F.when((F.col("__upto") > i) & (F.col("__upto") - F.col("__n") <= i), F.col("__v")))
+    found = placed.groupBy(*keys, "__all___n").agg(*(at(F.floor(h)).alias(f"__lo{k}") for k, h in enumerate(spots)), *(at(F.ceil(h)).alias(f"__hi{k}") for k, h in enumerate(spots)))
+    values = [F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * (h - F.floor(h)) for k, h in enumerate(spots)]
+    return found.select(*keys, F.array(*values).alias("q"))
+
+
 def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """auc by the rank sum with average ties; ranks come from counts per distinct score, so a score's rows are added up before they are ordered."""
+    """auc by the rank sum with average ties; a score's rows are added up, and running counts taken within ranges of the score."""
     by = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0)).agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    by = by.withColumn("__r", value_range(by, score))
+    own = F.coalesce(F.sum("neg").over(Window.partitionBy("__r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = by.join(F.broadcast(_before(by, "neg")), "__r").withColumn("won", F.col("pos") * (F.col("__b_neg") + own + F.col("neg") / 2.0))  # a row per range
+    return won.agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def pr_auc(df: DataFrame, score: str, y: str) -> DataFrame:
-    """Average precision: precision at each distinct score from above, weighted by its positives."""
-    by = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return by.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w)).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("average_precision"))
+def pr_auc(df: DataFrame, score: str, y: str, order: str) -> DataFrame:
+    """Average precision: mean over the positives of the precision at their place, from the highest score down; equal scores come by ``order``."""
+    rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(score, order, (F.col(y) == 1).cast("long").alias("pos"), F.lit(1).cast("long").alias("one"))
+    rows = rows.withColumn("__r", value_range(rows, score))
+    w = Window.partitionBy("__r").orderBy(F.desc(score), order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.join(F.broadcast(_before(rows, "pos", "one", descending=True)), "__r")  # a row per range
+    precision = (F.col("__b_pos") + F.sum("pos").over(w)) / (F.col("__b_one") + F.sum("one").over(w))
+    return placed.withColumn("precision", precision).agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("average_precision"))
 
 
 CALIBRATION_EDGES = (0.0, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 1.0)
 
 
 def calibration(df: DataFrame, p: str, y: str) -> DataFrame:
-    """bin (all of them), n, mean p, hit rate, and each bin's share of the expected calibration error."""
+    """bin (all of them), n, mean p, hit rate, and each bin's share of the expected calibration error. Bins hold their lower edge and not their upper one, so a p of 1 is in none."""
     spark = df.sparkSession
     bin_of = F.lit(0)
     for e in CALIBRATION_EDGES[1:-1]:
         bin_of += (F.col(p) >= e).cast("int")
     bins = spark.range(len(CALIBRATION_EDGES) - 1).select(F.col("id").cast("int").alias("bin"))
-    got = df.where(F.col(p).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("k"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("hit_rate"))
+    inside = (F.col(p) >= CALIBRATION_EDGES[0]) & (F.col(p) < CALIBRATION_EDGES[-1]) & F.col(y).isNotNull()
+    got = df.where(inside).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("k"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("hit_rate"))
     total = got.agg(F.sum("k").alias("total"))
     return bins.join(got, "bin", "left").crossJoin(F.broadcast(total)).select("bin", F.coalesce("k", F.lit(0)).alias("n"), "mean_p", "hit_rate", (F.col("k") / F.col("total") * F.abs(F.col("mean_p") - F.col("hit_rate"))).alias("ece_part"))
 
 
 def psi(reference: DataFrame, current: DataFrame, column: str, q: int = 10) -> DataFrame:
-    """bin, share before and now, and its part of the population stability index over the reference's quantile edges."""
-    edges = reference.agg(F.percentile(column, F.array(*(F.lit(i / q) for i in range(1, q)))).alias("edges"))
-    both = reference.select(column, F.lit(0).alias("now")).unionByName(current.select(column, F.lit(1).alias("now"))).where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges))
-    counted = both.groupBy(F.size(F.filter("edges", lambda e: e < F.col(column))).alias("bin")).agg(F.sum((F.col("now") == 0).cast("long")).alias("a"), F.sum("now").alias("b"))
-    total = Window.partitionBy()
-    a, b = (F.greatest(F.col(c) / F.sum(c).over(total), F.lit(1e-6)) for c in ("a", "b"))
-    return counted.select("bin", a.alias("share_before"), b.alias("share_now"), ((b - a) * F.log(b / a)).alias("psi_part"))
+    """bin, share before and now, and its part of the population stability index over the reference's distinct quantile edges.
+
+    A value equal to an edge belongs to the bin above it. Fewer than three edges make one bin whose part is 0; fewer than
+    q values before, or none now, make one whose part is null.
+    """
+    spark = reference.sparkSession
+    found = quantiles(reference, column, [i / q for i in range(q + 1)]).first()
+    before = reference.agg(F.count(column)).first()[0]
+    now = current.agg(F.count(column)).first()[0]
+    edges = sorted(set(found["q"])) if found else []
+    if before < q or not now or len(edges) < 3:
+        part = None if before < q or not now else 0.0
+        return spark.createDataFrame([(0, 1.0, 1.0, part)], "bin int, share_before double, share_now double, psi_part double")
+    inner = F.array(*map(F.lit, edges[1:-1]))
+    both = reference.select(column, F.lit(0).alias("now")).unionByName(current.select(column, F.lit(1).alias("now"))).where(F.col(column).isNotNull())
+    counted = both.groupBy(F.size(F.filter(inner, lambda e: e <= F.col(column))).alias("bin")).agg(F.sum((F.col("now") == 0).cast("long")).alias("a"), F.sum("now").alias("b"))
+    bins = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
+    a, b = (F.greatest(F.coalesce(c, F.lit(0)) / F.lit(float(n)), F.lit(1e-6)) for c, n in (("a", before), ("b", now)))
+    return bins.join(counted, "bin", "left").select("bin", a.alias("share_before"), b.alias("share_now"), ((b - a) * F.log(b / a)).alias("psi_part"))
 
 
 def performance(df: DataFrame, r: str, date: str, per_year: float, *keys: str) -> DataFrame:
@@ -118,22 +175,48 @@ def performance(df: DataFrame, r: str, date: str, per_year: float, *keys: str) -
     )
 
 
-def hac_t(df: DataFrame, x: str, order: str, *keys: str, lags: int = 5) -> DataFrame:
-    """Mean and Newey-West t statistic (Bartlett weights) of a short ordered series per key."""
+def hac_t(df: DataFrame, x: str, order: str, *keys: str, lags: int = 5, least: int = 20) -> DataFrame:
+    """n, mean, Newey-West t statistic (Bartlett weights) and two-sided normal p of an ordered series per key.
+
+    Fewer than ``least`` values give t = 0 and p = 1; no variance gives an infinite t, or 0 for a mean of 0.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     d = df.where(F.col(x).isNotNull()).withColumn("u", F.col(x) - F.avg(x).over(Window.partitionBy(*keys)))
     d = d.withColumns({f"g{k}": F.col("u") * F.lag("u", k).over(w) for k in range(1, lags + 1)})
     var = F.sum(F.col("u") * F.col("u"))
     for k in range(1, lags + 1):
         var += F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(f"g{k}"), F.lit(0.0))
-    n = F.count("*")
-    return d.groupBy(*keys).agg(n.alias("n"), F.avg(x).alias("mean"), F.try_divide(F.avg(x), F.sqrt(F.when(var > 0, var)) / n).alias("hac_t"))
+    out = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.greatest(var, F.lit(0.0)).alias("__v"))
+    se = F.sqrt(F.col("__v")) / F.col("n")
+    t = F.when(F.col("n") < least, 0.0).when(se > 0, F.col("mean") / se).when(F.col("mean") != 0, F.signum("mean") * float("inf")).otherwise(0.0)
+    p = F.when(F.col("n") < least, 1.0).when(F.abs("hac_t") == float("inf"), 0.0).otherwise(2 * (1 - normal_cdf(F.abs("hac_t"))))
+    return out.withColumn("hac_t", t).withColumn("p", p).drop("__v")
 
 
 def bh_fdr(df: DataFrame, p: str) -> DataFrame:
-    """df (a short list of tests) with Benjamini-Hochberg adjusted p."""
-    w = Window.orderBy(p)
+    """df (a short list of tests) with Benjamini-Hochberg adjusted p; a null p counts as 1."""
+    known = df.withColumn("__p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(p, F.lit(1.0)))))
     n = F.count("*").over(Window.partitionBy())
-    raw = df.withColumn("__raw", F.col(p) * n / F.row_number().over(w))
-    back = Window.orderBy(F.desc(p), "__raw").rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("adjusted_p", F.least(F.min("__raw").over(back), F.lit(1.0))).drop("__raw")
+    raw = known.withColumn("__raw", F.col("__p") * n / F.row_number().over(Window.orderBy("__p")))
+    back = Window.orderBy(F.desc("__p"), "__raw").rowsBetween(Window.unboundedPreceding, 0)
+    return raw.withColumn("adjusted_p", F.least(F.min("__raw").over(back), F.lit(1.0))).drop("__raw", "__p")
+
+
+def residualize(df: DataFrame, y: str, controls: list[str], keys: list[str], group: str | None = None, least: int = 20) -> DataFrame:
+    """df with ``residual``: what a least-squares fit on the controls (null as 0), an intercept and dummies of ``group`` leaves of y, per keys; null for fewer than ``least`` values.
+
+    The dummies go by demeaning within the group, the controls one after another, each cleared of those before it, so
+    every step is a window over the same keys: no matrix is built, and a control without variance of its own takes nothing away.
+    """
+    valid = F.col(y).isNotNull()
+    names = ["__y", *(f"__x{i}" for i in range(len(controls)))]
+    out = df.withColumns({"__y": F.col(y).cast("double"), **{f"__x{i}": F.when(valid, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for i, c in enumerate(controls)}})
+    day = Window.partitionBy(*keys)
+    cell = day if group is None else Window.partitionBy(*keys, F.coalesce(F.col(group).cast("string"), F.lit("UNKNOWN")), valid)
+    out = out.withColumns({n: F.col(n) - F.avg(n).over(cell) for n in names})
+    for i in range(len(controls)):
+        x = F.col(f"__x{i}")
+        power = F.sum(x * x).over(day)
+        rest = ["__y", *(f"__x{k}" for k in range(i + 1, len(controls)))]
+        out = out.withColumns({n: F.col(n) - x * F.when(power > 1e-12, F.sum(x * F.col(n)).over(day) / power).otherwise(0.0) for n in rest})
+    return out.withColumn("residual", F.when(valid & (F.count(F.col(y)).over(day) >= least), F.col("__y"))).drop(*names)

@@ -77,10 +77,20 @@ def next_session(events: DataFrame, sessions: DataFrame, date: str, lag_days: in
 
 
 def pre_release(actuals: DataFrame, estimates: DataFrame, key: str, release: str, published: str, source: str, withdrawn: Column, value: str) -> DataFrame:
-    """actuals with consensus (mean), n_sources: of each source's latest estimate strictly before the release, unless withdrawn."""
-    pairs = actuals.select(key, release).join(estimates.select(key, published, source, F.col(value).alias("__v"), withdrawn.alias("__w")), key).where(F.col(published) < F.col(release))
-    last = pairs.groupBy(key, release, source).agg(F.max_by(F.struct("__v", "__w"), F.struct(published, "__v")).alias("e"))
-    found = last.where(~F.col("e.__w")).groupBy(key, release).agg(F.avg("e.__v").alias("consensus"), F.count("*").alias("n_sources"))
+    """actuals with consensus (mean), n_sources: of each source's latest estimate strictly before the release, unless withdrawn.
+
+    Estimates and releases of a key are put in one order of time. Each estimate takes back what its source said before,
+    so running sums of the differences give the consensus at any release: no pairs are made.
+    """
+    own = Window.partitionBy("__k", "__s").orderBy("__t", "__v")
+    e = estimates.select(F.col(key).alias("__k"), F.col(published).alias("__t"), F.col(source).alias("__s"), F.col(value).cast("double").alias("__v"), withdrawn.alias("__w"))
+    counts = (~F.col("__w")).cast("long")
+    e = e.withColumns({"__n": counts, "__x": F.when(F.col("__w"), 0.0).otherwise(F.col("__v"))})
+    e = e.select("__k", "__t", *((F.col(c) - F.coalesce(F.lag(c).over(own), F.lit(0))).alias(c) for c in ("__n", "__x")), F.lit(1).alias("__side"))
+    marks = actuals.select(F.col(key).alias("__k"), F.col(release).alias("__t")).distinct().withColumn("__side", F.lit(0))
+    w = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)  # at one time the release comes first
+    both = e.unionByName(marks, allowMissingColumns=True).withColumns({"n_sources": F.sum("__n").over(w), "__sum": F.sum("__x").over(w)})
+    found = both.where("__side = 0 and n_sources > 0").select(F.col("__k").alias(key), F.col("__t").alias(release), (F.col("__sum") / F.col("n_sources")).alias("consensus"), "n_sources")
     return actuals.join(found, [key, release], "left")
 
 

@@ -24,20 +24,36 @@ def buffer_cap(df: DataFrame, score: str, held: str, key: str, group: str, tie:
 
 
 def quotas(counts: DataFrame, key: str, group: str, size: str, n: int) -> DataFrame:
-    """key, group, quota: n places by largest remainders in proportion to group sizes, never more than a group has."""
-    share = F.col(size) * n / F.sum(size).over(Window.partitionBy(key))
-    base = counts.withColumn("share", share).withColumn("whole", F.floor("share"))
-    left = n - F.sum("whole").over(Window.partitionBy(key))
-    turn = row_in([F.desc(F.round(F.col("share") - F.col("whole"), 9)), group], [key])
-    return base.withColumn("quota", F.least(F.col("whole") + (turn <= left).cast("int"), F.col(size)).cast("long")).select(key, group, "quota")
+    """key, group, quota: n places in proportion to group sizes, at least one for each group and never more than it has.
 
-
-def sector_balanced(df: DataFrame, score: str, risk: str, key: str, group: str, tie: str, n: int) -> DataFrame:
-    """The best of each group up to its quota, weighted by the inverse of risk."""
-    sizes = df.where(F.col(score).isNotNull()).groupBy(key, group).agg(F.count("*").alias("size"))
-    chosen = df.where(F.col(score).isNotNull()).withColumn("place", row_in([F.desc(score), tie], [key, group])).join(quotas(sizes, key, group, "size", n), [key, group]).where(F.col("place") <= F.col("quota"))
-    inverse = F.coalesce(F.try_divide(F.lit(1.0), F.col(risk)), F.lit(0.0))
-    return chosen.withColumn("inverse", inverse).withColumn("weight", F.try_divide("inverse", F.sum("inverse").over(Window.partitionBy(key))))
+    Whole parts come first; places left go to the largest remainders, and places too many are taken back, one at a
+    time, where a quota of more than one is furthest above its share. Equal claims go by the group's name.
+    """
+    day = Window.partitionBy(key)
+    total = F.sum(size).over(day)
+    base = counts.withColumn("target", F.least(F.lit(n), total)).withColumn("share", F.col(size) / total * F.col("target"))
+    base = base.withColumn("whole", F.least(F.greatest(F.floor(F.round("share", 9)), F.lit(1)), F.col(size)).cast("long"))
+    base = base.withColumn("left", F.col("target") - F.sum("whole").over(day))
+    free = (F.col("whole") < F.col(size)).cast("int")
+    more = row_in([F.desc(free), F.desc(F.round(F.col("share") - F.col("whole"), 9)), group], [key])
+    base = base.withColumn("quota", F.col("whole") + ((more <= F.col("left")) & (free == 1)).cast("long"))
+    # A group's k-th place to be taken back has a claim smaller by k: the greatest claims go.
+    over = base.where("left < 0 and whole > 1").select(key, group, "left", (F.col("whole") - F.col("share")).alias("claim"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 2)).alias("k"))
+    taken = over.withColumn("turn", row_in([F.desc(F.round(F.col("claim") - F.col("k"), 9)), group], [key])).where(F.col("turn") <= -F.col("left")).groupBy(key, group).agg(F.count("*").alias("taken"))
+    return base.join(taken, [key, group], "left").select(key, group, (F.col("quota") - F.coalesce("taken", F.lit(0))).alias("quota"))
+
+
+def sector_balanced(df: DataFrame, score: str, risk: str, key: str, group: str, tie: str, n: int, least: int = 1) -> DataFrame:
+    """The best of each group up to its quota: a group weighs as its share of all rows, its members by the inverse of risk; none on dates with fewer than ``least`` positions."""
+    rows = df.where(F.col(score).isNotNull())
+    sizes = rows.groupBy(key, group).agg(F.count("*").alias("size"))
+    placed = sizes.join(quotas(sizes, key, group, "size", n), [key, group])
+    chosen = rows.withColumn("place", row_in([F.desc(score), tie], [key, group])).join(placed, [key, group]).where(F.col("place") <= F.col("quota"))
+    chosen = chosen.withColumn("inverse", 1 / F.greatest(F.col(risk), F.lit(1e-6)))
+    raw = F.col("inverse") / F.sum("inverse").over(Window.partitionBy(key, group)) * F.col("size")
+    day = Window.partitionBy(key)
+    chosen = chosen.withColumns({"raw": raw, "positions": F.count("*").over(day)}).where(F.col("positions") >= least)
+    return chosen.withColumn("weight", F.col("raw") / F.sum("raw").over(day)).drop("raw", "positions", "inverse", "size")
 
 
 def weights(df: DataFrame, kind: str, key: str, risk: str | None = None, place: str | None = None) -> Column:
@@ -61,30 +77,76 @@ def turnover(holdings: DataFrame, dates: DataFrame, key: str = "date", buy_fee:
     return dates.join(sums, "session").select(key, "bought", "sold", (F.col("bought") * buy_fee + F.col("sold") * sell_fee).alias("cost"))
 
 
-def execution(df: DataFrame, limit: Column) -> DataFrame:
-    """Whether the next open is at the upper limit (entry blocked) or the exit open at the lower one (put off by a day), and the return then got."""
+def execution(df: DataFrame, horizon: int, limit: Column) -> DataFrame:
+    """Next-open entry and the exit ``horizon`` sessions later, as far as limits and volumes allow.
+
+    Entry is blocked at the upper limit (to 0.5 % of it) or without volume; an exit at the lower limit, without an open or
+    without volume is put off by a session. Columns: entry_date, entry_limit_up, entry_tradable, exit_limit_down,
+    exit_deferred, execution_exit_date, execution_return (null unless the entry is tradable).
+    """
     w = Window.partitionBy("entity").orderBy("date")
-    out = df.withColumns({"entry": F.lead("open", 1).over(w), "exit": F.lead("open", 2).over(w), "exit_late": F.lead("open", 3).over(w), "exit_close": F.lead("close", 1).over(w), "limit": limit})
-    return out.withColumns(
-        {
-            "entry_blocked": F.coalesce(F.col("entry") >= F.col("close") * (1 + F.col("limit")) * 0.999, F.lit(False)),
-            "exit_deferred": F.coalesce(F.col("exit") <= F.col("exit_close") * (1 - F.col("limit")) * 1.001, F.lit(False)),
-        }
-    ).withColumn("execution_return", F.when(~F.col("entry_blocked"), F.try_divide(F.when(F.col("exit_deferred"), F.col("exit_late")).otherwise(F.col("exit")), F.col("entry")) - 1)).drop("entry", "exit", "exit_late", "exit_close")
-
-
-def regime_states(df: DataFrame, key: str, date: str, drawdown: str, enter: float = -0.10, leave: float = -0.05) -> DataFrame:
-    """Hysteresis of a drawdown series per strategy: full until ``enter``, then defensive until it recovers beyond ``leave``, cautious between."""
-    log = F.array_sort(F.collect_list(F.struct(F.col(date).alias("date"), F.col(drawdown).alias("x"))))
-    kind = "array<struct<date:date,x:double,state:string>>"
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], F.lit("full"))
-
-    def step(acc: Column, e: Column) -> Column:
-        held = last(acc)
-        state = F.when(e["x"] <= enter, "defensive").when((held != "full") & (e["x"] <= leave), F.when(e["x"] <= (enter + leave) / 2, held).otherwise("cautious")).otherwise("full")
-        return F.concat(acc, F.array(F.struct(e["date"].alias("date"), e["x"].alias("x"), state.alias("state"))))
-
-    return df.groupBy(key).agg(F.aggregate(log, F.array().cast(kind), step).alias("s")).select(key, F.inline("s"))
+    ahead = {
+        "entry_date": ("date", 1), "entry_open": ("open", 1), "__entry_volume": ("volume", 1), "exit_open": ("open", horizon + 1), "__exit_volume": ("volume", horizon + 1), "__exit_date": ("date", horizon + 1),
+        "__reference": ("close", horizon), "__late_open": ("open", horizon + 2), "__late_volume": ("volume", horizon + 2), "__late_date": ("date", horizon + 2),
+    }
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = df.withColumn("limit_rate", limit).withColumns({name: F.lead(c, k).over(w) for name, (c, k) in ahead.items()})
+    out = out.withColumns({
+        "entry_limit_up": yes(F.try_divide("entry_open", "close") - 1 >= F.col("limit_rate") * 0.995),
+        "exit_limit_down": yes(F.try_divide("exit_open", "__reference") - 1 <= -F.col("limit_rate") * 0.995),
+    })
+    normal = F.col("exit_open").isNotNull() & yes(F.col("__exit_volume") > 0) & ~F.col("exit_limit_down")
+    out = out.withColumns({
+        "entry_tradable": F.col("entry_open").isNotNull() & yes(F.col("__entry_volume") > 0) & ~F.col("entry_limit_up"),
+        "exit_deferred": ~normal & F.col("__late_open").isNotNull() & yes(F.col("__late_volume") > 0),
+        "execution_exit_open": F.when(normal, F.col("exit_open")).otherwise(F.col("__late_open")),
+        "execution_exit_date": F.when(normal, F.col("__exit_date")).otherwise(F.col("__late_date")),
+    })
+    return out.withColumn("execution_return", F.when(F.col("entry_tradable"), F.try_divide("execution_exit_open", "entry_open") - 1)).drop(*(c for c in ahead if c.startswith("__")))
+
+
+#: Drawdowns at which a market is cautious or defensive, and beyond which it recovers.
+CAUTIOUS, DEFENSIVE, CAUTIOUS_RECOVERY, DEFENSIVE_RECOVERY = -0.06, -0.12, -0.04, -0.08
+STATES = ("full", "cautious", "defensive")
+EXPOSURES = {"full": 1.0, "cautious": 0.7, "defensive": 0.4}
+#: Rows that are folded at a time.
+STEPS = 512
+
+
+def regime_states(df: DataFrame, key: str, date: str, drawdown: str, momentum: str) -> DataFrame:
+    """key, date, state and exposure: hysteresis of drawdown and momentum (null as 0), starting from full.
+
+    A row leads from each of the three states to one. Rows are folded in blocks, for every state that a block may begin
+    in, and the blocks' ends are folded again, so a series of any length needs no fold over all of it.
+    """
+    d, m = F.coalesce(F.col(drawdown), F.lit(0.0)), F.coalesce(F.col(momentum), F.lit(0.0))
+    fall = F.when(d <= DEFENSIVE, "2")
+    moved = F.concat(
+        fall.when(d <= CAUTIOUS, "1").otherwise("0"),
+        fall.when(d <= CAUTIOUS, "1").when((d > CAUTIOUS_RECOVERY) & (m > 0), "0").otherwise("1"),
+        fall.when((d > DEFENSIVE_RECOVERY) & (m > 0), "1").otherwise("2"),
+    )  # where full, cautious and defensive lead to
+    at = F.row_number().over(Window.partitionBy(key).orderBy(date)) - 1
+    rows = df.select(key, date, moved.alias("to")).withColumn("at", at).withColumn("block", F.floor(F.col("at") / STEPS))
+
+    def fold(own: Column, first: Column) -> Column:
+        """The states after each row, three digits for one beginning each (or one), side by side."""
+        return F.aggregate(own, F.struct(first.alias("now"), F.array().cast("array<string>").alias("all")), lambda a, x: _step(a, x), lambda a: a["all"])
+
+    def _step(a: Column, to: Column) -> Column:
+        now = F.concat(*(F.substring(to, F.substring(a["now"], k, 1).cast("int") + 1, F.lit(1)) for k in (F.lit(1), F.lit(2), F.lit(3))))
+        return F.struct(now.alias("now"), F.concat(a["all"], F.array(now)).alias("all"))
+
+    ordered = lambda x, v: F.transform(F.array_sort(F.collect_list(F.struct(x, v))), lambda e: e[v])
+    blocks = rows.groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", date))), lambda e: e[date]).alias("dates"), fold(ordered("at", "to"), F.lit("012")).alias("ends"))
+    # A row per block: its last three-fold end leads from the state before it to the one after it.
+    begun = blocks.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.element_at("ends", -1).alias("to")))), lambda e: e["to"]).alias("tos"))
+    begun = begun.select(key, F.posexplode(F.concat(F.array(F.lit("012")), fold(F.col("tos"), F.lit("012")))).alias("block", "state"))
+    first = begun.select(key, F.col("block").cast("long").alias("block"), F.substring("state", 1, 1).cast("int").alias("start"))
+    told = blocks.join(first, [key, "block"]).select(key, "start", F.explode(F.arrays_zip("dates", "ends")).alias("e"))
+    state = F.array(*map(F.lit, STATES))[F.substring(F.col("e.ends"), F.col("start") + 1, F.lit(1)).cast("int")]
+    exposure = F.create_map(*(F.lit(x) for kv in EXPOSURES.items() for x in kv))
+    return told.select(key, F.col("e.dates").alias(date), state.alias("state")).withColumn("exposure", exposure[F.col("state")])
 
 
 def ledger(signals: DataFrame, n: int, cost_bps: float) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import compound, rank_pct, row_in, share_of, size_of
 from tidemark.operators import evaluate, joins, models, portfolio, text
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
-from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql, s6
+from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, cdf_sql, cross_sql, query, r6, rank_sql, s6
 from tidemark.sources.evidence import row_hash, table_hash
-from tidemark.sources.panel import filings, panel_week, read, sectors
+from tidemark.sources.panel import cross_sections, filings, panel_week, read, sectors
 
 #: A score per label row of documents, for the classification metrics: a fixed function of its id.
 PROBS = "probs AS (SELECT doc_id, quality AS y, round(0.35 + 0.3 * ((doc_id * 7919) % 101) / 101.0 + 0.25 * quality * ((doc_id % 7) / 7.0), 6) AS p, doc_id % 4 AS slice FROM labels)"
@@ -29,10 +29,13 @@ def probs(spark: SparkSession, d: str) -> DataFrame:
  round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price, round(stddev_samp(l_discount), 6) AS sd_discount, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY ALL"""
 )
 def group_agg_named(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    keys = ["l_returnflag", "l_linestatus"]
+    rows = read(spark, d, "lineitem")
+    sums = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("entities"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"),
-        F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median_price"), F.round(F.stddev_samp("l_discount"), 6).alias("sd_discount"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"),
+        F.round(F.stddev_samp("l_discount"), 6).alias("sd_discount"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"),
     )
+    return sums.join(evaluate.quantiles(rows, "l_extendedprice", [0.5], *keys), keys).withColumn("median_price", F.round(F.col("q")[0], 4)).drop("q")
 
 
 @query(f"WITH {RETURNS} SELECT date, round(avg(CAST(ret_1 > 0 AS DOUBLE)), 6) AS breadth, count(ret_1) AS n FROM rets GROUP BY date")
@@ -79,16 +82,16 @@ def first_last(spark, d):
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 4) AS q{int(q * 100):02d}" for q in (0.01, 0.05, 0.2, 0.5, 0.8, 0.95, 0.99)) + " FROM lineitem GROUP BY 1")
 def quantile_agg(spark, d):
-    qs = (0.01, 0.05, 0.2, 0.5, 0.8, 0.95, 0.99)
-    got = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, qs))).alias("q"))
+    qs = [0.01, 0.05, 0.2, 0.5, 0.8, 0.95, 0.99]
+    got = evaluate.quantiles(read(spark, d, "lineitem"), "l_extendedprice", qs, "l_returnflag")
     return got.select("l_returnflag", *(F.round(F.col("q")[i], 4).alias(f"q{int(q * 100):02d}") for i, q in enumerate(qs)))
 
 
 @query(
     """WITH a AS (SELECT l_quantity * l_discount AS x FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'), b AS (SELECT l_quantity * l_discount * 1.1 AS x FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01'),
-e AS (SELECT quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS edges FROM a),
-c AS (SELECT len(list_filter(edges, lambda z: z < x)) AS bin, sum(CAST(now = 0 AS INT)) AS a, sum(now) AS b FROM (SELECT x, 0 AS now FROM a UNION ALL SELECT x, 1 FROM b), e GROUP BY 1),
-s AS (SELECT bin, greatest(a / sum(a) OVER (), 1e-6) AS share_before, greatest(b / sum(b) OVER (), 1e-6) AS share_now FROM c)
+q AS (SELECT list_sort(list_distinct(quantile_cont(x, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1]))) AS all_edges FROM a), e AS (SELECT all_edges[2:len(all_edges) - 1] AS edges FROM q), n AS (SELECT unnest(range(len(edges) + 1)) AS bin FROM e),
+c AS (SELECT len(list_filter(edges, lambda z: z <= x)) AS bin, sum(CAST(now = 0 AS INT)) AS a, sum(now) AS b FROM (SELECT x, 0 AS now FROM a UNION ALL SELECT x, 1 FROM b), e GROUP BY 1),
+s AS (SELECT bin, greatest(coalesce(a, 0) / sum(a) OVER (), 1e-6) AS share_before, greatest(coalesce(b, 0) / sum(b) OVER (), 1e-6) AS share_now FROM n LEFT JOIN c USING (bin))
 SELECT CAST(bin AS INT) AS bin, round(share_before, 6) AS share_before, round(share_now, 6) AS share_now, round((share_now - share_before) * ln(share_now / share_before), 6) AS psi_part FROM s"""
 )
 def population_stability(spark, d):
@@ -98,12 +101,13 @@ def population_stability(spark, d):
 
 
 @query(
-    f"""WITH {PROBS}, b AS (SELECT CAST(range AS INT) AS bin FROM range(7)), g AS (SELECT CAST((p >= 0.45)::INT + (p >= 0.5)::INT + (p >= 0.55)::INT + (p >= 0.6)::INT + (p >= 0.65)::INT + (p >= 0.7)::INT AS INT) AS bin,
- count(*) AS k, avg(p) AS mean_p, avg(y) AS hit_rate FROM probs GROUP BY 1)
+    f"""WITH {PROBS}, sure AS (SELECT y, CASE WHEN doc_id % 13 = 0 THEN 1.0 ELSE p END AS p FROM probs), b AS (SELECT CAST(range AS INT) AS bin FROM range(7)), g AS (SELECT CAST((p >= 0.45)::INT + (p >= 0.5)::INT + (p >= 0.55)::INT + (p >= 0.6)::INT + (p >= 0.65)::INT + (p >= 0.7)::INT AS INT) AS bin,
+ count(*) AS k, avg(p) AS mean_p, avg(y) AS hit_rate FROM sure WHERE p >= 0 AND p < 1 GROUP BY 1)
 SELECT bin, coalesce(k, 0) AS n, round(mean_p, 6) AS mean_p, round(hit_rate, 6) AS hit_rate, round(k / (SELECT sum(k) FROM g) * abs(mean_p - hit_rate), 6) AS ece_part FROM b LEFT JOIN g USING (bin)"""
 )
 def calibration_table(spark, d):
-    return evaluate.calibration(probs(spark, d), "p", "y").select("bin", "n", *r6("mean_p", "hit_rate", "ece_part"))
+    sure = probs(spark, d).withColumn("p", F.when(F.col("doc_id") % 13 == 0, 1.0).otherwise(F.col("p")))
+    return evaluate.calibration(sure, "p", "y").select("bin", "n", *r6("mean_p", "hit_rate", "ece_part"))
 
 
 @query(
@@ -125,11 +129,11 @@ def roc_auc(spark, d):
 
 
 @query(
-    f"""WITH {PROBS}, g AS (SELECT p, sum(y) AS pos, count(*) AS n FROM probs GROUP BY 1), c AS (SELECT pos, sum(pos) OVER w / sum(n) OVER w AS precision FROM g WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
-SELECT round(sum(pos * precision) / sum(pos), 6) AS average_precision FROM c"""
+    f"""WITH {PROBS}, r AS (SELECT *, round(p, 2) AS s FROM probs), c AS (SELECT y, sum(y) OVER w / row_number() OVER w AS precision FROM r WINDOW w AS (ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING))
+SELECT round(avg(precision), 6) AS average_precision FROM c WHERE y = 1"""
 )
 def pr_auc(spark, d):
-    return evaluate.pr_auc(probs(spark, d), "p", "y").select(*r6("average_precision"))
+    return evaluate.pr_auc(probs(spark, d).withColumn("s", F.round("p", 2)), "s", "y", "doc_id").select(*r6("average_precision"))
 
 
 def ic_sql(score: str, keys: str, src: str = "labeled", least: int = 5) -> str:
@@ -191,12 +195,13 @@ _BUCKET5 = "1 + " + " + ".join(f"(r > 1 + (k - 1) * {i} / 5.0)::INT" for i in ra
 
 
 @query(
-    f"""WITH {LABELS}, b AS (SELECT date, label, row_number() OVER (PARTITION BY date ORDER BY ret_4, entity) AS r, count(*) OVER (PARTITION BY date) AS k FROM labeled WHERE label IS NOT NULL AND ret_4 IS NOT NULL),
+    f"""WITH {cross_sql("quarter")}, g AS (SELECT date FROM cross_rows GROUP BY date HAVING count(*) >= 50 AND count(DISTINCT score) >= 5),
+b AS (SELECT date, label, row_number() OVER (PARTITION BY date ORDER BY score, entity) AS r, count(*) OVER (PARTITION BY date) AS k FROM cross_rows JOIN g USING (date)),
 q AS (SELECT date, {_BUCKET5} AS bucket, avg(label) AS m, count(*) AS c FROM b GROUP BY ALL), s AS (SELECT max(CASE WHEN bucket = 5 THEN m END) - max(CASE WHEN bucket = 1 THEN m END) AS s FROM q GROUP BY date)
 SELECT CAST(bucket AS INT) AS bucket, sum(c)::BIGINT AS n, round(avg(m), 6) AS mean_return, round((SELECT avg(s) FROM s), 6) AS spread FROM q GROUP BY bucket"""
 )
 def quantile_returns(spark, d):
-    return evaluate.quantile_returns(labeled(spark, d), "ret_4", "label", "date", "entity").select("bucket", "n", *r6("mean_return", "spread"))
+    return evaluate.quantile_returns(cross_sections(spark, d, "quarter"), "score", "label", "date", "entity").select("bucket", "n", *r6("mean_return", "spread"))
 
 
 _BUCKET10 = "1 + " + " + ".join(f"(r > 1 + (k - 1) * {i} / 10.0)::INT" for i in range(1, 10))
@@ -314,15 +319,35 @@ def select_buffer_cap(spark, d):
     return portfolio.buffer_cap(v, "ret_4", "held", "date", "sector", "entity", 10, 5, 4).select("date", "entity", "sector", "pick")
 
 
+_QUOTAS = """g AS (SELECT date, grp, count(*) AS size FROM v GROUP BY ALL), s AS (SELECT *, least(n_places, sum(size) OVER d) AS target, size / sum(size) OVER d * least(n_places, sum(size) OVER d) AS share FROM g, places WINDOW d AS (PARTITION BY date)),
+w AS (SELECT *, least(greatest(floor(round(share, 9)), 1), size)::BIGINT AS whole FROM s), l AS (SELECT *, target - sum(whole) OVER (PARTITION BY date) AS spare, row_number() OVER (PARTITION BY date ORDER BY whole < size DESC, round(share - whole, 9) DESC, grp) AS turn FROM w),
+t AS (SELECT date, grp, count(*) AS taken FROM (SELECT date, grp, spare, row_number() OVER (PARTITION BY date ORDER BY round(whole - share - k, 9) DESC, grp) AS turn FROM (SELECT *, unnest(range(whole - 1)) AS k FROM l WHERE spare < 0 AND whole > 1)) WHERE turn <= -spare GROUP BY ALL),
+quotas AS (SELECT l.date, l.grp, size, (whole + (turn <= spare AND whole < size)::INT - coalesce(taken, 0))::BIGINT AS quota FROM l LEFT JOIN t USING (date, grp))"""
+
+
+@query(f"WITH {cross_sql('quarter')}, v AS (SELECT date, industry AS grp FROM cross_rows), places AS (SELECT 30 AS n_places), {_QUOTAS} SELECT date, grp AS industry, quota FROM quotas")
+def sector_quotas(spark, d):
+    sizes = cross_sections(spark, d, "quarter").groupBy("date", "industry").agg(F.count("*").alias("size"))
+    return portfolio.quotas(sizes, "date", "industry", "size", 30)
+
+
+@query(f"WITH {cross_sql('quarter')}, v AS (SELECT date, industry AS grp FROM cross_rows), places AS (SELECT 12 AS n_places), {_QUOTAS} SELECT date, grp AS industry, quota FROM quotas")
+def sector_quotas_scarce(spark, d):
+    """Fewer places than groups with large ones among them: places are taken back."""
+    sizes = cross_sections(spark, d, "quarter").groupBy("date", "industry").agg(F.count("*").alias("size"))
+    return portfolio.quotas(sizes, "date", "industry", "size", 12)
+
+
 @query(
-    f"""WITH {RETURNS}, {SECTORS}, v AS (SELECT * FROM rets JOIN sectors USING (entity) WHERE ret_4 IS NOT NULL), g AS (SELECT date, sector, count(*) AS size FROM v GROUP BY ALL),
-s AS (SELECT *, size * 10 / sum(size) OVER (PARTITION BY date) AS share FROM g), q AS (SELECT date, sector, least(floor(share) + (row_number() OVER (PARTITION BY date ORDER BY round(share - floor(share), 9) DESC, sector) <= 10 - sum(floor(share)) OVER (PARTITION BY date))::INT, size) AS quota FROM s),
-c AS (SELECT v.date, v.entity, v.sector, 1 / nullif(high - low + 1, 0) AS inv, row_number() OVER (PARTITION BY v.date, v.sector ORDER BY ret_4 DESC, entity) AS place, quota FROM v JOIN q USING (date, sector) QUALIFY place <= quota)
-SELECT date, entity, sector, round(inv / sum(inv) OVER (PARTITION BY date), 6) AS weight FROM c"""
+    f"""WITH {RETURNS}, {SECTORS}, v AS (SELECT *, sector AS grp, CASE WHEN entity % 7 = 0 THEN 0.0 ELSE high - low + 1 END AS risk FROM rets JOIN sectors USING (entity) WHERE ret_4 IS NOT NULL), places AS (SELECT 10 AS n_places), {_QUOTAS},
+c AS (SELECT v.date, v.entity, v.sector, size, 1 / greatest(risk, 1e-6) AS inv FROM v JOIN quotas q ON q.date = v.date AND q.grp = v.sector QUALIFY row_number() OVER (PARTITION BY v.date, v.sector ORDER BY ret_4 DESC, entity) <= quota),
+r AS (SELECT *, inv / sum(inv) OVER (PARTITION BY date, sector) * size AS raw, count(*) OVER (PARTITION BY date) AS n FROM c)
+SELECT date, entity, sector, round(raw / sum(raw) OVER (PARTITION BY date), 6) AS weight FROM r WHERE n >= 4"""
 )
 def select_sector_balanced(spark, d):
-    v = returns(spark, d).join(sectors(spark, d), "entity").withColumn("risk", F.col("high") - F.col("low") + 1)
-    return portfolio.sector_balanced(v, "ret_4", "risk", "date", "sector", "entity", 10).select("date", "entity", "sector", *r6("weight"))
+    risk = F.when(F.col("entity") % 7 == 0, 0.0).otherwise(F.col("high") - F.col("low") + 1)
+    v = returns(spark, d).join(sectors(spark, d), "entity").withColumn("risk", risk)
+    return portfolio.sector_balanced(v, "ret_4", "risk", "date", "sector", "entity", 10, 4).select("date", "entity", "sector", *r6("weight"))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -392,20 +417,25 @@ def cost_sensitivity(spark, d):
 
 
 @query(
-    f"""WITH {LABELS}, {_LONG}, {_ICS}, u AS (SELECT factor, date, ic - avg(ic) OVER (PARTITION BY factor) AS u, ic FROM ics WHERE ic IS NOT NULL),
-l AS (SELECT *, {", ".join(f"u * lag(u, {k}) OVER w AS g{k}" for k in range(1, 6))} FROM u WINDOW w AS (PARTITION BY factor ORDER BY date))
-SELECT factor, count(*) AS n, round(avg(ic), 6) AS mean, round(avg(ic) / (sqrt(sum(u * u) + {" + ".join(f"{2 * (1 - k / 6)} * coalesce(sum(g{k}), 0)" for k in range(1, 6))}) / count(*)), 4) AS hac_t FROM l GROUP BY factor"""
+    f"""WITH {LABELS}, {_LONG}, {_ICS}, k AS (SELECT *, year(date) AS year FROM ics WHERE ic IS NOT NULL AND (factor <> 'volume' OR month(date) < 4)), u AS (SELECT factor, year, date, ic - avg(ic) OVER (PARTITION BY factor, year) AS u, ic FROM k),
+l AS (SELECT *, {", ".join(f"u * lag(u, {k}) OVER w AS g{k}" for k in range(1, 6))} FROM u WINDOW w AS (PARTITION BY factor, year ORDER BY date)),
+m AS (SELECT factor, year, count(*) AS n, avg(ic) AS mean, sqrt(greatest(sum(u * u) + {" + ".join(f"{2 * (1 - k / 6)} * coalesce(sum(g{k}), 0)" for k in range(1, 6))}, 0)) / count(*) AS se FROM l GROUP BY ALL),
+t AS (SELECT *, CASE WHEN n < 20 THEN 0 WHEN se > 0 THEN mean / se WHEN mean <> 0 THEN sign(mean) * 'inf'::DOUBLE ELSE 0 END AS t FROM m)
+SELECT factor, year, n, round(mean, 6) AS mean, round(t, 4) AS hac_t, round(CASE WHEN n < 20 THEN 1 WHEN isinf(t) THEN 0 ELSE 2 * (1 - {cdf_sql("abs(t)")}) END, 6) AS p FROM t"""
 )
 def hac_t_stat(spark, d):
-    return evaluate.hac_t(factor_ics(spark, d), "ic", "date", "factor").select("factor", "n", *r6("mean"), F.round("hac_t", 4).alias("hac_t"))
+    ics = factor_ics(spark, d).where("factor <> 'volume' or month(date) < 4").withColumn("year", F.year("date").cast("long"))
+    return evaluate.hac_t(ics, "ic", "date", "factor", "year").select("factor", "year", "n", *r6("mean"), F.round("hac_t", 4).alias("hac_t"), *r6("p"))
 
 
 @query(
-    """WITH p AS (SELECT p_brand, p_type, count(*) AS n, round(((sum(p_size) * 7919) % 10007) / 10007.0, 6) AS p FROM part GROUP BY ALL), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, p_brand, p_type) AS raw FROM p)
-SELECT p_brand, p_type, p, round(least(min(raw) OVER (ORDER BY p DESC, p_brand DESC, p_type DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS adjusted_p FROM r"""
+    """WITH g AS (SELECT p_brand, p_type, round(((sum(p_size) * 7919) % 10007) / 10007.0, 6) AS p FROM part GROUP BY ALL), p AS (SELECT p_brand, p_type, CASE WHEN p BETWEEN 0.3 AND 0.35 THEN NULL WHEN p > 0.9 THEN p + 0.2 ELSE p END AS p FROM g), k AS (SELECT *, greatest(0, least(1, coalesce(p, 1))) AS q FROM p),
+r AS (SELECT *, q * count(*) OVER () / row_number() OVER (ORDER BY q, p_brand, p_type) AS raw FROM k)
+SELECT p_brand, p_type, p, round(least(min(raw) OVER (ORDER BY q DESC, p_brand DESC, p_type DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS adjusted_p FROM r"""
 )
 def bh_fdr(spark, d):
     p = read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.round(((F.sum("p_size") * 7919) % 10007) / 10007.0, 6).alias("p"))
+    p = p.withColumn("p", F.when(F.col("p").between(0.3, 0.35), None).when(F.col("p") > 0.9, F.col("p") + 0.2).otherwise(F.col("p")))
     return evaluate.bh_fdr(p, "p").select("p_brand", "p_type", "p", *r6("adjusted_p"))
 
 
@@ -547,12 +577,22 @@ def logistic_platt(spark, d):
     return scored.select("doc_id", "y", F.round(models.sigmoid(F.col("score") * a + b), 6).alias("p"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RETURNS}, m AS (SELECT date, avg(ret_1) / 8 AS r FROM rets WHERE ret_1 IS NOT NULL GROUP BY date), e AS (SELECT date, product(1 + r) OVER w AS equity, CASE WHEN count(r) OVER t >= 12 THEN sum(r) OVER t END AS momentum
+ FROM m WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING), t AS (ORDER BY date ROWS 11 PRECEDING)),
+f AS (SELECT date, equity / max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS d, coalesce(momentum, 0) AS m, row_number() OVER (ORDER BY date) AS n FROM e),
+s AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS date, 'full' AS state UNION ALL
+ SELECT f.n, f.date, CASE WHEN f.d <= -0.12 THEN 'defensive' WHEN s.state = 'defensive' THEN CASE WHEN f.d > -0.08 AND f.m > 0 THEN 'cautious' ELSE 'defensive' END WHEN f.d <= -0.06 THEN 'cautious'
+  WHEN s.state = 'cautious' AND f.d > -0.04 AND f.m > 0 THEN 'full' ELSE s.state END FROM s JOIN f ON f.n = s.n + 1)
+SELECT date, state, (CASE state WHEN 'full' THEN 1.0 WHEN 'cautious' THEN 0.7 ELSE 0.4 END)::DOUBLE AS exposure FROM s WHERE n > 0"""
+)
 def regime_states(spark, d):
-    from tidemark.operators import features
-
-    e = features.drawdown(returns(spark, d)).select(F.col("entity").alias("strategy"), "date", "drawdown")
-    return portfolio.regime_states(e, "strategy", "date", "drawdown")
+    m = returns(spark, d).where("ret_1 is not null").groupBy("date").agg((F.avg("ret_1") / 8).alias("r")).withColumn("market", F.lit("all"))
+    w = Window.partitionBy("market").orderBy("date")  # a row per date
+    far = w.rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("equity", F.product(1 + F.col("r")).over(far)).withColumn("drawdown", F.col("equity") / F.max("equity").over(far) - 1)
+    m = m.withColumn("momentum", F.when(F.count("r").over(w.rowsBetween(-11, 0)) >= 12, F.sum("r").over(w.rowsBetween(-11, 0))))
+    return portfolio.regime_states(m, "market", "date", "drawdown", "momentum").select("date", "state", F.col("exposure").cast("double"))
 
 
 @query()

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import market
-from tidemark.functions.expr import correlation, rank_pct, row_in, share_of, size_of
-from tidemark.operators import evaluate, joins, models, portfolio
+from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
+from tidemark.operators import evaluate, features, joins, labels, models, portfolio
 from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
@@ -87,11 +87,12 @@ def paired_fold_comparison(spark, d):
     return p.groupBy(F.year("date").cast("long").alias("fold")).agg(F.count("delta").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(share_of(F.round("delta", 9) > 0), 6).alias("wins"))
 
 
-@query(f"WITH {LABELS}, v AS (SELECT entity, date, row_number() OVER (PARTITION BY date ORDER BY label, entity) / count(*) OVER (PARTITION BY date) AS p FROM labeled WHERE label IS NOT NULL) SELECT entity, date, CAST(least(4, floor(p * 5)) AS INT) AS relevance FROM v")
+@query(
+    f"""WITH {LABELS}, v AS (SELECT entity, date, CASE WHEN label IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY label NULLS LAST, entity) / count(label) OVER (PARTITION BY date) END AS p FROM labeled)
+SELECT entity, date, CASE WHEN p > 0.9 THEN 4 WHEN p > 0.8 THEN 3 WHEN p > 0.6 THEN 2 WHEN p > 0.4 THEN 1 ELSE 0 END AS relevance FROM v"""
+)
 def tail_relevance(spark, d):
-    v = labeled(spark, d).where("label is not null")
-    p = row_in(["label", "entity"], ["date"]) / size_of(["date"])
-    return v.select("entity", "date", F.least(F.lit(4), F.floor(p * 5)).cast("int").alias("relevance"))
+    return labels.tail_relevance(labeled(spark, d), "label", ["date"], "entity").select("entity", "date", "relevance")
 
 
 @query(f"WITH {RETURNS}, {SECTORS}, r AS (SELECT entity, date, sector, {rank_sql('ret_4', 'date, sector')} AS r FROM rets JOIN sectors USING (entity)) SELECT entity, date, round(r - avg(r) OVER (PARTITION BY date, sector), 6) AS centered FROM r")
@@ -117,12 +118,21 @@ def recency_weights(spark, d):
 
 
 @query(
-    f"""WITH {RETURNS}, e AS (SELECT *, lead(open, 1) OVER w AS entry, lead(open, 2) OVER w AS ex, lead(open, 3) OVER w AS late, lead(close, 1) OVER w AS ec FROM rets WINDOW w AS (PARTITION BY entity ORDER BY date)),
-f AS (SELECT *, coalesce(entry >= close * 1.3 * 0.999, false) AS entry_blocked, coalesce(ex <= ec * 0.7 * 1.001, false) AS exit_deferred FROM e)
-SELECT entity, date, entry_blocked, exit_deferred, round(CASE WHEN NOT entry_blocked THEN CASE WHEN exit_deferred THEN late ELSE ex END / entry - 1 END, 6) AS execution_return FROM f"""
+    f"""WITH {PANEL}, c AS (SELECT * REPLACE (CASE WHEN (entity * 31 + day(date)) % 13 = 0 THEN 0 ELSE volume END AS volume), lpad(CAST(entity * 7919 * 3 % 1000000 AS VARCHAR), 6, '0') AS code, CASE WHEN entity % 5 = 0 THEN 'ST' ELSE '' END AS name FROM panel),
+l AS (SELECT *, 4 * CASE WHEN name = 'ST' THEN 0.05 WHEN code[1:3] IN ('300', '301') THEN 0.1 WHEN code[1:3] = '688' THEN 0.2 WHEN code[1] IN ('4', '8') OR code[1:2] = '92' THEN 0.3 ELSE 0.1 END AS lim FROM c),
+e AS (SELECT *, lead(date, 1) OVER w AS entry_date, lead(open, 1) OVER w AS eo, lead(volume, 1) OVER w AS ev, lead(open, 3) OVER w AS xo, lead(volume, 3) OVER w AS xv, lead(date, 3) OVER w AS xd, lead(close, 2) OVER w AS ref, lead(open, 4) OVER w AS lo, lead(volume, 4) OVER w AS lv, lead(date, 4) OVER w AS ld
+ FROM l WINDOW w AS (PARTITION BY entity ORDER BY date)),
+f AS (SELECT *, coalesce(eo / close - 1 >= lim * 0.995, false) AS entry_limit_up, coalesce(xo / ref - 1 <= -lim * 0.995, false) AS exit_limit_down FROM e),
+g AS (SELECT *, eo IS NOT NULL AND coalesce(ev > 0, false) AND NOT entry_limit_up AS entry_tradable, xo IS NOT NULL AND coalesce(xv > 0, false) AND NOT exit_limit_down AS normal FROM f)
+SELECT entity, date, entry_date, entry_limit_up, entry_tradable, exit_limit_down, NOT normal AND lo IS NOT NULL AND coalesce(lv > 0, false) AS exit_deferred, CASE WHEN normal THEN xd ELSE ld END AS execution_exit_date,
+ round(CASE WHEN entry_tradable THEN CASE WHEN normal THEN xo ELSE lo END / eo - 1 END, 6) AS execution_return FROM g"""
 )
 def execution_columns(spark, d):
-    return portfolio.execution(returns(spark, d), F.lit(0.3)).select("entity", "date", "entry_blocked", "exit_deferred", *r6("execution_return"))
+    e = F.col("entity")
+    p = panel_week(spark, d).withColumn("volume", F.when((e * 31 + F.dayofmonth("date")) % 13 == 0, 0).otherwise(F.col("volume")))
+    limit = 4 * market.price_limit(zfill(e * 7919 * 3 % 1000000, 6), F.when(e % 5 == 0, "ST").otherwise(""), F.col("date"))  # weeks, not days
+    out = portfolio.execution(p, 2, limit)
+    return out.select("entity", "date", "entry_date", "entry_limit_up", "entry_tradable", "exit_limit_down", "exit_deferred", "execution_exit_date", *r6("execution_return"))
 
 
 @query(
@@ -136,14 +146,18 @@ def research_targets(spark, d):
 
 
 @query(
-    f"""WITH {LABELS}, v AS (SELECT *, avg(label) OVER (PARTITION BY date) AS m, stddev_samp(ret_1) OVER (PARTITION BY entity ORDER BY date ROWS 11 PRECEDING) AS vol, count(ret_1) OVER (PARTITION BY entity ORDER BY date ROWS 11 PRECEDING) AS n FROM labeled)
-SELECT entity, date, round(CASE WHEN n >= 12 THEN (label - m) / nullif(vol, 0) END, 4) AS vol_adjusted FROM v WHERE label IS NOT NULL"""
+    f"""WITH {LABELS}, b AS (SELECT *, avg(ret_1) OVER (PARTITION BY date) AS market FROM labeled), r AS (SELECT *, count(ret_1 * market) OVER w AS k, avg(ret_1 * market) OVER w AS xy, avg(ret_1) OVER w AS y, avg(market) OVER w AS x, avg(market * market) OVER w AS xx,
+ CASE WHEN count(ret_1) OVER w >= 20 THEN stddev_samp(ret_1) OVER w END AS vol, CASE WHEN entity % 9 > 0 THEN amount END AS benchmark_weight FROM b WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 19 PRECEDING)),
+v AS (SELECT *, CASE WHEN k >= 20 THEN (xy - x * y) / nullif(round(xx - x * x, 12), 0) END AS beta, coalesce(sum(coalesce(label, 0) * greatest(coalesce(benchmark_weight, 0), 0)) OVER d / nullif(sum(greatest(coalesce(benchmark_weight, 0), 0)) OVER d, 0), avg(label) OVER d) AS future,
+ quantile_cont(label, 0.05) OVER d AS lo, quantile_cont(label, 0.95) OVER d AS hi FROM r WINDOW d AS (PARTITION BY date)),
+t AS (SELECT *, round(label - beta * future, 9) AS rest, round(CASE WHEN vol IS NOT NULL THEN label / greatest(abs(vol), 1e-6) END, 9) AS scaled FROM v)
+SELECT entity, date, round({rank_sql('rest', 'date')}, 6) AS beta_residual, round({rank_sql('scaled', 'date')}, 6) AS vol_adjusted, round(CASE WHEN label IS NOT NULL THEN greatest(lo, least(hi, label)) END, 6) AS robust_winsor FROM t"""
 )
-def vol_adjusted_label(spark, d):
-    w = Window.partitionBy("entity").orderBy("date").rowsBetween(-11, 0)
-    v = labeled(spark, d).withColumns({"m": F.avg("label").over(Window.partitionBy("date")), "vol": F.stddev_samp("ret_1").over(w), "n": F.count("ret_1").over(w)}).where("label is not null")
-    x = F.try_divide(F.col("label") - F.col("m"), F.nullif("vol", F.lit(0.0)))
-    return v.select("entity", "date", F.round(F.when(F.col("n") >= 12, x), 4).alias("vol_adjusted"))
+def nextgen_labels(spark, d):
+    v = labeled(spark, d).withColumn("market", F.avg("ret_1").over(Window.partitionBy("date")))
+    v = features.rolling_beta(v, "ret_1", "market", 20, "beta").withColumn("vol", rolling(F.stddev_samp("ret_1"), "ret_1", ["entity"], "date", 20))
+    v = v.withColumn("benchmark_weight", F.when(F.col("entity") % 9 > 0, F.col("amount")))
+    return labels.nextgen(v, "label", "beta", "vol", "benchmark_weight").select("entity", "date", *r6("beta_residual", "vol_adjusted", "robust_winsor"))
 
 
 @query(
@@ -242,16 +256,20 @@ def spearman_matrix(spark, d):
 
 
 @query(
-    f"""WITH {PANEL}, {CALENDAR}, p AS (SELECT entity, session, open FROM panel JOIN calendar USING (date)), m AS (SELECT max(session) AS last FROM p),
-s AS (SELECT p.entity, p.session, a.open AS e, b.open AS x, CASE WHEN p.session + 3 > last THEN 'PENDING' WHEN a.open IS NULL THEN 'MISSING_ENTRY' WHEN b.open IS NULL THEN 'MISSING_EXIT' ELSE 'SETTLED' END AS status
- FROM p CROSS JOIN m LEFT JOIN p a ON a.entity = p.entity AND a.session = p.session + 1 LEFT JOIN p b ON b.entity = p.entity AND b.session = p.session + 3)
-SELECT status, count(*) AS n, round(avg(CASE WHEN status = 'SETTLED' THEN x / e - 1 END), 6) AS mean_actual FROM s GROUP BY 1"""
+    f"""WITH {PANEL}, {CALENDAR}, p AS (SELECT entity, session, open, (entity + session) % 23 = 0 AS suspended, entity % 5 = 0 AND session % 17 = 0 AS delisted FROM panel JOIN calendar USING (date)), m AS (SELECT max(session) AS last FROM p),
+b AS (SELECT session, avg(open) AS open FROM p WHERE session % 29 > 0 GROUP BY 1),
+s AS (SELECT p.entity, p.session, a.open AS e, x.open AS x, c.open AS be, y.open AS bx, CASE WHEN p.session + 3 > last THEN 'PENDING' WHEN a.open IS NULL THEN 'MISSING_ENTRY_PRICE' WHEN x.open IS NULL THEN 'MISSING_EXIT_PRICE' WHEN x.delisted THEN 'DELISTED_AT_EXIT'
+  WHEN a.suspended OR x.suspended THEN 'SUSPENDED_PRICE_UNAVAILABLE' WHEN c.open IS NULL OR y.open IS NULL THEN 'MISSING_BENCHMARK_PRICE' ELSE 'SETTLED' END AS status
+ FROM p CROSS JOIN m LEFT JOIN p a ON a.entity = p.entity AND a.session = p.session + 1 LEFT JOIN p x ON x.entity = p.entity AND x.session = p.session + 3 LEFT JOIN b c ON c.session = p.session + 1 LEFT JOIN b y ON y.session = p.session + 3)
+SELECT status, count(*) AS n, round(avg(CASE WHEN status = 'SETTLED' THEN x / e - 1 END), 6) AS mean_actual, round(avg(CASE WHEN status = 'SETTLED' THEN bx / be - 1 END), 6) AS mean_benchmark FROM s GROUP BY 1"""
 )
 def status_ladder(spark, d):
     p = panel_week(spark, d)
-    placed = p.join(joins.calendar(p), "date").select("entity", "session", "open")
-    s = settle(placed.select("entity", "session"), placed, 2)
-    return s.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("actual"), 6).alias("mean_actual"))
+    k, e = F.col("session"), F.col("entity")
+    placed = p.join(joins.calendar(p), "date").select("entity", "session", "open", ((e + k) % 23 == 0).alias("suspended"), ((e % 5 == 0) & (k % 17 == 0)).alias("delisted"))
+    index = placed.where(k % 29 > 0).groupBy("session").agg(F.avg("open").alias("open"))
+    s = settle(placed.select("entity", "session"), placed, index, 2)
+    return s.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("actual"), 6).alias("mean_actual"), F.round(F.avg("benchmark_return"), 6).alias("mean_benchmark"))
 
 
 @query(

@@ -51,16 +51,17 @@ def json_pages_explode(spark, d):
 
 
 @query(
-    """WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 457 % 1000000 AS VARCHAR), 6, '0') AS code, p_size > 45 AS special FROM part),
-b AS (SELECT *, CASE WHEN code[1:3] IN ('688','689') THEN 'STAR' WHEN code[1:3] IN ('300','301') THEN 'ChiNext' WHEN code[1] IN ('4','8') OR code[1:3] = '920' THEN 'BSE' ELSE 'Main' END AS board FROM c)
-SELECT p_partkey, code, board, CASE WHEN special THEN 0.05 WHEN board = 'BSE' THEN 0.3 WHEN board IN ('STAR', 'ChiNext') THEN 0.2 ELSE 0.1 END::DOUBLE AS price_limit,
- code || CASE WHEN code[1] IN ('6','9') THEN '.SH' WHEN code[1] IN ('4','8') THEN '.BJ' ELSE '.SZ' END AS symbol FROM b"""
+    """WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 457 % 1000000 AS VARCHAR), 6, '0') AS code, CASE WHEN p_size > 45 THEN '*St ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN DATE '2020-08-21' WHEN p_partkey % 3 = 0 THEN DATE '2020-08-24' END AS day FROM part)
+SELECT p_partkey, code, CASE WHEN code[1:3] IN ('300', '301') THEN '创业板' WHEN code[1:3] = '688' THEN '科创板' WHEN code[1] IN ('4', '8') OR code[1:2] = '92' THEN '北交所' WHEN code[1] = '6' THEN '沪市主板' ELSE '深市主板' END AS board,
+ (CASE WHEN contains(upper(name), 'ST') THEN 0.05 WHEN code[1:3] IN ('300', '301') THEN CASE WHEN day < DATE '2020-08-24' THEN 0.1 ELSE 0.2 END WHEN code[1:3] = '688' THEN 0.2 WHEN code[1] IN ('4', '8') OR code[1:2] = '92' THEN 0.3 ELSE 0.1 END)::DOUBLE AS price_limit,
+ CASE WHEN code[1] IN ('5', '6', '9') THEN 'sh' ELSE 'sz' END || code AS symbol FROM c"""
 )
 def board_and_limit(spark, d):
-    code = zfill(F.col("p_partkey") * 457 % 1000000, 6)
-    p = read(spark, d, "part").withColumn("code", code)
-    day = F.lit("2024-01-02").cast("date")
-    return p.select("p_partkey", "code", market.board(F.col("code")).alias("board"), market.price_limit(F.col("code"), F.col("p_size") > 45, day).cast("double").alias("price_limit"), market.market_symbol(F.col("code")).alias("symbol"))
+    key = F.col("p_partkey")
+    p = read(spark, d, "part").select("p_partkey", zfill(key * 457 % 1000000, 6).alias("code"), F.when(F.col("p_size") > 45, F.concat(F.lit("*St "), "p_name")).otherwise(F.col("p_name")).alias("name"),
+        F.when(key % 2 == 0, F.lit("2020-08-21").cast("date")).when(key % 3 == 0, F.lit("2020-08-24").cast("date")).alias("day"))
+    code = F.col("code")
+    return p.select("p_partkey", "code", market.board(code).alias("board"), market.price_limit(code, F.col("name"), F.col("day")).cast("double").alias("price_limit"), market.market_symbol(code).alias("symbol"))
 
 
 SECTOR_WORDS = [("metals", ["STEEL", "TIN", "NICKEL", "COPPER", "BRASS"]), ("plain", ["STANDARD", "SMALL"]), ("finish", ["PLATED", "ANODIZED", "POLISHED"])]
@@ -84,15 +85,16 @@ def event_keyword_flags(spark, d):
 
 
 @query(
-    f"""WITH {RETURNS}, m AS (SELECT *, count(close) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS seen, quantile_cont(amount, 0.2) OVER (PARTITION BY date) AS floor_amount,
- first(date) OVER (PARTITION BY entity ORDER BY date) AS listed FROM rets)
-SELECT entity, date, coalesce(seen >= 20 AND amount >= floor_amount AND volume > 0 AND date_diff('day', listed, date) >= 180 AND ret_12 IS NOT NULL, false) AS eligible FROM m"""
+    f"""WITH {RETURNS}, m AS (SELECT *, row_number() OVER e AS seen, quantile_cont(amount, 0.2) OVER (PARTITION BY date) AS floor_amount, first(date) OVER e AS listed, max(abs(ret_1)) OVER (PARTITION BY entity) AS jump,
+ CASE WHEN entity % 17 = 0 THEN '*st' WHEN entity % 19 = 0 THEN 'x退' END AS name, CASE WHEN entity % 3 > 0 THEN (entity + year(date)) % 5 > 0 END AS in_universe FROM rets WINDOW e AS (PARTITION BY entity ORDER BY date))
+SELECT entity, date, NOT coalesce(jump > 3, false) AS data_quality_ok, coalesce(seen >= 60 AND amount >= floor_amount AND volume > 0 AND NOT (contains(upper(coalesce(name, '')), 'ST') OR contains(coalesce(name, ''), '退')) AND date_diff('day', listed, date) >= 180
+ AND coalesce(in_universe, false) AND NOT coalesce(jump > 3, false) AND ret_4 IS NOT NULL AND ret_12 IS NOT NULL, false) AS eligible FROM m"""
 )
 def eligibility(spark, d):
-    own, day = Window.partitionBy("entity").orderBy("date"), Window.partitionBy("date")
-    m = returns(spark, d).withColumns({"seen": F.count("close").over(own.rowsBetween(Window.unboundedPreceding, 0)), "floor_amount": F.percentile("amount", 0.2).over(day), "listed": F.min("date").over(Window.partitionBy("entity"))})
-    ok = (F.col("seen") >= 20) & (F.col("amount") >= F.col("floor_amount")) & (F.col("volume") > 0) & (F.datediff("date", "listed") >= 180) & F.col("ret_12").isNotNull()
-    return m.select("entity", "date", F.coalesce(ok, F.lit(False)).alias("eligible"))
+    e = F.col("entity")
+    name = F.when(e % 17 == 0, "*st").when(e % 19 == 0, "x退")
+    m = returns(spark, d).withColumns({"name": name, "list_date": F.min("date").over(Window.partitionBy("entity")), "in_universe": F.when(e % 3 > 0, (e + F.year("date")) % 5 > 0)})
+    return features.eligible(m, ["ret_4", "ret_12"], least=60, jump=3.0).select("entity", "date", "data_quality_ok", "eligible")
 
 
 @query(f"WITH {RETURNS} SELECT entity, round(max(abs(ret_1)), 6) AS worst, max(abs(ret_1)) > 1.0 AS quarantined FROM rets GROUP BY entity")
@@ -132,13 +134,13 @@ def finite_mask(spark, d):
 
 
 @query(
-    f"""WITH {LABELS}, p AS (SELECT entity, date, {rank_sql('ret_4', 'date')} AS pct FROM labeled)
-SELECT entity, date, round(pct, 6) AS pct, CASE WHEN pct >= 0.9 THEN 'STRONG' WHEN pct >= 0.8 THEN 'GOOD' WHEN pct >= 0.5 THEN 'NEUTRAL' WHEN pct IS NOT NULL THEN 'WEAK' END AS strength,
- coalesce(pct >= 0.9, false) AS top10, coalesce(pct >= 0.8, false) AS top20 FROM p"""
+    f"""WITH {LABELS}, p AS (SELECT entity, date, 100 * {rank_sql('ret_4', 'date')} AS pct FROM labeled)
+SELECT entity, date, round(pct, 6) AS pct, CASE WHEN pct >= 95 THEN 'VERY_HIGH' WHEN pct >= 90 THEN 'HIGH' WHEN pct >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS strength,
+ coalesce(pct >= 90, false) AS top10, coalesce(pct >= 80, false) AS top20 FROM p"""
 )
 def signal_strength(spark, d):
-    p = labeled(spark, d).withColumn("pct", rank_pct("ret_4", ["date"]))
-    return p.select("entity", "date", *r6("pct"), market.signal_strength(F.col("pct")).alias("strength"), F.coalesce(F.col("pct") >= 0.9, F.lit(False)).alias("top10"), F.coalesce(F.col("pct") >= 0.8, F.lit(False)).alias("top20"))
+    p = labeled(spark, d).withColumn("pct", 100 * rank_pct("ret_4", ["date"]))
+    return p.select("entity", "date", *r6("pct"), market.signal_strength(F.col("pct")).alias("strength"), F.coalesce(F.col("pct") >= 90, F.lit(False)).alias("top10"), F.coalesce(F.col("pct") >= 80, F.lit(False)).alias("top20"))
 
 
 @query(
@@ -355,6 +357,17 @@ def rolling_beta(spark, d):
     return features.rolling_beta(m, "ret_1", "market", 20, "beta").select("entity", "date", F.round("beta", 4).alias("beta"))
 
 
+@query(
+    f"""WITH {RETURNS}, l AS (SELECT *, lag(ret_1) OVER (PARTITION BY entity ORDER BY date) AS was FROM rets),
+m AS (SELECT entity, date, CASE WHEN count(ret_1 * was) OVER w >= 20 THEN avg(ret_1 * was) OVER w END AS xy, CASE WHEN count(ret_1) OVER w >= 20 THEN avg(ret_1) OVER w END AS x, CASE WHEN count(was) OVER w >= 20 THEN avg(was) OVER w END AS y,
+ stddev_samp(ret_1) OVER w * stddev_samp(was) OVER w AS spread, CASE WHEN count(ret_1) OVER w >= 20 THEN abs(sum(ret_1) OVER w) / nullif(sum(abs(ret_1)) OVER w, 0) END AS efficiency FROM l WINDOW w AS (PARTITION BY entity ORDER BY date ROWS 19 PRECEDING))
+SELECT entity, date, round(CASE WHEN spread > 1e-15 THEN (xy - x * y) / spread END, 6) AS autocorrelation, round(efficiency, 6) AS efficiency FROM m"""
+)
+def autocorrelation_efficiency(spark, d):
+    out = features.efficiency(features.autocorrelation(returns(spark, d), "ret_1", 20, "autocorrelation"), "ret_1", 20, "efficiency")
+    return out.select("entity", "date", *r6("autocorrelation", "efficiency"))
+
+
 @query(
     f"""WITH {RETURNS}, e AS (SELECT entity, date, product(1 + coalesce(ret_1, 0)) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM rets)
 SELECT entity, date, round(equity, 6) AS equity, round(equity / max(equity) OVER (PARTITION BY entity ORDER BY date ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM e"""
@@ -423,14 +436,11 @@ def cross_section_rank_pct(spark, d):
 
 
 @query(
-    f"""WITH {RETURNS}, q AS (SELECT *, quantile_cont(ret_1, 0.1) OVER d AS lo, quantile_cont(ret_1, 0.9) OVER d AS hi, count(ret_1) OVER d AS n FROM rets WINDOW d AS (PARTITION BY date)),
-c AS (SELECT entity, date, CASE WHEN ret_1 IS NULL THEN NULL WHEN n >= 5 THEN greatest(lo, least(hi, ret_1)) ELSE ret_1 END AS x FROM q) SELECT entity, date, round({rank_sql('x', 'date')} - 0.5, 6) AS w_rank FROM c"""
+    f"""WITH {RETURNS}, q AS (SELECT *, quantile_cont(ret_1, 0.01) OVER d AS lo, quantile_cont(ret_1, 0.99) OVER d AS hi, count(ret_1) OVER d AS n FROM rets WINDOW d AS (PARTITION BY date)),
+c AS (SELECT entity, date, n, CASE WHEN ret_1 IS NOT NULL THEN greatest(lo, least(hi, ret_1)) END AS x FROM q) SELECT entity, date, round(coalesce(CASE WHEN n >= 5 THEN {rank_sql('x', 'date')} - 0.5 END, 0), 6) AS w_rank FROM c"""
 )
 def winsor_rank(spark, d):
-    day = Window.partitionBy("date")
-    q = returns(spark, d).withColumns({"lo": F.percentile("ret_1", 0.1).over(day), "hi": F.percentile("ret_1", 0.9).over(day), "n": F.count("ret_1").over(day)})
-    x = q.withColumn("x", F.when(F.col("ret_1").isNull(), None).when(F.col("n") >= 5, F.greatest("lo", F.least("hi", "ret_1"))).otherwise(F.col("ret_1")))
-    return x.select("entity", "date", F.round(rank_pct("x", ["date"]) - 0.5, 6).alias("w_rank"))
+    return features.winsor_rank(returns(spark, d), "ret_1", ["date"], "w_rank").select("entity", "date", *r6("w_rank"))
 
 
 # Labels
@@ -442,12 +452,13 @@ def label_open_to_open(spark, d):
 
 
 @query(
-    f"""WITH {PANEL}, {CALENDAR}, p AS (SELECT entity, date, session, open FROM panel JOIN calendar USING (date))
-SELECT p.entity, p.date, c.date AS label_end, round(b.open / a.open - 1, 6) AS label FROM p LEFT JOIN p a ON a.entity = p.entity AND a.session = p.session + 1
-LEFT JOIN p b ON b.entity = p.entity AND b.session = p.session + 3 LEFT JOIN calendar c ON c.session = p.session + 3"""
+    f"""WITH {PANEL}, {CALENDAR}, p AS (SELECT entity, date, session, open FROM panel JOIN calendar USING (date)),
+l AS (SELECT p.entity, p.date, e.date AS entry_date, c.date AS label_end, b.open / a.open - 1 AS label FROM p LEFT JOIN p a ON a.entity = p.entity AND a.session = p.session + 1
+LEFT JOIN p b ON b.entity = p.entity AND b.session = p.session + 3 LEFT JOIN calendar c ON c.session = p.session + 3 LEFT JOIN calendar e ON e.session = p.session + 1)
+SELECT entity, date, entry_date, label_end, round(label, 6) AS label, label > 0 AS raw_up, label > 0.01 AS tradable_up FROM l"""
 )
 def label_calendar(spark, d):
-    return labels.by_session(panel_week(spark, d), 2).select("entity", "date", "label_end", *r6("label"))
+    return labels.by_session(panel_week(spark, d), 2, 0.01).select("entity", "date", "entry_date", "label_end", *r6("label"), "raw_up", "tradable_up")
 
 
 @query(

@@ -33,6 +33,37 @@ def rank_sql(value: str, keys: str) -> str:
     )
 
 
+def cross_sql(period: str) -> str:
+    """Orders as one wide cross-section per period."""
+    return f"""cross_rows AS (SELECT o_orderkey AS entity, CAST(date_trunc('{period}', o_orderdate) AS DATE) AS date, o_totalprice AS score, round(((o_custkey * 7919 + o_orderkey * 31) % 1009) / 1009.0 - 0.5, 6) AS label,
+ round((o_orderkey * 104729 % 997) / 997.0, 6) AS size, round((o_custkey * 31337 % 991) / 991.0, 6) AS momentum, n_name AS industry, r_name AS sector
+ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def cdf_sql(x: str) -> str:
+    """Standard normal distribution function of a number that isn't negative, by Abramowitz and Stegun 7.1.26."""
+    t = f"(1 / (1 + 0.3275911 * {x} / sqrt(2)))"
+    poly = f"{t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))"
+    return f"(0.5 * (2 - ({poly}) * exp(-{x} * {x} / 2)))"
+
+
+def residual_sql(src: str, y: str, controls: list[str], keys: str, group: str | None, least: int = 20) -> str:
+    """CTEs that end in ``cleared`` (the rows of src with residual): demeaned, then each control cleared of those before it."""
+    cell = f"{keys}, coalesce({group}, 'UNKNOWN')" if group else keys
+    xs = [f"x{i}" for i in range(len(controls))]
+    steps = [f"r0 AS (SELECT *, CAST({y} AS DOUBLE) AS y_, count(*) OVER (PARTITION BY {keys}) AS n_" + "".join(f", coalesce({c}, 0) AS {x}" for c, x in zip(controls, xs, strict=True)) + f" FROM {src} WHERE {y} IS NOT NULL)"]
+    names = ["y_", *xs]
+    steps.append("r1 AS (SELECT * REPLACE (" + ", ".join(f"{n} - avg({n}) OVER (PARTITION BY {cell}) AS {n}" for n in names) + ") FROM r0)")
+    last = "r1"
+    for i, x in enumerate(xs):
+        rest = ["y_", *xs[i + 1 :]]
+        slope = lambda n, x=x: f"CASE WHEN sum({x} * {x}) OVER d > 1e-12 THEN sum({x} * {n}) OVER d / sum({x} * {x}) OVER d ELSE 0 END"
+        steps.append(f"r{i + 2} AS (SELECT * REPLACE (" + ", ".join(f"{n} - {x} * {slope(n)} AS {n}" for n in rest) + f") FROM {last} WINDOW d AS (PARTITION BY {keys}))")
+        last = f"r{i + 2}"
+    steps.append(f"cleared AS (SELECT *, CASE WHEN n_ >= {least} THEN y_ END AS residual FROM {last})")
+    return ", ".join(steps)
+
+
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f

@@ -75,3 +75,21 @@ def demo_panel(spark: SparkSession, symbols: int = 8, periods: int = 340, seed:
     path = F.sum(step).over(Window.partitionBy("code").orderBy("date"))
     close = 20 * F.exp(path)
     return grid.select("date", zfill(F.col("code"), 6).alias("symbol"), (close * (1 + 0.005 * noise("t", "code"))).alias("open"), (close * 1.02).alias("high"), (close * 0.98).alias("low"), close.alias("close"), F.exp(12 + noise("code", "t", F.lit(1))).alias("volume"))
+
+
+def cross_sections(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """Orders as one wide cross-section per period: entity, date, score, label, size, momentum, industry, sector."""
+    place = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows at every size
+    who = read(spark, sf_dir, "customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = read(spark, sf_dir, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    part = lambda c, n: F.round(c % n / F.lit(float(n)), 6)
+    return rows.select(
+        F.col("o_orderkey").alias("entity"),
+        F.to_date(F.date_trunc(period, "o_orderdate")).alias("date"),
+        F.col("o_totalprice").alias("score"),
+        F.round((F.col("o_custkey") * 7919 + F.col("o_orderkey") * 31) % 1009 / F.lit(1009.0) - 0.5, 6).alias("label"),
+        part(F.col("o_orderkey") * 104729, 997).alias("size"),
+        part(F.col("o_custkey") * 31337, 991).alias("momentum"),
+        F.col("n_name").alias("industry"),
+        F.col("r_name").alias("sector"),
+    )
