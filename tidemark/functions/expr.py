@@ -95,3 +95,16 @@ def normal_cdf(x: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     erf = 1 - poly * F.exp(-z * z)
     return 0.5 * (1 + F.signum(x) * erf)
+
+
+def row_mean(*columns: str) -> Column:
+    """Mean across columns of those that aren't null."""
+    total, n = F.lit(0.0), F.lit(0)
+    for c in columns:
+        total, n = total + F.coalesce(F.col(c).cast("double"), F.lit(0.0)), n + F.col(c).isNotNull().cast("int")
+    return F.try_divide(total, n)
+
+
+def known_share(*columns: str) -> Column:
+    """Share of the columns that aren't null."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0)) / F.lit(float(len(columns)))

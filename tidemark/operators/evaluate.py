@@ -220,3 +220,56 @@ def residualize(df: DataFrame, y: str, controls: list[str], keys: list[str], gro
         rest = ["__y", *(f"__x{k}" for k in range(i + 1, len(controls)))]
         out = out.withColumns({n: F.col(n) - x * F.when(power > 1e-12, F.sum(x * F.col(n)).over(day) / power).otherwise(0.0) for n in rest})
     return out.withColumn("residual", F.when(valid & (F.count(F.col(y)).over(day) >= least), F.col("__y"))).drop(*names)
+
+
+def factor_metrics(df: DataFrame, factor: str, target: str, *keys: str, least: int = 10) -> DataFrame:
+    """keys, rows, dates, mean Pearson and rank correlation per date, the latter's deviation, ratio, t and share above 0, coverage and mean dispersion of the factor.
+
+    Dates with fewer than ``least`` pairs, or a constant side, have no correlation.
+    """
+    both = F.col(factor).isNotNull() & F.col(target).isNotNull()
+    rows = df.withColumns({"__x": F.when(both, F.col(factor)), "__y": F.when(both, F.col(target))})
+    day = [*keys, "date"]
+    ranked = rows.withColumns({"__a": rank_pct("__x", day), "__b": rank_pct("__y", day)})
+    daily = ranked.groupBy(*day).agg(
+        F.count("*").alias("n"), correlation("__x", "__y", least).alias("pearson"), correlation("__a", "__b", least).alias("ic"), F.count(factor).alias("known"), F.stddev_samp(factor).alias("spread")
+    )
+    mean, sd, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
+    ratio = F.try_divide(mean, F.nullif(sd, F.lit(0.0)))
+    return daily.groupBy(*keys).agg(
+        F.sum("n").alias("sample_size"), n.alias("dates"), F.avg("pearson").alias("pearson_ic"), mean.alias("ic_mean"), sd.alias("ic_std"), ratio.alias("icir"), share_of(F.round("ic", 12) > 0).alias("positive_ic_ratio"),
+        (ratio * F.sqrt(n.cast("double"))).alias("t_stat"), (F.sum("known") / F.sum("n")).alias("coverage"), F.avg("spread").alias("cross_sectional_dispersion"),
+    )
+
+
+def tail_metrics(df: DataFrame, score: str, label: str, key: str, tie: str, least: int = 100, floor: int = 20) -> DataFrame:
+    """Per key with ``least`` rows: rank correlation of all, of the best tenth and fifth and of the worst tenth (``floor`` rows at least),
+    mean label and share above 0 of the best tenth, mean of all, and the score's step at the 20th place by its deviation (ddof 0)."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    placed = rows.withColumns({"__p": row_in([F.desc(score), tie], [key]), "__k": size_of([key])}).where(F.col("__k") >= least)
+    part = lambda share: F.greatest(F.lit(floor), F.ceil(F.col("__k") * share))
+    tails = {"all": F.lit(True), "top10": F.col("__p") <= part(0.10), "top20": F.col("__p") <= part(0.20), "bottom10": F.col("__p") > F.col("__k") - part(0.10)}
+    placed = placed.withColumns({f"__{t}": c for t, c in tails.items()})
+    for t in tails:
+        placed = placed.withColumns({f"__{t}_{side}": F.when(F.col(f"__{t}"), rank_pct(c, [key, f"__{t}"])) for side, c in (("s", score), ("l", label))})
+    at = lambda k: F.max(F.when(F.col("__p") == k, F.col(score)))
+    spread = F.stddev_pop(score)
+    return placed.groupBy(key).agg(
+        F.count("*").alias("n"), *(correlation(f"__{t}_s", f"__{t}_l").alias(name) for t, name in (("all", "overall_rank_ic"), ("top10", "top_decile_ic"), ("top20", "top_quintile_ic"), ("bottom10", "bottom_decile_ic"))),
+        F.avg(F.when(F.col("__top10"), F.col(label))).alias("top_decile_return"), F.avg(label).alias("universe_return"), share_of(F.when(F.col("__top10"), F.col(label) > 0)).alias("top_decile_win_rate"),
+        F.when(spread > 0, (at(20) - at(21)) / spread).otherwise(0.0).alias("cutoff_margin"), spread.alias("score_std"),
+    )
+
+
+def pooled_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """f, g, rho for every pair of columns, by ranks (average ties) over all rows that have every one of them."""
+    rows = df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(c) for c in columns))
+    for c in columns:
+        v = rows.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
+        v = v.withColumn("__r", value_range(v, "__v"))
+        own = F.coalesce(F.sum("__n").over(Window.partitionBy("__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks = v.join(F.broadcast(_before(v, "__n")), "__r").select(F.col("__v").alias(c), (F.col("__b___n") + own + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}"))  # a row per range
+        rows = rows.join(ranks, c)
+    pairs = [(f, g) for f in sorted(columns) for g in sorted(columns) if f < g]
+    got = rows.agg(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), correlation(f"__rank_{f}", f"__rank_{g}").alias("rho")).alias(f"p{i}") for i, (f, g) in enumerate(pairs)))
+    return got.select(F.inline(F.array(*(f"p{i}" for i in range(len(pairs))))))

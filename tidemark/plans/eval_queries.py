@@ -280,15 +280,6 @@ def quintile_bucket(spark, d):
     return evaluate.buckets(returns(spark, d), "ret_4", ["date"], 5, "entity", "quintile").select("entity", "date", "quintile")
 
 
-@query(
-    f"""WITH {LABELS}, t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ret_4 DESC, entity) AS p, count(*) OVER (PARTITION BY date) AS k FROM labeled WHERE ret_4 IS NOT NULL AND label IS NOT NULL)
-SELECT date, count(*) AS n, round(avg(label), 6) AS tail_return, round(avg(CAST(label > 0 AS DOUBLE)), 6) AS win_rate FROM t WHERE p <= greatest(1, ceil(k * 0.1)) GROUP BY date"""
-)
-def tail_metrics(spark, d):
-    t = labeled(spark, d).where("ret_4 is not null and label is not null").withColumns({"p": row_in([F.desc("ret_4"), "entity"], ["date"]), "k": size_of(["date"])})
-    return t.where(F.col("p") <= F.greatest(F.lit(1), F.ceil(F.col("k") * 0.1))).groupBy("date").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("tail_return"), F.round(share_of(F.col("label") > 0), 6).alias("win_rate"))
-
-
 @query(
     f"""WITH {LABELS}, v AS (SELECT date, entity, {rank_sql('ret_4', 'date')} AS a, {rank_sql('ret_12', 'date')} AS b, row_number() OVER (PARTITION BY date ORDER BY ret_4 DESC, entity) <= 5 AS ta, row_number() OVER (PARTITION BY date ORDER BY ret_12 DESC, entity) <= 5 AS tb
  FROM labeled WHERE ret_4 IS NOT NULL AND ret_12 IS NOT NULL)
@@ -524,16 +515,19 @@ def number_mentions(spark, d):
     return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("place") == 0, F.col("value"))).cast("double").alias("first_value"))
 
 
-@query("WITH g AS (SELECT doc_id, unnest([substr(text, CAST(i AS INT), 3) FOR i IN range(1, length(text) - 1)]) AS g FROM documents WHERE length(text) <= 400) SELECT doc_id, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM g GROUP BY 1")
+_NGRAMS = "WITH g AS (SELECT doc_id, unnest([substr(text, CAST(i AS INT), 3) FOR i IN range(1, length(text) - 1)]) AS g FROM documents) SELECT doc_id, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM g GROUP BY 1"
+
+
+@query(_NGRAMS)
 def char_ngrams(spark, d):
-    short = read(spark, d, "documents").where(F.length("text") <= 400)
-    return short.select("doc_id", F.explode(text.char_ngrams(F.col("text"), 3)).alias("g")).groupBy("doc_id").agg(F.count("*").alias("grams"), F.countDistinct("g").alias("distinct_grams"))
+    """Character trigrams of every document, whatever its length."""
+    return text.ngram_counts(read(spark, d, "documents"), "doc_id", "text", 3)
 
 
-@query("WITH g AS (SELECT doc_id, unnest([substr(text, CAST(i AS INT), 3) FOR i IN range(1, length(text) - 1)]) AS g FROM documents) SELECT doc_id, count(*) AS grams, count(DISTINCT g) AS distinct_grams FROM g GROUP BY 1")
+@query(_NGRAMS)
 def char_ngrams_all(spark, d):
-    """char_ngrams, whose SQL holds it to short texts, over every document."""
-    return text.ngram_counts(read(spark, d, "documents"), "doc_id", "text", 3)
+    """The same, by its older name."""
+    return char_ngrams(spark, d)
 
 
 @query(
@@ -551,19 +545,14 @@ def decayed_event_score(spark, d):
 
 @query()
 def ridge_walk_forward(spark, d):
-    """Ridge per purged fold: fitted on rows whose labels end before the fold, scored on its dates."""
+    """Ridge per purged fold: fitted on rows whose labels end before the fold, scored on its dates; one aggregation for all folds."""
     rows = labeled(spark, d)
     dates = joins.calendar(rows)
     n = dates.count()
     spans = models.folds(dates, "date", n // 2, max(n // 4, 1), 1)
     assigned = models.assign_folds(rows, spans, "date", "label_end")
-    out = None
-    for fold in sorted(r["fold"] for r in spans.select("fold").collect()):  # a handful of test periods
-        own = assigned.where(F.col("fold") == fold)
-        m = models.ridge(own.where("role = 'train'"), ["ret_1", "ret_4", "ret_12"], "label", 10.0)
-        scored = own.where("role = 'test'").select("fold", "entity", "date", m.column().alias("score"), "label")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    fitted = {k: m for k, (m, _, _) in models.ridge_by(assigned.where("role = 'train'"), ["ret_1", "ret_4", "ret_12"], "label", 10.0, "fold").items()}  # a handful of test periods
+    return assigned.where("role = 'test'").select("fold", "entity", "date", models.column_by(fitted, "fold").alias("score"), "label")
 
 
 @query()
@@ -571,6 +560,7 @@ def logistic_platt(spark, d):
     """Logistic ridge of document quality on simple text features, calibrated."""
     docs = read(spark, d, "documents").select("doc_id", F.length("text").cast("double").alias("size"), F.regexp_count("text", F.lit("[#$%&*!|]")).cast("double").alias("marks"))
     rows = docs.join(read(spark, d, "labels"), "doc_id").withColumn("y", F.col("quality").cast("double")).withColumn("density", F.col("marks") / F.greatest("size", F.lit(1.0)))
+    rows = rows.select("doc_id", "y", "density", "size").checkpoint() if spark.sparkContext.getCheckpointDir() else rows  # every round reads the rows again
     m = models.logistic(rows, ["density", "size"], "y", 1.0)
     scored = rows.withColumn("score", m.column())
     a, b = models.monotone_platt(scored, "score", "y")

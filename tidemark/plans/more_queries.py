@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market
 from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
-from tidemark.operators import evaluate, features, joins, labels, models, portfolio
+from tidemark.operators import evaluate, features, joins, labels, models, portfolio, text
 from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
@@ -306,16 +306,6 @@ def gold_set_evaluation(spark, d):
     return c.select("tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))
 
 
-@query(
-    f"""WITH {PANEL}, v AS (SELECT date, entity, amount, amount / sum(amount) OVER (PARTITION BY date) AS core, (row_number() OVER (PARTITION BY date ORDER BY volume DESC, entity) <= 5)::INT AS a FROM panel)
-SELECT date, entity, round(0.7 * core + 0.3 * a / sum(a) OVER (PARTITION BY date), 6) AS weight FROM v"""
-)
-def core_plus_active(spark, d):
-    day = Window.partitionBy("date")
-    v = panel_week(spark, d).withColumns({"core": F.col("amount") / F.sum("amount").over(day), "a": (row_in([F.desc("volume"), "entity"], ["date"]) <= 5).cast("int")})
-    return v.select("date", "entity", F.round(0.7 * F.col("core") + 0.3 * F.col("a") / F.sum("a").over(day), 6).alias("weight"))
-
-
 @query(
     f"""WITH {PROBS}, w AS (SELECT slice, avg(CAST((p >= 0.5) = (y = 1) AS DOUBLE)) AS acc FROM probs GROUP BY 1) SELECT slice, round(acc, 6) AS accuracy, round(greatest(acc - 0.5, 0) / nullif(sum(greatest(acc - 0.5, 0)) OVER (), 0), 6) AS weight FROM w"""
 )
@@ -330,24 +320,25 @@ def validation_weights(spark, d):
 
 @query()
 def embedding_ridge(spark, d):
-    """Ridge of the label on the embedding's coordinates, by one Gram aggregation."""
+    """Ridge of the label on all of the embedding's coordinates, by one Gram aggregation."""
     e = read(spark, d, "embeddings")
-    width = min(e.select(F.size("embedding")).first()[0], 16)
-    wide = e.select("vec_id", F.col("label").cast("double").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)))
-    m = models.ridge(wide, [f"e{i}" for i in range(width)], "y", 1.0)
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    wide = e.where(F.size("embedding") == width).select("vec_id", F.col("label").cast("double").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)))
+    m = models.ridge_arrays(wide.select("vec_id", "y", F.array(*(f"e{i}" for i in range(width))).alias("x")), "x", "y", 1.0)
     return wide.select("vec_id", "y", F.round(m.column(), 6).alias("score"))
 
 
 @query()
 def text_hash_model(spark, d):
-    """Hashed n-grams of a document and a linear model with the Huber loss."""
-    from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
+    """Hashed character 2- to 4-grams of a document in 32,768 features and a linear model with the Huber loss; learning is by the labelled documents."""
+    from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.regression import LinearRegression
 
-    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("y"))
-    words = NGram(n=2, inputCol="w", outputCol="g").transform(RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+").transform(docs))
-    x = Normalizer(inputCol="tf", outputCol="x").transform(HashingTF(numFeatures=256, inputCol="g", outputCol="tf").transform(words))
-    fitted = LinearRegression(featuresCol="x", labelCol="y", loss="huber", regParam=0.01, maxIter=20).fit(x)
+    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    grams = F.concat(*(text.char_ngrams(F.col("text"), n) for n in (2, 3, 4)))
+    hashed = HashingTF(numFeatures=32_768, inputCol="g", outputCol="tf").transform(docs.select("doc_id", "y", grams.alias("g"))).drop("g")
+    x = Normalizer(inputCol="tf", outputCol="x").transform(hashed)
+    fitted = LinearRegression(featuresCol="x", labelCol="y", loss="huber", regParam=0.01, maxIter=10).fit(x)
     return fitted.transform(x).select("doc_id", "y", F.round("prediction", 6).alias("score"))
 
 

@@ -93,3 +93,34 @@ def cross_sections(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
         F.col("n_name").alias("industry"),
         F.col("r_name").alias("sector"),
     )
+
+
+def normalize_market(tables: list[DataFrame]) -> DataFrame:
+    """One table of date, symbol, open, close, volume, amount from providers' tables of either schema, without rows that have no positive price.
+
+    A table without a ``volume`` calls its traded volume ``amount``: it becomes the volume, and the money traded is
+    taken as volume times the mean of open and close.
+    """
+    parts = []
+    for t in tables:
+        n = {c: F.col(c).cast("double") if c in t.columns else F.lit(None).cast("double") for c in ("open", "close", "volume", "amount")}
+        if "volume" not in t.columns:
+            n["volume"], n["amount"] = n["amount"], n["amount"] * (n["open"] + n["close"]) / 2
+        parts.append(t.select("date", "symbol", *(x.alias(c) for c, x in n.items())))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("open > 0 and close > 0")
+
+
+def save_artifacts(folder: str, tables: dict[str, DataFrame], kind: str = "parquet") -> dict[str, str]:
+    """Write each table below a folder (csv, parquet or json), refusing one that is there; name -> path."""
+    if kind not in ("csv", "parquet", "json"):
+        raise ValueError(f"unknown kind {kind}")
+    paths = {name: f"{folder}/{name}.{kind}" for name in tables}
+    for name, df in tables.items():
+        writer = df.write.mode("errorifexists")
+        if kind == "csv":
+            writer = writer.option("header", True)
+        writer.format(kind).save(paths[name])
+    return paths
