@@ -54,6 +54,7 @@ def test_awkward(spark):
 def test_large_group_of_near_copies_and_hot_passage(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 60)
     monkeypatch.setattr(jaccard, "LIMIT", 40)
+    monkeypatch.setattr(jaccard, "CROWD", 10)
     r = random.Random(4)
     base = [f"w{r.randrange(900)}" for _ in range(100)]
     texts = []

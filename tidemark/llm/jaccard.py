@@ -7,15 +7,15 @@ Representatives are split recursively on sampled shared tokens: the root samples
 place and value. Nodes of up to LIMIT members are compared by brute force; larger ones are split
 further, with no last level. What recursion cannot part, large groups of near copies, goes by pivots:
 every member of a large node is compared with one drawn member, in as many tasks as the node's size
-asks for. All that share LINK tokens with it are linked to it, and those that share CLOSE leave the
-node: whoever is similar to them is linked to the pivot too (a bound five standard deviations wide).
+asks for. Where many share CLOSE tokens with it, these leave the node, and all that share LINK tokens
+are linked to it: whoever is similar to one that left is among them.
 
 Independent runs repeat this until the target recall: a pair at the threshold meets in a run's first level
 with probability of at least 0.8 and is carried on for ever by 0.94 of the runs after that (a branching
 process with 1.6 children in the mean), 0.7 in all where the tokens are unkind, so that eight runs miss
 fewer than 1 in 10,000. Tests measure the recall against brute force.
 
-What meets is linked if the tokens allow for similarity (a bound five standard deviations below the
+What meets is linked if the tokens allow for similarity (a bound four standard deviations below the
 threshold), which gives coarse components; inside them every pair of sets is then compared exactly, in
 blocks, so the links and classes returned are exact for all pairs within a component. Links are counted
 where they are found and only a spanning forest of them goes on: nothing emits all pairs of a group.
@@ -45,16 +45,16 @@ WORDS = 5
 #: The threshold as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 TOKENS = 64
-#: Of 64 tokens a pair at 0.8 shares 51 on average, with a deviation of 3.2.
-SHARED = 35
-#: In a large node: tokens shared with the pivot that link a member to it, and that settle all of the member's own links.
-CLOSE = 45
+#: Of 64 tokens a pair at 0.8 shares 51 on average, with a deviation of 3.2; fewer than 38 has a chance of some 1 in 50,000.
+SHARED = 38
+#: In a large node with many near copies of its pivot: tokens shared with it that settle all of a member's own links, and those that link a member to it.
+CLOSE = 50
 LINK = SHARED + CLOSE - TOKENS
 #: Target recall at the threshold, and the share of such pairs that one run finds at least.
 RECALL, FOUND = 0.9999, 0.7
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
-#: Members of a node that are compared by brute force.
-LIMIT = 512
+#: Members of a node that are compared by brute force, and how many near copies of its pivot are many.
+LIMIT, CROWD = 512, 128
 #: Members, and bytes of sets, of one block of an exact comparison.
 BLOCK_SETS, BLOCK_BYTES = 512, 8_000_000
 #: Bytes of text hashed at a time.
@@ -188,11 +188,8 @@ def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
     return sets.select("set", "tokens").mapInArrow(run, "node long, set long")
 
 
-def split(members: DataFrame) -> DataFrame:
-    """kind 0: a, b, links of members of large nodes to their node's pivot; kind 1: a, b, child nodes and the sets that go on to them.
-
-    members: node, set, n, tokens.
-    """
+def pivoted(members: DataFrame) -> DataFrame:
+    """node, set, tokens, pivot and the number of tokens shared with it, for the members (node, set, n, tokens) of large nodes."""
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     drawn = F.struct(F.xxhash64("node", "set").alias("at"), "set")
     # A node's pivot goes to each of its parts, which hold some LIMIT members: as many rows as there are parts.
@@ -202,17 +199,36 @@ def split(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = _matrix(batch.column(2))
-            same = (values == _matrix(batch.column(4))).sum(1)
-            node, own, pivot = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            near, on = (same >= LINK) & (own != pivot), same < CLOSE
-            row, child = children(node[on], values[on], False)
-            kind = np.repeat(np.array([0, 1], np.int32), [int(near.sum()), len(row)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([own[near], child.view(np.int64)])), pa.array(np.concatenate([pivot[near], own[on][row]]))], ["kind", "a", "b"])
+            if batch.num_rows:
+                same = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same.astype(np.int32))], ["node", "set", "tokens", "pivot", "same"])
+
+    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "node long, set long, tokens binary, pivot long, same int")
+
+
+def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of members of large nodes to their node's pivot, and the child nodes (node, set) of what is not settled.
+
+    The pivot's own links are settled. Where many are close to it they are settled too: whoever is similar to them is so
+    near the pivot that a wider bound links it.
+    """
+    met = materialize(pivoted(members), "pivots")
+    # As many rows as there are CROWDs of members at most.
+    crowds = met.where(F.col("same") >= CLOSE).groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("node", F.lit(True).alias("crowd"))
+    told = met.join(crowds, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    link = F.col("same") >= F.when(F.col("crowd"), LINK).otherwise(SHARED)
+    settled = (F.col("set") == F.col("pivot")) | (F.col("crowd") & (F.col("same") >= CLOSE))
+    return told.where(link & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), next_nodes(told.where(~settled))
+
+
+def next_nodes(members: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, node = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)), False)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["node", "set"])
 
-    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "kind int, a long, b long")
+    return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -290,9 +306,8 @@ def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
         small.append(met.where(F.col("n") <= LIMIT))
         if (met.agg(F.max("n")).first()[0] or 0) <= LIMIT:
             break
-        parted = materialize(split(materialize(met.where(F.col("n") > LIMIT).join(sets, "set"), "large-nodes")), "split-nodes")
-        links.append(parted.where("kind = 0").select("a", "b"))
-        nodes = parted.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("set"))
+        near, nodes = split(materialize(met.where(F.col("n") > LIMIT).join(sets, "set"), "large-nodes"))
+        links.append(near)
     links.append(coarse_links(reduce(DataFrame.unionByName, small).join(sets, "set")))
     return components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("set"), F.col("root").alias("component"))
 
