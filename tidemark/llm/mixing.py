@@ -36,17 +36,25 @@ GRID, PASSES = 64, 8
 
 
 def topic(bits: int = 3) -> Column:
-    """One of 2 ^ bits topics by what a text's words say: bit k tells on which side of a fixed random plane its distinct words of four or more letters lie.
+    """One of 2 ^ bits topics by what a text's words say: bit k tells on which side of a fixed random plane its words of five or more characters lie.
 
-    Each word's hash gives it a sign per plane; texts of like words come to like sums.
+    Each word's hash gives it a side of every plane; texts of like words come to like sums.
     """
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    long = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.length(w) >= 4)
-    hashes = F.transform(long, lambda w: F.xxhash64(w))
-    side = lambda h, k: F.shiftright(h, 7 * k).bitwiseAND(F.lit(1)).cast("long")
-    none = F.struct(*(F.lit(0).cast("long").alias(f"p{k}") for k in range(bits)))
-    counts = F.aggregate(hashes, none, lambda a, h: F.struct(*((a[f"p{k}"] + side(h, k)).alias(f"p{k}") for k in range(bits))), lambda a: F.struct(*(a[f"p{k}"].alias(f"p{k}") for k in range(bits))))
-    return F.concat(*(F.when(2 * counts[f"p{k}"] > F.size(long), "1").otherwise("0") for k in range(bits)))
+    found = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), " "), lambda w: F.length(w) >= 5)
+    one = lambda h, k: F.shiftright(h, k).bitwiseAND(F.lit(1).cast("long"))
+    # The planes' counters lie side by side in one number where that holds them, and else in one each.
+    room = 63 // bits
+    zero = F.lit(0).cast("long")
+
+    def packed(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return sum((F.shiftleft(one(h, k), room * k) for k in range(1, bits)), one(h, 0))
+
+    total = F.aggregate(found, zero, lambda a, w: a + packed(w))
+    few = [F.shiftright(total, room * k).bitwiseAND(F.lit((1 << room) - 1)) for k in range(bits)]
+    many = [F.aggregate(found, zero, lambda a, w, k=k: a + one(F.xxhash64(w), k)) for k in range(bits)]
+    count = [F.when(F.size(found) < (1 << room), a).otherwise(b) for a, b in zip(few, many, strict=True)]
+    return F.concat(*(F.when(2 * c > F.size(found), "1").otherwise("0") for c in count))
 
 
 def words() -> Column:
