@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, partitions, text_or_empty
+from tidemark.llm.common import materialize, partitions, small, text_or_empty
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -54,7 +54,9 @@ LINK = SHARED + CLOSE - TOKENS
 RECALL, FOUND = 0.9999, 0.7
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
 #: Members of a node that are compared by brute force, and how many near copies of its pivot are many.
-LIMIT, CROWD = 512, 128
+LIMIT, CROWD = 768, 128
+#: Pivots (some 300 bytes each) that may be broadcast.
+PIVOTS = 20_000
 #: Members, and bytes of sets, of one block of an exact comparison.
 BLOCK_SETS, BLOCK_BYTES = 512, 8_000_000
 #: Bytes of text hashed at a time.
@@ -191,11 +193,11 @@ def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
 def pivoted(members: DataFrame) -> DataFrame:
     """node, set, tokens, pivot and the number of tokens shared with it, for the members (node, set, n, tokens) of large nodes."""
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
-    drawn = F.struct(F.xxhash64("node", "set").alias("at"), "set")
+    first = F.min(F.struct(F.xxhash64("node", "set").alias("at"), F.col("set").alias("pivot"), F.col("tokens").alias("theirs"))).alias("p")
+    pivots = members.groupBy("node", "n").agg(first).select("node", "p.pivot", "p.theirs", parts.alias("parts"))
     # A node's pivot goes to each of its parts, which hold some LIMIT members: as many rows as there are parts.
-    pivots = members.groupBy("node", "n").agg(F.min(drawn)["set"].alias("pivot")).join(members.select("node", F.col("set").alias("pivot"), F.col("tokens").alias("theirs")), ["node", "pivot"])
-    pivots = pivots.select("node", "pivot", "theirs", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(pivots.hint("merge"), ["node", "part"])
+    pivots = small(materialize(pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "pivots"), PIVOTS)
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("set"), parts).cast("int")).join(pivots, ["node", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,26 +209,28 @@ def pivoted(members: DataFrame) -> DataFrame:
 
 
 def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of members of large nodes to their node's pivot, and the child nodes (node, set) of what is not settled.
+    """Links (a, b) of members of large nodes to their node's pivot, and the nodes (node, set) two levels below of what is not settled.
 
     The pivot's own links are settled. Where many are close to it they are settled too: whoever is similar to them is so
     near the pivot that a wider bound links it.
     """
-    met = materialize(pivoted(members), "pivots")
+    met = materialize(pivoted(members), "pivoted")
     # As many rows as there are CROWDs of members at most.
     crowds = met.where(F.col("same") >= CLOSE).groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("node", F.lit(True).alias("crowd"))
-    told = met.join(crowds, "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    told = met.join(small(materialize(crowds, "crowds"), PIVOTS), "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     link = F.col("same") >= F.when(F.col("crowd"), LINK).otherwise(SHARED)
     settled = (F.col("set") == F.col("pivot")) | (F.col("crowd") & (F.col("same") >= CLOSE))
-    return told.where(link & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")).distinct(), next_nodes(told.where(~settled))
+    return told.where(link & (F.col("set") != F.col("pivot"))).select(F.col("set").alias("a"), F.col("pivot").alias("b")), next_nodes(told.where(~settled))
 
 
 def next_nodes(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, node = children(batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2)), False)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["node", "set"])
+                values = _matrix(batch.column(2))
+                row, node = children(batch.column(0).to_numpy().view(np.uint64), values, False)
+                again, node = children(node, values[row], False)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row][again])], ["node", "set"])
 
     return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
 
@@ -298,17 +302,17 @@ def coarse_links(members: DataFrame) -> DataFrame:
 
 def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """set, component of the sets that meet one that may be similar. sets: set (distinct), tokens."""
-    nodes, small, links = first_nodes(sets, runs), [], []
+    nodes, leaves, links = first_nodes(sets, runs), [], []
     while True:
         # Counts are added up before they are shuffled; a hot node's members are spread by the skew join.
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = materialize(nodes.join(counts.hint("merge"), "node"), "paths")
-        small.append(met.where(F.col("n") <= LIMIT))
+        leaves.append(met.where(F.col("n") <= LIMIT))
         if (met.agg(F.max("n")).first()[0] or 0) <= LIMIT:
             break
         near, nodes = split(materialize(met.where(F.col("n") > LIMIT).join(sets, "set"), "large-nodes"))
         links.append(near)
-    links.append(coarse_links(reduce(DataFrame.unionByName, small).join(sets, "set")))
+    links.append(coarse_links(reduce(DataFrame.unionByName, leaves).join(sets, "set")))
     return components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("set"), F.col("root").alias("component"))
 
 
