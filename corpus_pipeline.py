@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one as Parquet to
 the shared folder and reads it again as the next one's docs. A class of near duplicates goes on as one row;
 rows of different texts stay, whether their doc_ids are null, equal or neither.
+
+Edge cases: null and empty texts have no perplexity, so the first stage rejects them, and an empty table gives empty
+tables; null languages and sources count as '' where they matter and stay null in the rows; rows equal in every column
+are one after the second stage; columns beyond those of documents are dropped at the first stage.
 """
 
 from __future__ import annotations
