@@ -55,3 +55,29 @@ def test_null_and_repeated_ids(spark):
         assert sorted((r for r in got if r not in either), key=key) == sorted(want, key=key)
         chosen = either if order is made else chosen
         assert either == chosen  # the order of the rows doesn't matter
+
+
+def test_awkward_tables(spark, tmp_path):
+    """Every stage on an empty table and on one of nulls, empty and repeated texts and clashing columns."""
+    from tests.llm.helpers import DOCS
+
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    prose = "the river runs over old stones and the water is clear " * 4
+    rows = [(0, prose, "en", "a", 9, "x", 1, None), (1, prose, "en", None, 9, "x", 1, None), (None, None, None, None, None, "x", 1, None), (2, "", "en", "a", 0, "x", 1, None), (2, prose + "mail a.b@c.org", None, "b", 9, "x", 1, None)]
+    empty = spark.createDataFrame([], DOCS)
+    full = spark.createDataFrame(rows + rows[:1], DOCS).withColumnsRenamed({"bucket": "mix", "part": "keep", "key": "threshold"})
+    for docs in (empty, full):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if docs is empty:
+                assert got == []
+            elif name != "packing":
+                assert out.columns == list(DOC_COLUMNS)
+            if docs is full:
+                if name == "quality_classifier":
+                    assert [r for r in got if not r.text] == []
+                if name == "near_duplicates":
+                    assert len(got) == 3  # one without words, one of the prose, one with more words than it
+                if name == "pii":
+                    assert len(got) == 6 and not any("a.b@c.org" in (r.text or "") for r in got)
