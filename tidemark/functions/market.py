@@ -95,3 +95,20 @@ def confidence(probability: Column, evidence: dict[str, Column], drift: Column)
 
 def confidence_level(score: Column, low: float = 0.40, medium: float = 0.70) -> Column:
     return F.when(score < low, "LOW").when(score < medium, "MEDIUM").otherwise("HIGH")
+
+
+def buy_grade(strength: Column) -> Column:
+    """Grade of a strength from 0 to 100; the lowest without one."""
+    return F.when(strength >= 90, "强").when(strength >= 75, "中").otherwise("观望")
+
+
+def risk_score(volatility: Column, liquidity: Column, tradable: Column, events: Column, mood: Column) -> Column:
+    """Risk from ranks of volatility and liquidity (null as one half), whether entry is possible (null: it is), and ten or more announcements of a bad mood."""
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    bad = (F.coalesce(events, F.lit(0)) >= 10) & (F.coalesce(mood, F.lit(0.0)) < 0)
+    return half(volatility) * 0.40 + (1 - half(liquidity)) * 0.30 + (~F.coalesce(tradable, F.lit(True))).cast("int") * 0.10 + bad.cast("int") * 0.20
+
+
+def risk_rating(risk: Column) -> Column:
+    r = F.round(risk, 9)
+    return F.when(r >= 0.55, "高").when(r >= 0.30, "中").otherwise("低")

@@ -273,3 +273,18 @@ def pooled_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(f, g) for f in sorted(columns) for g in sorted(columns) if f < g]
     got = rows.agg(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), correlation(f"__rank_{f}", f"__rank_{g}").alias("rho")).alias(f"p{i}") for i, (f, g) in enumerate(pairs)))
     return got.select(F.inline(F.array(*(f"p{i}" for i in range(len(pairs))))))
+
+
+def tail_members(df: DataFrame, score: str, key: str, tie: str, fraction: float = 0.10) -> DataFrame:
+    """Rows with a score and their ``tail``: top, bottom (each a fraction of the key's rows, rounded down, one at least) or middle; where they overlap the bottom counts."""
+    rows = df.where(F.col(score).isNotNull()).withColumns({"__p": row_in([F.desc(score), tie], [key]), "__k": size_of([key])})
+    n = F.greatest(F.lit(1), F.floor(F.col("__k") * fraction))
+    return rows.withColumn("tail", F.when(F.col("__p") > F.col("__k") - n, "bottom").when(F.col("__p") <= n, "top").otherwise("middle")).drop("__p", "__k")
+
+
+def drift_by_year(df: DataFrame, column: str, date: str, year: str) -> DataFrame:
+    """year, mean, sd, median, missing_ratio, dispersion (mean over dates of the deviation within each), p10 and p90 of a column."""
+    sums = df.groupBy(year).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.avg(F.col(column).isNull().cast("double")).alias("missing_ratio"))
+    daily = df.groupBy(year, date).agg(F.stddev_samp(column).alias("s")).groupBy(year).agg(F.avg("s").alias("dispersion"))
+    q = quantiles(df, column, [0.1, 0.5, 0.9], year).select(year, F.col("q")[0].alias("p10"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"))
+    return sums.join(daily, year).join(q, year, "left")

@@ -56,15 +56,19 @@ def sector_balanced(df: DataFrame, score: str, risk: str, key: str, group: str,
     return chosen.withColumn("weight", F.col("raw") / F.sum("raw").over(day)).drop("raw", "positions", "inverse", "size")
 
 
-def weights(df: DataFrame, kind: str, key: str, risk: str | None = None, place: str | None = None) -> Column:
-    """Weights that sum to one per date: equal, inverse_vol, rank (n, n - 1, ...) or decay (halving every ten places)."""
+def weighted(df: DataFrame, kind: str, key: str, name: str = "weight", risk: str | None = None, place: str | None = None) -> DataFrame:
+    """df with weights that sum to one per date: equal, inverse_vol (risk held to 1e-6 at least), rank (n, n - 1, ...) or decay (by e every third of the n places)."""
+    day = Window.partitionBy(key)
+    n = F.max(place).over(day) if place else None
     raw = {
-        "equal": F.lit(1.0),
-        "inverse_vol": F.try_divide(F.lit(1.0), F.col(risk)) if risk else None,
-        "rank": (F.max(place).over(Window.partitionBy(key)) - F.col(place) + 1).cast("double") if place else None,
-        "decay": F.pow(F.lit(0.5), (F.col(place) - 1) / F.lit(10.0)) if place else None,
-    }[kind]
-    return raw / F.sum(raw).over(Window.partitionBy(key))
+        "equal": lambda: F.lit(1.0),
+        "inverse_vol": lambda: 1 / F.greatest(F.col(risk), F.lit(1e-6)),
+        "rank": lambda: (F.col("__n") - F.col(place) + 1).cast("double"),
+        "decay": lambda: F.exp(-(F.col(place) - 1) / F.greatest(F.lit(1.0), F.col("__n") / 3.0)),
+    }[kind]()
+    out = df if n is None else df.withColumn("__n", n)
+    out = out.withColumn("__raw", raw)
+    return out.withColumn(name, F.col("__raw") / F.sum("__raw").over(day)).drop("__raw", "__n")
 
 
 def turnover(holdings: DataFrame, dates: DataFrame, key: str = "date", buy_fee: float = 0.0005, sell_fee: float = 0.0015) -> DataFrame:

@@ -367,18 +367,20 @@ SELECT date, round(sum(greatest(x, 0)), 6) AS bought, round(sum(greatest(-x, 0))
 )
 def turnover_costs(spark, d):
     top = portfolio.top_k(returns(spark, d), "ret_4", ["date"], 10, "entity")
-    held = top.select("date", "entity", portfolio.weights(top, "equal", "date").alias("weight"))
+    held = portfolio.weighted(top, "equal", "date").select("date", "entity", "weight")
     return portfolio.turnover(held, joins.calendar(held)).select("date", *r6("bought", "sold"), F.round("cost", 8).alias("cost"))
 
 
 @query(
-    f"""WITH {RETURNS}, {_TOP} SELECT date, entity, round(1.0 / count(*) OVER d, 6) AS equal, round((max(place) OVER d - place + 1.0) / sum(max_p - place + 1.0) OVER d, 6) AS rank, round(0.5 ** ((place - 1) / 10.0) / sum(0.5 ** ((place - 1) / 10.0)) OVER d, 6) AS decay
-FROM (SELECT *, max(place) OVER (PARTITION BY date) AS max_p FROM top) WINDOW d AS (PARTITION BY date)"""
+    f"""WITH {RETURNS}, {_TOP}, t AS (SELECT top.*, max(place) OVER (PARTITION BY top.date) AS n, CASE WHEN top.entity % 8 = 0 THEN 0.0 ELSE high - low END AS risk FROM top JOIN rets USING (date, entity)), x AS (SELECT *, exp(-(place - 1) / greatest(1, n / 3.0)) AS e, 1 / greatest(risk, 1e-6) AS i FROM t)
+SELECT date, entity, round(1.0 / count(*) OVER d, 6) AS equal, round((n - place + 1.0) / sum(n - place + 1.0) OVER d, 6) AS rank, round(e / sum(e) OVER d, 6) AS decay, round(i / sum(i) OVER d, 6) AS inverse_vol FROM x WINDOW d AS (PARTITION BY date)"""
 )
 def portfolio_weights(spark, d):
-    top = portfolio.top_k(returns(spark, d), "ret_4", ["date"], 10, "entity").withColumn("raw_rank", (F.max("place").over(Window.partitionBy("date")) - F.col("place") + 1).cast("double"))
-    rank = F.col("raw_rank") / F.sum("raw_rank").over(Window.partitionBy("date"))
-    return top.select("date", "entity", F.round(portfolio.weights(top, "equal", "date"), 6).alias("equal"), F.round(rank, 6).alias("rank"), F.round(portfolio.weights(top, "decay", "date", place="place"), 6).alias("decay"))
+    top = portfolio.top_k(returns(spark, d), "ret_4", ["date"], 10, "entity").withColumn("risk", F.when(F.col("entity") % 8 == 0, 0.0).otherwise(F.col("high") - F.col("low")))
+    kinds = ["equal", "rank", "decay", "inverse_vol"]
+    for kind in kinds:
+        top = portfolio.weighted(top, kind, "date", kind, "risk", "place")
+    return top.select("date", "entity", *r6(*kinds))
 
 
 _DAILY = f"{LABELS}, pnl AS (SELECT date, avg(label) AS r FROM (SELECT * FROM labeled WHERE ret_4 IS NOT NULL AND label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY ret_4 DESC, entity) <= 10) GROUP BY date)"

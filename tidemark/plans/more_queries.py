@@ -43,16 +43,6 @@ def one_hot(spark, d):
     return sectors(spark, d).select("entity", *((F.col("sector") == s).cast("int").alias(f"is_{s.split()[0].lower()}") for s in names))
 
 
-@query(
-    f"""WITH {RETURNS}, y AS (SELECT year(date) AS year, avg(ret_4) AS m, stddev_samp(ret_4) AS s, quantile_cont(ret_4, 0.5) AS q FROM rets WHERE ret_4 IS NOT NULL GROUP BY 1)
-SELECT year, round(m, 6) AS mean, round(s, 6) AS sd, round(q, 6) AS median, round(m - lag(m) OVER w, 6) AS d_mean, round(s / lag(s) OVER w - 1, 6) AS d_sd FROM y WINDOW w AS (ORDER BY year)"""
-)
-def feature_drift(spark, d):
-    y = returns(spark, d).where("ret_4 is not null").groupBy(F.year("date").cast("long").alias("year")).agg(F.avg("ret_4").alias("m"), F.stddev_samp("ret_4").alias("s"), F.percentile("ret_4", 0.5).alias("q"))
-    w = Window.orderBy("year")  # a row per year
-    return y.select("year", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), F.round("q", 6).alias("median"), F.round(F.col("m") - F.lag("m").over(w), 6).alias("d_mean"), F.round(F.try_divide("s", F.lag("s").over(w)) - 1, 6).alias("d_sd"))
-
-
 @query(
     f"""WITH {LABELS}, {SECTORS}, v AS (SELECT date, entity, ret_4 - avg(ret_4) OVER g AS x, label - avg(label) OVER g AS label FROM labeled JOIN sectors USING (entity) WHERE ret_4 IS NOT NULL AND label IS NOT NULL WINDOW g AS (PARTITION BY date, sector)),
 r AS (SELECT date, {rank_sql('x', 'date')} AS a, {rank_sql('label', 'date')} AS b FROM (SELECT date, round(x, 12) AS x, round(label, 12) AS label FROM v))
@@ -101,16 +91,6 @@ def sector_rank_centered(spark, d):
     return r.select("entity", "date", F.round(F.col("r") - F.avg("r").over(Window.partitionBy("date", "sector")), 6).alias("centered"))
 
 
-@query(
-    f"""WITH {RETURNS}, p AS (SELECT entity, date, {rank_sql('ret_4', 'date')} AS s, {rank_sql('(high - low)', 'date')} AS k FROM rets)
-SELECT entity, date, round(100 * s, 4) AS strength, CASE WHEN s >= 0.9 THEN 'A' WHEN s >= 0.7 THEN 'B' WHEN s >= 0.4 THEN 'C' WHEN s IS NOT NULL THEN 'D' END AS grade, CASE WHEN k >= 0.8 THEN 'HIGH' WHEN k >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM p"""
-)
-def strength_grade_risk(spark, d):
-    p = returns(spark, d).withColumn("range", F.col("high") - F.col("low")).withColumns({"s": rank_pct("ret_4", ["date"]), "k": rank_pct("range", ["date"])})
-    grade = F.when(F.col("s") >= 0.9, "A").when(F.col("s") >= 0.7, "B").when(F.col("s") >= 0.4, "C").when(F.col("s").isNotNull(), "D")
-    return p.select("entity", "date", F.round(100 * F.col("s"), 4).alias("strength"), grade.alias("grade"), F.when(F.col("k") >= 0.8, "HIGH").when(F.col("k") >= 0.4, "MEDIUM").otherwise("LOW").alias("risk"))
-
-
 @query(f"WITH {LABELS} SELECT year(date) AS year, count(*) AS n, round(sum(0.5 ** (date_diff('day', date, DATE '1999-01-01') / 365.25 / 2.0)), 4) AS weight FROM labeled WHERE label IS NOT NULL GROUP BY 1")
 def recency_weights(spark, d):
     age = F.datediff(F.lit("1999-01-01").cast("date"), F.col("date")) / 365.25
@@ -385,11 +365,3 @@ def policy_grid(spark, d):
         led = portfolio.ledger(grid, 10, bps).groupBy("strategy").agg(F.max_by("nav", "date").alias("nav"), F.sum("traded").alias("traded")).withColumn("bps", F.lit(bps))
         out = led if out is None else out.unionByName(led)
     return out
-
-
-@query(
-    f"""WITH {FILINGS}, f AS (SELECT *, {rank_sql('total', 'report')} AS r FROM filings) SELECT entity, report, round(r, 6) AS r, round(r - lag(r) OVER (PARTITION BY entity ORDER BY report), 6) AS d_rank FROM f"""
-)
-def valuation_percentile(spark, d):
-    f = filings(spark, d).withColumn("r", rank_pct("total", ["report"]))
-    return f.select("entity", "report", *r6("r"), F.round(F.col("r") - F.lag("r").over(Window.partitionBy("entity").orderBy("report")), 6).alias("d_rank"))

@@ -169,7 +169,7 @@ x AS (SELECT w.*, list_contains(s.was, entity) AS continuing, list_contains(s.he
 def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = labeled(spark, d)
     top = portfolio.top_k(rows.where("ret_4 is not null").withColumn("s", F.coalesce("ret_12", F.lit(float("-inf")))), "s", ["date"], 6, "entity")
-    want = top.select("date", "entity", portfolio.weights(top, "equal", "date").alias("weight"))
+    want = portfolio.weighted(top, "equal", "date").select("date", "entity", "weight")
     e = F.col("entity")
     left = F.when((e + F.dayofmonth("date")) % 6 > 0, F.col("exit_open"))
     ok = F.col("entry_open").isNotNull() & ((e * 7 + F.dayofmonth("date")) % 4 > 0)
@@ -218,7 +218,7 @@ SELECT date, entity, round(sum(x), 6) AS weight FROM (SELECT date, entity, 0.7 *
 def core_plus_active(spark, d):
     p = panel_week(spark, d).withColumn("benchmark_weight", F.when(F.col("entity") % 9 > 0, F.col("amount")))
     active = portfolio.top_k(p, "volume", ["date"], 4, "entity")
-    return decisions.core_plus_active(p, active.select("date", "entity", portfolio.weights(active, "equal", "date").alias("weight"))).select("date", "entity", *r6("weight"))
+    return decisions.core_plus_active(p, portfolio.weighted(active, "equal", "date")).select("date", "entity", *r6("weight"))
 
 
 @query()
@@ -525,3 +525,85 @@ def joint_readiness_gate(spark, d):
     ready, failed = decisions.reasons({"rows": F.col("n") >= 100, "entities": F.col("entities") >= 5, "point_in_time": F.col("violations") == 0, "stale": F.col("newest") >= F.lit("1998-06-01").cast("date")})
     s = s.withColumns({"ready": ready, "missing": F.concat_ws(",", failed)})
     return s.select("source", "missing", "ready", F.min("ready").over(Window.partitionBy()).alias("joint_ready"))  # a row per source
+
+
+# Further rules
+
+
+@query(
+    f"""WITH {LABELS}, v AS (SELECT *, row_number() OVER w AS p, floor(count(*) OVER (PARTITION BY date) * 0.1) AS t, count(*) OVER (PARTITION BY date) AS k FROM labeled WHERE ret_4 IS NOT NULL WINDOW w AS (PARTITION BY date ORDER BY ret_4 DESC, entity)),
+m AS (SELECT *, CASE WHEN p > k - greatest(1, t) THEN 'bottom' WHEN p <= greatest(1, t) THEN 'top' ELSE 'middle' END AS tail FROM v)
+SELECT date, round(avg(CASE WHEN tail = 'top' THEN label END), 6) AS top_mean, round(avg(CASE WHEN tail = 'bottom' THEN label END), 6) AS bottom_mean, round(avg(CASE WHEN tail = 'top' THEN label END) - avg(CASE WHEN tail = 'bottom' THEN label END), 6) AS top_minus_bottom,
+ count(CASE WHEN tail = 'top' THEN label END) AS top_rows, count(CASE WHEN tail = 'bottom' THEN label END) AS bottom_rows FROM m GROUP BY date"""
+)
+def tail_members(spark, d):
+    """Both tails of each date, a tenth of its rows and one at least; of a single row the bottom counts."""
+    m = evaluate.tail_members(labeled(spark, d), "ret_4", "date", "entity")
+    mean = lambda t: F.avg(F.when(F.col("tail") == t, F.col("label")))
+    n = lambda t: F.count(F.when(F.col("tail") == t, F.col("label")))
+    return m.groupBy("date").agg(F.round(mean("top"), 6).alias("top_mean"), F.round(mean("bottom"), 6).alias("bottom_mean"), F.round(mean("top") - mean("bottom"), 6).alias("top_minus_bottom"), n("top").alias("top_rows"), n("bottom").alias("bottom_rows"))
+
+
+@query(
+    f"""WITH {LABELS}, p AS (SELECT entity, date, 100 * {rank_sql('ret_4', 'date')} AS s, coalesce({rank_sql('(high - low)', 'date')}, 0.5) AS vol, 1 - coalesce({rank_sql('amount', 'date')}, 0.5) AS thin, (entity + day(date)) % 7 > 0 AS tradable, CASE WHEN entity % 3 > 0 THEN (entity * 5 + day(date)) % 14 END AS events, ret_1 AS mood FROM labeled),
+r AS (SELECT *, vol * 0.4 + thin * 0.3 + (NOT tradable)::INT * 0.1 + (coalesce(events, 0) >= 10 AND coalesce(mood, 0) < 0)::INT * 0.2 AS risk FROM p)
+SELECT entity, date, round(s, 4) AS strength, CASE WHEN s >= 90 THEN '强' WHEN s >= 75 THEN '中' ELSE '观望' END AS grade, CASE WHEN round(risk, 9) >= 0.55 THEN '高' WHEN round(risk, 9) >= 0.3 THEN '中' ELSE '低' END AS risk FROM r"""
+)
+def strength_grade_risk(spark, d):
+    p = labeled(spark, d).withColumn("range", F.col("high") - F.col("low")).withColumns({"s": 100 * rank_pct("ret_4", ["date"]), "vol": rank_pct("range", ["date"]), "liquid": rank_pct("amount", ["date"])})
+    e, day = F.col("entity"), F.dayofmonth("date")
+    risk = market.risk_score(F.col("vol"), F.col("liquid"), (e + day) % 7 > 0, F.when(e % 3 > 0, (e * 5 + day) % 14), F.col("ret_1"))
+    return p.select("entity", "date", F.round("s", 4).alias("strength"), market.buy_grade(F.col("s")).alias("grade"), market.risk_rating(risk).alias("risk"))
+
+
+@query(
+    f"""WITH {RETURNS}, dd AS (SELECT year(date) AS year, date, stddev_samp(ret_4) AS s FROM rets GROUP BY ALL), sp AS (SELECT year, avg(s) AS dispersion FROM dd GROUP BY 1),
+y AS (SELECT year(date) AS year, avg(ret_4) AS m, stddev_samp(ret_4) AS s, avg((ret_4 IS NULL)::INT) AS missing, quantile_cont(ret_4, 0.1) AS p10, quantile_cont(ret_4, 0.5) AS med, quantile_cont(ret_4, 0.9) AS p90 FROM rets GROUP BY 1)
+SELECT year, round(m, 6) AS mean, round(s, 6) AS sd, round(med, 6) AS median, round(missing, 6) AS missing_ratio, round(dispersion, 6) AS dispersion, round(p10, 6) AS p10, round(p90, 6) AS p90, round((m - lag(m) OVER w) / nullif(lag(s) OVER w, 0), 6) AS mean_shift FROM y JOIN sp USING (year) WINDOW w AS (ORDER BY year)"""
+)
+def feature_drift(spark, d):
+    rows = returns(spark, d).withColumn("year", F.year("date").cast("long"))
+    y = evaluate.drift_by_year(rows, "ret_4", "date", "year")
+    w = Window.orderBy("year")  # a row per year
+    shift = F.try_divide(F.col("mean") - F.lag("mean").over(w), F.nullif(F.lag("sd").over(w), F.lit(0.0)))
+    return y.withColumn("mean_shift", shift).select("year", *r6("mean", "sd", "median", "missing_ratio", "dispersion", "p10", "p90", "mean_shift"))
+
+
+@query(
+    f"""WITH {FILINGS}, place AS (SELECT c_custkey AS entity, n_name AS industry FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT entity, report, industry, total, {rank_sql('total', 'report')} AS r, {rank_sql('total', 'report, industry')} AS g FROM filings JOIN place USING (entity))
+SELECT entity, report, round(r, 6) AS r, round(g, 6) AS industry_r, round(r - lag(r) OVER (PARTITION BY entity ORDER BY report), 6) AS d_rank FROM f"""
+)
+def valuation_percentile(spark, d):
+    place = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("entity"), F.col("n_name").alias("industry"))
+    f = filings(spark, d).join(place, "entity").withColumns({"r": rank_pct("total", ["report"]), "industry_r": rank_pct("total", ["report", "industry"])})
+    return f.select("entity", "report", *r6("r", "industry_r"), F.round(F.col("r") - F.lag("r").over(Window.partitionBy("entity").orderBy("report")), 6).alias("d_rank"))
+
+
+@query(f"WITH {RETURNS}, r AS (SELECT date, entity, row_number() OVER (PARTITION BY date ORDER BY ret_4 DESC NULLS LAST, entity) AS place FROM rets) SELECT k, date, entity, place FROM r, (SELECT unnest([3, 5, 8]) AS k) WHERE place <= k")
+def derive_top_k(spark, d):
+    """The canonical order once, and its first 3, 5 and 8."""
+    r = returns(spark, d).withColumn("place", row_in([F.desc_nulls_last("ret_4"), "entity"], ["date"])).where("place <= 8")
+    return r.select(F.explode(F.filter(F.array(*map(F.lit, (3, 5, 8))), lambda k: F.col("place") <= k)).alias("k"), "date", "entity", "place")
+
+
+_SCREEN = f"""{LABELS}, {SECTORS}, base AS (SELECT entity, date, sector, label, {rank_sql('amount', 'date')} AS size, ret_1, ret_4, ret_12, volume FROM labeled JOIN sectors USING (entity)), src AS (SELECT entity, date, sector, label, size, factor, score FROM base UNPIVOT (score FOR factor IN (ret_1, ret_4, ret_12, volume)) WHERE label IS NOT NULL),
+{residual_sql('src', 'score', ['size'], 'date, factor', 'sector', 5)}, rs AS (SELECT date, factor, label, score, round(residual, 9) AS res FROM cleared WHERE residual IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_SCREEN}, a AS {ic_sql('score', 'date, factor', 'rs')}, b AS {ic_sql('res', 'date, factor', 'rs')}, ya AS (SELECT factor, year(date) AS year, avg(ic) AS m FROM a GROUP BY ALL), {_POOLED}
+SELECT factor, round((SELECT avg(ic) FROM a WHERE a.factor = f.factor), 6) AS rank_ic, round((SELECT avg(ic) FROM b WHERE b.factor = f.factor), 6) AS residual_ic, (SELECT count(*) FROM ya WHERE ya.factor = f.factor AND round(m, 9) > 0) AS positive_years, round((SELECT min(m) FROM ya WHERE ya.factor = f.factor), 6) AS worst_year,
+ round(core, 6) AS core_correlation, core < 0.8 AS low_redundancy FROM (SELECT 'ret_1' AS factor, greatest(abs(corr(ret_1, ret_12)), abs(corr(ret_1, volume))) AS core FROM rk UNION ALL SELECT 'ret_4', greatest(abs(corr(ret_4, ret_12)), abs(corr(ret_4, volume))) FROM rk) f"""
+)
+def signal_screening_core(spark, d):
+    """Two candidates against a core of two: rank correlation, what a score cleared of size and sector keeps of it, years, and likeness to the core."""
+    rows = labeled(spark, d).join(sectors(spark, d), "entity").withColumn("size", rank_pct("amount", ["date"])).where("label is not null")
+    long = rows.unpivot(["entity", "date", "sector", "label", "size"], FACTORS, "factor", "score").where("score is not null")
+    cleared = evaluate.residualize(long, "score", ["size"], ["date", "factor"], "sector", 5).where("residual is not null").withColumn("res", F.round("residual", 9))
+    a, b = (evaluate.rank_ic(cleared, c, "label", ["date", "factor"], 5) for c in ("score", "res"))
+    years = a.groupBy("factor", F.year("date").alias("year")).agg(F.avg("ic").alias("m")).groupBy("factor").agg(F.count(F.when(F.round("m", 9) > 0, 1)).alias("positive_years"), F.min("m").alias("worst_year"))
+    rho = evaluate.pooled_spearman(labeled(spark, d), FACTORS)
+    both = rho.unionByName(rho.select(F.col("g").alias("f"), F.col("f").alias("g"), "rho")).where("f in ('ret_1', 'ret_4') and g in ('ret_12', 'volume')")
+    core = both.groupBy(F.col("f").alias("factor")).agg(F.max(F.abs("rho")).alias("core_correlation"))
+    out = core.join(a.groupBy("factor").agg(F.avg("ic").alias("rank_ic")), "factor").join(b.groupBy("factor").agg(F.avg("ic").alias("residual_ic")), "factor").join(years, "factor")
+    return out.select("factor", *r6("rank_ic", "residual_ic"), "positive_years", *r6("worst_year", "core_correlation"), (F.col("core_correlation") < 0.8).alias("low_redundancy"))

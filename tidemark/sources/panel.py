@@ -15,13 +15,21 @@ OHLCV = T.StructType(
 )
 
 
-def validate_panel(df: DataFrame, order: Sequence[str | Column], width: int = 6) -> DataFrame:
-    """Dates and numbers coerced, codes padded, rows without date or positive open and close dropped, the first of each (date, symbol) kept."""
+def validate_panel(df: DataFrame, order: Sequence[str | Column], width: int = 6, required: Sequence[str] = ("date", "symbol", "open", "close"), empty: str = "keep") -> DataFrame:
+    """Dates and numbers coerced, codes padded, rows without date or positive open and close dropped, the first of each (date, symbol) kept.
+
+    A required column that is missing raises an error, as does a result without rows where ``empty`` is "raise" (which reads the table).
+    """
+    if missing := sorted(set(required) - set(df.columns)):
+        raise ValueError(f"the panel lacks columns: {missing}")
     number = lambda c: finite(F.col(c).try_cast("double"))
     out = df.withColumns({"date": F.col("date").try_cast("date"), "symbol": zfill(F.col("symbol"), width), **{c: number(c) for c in ("open", "close") if c in df.columns}})
     out = out.where("date is not null and open > 0 and close > 0")
     first = Window.partitionBy("date", "symbol").orderBy(*order)
-    return out.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    out = out.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    if empty == "raise" and out.isEmpty():
+        raise ValueError("the panel has no valid rows")
+    return out
 
 
 def scan_csv(spark: SparkSession, path: str | list[str], order: Sequence[str | Column] = ("open", "close", "volume")) -> DataFrame:
