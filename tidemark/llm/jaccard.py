@@ -54,7 +54,7 @@ LINK = SHARED + CLOSE - TOKENS
 RECALL, FOUND = 0.9999, 0.7
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
 #: Members of a node that are compared by brute force, and how many near copies of its pivot are many.
-LIMIT, CROWD = 768, 128
+LIMIT, CROWD = 1024, 128
 #: Pivots (some 300 bytes each) that may be broadcast.
 PIVOTS = 20_000
 #: Members, and bytes of sets, of one block of an exact comparison.
@@ -304,6 +304,7 @@ def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """set, component of the sets that meet one that may be similar. sets: set (distinct), tokens."""
     nodes, leaves, links = first_nodes(sets, runs), [], []
     while True:
+        nodes = materialize(nodes, "nodes")  # read twice
         # Counts are added up before they are shuffled; a hot node's members are spread by the skew join.
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = materialize(nodes.join(counts.hint("merge"), "node"), "paths")
