@@ -52,7 +52,11 @@ def topic(bits: int = 3) -> Column:
 
     total = F.aggregate(found, zero, lambda a, w: a + packed(w))
     few = [F.shiftright(total, room * k).bitwiseAND(F.lit((1 << room) - 1)) for k in range(bits)]
-    many = [F.aggregate(found, zero, lambda a, w, k=k: a + one(F.xxhash64(w), k)) for k in range(bits)]
+
+    def alone(k: int) -> Column:
+        return F.aggregate(found, zero, lambda a, w: a + one(F.xxhash64(w), k))
+
+    many = [alone(k) for k in range(bits)]
     count = [F.when(F.size(found) < (1 << room), a).otherwise(b) for a, b in zip(few, many, strict=True)]
     return F.concat(*(F.when(2 * c > F.size(found), "1").otherwise("0") for c in count))
 
