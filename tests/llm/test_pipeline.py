@@ -78,6 +78,6 @@ def test_awkward_tables(spark, tmp_path):
                 if name == "quality_classifier":
                     assert [r for r in got if not r.text] == []
                 if name == "near_duplicates":
-                    assert len(got) == 3  # one without words, one of the prose, one with more words than it
+                    assert len(got) == 2  # one without words, one of the prose: two more words leave it 0.85 alike
                 if name == "pii":
                     assert len(got) == 6 and not any("a.b@c.org" in (r.text or "") for r in got)
