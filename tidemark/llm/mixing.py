@@ -41,24 +41,16 @@ def topic(bits: int = 3) -> Column:
     Each word's hash gives it a side of every plane; texts of like words come to like sums.
     """
     found = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), " "), lambda w: F.length(w) >= 5)
+    hashes = F.transform(found, lambda w: F.xxhash64(w))
     one = lambda h, k: F.shiftright(h, k).bitwiseAND(F.lit(1).cast("long"))
-    # The planes' counters lie side by side in one number where that holds them, and else in one each.
-    room = 63 // bits
-    zero = F.lit(0).cast("long")
+    fields = [f"p{k}" for k in range(bits)]
+    none = F.struct(*(F.lit(0).cast("long").alias(f) for f in [*fields, "n"]))
 
-    def packed(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return sum((F.shiftleft(one(h, k), room * k) for k in range(1, bits)), one(h, 0))
+    def add(a: Column, h: Column) -> Column:
+        return F.struct(*((a[f] + one(h, k)).alias(f) for k, f in enumerate(fields)), (a["n"] + 1).alias("n"))
 
-    total = F.aggregate(found, zero, lambda a, w: a + packed(w))
-    few = [F.shiftright(total, room * k).bitwiseAND(F.lit((1 << room) - 1)) for k in range(bits)]
-
-    def alone(k: int) -> Column:
-        return F.aggregate(found, zero, lambda a, w: a + one(F.xxhash64(w), k))
-
-    many = [alone(k) for k in range(bits)]
-    count = [F.when(F.size(found) < (1 << room), a).otherwise(b) for a, b in zip(few, many, strict=True)]
-    return F.concat(*(F.when(2 * c > F.size(found), "1").otherwise("0") for c in count))
+    # All that follows from the sums is said in the last step, so the words are gone through once.
+    return F.aggregate(hashes, none, add, lambda a: F.concat(*(F.when(2 * a[f] > a["n"], "1").otherwise("0") for f in fields)))
 
 
 def words() -> Column:
