@@ -69,11 +69,23 @@ def test_clashing_columns_and_repeated_ids(spark):
         assert fate.setdefault((r.doc_id, r.source), r.mix.sampled) == r.mix.sampled
 
 
-def test_raking_that_cannot_settle(spark):
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_targets_that_cells_cannot_have(spark, monkeypatch, limit):
+    """Made ones give the nearest shares there are, a caller's raise an error."""
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", limit)
     df = docs(spark, ["w " * 50, "w"], source=["a", "b"], lang=["x", "y"])
     dims = {"source": F.col("source"), "lang": F.col("lang")}  # both fix the same two cells, to different shares
+    rows = mixing.sample_probabilities(df, dims, {"source": 0.1, "lang": 1.0}, 0.5).select("mix.*").collect()
+    p, q = 50**0.1 / (50**0.1 + 1), 50 / 51
+    share = (p * q) ** 0.5 / ((p * q) ** 0.5 + ((1 - p) * (1 - q)) ** 0.5)  # one weight, as near to both as can be
+    ratio = rows[0].probability / rows[1].probability if rows[0].source == "a" else rows[1].probability / rows[0].probability
+    if all(r.probability < 1 for r in rows):
+        assert ratio == pytest.approx(share / (1 - share) / 50, rel=1e-3)
+    assert all(abs(r.source_gap - abs(share - p)) < 1e-4 and abs(r.lang_gap - abs(share - q)) < 1e-4 for r in rows)
     with pytest.raises(ValueError, match="settled"):
-        mixing.sample_probabilities(df, dims, {"source": 0.1, "lang": 1.0}, 0.5)
+        mixing.sample_probabilities(df, dims, {}, 0.5, targets={"source": {"a": 0.3, "b": 0.7}, "lang": {"x": 0.8, "y": 0.2}})
+    good = mixing.sample_probabilities(df, dims, {}, 0.01, targets={"source": {"a": 0.8, "b": 0.2}, "lang": {"x": 0.8, "y": 0.2}}).select("mix.*").collect()
+    assert all(r.source_gap < 1e-3 and r.lang_gap < 1e-3 for r in good)
 
 
 def test_query_by_brute_force(spark):

@@ -9,8 +9,12 @@ document's id and a seed.
 Cells are aggregated before anything is shuffled by value; joining them back broadcasts them only up
 to a checked number of cells and salts beyond it.
 
-Raking looks at its marginals every third sweep and ends when none is off by more than a tolerance; one
-that has not come within ``ACCEPTED`` of its targets after all sweeps raises an error.
+Raking looks at its marginals every third sweep and ends when none is off by more than a tolerance. Targets made here,
+of each dimension apart from the others, can contradict the cells there are (two sources of one language each have one
+share, not two). Where raking does not come within ``ACCEPTED`` of them it goes to the nearest shares that cells can have,
+by averaged Kullback-Leibler projections: every sweep multiplies a cell by the geometric mean of its dimensions' corrections,
+which settles where the divergence of the marginals from their targets, added up, is least. How far each marginal ends
+from its targets is returned. Targets that a caller passes raise an error instead.
 
 Edge cases: a null dimension value counts as ''; a null text has no tokens and goes by its cell's
 probability; rows with equal (or null) doc_id share their fate if they are of one cell; cells without
@@ -20,6 +24,8 @@ but one named ``mix`` gives way to the result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 SWEEPS, SWEEPS_AT_ONCE, TOLERANCE, ACCEPTED = 120, 3, 1e-6, 1e-3
+#: Sweeps of averaged projections, as many times as those of raking: they take smaller steps.
+AVERAGED = 20
 BROADCAST_CELLS = 100_000
 #: Up to so many cells (counted first) are raked on the driver; more are raked by joins, by the same rule.
 DRIVER_CELLS = 50_000
@@ -64,64 +72,116 @@ def smoothed_targets(cells: DataFrame, dimension: str, power: float) -> DataFram
     return sums.crossJoin(F.broadcast(total)).select("value", (F.col("share") / F.col("total")).alias("share"))  # total: one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, nearest: bool = False) -> tuple[DataFrame, float]:
     """cells (the dimensions, tokens) with their raked weight, which sums to one; the largest deviation of a marginal.
 
     targets: for each dimension a table (value, share) of shares that sum to one. A value without a target gets weight 0.
+    nearest: go to the nearest shares that the cells can have where the targets contradict them.
     """
-    if cells.count() <= DRIVER_CELLS:
-        return rake_on_driver(cells, targets, sweeps, tolerance)
-    return rake_by_joins(cells, targets, sweeps, tolerance)
+    way = rake_on_driver if cells.count() <= DRIVER_CELLS else rake_by_joins
+    return way(cells, targets, sweeps, tolerance, nearest)
 
 
-def rake_on_driver(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
+def rake_on_driver(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, nearest: bool = False) -> tuple[DataFrame, float]:
     rows = cells.collect()
+    wanted = {d: {r["value"]: r["share"] for r in t.collect()} for d, t in targets.items()}  # at most as many values as cells, else no cell has them
+    weight, gaps = raked_weights(rows, wanted, sweeps, tolerance, nearest)
+    return _with_weights(cells, rows, weight), max(gaps.values(), default=0.0)
+
+
+def raked_weights(rows: list, targets: dict[str, dict], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, nearest: bool = False) -> tuple[np.ndarray, dict[str, float]]:
+    """The weights of so many cells, and the largest deviation of each dimension's marginal."""
     tokens = np.array([r["tokens"] for r in rows], float)
-    weight, deviation = tokens / max(tokens.sum(), 1.0), 0.0
+    first, gaps = tokens / max(tokens.sum(), 1.0), dict.fromkeys(targets, 0.0)
     places, shares = {}, {}
     for d, target in targets.items():
         at = {v: i for i, v in enumerate(dict.fromkeys(r[d] for r in rows))}
-        places[d], shares[d] = np.array([at[r[d]] for r in rows], int), np.zeros(len(at))
-        for r in target.collect():  # at most as many values as cells, else no cell has them
-            if r["value"] in at:
-                shares[d][at[r["value"]]] = r["share"]
-    for _ in range(0, sweeps if rows else 0, SWEEPS_AT_ONCE):
+        places[d], shares[d] = np.array([at[r[d]] for r in rows], int), np.array([target.get(v, 0.0) for v in at])
+    if not rows:
+        return first, gaps
+
+    def margin(d: str, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(places[d], weight, len(shares[d]))
+
+    def correction(d: str, weight: np.ndarray) -> np.ndarray:
+        now = margin(d, weight)
+        return np.divide(shares[d], now, out=np.zeros_like(now), where=now > 0)[places[d]]
+
+    def off(weight: np.ndarray) -> dict[str, float]:
+        return {d: float(np.abs(margin(d, weight) - shares[d]).max()) for d in targets}
+
+    weight = first
+    for _ in range(0, sweeps, SWEEPS_AT_ONCE):
         for d in [*targets] * SWEEPS_AT_ONCE:
-            now = np.bincount(places[d], weight, len(shares[d]))
-            weight = weight * np.divide(shares[d], now, out=np.zeros_like(now), where=now > 0)[places[d]]
-        deviation = max(np.abs(np.bincount(places[d], weight, len(shares[d])) - shares[d]).max() for d in targets)
-        if deviation <= tolerance:
+            weight = weight * correction(d, weight)
+        gaps = off(weight)
+        if max(gaps.values()) <= tolerance:
             break
+    if nearest and max(gaps.values()) > ACCEPTED:
+        weight = first
+        for _ in range(sweeps * AVERAGED):
+            last = weight
+            for part in [correction(d, last) ** (1 / len(targets)) for d in targets]:
+                weight = weight * part
+            weight = weight / max(weight.sum(), 1e-300)
+            if np.abs(weight - last).max() <= tolerance / 100:
+                break
+        gaps = off(weight)
+    return weight, gaps
+
+
+def _with_weights(cells: DataFrame, rows: list, weight: np.ndarray) -> DataFrame:
     names = cells.columns
     data = [(*(r[c] for c in names), float(w)) for r, w in zip(rows, weight, strict=True)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields), "weight double"])
-    return cells.sparkSession.createDataFrame(data, schema), float(deviation)
+    return cells.sparkSession.createDataFrame(data, schema)
 
 
-def rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float) -> tuple[DataFrame, float]:
+def rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, nearest: bool = False) -> tuple[DataFrame, float]:
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    state = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
-    deviation = float("inf")
+    first = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
+    state, deviation = first, float("inf")
+
+    def corrected(of: DataFrame, dimension: str, name: str) -> DataFrame:
+        margin = of.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("now"))
+        scale = margin.join(targets[dimension], "value", "left").select("value", F.coalesce(F.try_divide("share", "now"), F.lit(0.0)).alias(name))
+        return state.join(scale, F.col(dimension) == F.col("value"), "left").drop("value")
+
     for done in range(0, sweeps, SWEEPS_AT_ONCE):
         for _ in range(SWEEPS_AT_ONCE):
-            for dimension, target in targets.items():
-                margin = state.groupBy(F.col(dimension).alias("value")).agg(F.sum("weight").alias("now"))
-                scale = margin.join(target, "value", "left").select("value", F.coalesce(F.try_divide("share", "now"), F.lit(0.0)).alias("scale"))
-                state = state.join(scale, F.col(dimension) == F.col("value"), "left").withColumn("weight", F.col("weight") * F.col("scale")).drop("value", "scale")
+            for dimension in targets:
+                state = corrected(state, dimension, "scale").withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
         state = materialize(state, f"raking-{done}")
-        gaps = [
-            state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now")).join(t, "value").agg(F.max(F.abs(F.col("now") - F.col("share"))).alias("gap"))
-            for d, t in targets.items()
-        ]
-        worst = gaps[0]
-        for g in gaps[1:]:
-            worst = worst.unionByName(g)
-        deviation = worst.agg(F.max("gap")).first()[0] or 0.0
+        deviation = max(gaps_of(state, targets).values(), default=0.0)
         if deviation <= tolerance:
             break
+    if nearest and deviation > ACCEPTED:
+        state, was = first, deviation
+        for done in range(0, sweeps, SWEEPS_AT_ONCE):
+            for _ in range(SWEEPS_AT_ONCE):
+                before = state
+                for i, dimension in enumerate(targets):
+                    state = corrected(before, dimension, f"scale{i}")
+                scales = [F.pow(f"scale{i}", F.lit(1 / len(targets))) for i in range(len(targets))]
+                state = state.withColumn("weight", reduce(lambda a, b: a * b, scales, F.col("weight"))).drop(*(f"scale{i}" for i in range(len(targets))))
+            state = materialize(state, f"averaging-{done}")
+            state = state.withColumn("weight", F.col("weight") / F.lit(state.agg(F.sum("weight")).first()[0] or 1.0))
+            deviation = max(gaps_of(state, targets).values(), default=0.0)
+            if abs(deviation - was) <= tolerance:
+                break
+            was = deviation
     return state, deviation
 
 
+def gaps_of(raked: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """The largest deviation of each dimension's marginal from its targets."""
+    found = [
+        raked.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now")).join(t, "value").agg(F.lit(d).alias("dimension"), F.max(F.abs(F.col("now") - F.col("share"))).alias("gap"))
+        for d, t in targets.items()
+    ]
+    return {r["dimension"]: r["gap"] or 0.0 for r in reduce(DataFrame.unionByName, found).collect()}  # a row per dimension
+
+
 def scale_for(cells: DataFrame, tokens: float) -> float:
     """The scale of the weight/token ratios at which the sampled tokens are expected to be so many."""
     ratio = F.try_divide("weight", "tokens")
@@ -144,31 +204,63 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def sample_probabilities(docs: DataFrame, dimensions: dict[str, Column], powers: dict[str, float], fraction: float, seed: int = 7) -> DataFrame:
-    """docs with the struct column ``mix``: each dimension's value, tokens, probability and whether it is sampled.
+def scale_of(tokens: np.ndarray, weight: np.ndarray, wanted: float) -> float:
+    """The same scale for cells that are on the driver, by bisection."""
+    ratio = weight[tokens > 0] / tokens[tokens > 0]
+    if not len(ratio) or not (ratio > 0).any():
+        return 0.0
+    low, high = 0.0, float(1 / ratio[ratio > 0].min())
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if (tokens[tokens > 0] * np.minimum(1.0, ratio * middle)).sum() >= wanted else (middle, high)
+    return high
+
+
+def sample_probabilities(docs: DataFrame, dimensions: dict[str, Column], powers: dict[str, float], fraction: float, seed: int = 7, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """docs with the struct column ``mix``: each dimension's value, tokens, probability, whether it is sampled, and ``<dimension>_gap``.
 
-    powers: for each dimension the power of its smoothed targets. fraction: expected share of all tokens.
+    powers: for each dimension the power of its smoothed targets. targets: shares of a caller's own instead, for all of
+    the dimensions; they raise an error where the cells can't have them. fraction: expected share of all tokens. A gap is
+    the largest deviation of a dimension's raked shares from its targets.
     """
     names = list(dimensions)
     cell, found, salt = (_free(docs, n) for n in ("cell", "probability", "salt"))
     mixed = docs.withColumn("mix", F.struct(*(F.coalesce(c.cast("string"), F.lit("")).alias(d) for d, c in dimensions.items()), words().alias("tokens")))
     cells = mixed.groupBy(*(F.col(f"mix.{d}").alias(d) for d in names)).agg(F.sum("mix.tokens").alias("tokens"))
     cells = materialize(cells, "mixing-cells")
-    targets = {d: materialize(smoothed_targets(cells, d, powers[d]), f"mixing-{d}") for d in names}
-    raked, deviation = rake(cells, targets)
-    if deviation > ACCEPTED:
-        raise ValueError(f"raking has not settled: a marginal is off by {deviation:.2g}")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    scale = scale_for(raked, fraction * total)
+    count = cells.count()
+    if count <= DRIVER_CELLS:
+        rows = cells.collect()
+        wanted = targets or {d: _smoothed(rows, d, powers[d]) for d in names}
+        weight, gaps = raked_weights(rows, wanted, nearest=targets is None)
+        raked, tokens = _with_weights(cells, rows, weight), np.array([r["tokens"] for r in rows], float)
+        scale = scale_of(tokens, weight, fraction * tokens.sum())
+    else:
+        made = {d: cells.sparkSession.createDataFrame([*targets[d].items()], "value string, share double") if targets else materialize(smoothed_targets(cells, d, powers[d]), f"mixing-{d}") for d in names}
+        raked, _ = rake_by_joins(cells, made, SWEEPS, TOLERANCE, targets is None)
+        gaps = gaps_of(raked, made)
+        scale = scale_for(raked, fraction * (cells.agg(F.sum("tokens")).first()[0] or 0))
+    if targets and max(gaps.values()) > ACCEPTED:
+        raise ValueError(f"raking has not settled: the cells can't have the targets, marginals are off by {gaps}")
     chance = F.coalesce(F.least(F.lit(1.0), F.try_divide("weight", "tokens") * scale), F.lit(1.0))
     calibrated = raked.select(F.struct(*names).alias(cell), chance.alias(found))
     key = F.struct(*(F.col(f"mix.{d}").alias(d) for d in names))
-    if cells.count() <= BROADCAST_CELLS:
+    if count <= BROADCAST_CELLS:
         joined = mixed.join(F.broadcast(calibrated), key == F.col(cell))
     else:
         salted = calibrated.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = mixed.join(salted, (key == F.col(cell)) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int") == F.col(salt))).drop(salt)
-    return joined.withColumn("mix", F.struct(F.col("mix.*"), F.col(found).alias("probability"), (uniform(seed) < F.col(found)).alias("sampled"))).drop(cell, found)
+    off = [F.lit(float(gaps[d])).alias(f"{d}_gap") for d in names]
+    return joined.withColumn("mix", F.struct(F.col("mix.*"), F.col(found).alias("probability"), (uniform(seed) < F.col(found)).alias("sampled"), *off)).drop(cell, found)
+
+
+def _smoothed(rows: list, dimension: str, power: float) -> dict[str, float]:
+    """smoothed_targets() of cells that are on the driver."""
+    sums: dict[str, float] = {}
+    for r in rows:
+        sums[r[dimension]] = sums.get(r[dimension], 0.0) + r["tokens"]
+    whole = sum(v**power for v in sums.values() if v) or 1.0
+    return {k: v**power / whole if v else 0.0 for k, v in sums.items()}
 
 
 def _free(docs: DataFrame, name: str) -> str:
