@@ -278,4 +278,4 @@ def test_every_document_has_its_ngrams(spark):
     from tidemark.plans import load
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 2")
-    assert load()[0]["char_ngrams_all"](spark, SF).count() == docs.count() > 150
+    assert load()[0]["char_ngrams"](spark, SF).count() == docs.count() > 150

@@ -526,12 +526,6 @@ def char_ngrams(spark, d):
     return text.ngram_counts(read(spark, d, "documents"), "doc_id", "text", 3)
 
 
-@query(_NGRAMS)
-def char_ngrams_all(spark, d):
-    """The same, by its older name."""
-    return char_ngrams(spark, d)
-
-
 @query(
     """WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY ALL), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
 SELECT e.user_id, d.day, round(sum(v * 0.5 ** (date_diff('day', e.day, d.day) / 5.0)), 4) AS score FROM e JOIN d ON d.day >= e.day AND d.day < e.day + INTERVAL 15 DAY GROUP BY ALL"""

@@ -168,7 +168,7 @@ SELECT date, entity, round(sum(w), 6) AS weight FROM x JOIN c USING (session) GR
 )
 def staggered_sleeves(spark, d):
     t = top10(spark, d)
-    held = t.select("date", "entity", portfolio.weights(t, "equal", "date").alias("weight"))
+    held = portfolio.weighted(t, "equal", "date").select("date", "entity", "weight")
     return portfolio.sleeves(held, joins.calendar(held), 3).select("date", "entity", *r6("weight"))
 
 

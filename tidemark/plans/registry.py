@@ -79,5 +79,9 @@ def r6(*names: str) -> list[Column]:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
 
+#: Added before rounding where exact results of six-digit inputs (halves of a last digit) would fall between two six-digit numbers.
+SHIFT = 1.234567891e-7
+
+
 def s6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)

@@ -10,7 +10,7 @@ from tidemark.functions.expr import compound, known_share, rank_pct, row_in, row
 from tidemark.operators import decisions, evaluate, joins, models, portfolio, text
 from tidemark.plans.eval_queries import _ICS, _LONG, _QUOTAS, FACTORS, PROBS, factor_ics, ic_sql, probs
 from tidemark.plans.panel_queries import labeled, returns
-from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, cdf_sql, cross_sql, query, r6, rank_sql, residual_sql, s6
+from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, SHIFT, cdf_sql, cross_sql, query, r6, rank_sql, residual_sql, s6
 from tidemark.sources.panel import cross_sections, filings, normalize_market, panel_week, read, sectors
 
 QUARTER, YEAR = cross_sql("quarter"), cross_sql("year")
@@ -27,12 +27,12 @@ def rho_sql(a: str, b: str, where: str = "true", least: int = 2) -> str:
 
 def _residuals(spark: SparkSession, d: str, controls: list[str], group: str | None) -> DataFrame:
     rows = cross_sections(spark, d, "quarter").withColumns({"y": F.when(F.col("entity") % 11 > 0, F.col("label")), "industry": F.when(F.col("entity") % 13 > 0, F.col("industry")), "size": F.when(F.col("entity") % 7 > 0, F.col("size"))})
-    return evaluate.residualize(rows, "y", controls, ["date"], group).where("y is not null").select("date", "entity", *r6("residual"))
+    return evaluate.residualize(rows, "y", controls, ["date"], group).where("y is not null").select("date", "entity", F.round(F.col("residual") + SHIFT, 6).alias("residual"))
 
 
 def _residuals_sql(controls: list[str], group: str | None) -> str:
     src = "src AS (SELECT * REPLACE (CASE WHEN entity % 13 > 0 THEN industry END AS industry, CASE WHEN entity % 7 > 0 THEN size END AS size), CASE WHEN entity % 11 > 0 THEN label END AS y FROM cross_rows)"
-    return f"WITH {QUARTER}, {src}, {residual_sql('src', 'y', controls, 'date', group)} SELECT date, entity, round(residual, 6) AS residual FROM cleared"
+    return f"WITH {QUARTER}, {src}, {residual_sql('src', 'y', controls, 'date', group)} SELECT date, entity, round(residual + {SHIFT}, 6) AS residual FROM cleared"
 
 
 @query(_residuals_sql(["size"], None))
@@ -281,13 +281,13 @@ def certification(spark, d):
 
 @query(
     f"""WITH {QUARTER}, s AS (SELECT entity, least(1, greatest(0, least(1, abs(greatest(0, least(1, momentum * 1.2 - 0.1)) - 0.5) * 2))) * 0.15 + 0.22 * size + 0.18 * 0.6 + 0.15 * least(1, greatest(0, label + 0.8)) + 0.10 * coalesce(CASE WHEN entity % 5 > 0 THEN 0.7 END, 0) + 0.20 * 1 AS raw FROM cross_rows), c AS (SELECT entity, least(1, greatest(0, raw * 0.9)) AS score FROM s)
-SELECT entity, round(score, 6) AS score, CASE WHEN score < 0.4 THEN 'LOW' WHEN score < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM c"""
+SELECT entity, round(score + {SHIFT}, 6) AS score, CASE WHEN score < 0.4 THEN 'LOW' WHEN score < 0.7 THEN 'MEDIUM' ELSE 'HIGH' END AS level FROM c"""
 )
 def confidence_scores(spark, d):
     rows = cross_sections(spark, d, "quarter")
     evidence = {"oos_skill": F.col("size"), "calibration_quality": F.lit(0.6), "regime_consistency": F.col("label") + 0.8, "sector_stability": F.when(F.col("entity") % 5 > 0, 0.7), "feature_completeness": F.lit(1.5)}
     score = market.confidence(F.col("momentum") * 1.2 - 0.1, evidence, F.lit(0.9))
-    return rows.select("entity", score.alias("score")).select("entity", *r6("score"), market.confidence_level(F.col("score")).alias("level"))
+    return rows.select("entity", score.alias("score")).select("entity", F.round(F.col("score") + SHIFT, 6).alias("score"), market.confidence_level(F.col("score")).alias("level"))
 
 
 @query(
