@@ -152,11 +152,11 @@ def rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int,
             for dimension in targets:
                 state = corrected(state, dimension, "scale").withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
         state = materialize(state, f"raking-{done}")
-        deviation = max(gaps_of(state, targets).values(), default=0.0)
-        if deviation <= tolerance:
+        was, deviation = deviation, max(gaps_of(state, targets).values(), default=0.0)
+        if deviation <= tolerance or abs(deviation - was) <= tolerance / 100:  # there, or as near as it comes
             break
     if nearest and deviation > ACCEPTED:
-        state, was = first, deviation
+        state = first
         for done in range(0, sweeps, SWEEPS_AT_ONCE):
             for _ in range(SWEEPS_AT_ONCE):
                 before = state
@@ -166,10 +166,9 @@ def rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int,
                 state = state.withColumn("weight", reduce(lambda a, b: a * b, scales, F.col("weight"))).drop(*(f"scale{i}" for i in range(len(targets))))
             state = materialize(state, f"averaging-{done}")
             state = state.withColumn("weight", F.col("weight") / F.lit(state.agg(F.sum("weight")).first()[0] or 1.0))
-            deviation = max(gaps_of(state, targets).values(), default=0.0)
-            if abs(deviation - was) <= tolerance:
+            was, deviation = deviation, max(gaps_of(state, targets).values(), default=0.0)
+            if abs(deviation - was) <= tolerance / 100:
                 break
-            was = deviation
     return state, deviation
 
 
