@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, partitions, small, text_or_empty
+from tidemark.llm.common import materialize, partitions, runs_of, small, text_or_empty
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -235,25 +235,6 @@ def next_nodes(members: DataFrame) -> DataFrame:
     return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
 
 
-def _runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of equal leading columns, whole, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        edges = [0, *change.tolist(), batch.num_rows]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            part = batch.slice(lo, hi - lo)
-            if held and any(held[0].column(i)[0] != part.column(i)[0] for i in range(keys)):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-
-
 def _small_links(values: np.ndarray) -> np.ndarray:
     """For each member of a small node the first member that its tokens allow to be similar."""
     same = np.zeros((len(values), len(values)), np.int16)
@@ -281,7 +262,7 @@ def coarse_links(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
-        for own in _runs_of(batches, 1):
+        for own in runs_of(batches, 1):
             ids, values = own.column(1).to_numpy(), _matrix(own.column(2))
             if len(ids) == 2:
                 at = np.array([0, 0 if (values[0] == values[1]).sum() >= SHARED else 1])
@@ -350,7 +331,7 @@ def exact_links(members: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _runs_of(batches, 3):
+        for own in runs_of(batches, 3):
             i, j = own.column(1)[0].as_py(), own.column(2)[0].as_py()
             block, ids, copies = (own.column(k).to_numpy() for k in (3, 4, 5))
             flat = np.frombuffer(b"".join(own.column(6).to_pylist()), np.uint64)

@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, license, license_texts, media, mixing, packing, pii, prefixhash, quality, sharding
+from tidemark.llm import alignment, chat, jaccard, license, license_texts, media, mixing, negatives, packing, pii, prefixhash, quality, sharding, topk
 from tidemark.llm.common import documents
 
 #: Parameters: the tokenizer's file, and the key of the pseudonyms (a deployment passes its own).
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 PII_KEY = b"example key, replace in deployment"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, label = embeddings(spark, sf_dir), F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(e.select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), *map(tokenizer_path, ALIGNED))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_mixing": op2_mixing,
@@ -85,8 +104,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_pii": op9_pii,
     "op10_packing": op10_packing,
+    "op11_negatives": op11_negatives,
+    "op12_alignment": op12_alignment,
+    "op13_topk": op13_topk,
 }
 
+
+def _vectors_sql(scale: int) -> str:
+    return f"""vectors AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS moved, [floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding]::DOUBLE[] AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+NEGATIVES_SQL = f"""WITH {_vectors_sql(256)}, s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.moved = b.moved AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+ FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.moved IS NOT NULL AND b.moved IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE same QUALIFY r <= 5)
+SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10"""
+TOPK_SQL = f"""WITH {_vectors_sql(1024)}, s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
 CHAT_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns, list([role, text] ORDER BY pos) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY 1),
 p AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.l[1] = b.l[1] AND b.n_turns > a.n_turns AND b.l[1:a.n_turns] = a.l)
@@ -124,4 +160,4 @@ SELECT doc_id, digest, license_id, coalesce(part_ids, '') AS part_ids FROM docs
 
 
 #: The other operators hash, decode, tokenise, permute or iterate beyond what SQL can say.
-ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL, "op7_license": license_sql()}
+ORACLES: dict[str, str] = {"op6_chat": CHAT_SQL, "op7_license": license_sql(), "op11_negatives": NEGATIVES_SQL, "op13_topk": TOPK_SQL}
