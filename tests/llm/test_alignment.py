@@ -79,6 +79,17 @@ def test_awkward_texts(spark, monkeypatch, hot, at_once):
     assert sum(r[1] == 0 for r in want) >= 3 and sum(r[3] < min(r[1], r[2]) for r in want) > 50
 
 
+def test_both_encoders_of_a():
+    """The encoder by ranks gives the ids of the tokenizer's own; long blanks go to the latter."""
+    own = alignment.Sides(*map(tokenizer_path, ALIGNED))
+    assert own.fast is not None
+    r = random.Random(6)
+    alphabet = "abcdeß '\n\t\u3000\u00a0日😀0１²½,.-_<|>‍\u0301ǅªºʰ٣\x1c\x85"
+    texts = [t for t in awkward() if t] + ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 60))) for _ in range(20_000)] + [" " * 100_000 + "a", "\n" * 700 + "b", "xy" * 100_000]
+    for t in texts:
+        assert own.left_ids(t) == own.a.encode(" " + t, add_special_tokens=False).ids
+
+
 def test_null_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, "one two"), (None, "one two"), (3, None)], "doc_id long, text string")
     a, b, c = sorted(map(tuple, alignment.align(df, *map(tokenizer_path, ALIGNED)).collect()), key=lambda r: r[0] or 0)

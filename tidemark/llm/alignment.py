@@ -19,6 +19,7 @@ extra columns are ignored. Very long texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +38,12 @@ from tidemark.llm.common import materialize, text_or_empty
 HOT = 500_000
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 1 << 20
-#: Label characters: none, A-end, B-end, both.
-LABELS = b"0123"
+#: Labels are the characters 0 (none), 1 (A-end), 2 (B-end) and 3 (both).
+NONE = ord("0")
 SPAN = re.compile(rb"[^3]*3")
-_U = np.uint64
+#: How the byte-level tokenizer cuts words, and blanks that go by the plain encoder.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_BLANK = re.compile(r"\s{256}")
 
 
 class Sides:
@@ -52,6 +56,7 @@ class Sides:
 
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
+        self.fast = None
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         shown = _shown_bytes()
         vocab = self.a.get_vocab(with_added_tokens=True)
@@ -60,6 +65,13 @@ class Sides:
             self.bytes_a[i] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        spec = json.loads(self.a.to_str())
+        if _by_rank(spec):
+            import tiktoken
+
+            special = {t["id"] for t in spec["added_tokens"]}
+            ranks = {x: i for i, x in enumerate(self.bytes_a) if i not in special}
+            self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         # A token's decimal id before another of its side, before the other side, and before the next group.
         self.written = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
 
@@ -71,23 +83,29 @@ class Sides:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of both sides of each text, or None where they don't give its bytes."""
-        left = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        left = map(self.left_ids, texts)
         right = self.b.encode(texts, num_threads=1)
         for text, x, y in zip(texts, left, right, strict=True):
-            x, raw = x.ids, b" " + text.encode()
+            raw = b" " + text.encode()
             same = bool(text) and b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
             yield (np.array(x, np.int64), np.array(y, np.int64)) if same else None
 
+    def left_ids(self, text: str) -> list[int]:
+        """The ids of A; the quick encoder gives the same ones, but its pattern can't go through very long blanks."""
+        if self.fast is None or LONG_BLANK.search(text):
+            return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        return self.fast.encode_ordinary(" " + text)
+
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
         """The A and B tokens up to the end of each group, and the groups as text."""
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         mark = np.zeros(int(ends_a[-1]) + 1, np.uint8)
         mark[ends_a] |= 1
         mark[ends_b] |= 2
-        labels = np.frombuffer(LABELS, np.uint8)[mark[1:]]
+        labels = mark[1:] + np.uint8(NONE)
         # Every text ends in a both-label, so the spans cover it.
         stops = np.cumsum(np.fromiter(map(len, SPAN.findall(labels.tobytes())), np.int64))
-        upto_a, upto_b = (np.cumsum((mark[1:] & bit) > 0)[stops - 1] for bit in (1, 2))
+        upto_a, upto_b = (np.searchsorted(ends, stops, "right") for ends in (ends_a, ends_b))  # labels of a side up to each span's end
         return upto_a, upto_b, self._write(a, b, upto_a, upto_b)
 
     def _write(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> str:
@@ -102,6 +120,15 @@ class Sides:
         return "".join(map(self.written.__getitem__, out.tolist()))[:-1]
 
 
+def _by_rank(spec: dict) -> bool:
+    """Whether a byte-level BPE without a normalizer merges in the order of its ids, as an encoder by ranks does."""
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"]["".join(m)] for m in pairs]
+    plain = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not model.get("ignore_merges")
+    return plain and ids == sorted(ids) and len(model["vocab"]) - len(ids) - 256 <= len(spec["added_tokens"])
+
+
 @lru_cache(1)
 def sides(a: str, b: str) -> Sides:
     return Sides(a, b)
@@ -123,14 +150,11 @@ def encoded(docs: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, own = TaskContext.get().partitionId() << 33, sides(a, b)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= AT_ONCE):
-                    size += len(texts[hi])
-                    hi += 1
-                made = [_row(own, x) for x in own.encode(texts[lo:hi])]
+            ids, sizes, lo = batch.column(0), pc.binary_length(batch.column(1)).to_numpy(), 0
+            upto = np.cumsum(sizes)
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - sizes[lo] + AT_ONCE, "right")))
+                made = [_row(own, x) for x in own.encode(batch.column(1).slice(lo, hi - lo).to_pylist())]
                 columns = [pa.array(x, t) for x, t in zip(zip(*made, strict=True), [pa.int64()] * 4 + [pa.string(), pa.binary()], strict=True)]
                 rows = pa.array(np.arange(row, row + hi - lo, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), rows, *columns], [x.split()[0] for x in FOUND.split(", ")])
