@@ -129,12 +129,6 @@ def test_regime_hysteresis(spark, monkeypatch):
         assert all(x.exposure == {"full": 1.0, "cautious": 0.7, "defensive": 0.4}[x.state] for x in got)
 
 
-def test_bootstrap_is_repeatable(spark):
-    df = spark.createDataFrame([("k", i, float(i % 7)) for i in range(60)], "k string, i int, v double")
-    a, b = (portfolio.bootstrap(df, "k", "i", "v", reps=50).first() for _ in range(2))
-    assert a == b and a.reps == 50 and a.low < 3 < a.high
-
-
 def test_sleeves_and_weights(spark):
     dates = spark.createDataFrame([(DAY + dt.timedelta(i), i + 1) for i in range(4)], "date date, session int")
     held = spark.createDataFrame([(DAY + dt.timedelta(i), e, 0.5) for i in range(4) for e in ("ab", "bc")[i % 2]], "date date, entity string, weight double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import correlation, rank_pct, row_in, share_of
 from tidemark.operators import evaluate, portfolio
+from tidemark.sources.stages import written
 
 #: Parts of names that only columns of the future or of labels have (fixed values).
 FORBIDDEN = ("future_", "label", "entry_", "exit_", "execution_", "raw_up", "tradable_up", "target")
@@ -105,6 +106,7 @@ def select_factors(audit: DataFrame, correlations: DataFrame, threshold: float =
 
     correlations: f, g, rho for every pair. A row per factor and per pair of factors reach the driver, where the greedy pass is made.
     """
+    audit = written(audit, "audit")
     rho = {}
     for r in correlations.collect():
         rho[r["f"], r["g"]] = rho[r["g"], r["f"]] = r["rho"]
@@ -186,22 +188,29 @@ def policy_select(df: DataFrame, score: str, key: str, tie: str, k: int, held: s
     return first.where(F.col("__pick") <= k).drop("__new", "__pick")
 
 
-def _allocate(df: DataFrame, keys: list[str], capacity: str, total: str, preference: str, name: str, rounds: int) -> DataFrame:
-    """df with ``name``: shares of ``total`` in proportion to a preference, none above its capacity; what a full one leaves goes to the others, round by round."""
-    group = Window.partitionBy(*keys)
-    out = df.withColumns({name: F.lit(0.0), "__left": F.least(F.col(total), F.sum(F.greatest(F.col(capacity), F.lit(0.0))).over(group))})
-    for _ in range(rounds):
-        room = F.greatest(F.col(capacity) - F.col(name), F.lit(0.0))
-        wish = F.when(room > 1e-12, F.greatest(F.col(preference), F.lit(0.0))).otherwise(0.0)
-        out = out.withColumns({"__room": room, "__wish": wish})
-        even = F.when(F.col("__room") > 1e-12, 1.0).otherwise(0.0)
-        share = F.when(F.sum("__wish").over(group) > 0, F.col("__wish") / F.sum("__wish").over(group)).otherwise(F.coalesce(F.try_divide(even, F.nullif(F.sum(even).over(group), F.lit(0.0))), F.lit(0.0)))
-        out = out.withColumn("__add", F.least(share * F.col("__left"), F.col("__room")))
-        out = out.withColumns({name: F.col(name) + F.col("__add"), "__left": F.greatest(F.col("__left") - F.sum("__add").over(group), F.lit(0.0))})
-    return out.drop("__left", "__room", "__wish", "__add")
+def allocate(df: DataFrame, keys: list[str], capacity: str, total: str, preference: str, name: str) -> DataFrame:
+    """df with ``name``: shares of a group's ``total`` in proportion to preferences, none above its capacity, the sum of all as near to the total as capacities allow.
 
-
-def benchmark_relative(df: DataFrame, n: int = 30, budget: float = 0.15, stock: float = 0.0075, tracking: float = 0.06, rounds: int = 6) -> DataFrame:
+    Shares stand at one water level: min(capacity, level * preference). In order of capacity / preference, a member is full
+    if filling the group up to that ratio takes no more than the total, and the level follows from what the full ones leave.
+    Members without a preference share evenly what is left once all others are full.
+    """
+    liked = F.col("__like") > 0
+    group, tier = Window.partitionBy(*keys), Window.partitionBy(*keys, "__liked")
+    upto = tier.orderBy("__ratio")  # equal ratios together
+    out = df.withColumns({"__room": F.greatest(F.coalesce(F.col(capacity), F.lit(0.0)), F.lit(0.0)), "__like": F.greatest(F.coalesce(F.col(preference), F.lit(0.0)), F.lit(0.0))})
+    first = F.least(F.coalesce(F.col(total), F.lit(0.0)), F.coalesce(F.sum(F.when(liked, F.col("__room"))).over(group), F.lit(0.0)))
+    out = out.withColumns({"__liked": liked, "__whole": F.when(liked, first).otherwise(F.greatest(F.col(total) - first, F.lit(0.0))), "__like": F.when(liked, F.col("__like")).otherwise(1.0)})
+    out = out.withColumn("__ratio", F.col("__room") / F.col("__like"))
+    out = out.withColumns({"__c": F.sum("__room").over(upto), "__p": F.sum("__like").over(tier) - F.sum("__like").over(upto)})
+    out = out.withColumn("__full", F.col("__c") + F.col("__ratio") * F.col("__p") <= F.col("__whole"))
+    left = F.greatest(F.col("__whole") - F.coalesce(F.sum(F.when(F.col("__full"), F.col("__room"))).over(tier), F.lit(0.0)), F.lit(0.0))
+    level = F.coalesce(F.try_divide(left, F.sum(F.when(~F.col("__full"), F.col("__like"))).over(tier)), F.lit(0.0))
+    share = F.when(F.col("__full"), F.col("__room")).otherwise(F.least(F.col("__room"), level * F.col("__like")))
+    return out.withColumn(name, share).drop("__room", "__like", "__liked", "__whole", "__ratio", "__c", "__p", "__full")
+
+
+def benchmark_relative(df: DataFrame, n: int = 30, budget: float = 0.15, stock: float = 0.0075, tracking: float = 0.06) -> DataFrame:
     """date, entity, weight, tilt: benchmark weights tilted towards the best of each sector within an active budget.
 
     A sector's tilt is its benchmark weight's part of the budget: taken by its chosen members by the inverse of volatility,
@@ -218,15 +227,16 @@ def benchmark_relative(df: DataFrame, n: int = 30, budget: float = 0.15, stock:
     overall = F.row_number().over(day.orderBy(F.desc("__first"), F.col("score").desc_nulls_last(), "entity"))
     rows = rows.withColumn("__chosen", F.col("__first") & (overall <= n)).drop("__first")
     rows = rows.withColumn("__target", F.lit(budget) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))) * F.col("__sector"))
-    middle = F.percentile(F.when(F.col("__chosen"), F.greatest(F.col("volatility"), F.lit(1e-4))), 0.5).over(cell)
-    inverse = 1 / F.coalesce(F.when(F.col("volatility").isNotNull(), F.greatest(F.col("volatility"), F.lit(1e-4))), middle, F.lit(0.02))
+    middle = F.percentile(F.when(F.col("__chosen"), F.greatest(F.col("volatility"), F.lit(1e-4))), 0.5).alias("__middle")
+    rows = rows.join(rows.groupBy("date", "sector").agg(middle).withColumnsRenamed({"date": "__date", "sector": "__of"}), (F.col("date") == F.col("__date")) & F.col("sector").eqNullSafe(F.col("__of"))).drop("__date", "__of")
+    inverse = 1 / F.coalesce(F.when(F.col("volatility").isNotNull(), F.greatest(F.col("volatility"), F.lit(1e-4))), F.col("__middle"), F.lit(0.02))
     rows = rows.withColumns({
         "__up": F.when(F.col("__chosen"), F.lit(stock)).otherwise(0.0), "__down": F.when(F.col("__chosen"), 0.0).otherwise(F.least(F.col("__base"), F.lit(stock))),
-        "__like": F.when(F.col("__chosen"), inverse).otherwise(0.0), "__give": F.when(F.col("__chosen"), 0.0).otherwise(F.col("__base")),
+        "__wish": F.when(F.col("__chosen"), inverse).otherwise(0.0), "__give": F.when(F.col("__chosen"), 0.0).otherwise(F.col("__base")),
     })
-    rows = _allocate(rows, ["date", "sector"], "__up", "__target", "__like", "__more", rounds)
+    rows = allocate(rows, ["date", "sector"], "__up", "__target", "__wish", "__more")
     rows = rows.withColumn("__wanted", F.sum("__more").over(cell))
-    rows = _allocate(rows, ["date", "sector"], "__down", "__wanted", "__give", "__less", rounds)
+    rows = allocate(rows, ["date", "sector"], "__down", "__wanted", "__give", "__less")
     given = F.sum("__less").over(cell)
     rows = rows.withColumn("__matched", F.least(F.col("__wanted"), given)).withColumns({"__given": given})
     part = lambda c, whole: F.col(c) * F.coalesce(F.try_divide("__matched", F.nullif(F.col(whole), F.lit(0.0))), F.lit(0.0))

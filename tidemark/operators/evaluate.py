@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import correlation, normal_cdf, rank_first_bucket, rank_pct, row_in, share_of, size_of
+from tidemark.sources.stages import running, written
 
 
 def rank_ic(df: DataFrame, score: str, label: str, keys: list[str], least: int = 10) -> DataFrame:
@@ -261,17 +262,21 @@ def tail_metrics(df: DataFrame, score: str, label: str, key: str, tie: str, leas
     )
 
 
+def pooled_ranks(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """df with the rank (average ties) of a value among all rows of its key; equal values are counted together first."""
+    v = df.groupBy(key, value).agg(F.count("*").alias("__n"))
+    upto = running(v, [key], [value], F.col("__n"), "__before")
+    return df.join(upto.select(key, value, (F.col("__before") + (F.col("__n") + 1) / 2.0).alias(name)), [key, value])
+
+
 def pooled_spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """f, g, rho for every pair of columns, by ranks (average ties) over all rows that have every one of them."""
+    """f, g, rho for every pair of columns, by ranks (average ties) over all rows that have every one of them: one ranking for all columns."""
     rows = df.dropna(subset=columns).select(*(F.col(c).cast("double").alias(c) for c in columns))
-    for c in columns:
-        v = rows.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
-        v = v.withColumn("__r", value_range(v, "__v"))
-        own = F.coalesce(F.sum("__n").over(Window.partitionBy("__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = v.join(F.broadcast(_before(v, "__n")), "__r").select(F.col("__v").alias(c), (F.col("__b___n") + own + (F.col("__n") + 1) / 2.0).alias(f"__rank_{c}"))  # a row per range
-        rows = rows.join(ranks, c)
+    rows = written(rows.withColumn("__id", F.monotonically_increasing_id()), "spearman-rows")
+    ranks = pooled_ranks(rows.unpivot("__id", columns, "__f", "__v"), "__f", "__v", "__rank")
+    wide = ranks.groupBy("__id").agg(*(F.max(F.when(F.col("__f") == c, F.col("__rank"))).alias(c) for c in columns))
     pairs = [(f, g) for f in sorted(columns) for g in sorted(columns) if f < g]
-    got = rows.agg(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), correlation(f"__rank_{f}", f"__rank_{g}").alias("rho")).alias(f"p{i}") for i, (f, g) in enumerate(pairs)))
+    got = wide.agg(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), correlation(f, g).alias("rho")).alias(f"p{i}") for i, (f, g) in enumerate(pairs)))
     return got.select(F.inline(F.array(*(f"p{i}" for i in range(len(pairs))))))
 
 

@@ -193,25 +193,3 @@ def sleeves(holdings: DataFrame, sessions: DataFrame, horizon: int) -> DataFrame
     """Weights of ``horizon`` overlapping sleeves: each date's target is held for that many sessions at 1 / horizon."""
     placed = holdings.join(sessions, "date").withColumn("session", F.explode(F.sequence(F.col("session"), F.col("session") + horizon - 1)))
     return placed.groupBy("session", "entity").agg((F.sum("weight") / horizon).alias("weight")).join(sessions, "session").select("date", "entity", "weight")
-
-
-def bootstrap(df: DataFrame, key: str, order: str, value: str, block: int = 5, reps: int = 200, seed: int = 7) -> DataFrame:
-    """Moving-block bootstrap of the mean per key: replicates are dealt over tasks, each with a seed of its own; 2.5 and 97.5 % bounds. The series is one value per period."""
-    import numpy as np
-
-    series = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s")).select(key, F.transform("s", lambda x: x[value]).alias("v"))
-    jobs = series.crossJoin(df.sparkSession.range(reps).withColumnRenamed("id", "rep"))
-    kind = df.schema[key].dataType.simpleString()
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            means = []
-            for v, rep in zip(b.v, b.rep, strict=True):
-                n = len(v)
-                size = min(block, n)
-                starts = np.random.default_rng([seed, int(rep)]).integers(0, n - size + 1, -(-n // size))
-                means.append(float(np.concatenate([v[s : s + size] for s in starts])[:n].mean()))
-            yield pd.DataFrame({key: b[key], "mean": means})
-
-    out = jobs.mapInPandas(draw, f"{key} {kind}, mean double")
-    return out.groupBy(key).agg(F.count("*").alias("reps"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))

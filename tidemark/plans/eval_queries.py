@@ -588,11 +588,6 @@ def nav_ledger(spark, d):
     return portfolio.ledger(one("ret_4").unionByName(one("ret_12")), 10, 10.0)
 
 
-@query()
-def block_bootstrap(spark, d):
-    return portfolio.bootstrap(factor_ics(spark, d), "factor", "date", "ic")
-
-
 @query()
 def canonical_hash(spark, d):
     return table_hash(panel_week(spark, d).select("entity", "date", F.round("close", 6).alias("close")))

@@ -66,17 +66,6 @@ def signal_screening(spark, d):
     )
 
 
-@query(
-    f"""WITH {LABELS}, {_LONG}, {_ICS}, p AS (SELECT a.date, a.ic - b.ic AS delta FROM ics a JOIN ics b USING (date) WHERE a.factor = 'ret_4' AND b.factor = 'ret_12')
-SELECT year(date) AS fold, count(delta) AS n, round(avg(delta), 6) AS mean_delta, round(avg(CAST(round(delta, 9) > 0 AS DOUBLE)), 6) AS wins FROM p GROUP BY 1"""
-)
-def paired_fold_comparison(spark, d):
-    ics = factor_ics(spark, d)
-    a, b = ics.where("factor = 'ret_4'").select("date", F.col("ic").alias("a")), ics.where("factor = 'ret_12'").select("date", F.col("ic").alias("b"))
-    p = a.join(b, "date").withColumn("delta", F.col("a") - F.col("b"))
-    return p.groupBy(F.year("date").cast("long").alias("fold")).agg(F.count("delta").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(share_of(F.round("delta", 9) > 0), 6).alias("wins"))
-
-
 @query(
     f"""WITH {LABELS}, v AS (SELECT entity, date, CASE WHEN label IS NOT NULL THEN row_number() OVER (PARTITION BY date ORDER BY label NULLS LAST, entity) / count(label) OVER (PARTITION BY date) END AS p FROM labeled)
 SELECT entity, date, CASE WHEN p > 0.9 THEN 4 WHEN p > 0.8 THEN 3 WHEN p > 0.6 THEN 2 WHEN p > 0.4 THEN 1 ELSE 0 END AS relevance FROM v"""
@@ -335,23 +324,6 @@ def gbt_direction(spark, d):
     return fitted.transform(x.where("date >= date '1997-01-01'")).select("entity", "date", F.round(vector_to_array("probability")[1], 6).alias("p"), "up")
 
 
-@query()
-def permutation_importance(spark, d):
-    """Loss of rank correlation when one factor is shuffled within each date, per factor; the shuffle is by hash."""
-    rows = labeled(spark, d).dropna(subset=["ret_1", "ret_4", "ret_12", "label"])
-    names = ["ret_1", "ret_4", "ret_12"]
-    m = models.ridge(rows, names, "label", 1.0)
-    base = evaluate.rank_ic(rows.withColumn("s", m.column()), "s", "label", ["date"], 5).agg(F.avg("ic").alias("base"))
-    out = None
-    for f in names:
-        own = row_in([F.col("entity")], ["date"])
-        shuffled = rows.select("date", F.col(f).alias("other"), F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64(F.lit(f), "entity", "date"))).alias("n"))
-        mixed = rows.withColumn("n", own).join(shuffled, ["date", "n"]).withColumn(f, F.col("other"))
-        ic = evaluate.rank_ic(mixed.withColumn("s", m.column()), "s", "label", ["date"], 5).agg(F.avg("ic").alias("ic")).select(F.lit(f).alias("factor"), "ic")
-        out = ic if out is None else out.unionByName(ic)
-    return out.crossJoin(F.broadcast(base)).select("factor", F.round(F.col("base") - F.col("ic"), 6).alias("importance"))
-
-
 @query()
 def policy_grid(spark, d):
     """Ledgers of a grid of factors and sizes at two costs."""

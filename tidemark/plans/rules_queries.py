@@ -221,9 +221,29 @@ def core_plus_active(spark, d):
     return decisions.core_plus_active(p, portfolio.weighted(active, "equal", "date")).select("date", "entity", *r6("weight"))
 
 
-@query()
+def allocate_sql(src: str, out: str, c: str, total: str, p: str, name: str) -> str:
+    """CTEs that end in ``out``: src with the share of a (date, sector)'s total at one water level of capacity and preference, and what is left to those without a preference."""
+    tier = f"PARTITION BY date, sector, {p} > 0"
+    return f"""{out}1 AS (SELECT *, CASE WHEN {p} > 0 THEN {p} ELSE 1 END AS like_, least({total}, coalesce(sum(CASE WHEN {p} > 0 THEN {c} END) OVER (PARTITION BY date, sector), 0)) AS first_ FROM {src}),
+{out}2 AS (SELECT *, CASE WHEN {p} > 0 THEN first_ ELSE greatest({total} - first_, 0) END AS whole, {c} / like_ AS ratio FROM {out}1),
+{out}3 AS (SELECT *, sum({c}) OVER ({tier} ORDER BY ratio) + ratio * (sum(like_) OVER ({tier}) - sum(like_) OVER ({tier} ORDER BY ratio)) <= whole AS brim FROM {out}2),
+{out} AS (SELECT * EXCLUDE (like_, first_, whole, ratio, brim), CASE WHEN brim THEN {c} ELSE least({c}, coalesce(greatest(whole - coalesce(sum(CASE WHEN brim THEN {c} END) OVER ({tier}), 0), 0) / sum(CASE WHEN NOT brim THEN like_ END) OVER ({tier}), 0) * like_) END AS {name} FROM {out}3)"""
+
+
+@query(
+    f"""WITH {YEAR}, r0 AS (SELECT date, entity, sector, greatest(coalesce(score, 0), 0) AS w, CASE WHEN entity % 4 > 0 THEN label END AS s, 0.01 + size / 50 AS vol FROM cross_rows),
+r1 AS (SELECT *, w / nullif(sum(w) OVER (PARTITION BY date), 0) AS base FROM r0 QUALIFY base IS NOT NULL),
+r2 AS (SELECT *, sum(base) OVER (PARTITION BY date, sector) AS sw, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY date, sector ORDER BY s DESC NULLS LAST, entity) END AS best FROM r1),
+r3 AS (SELECT *, coalesce(best <= CASE WHEN sw > 0 THEN greatest(1, round_even(30 * sw, 0)) ELSE 0 END, false) AS first FROM r2),
+r4 AS (SELECT *, first AND row_number() OVER (PARTITION BY date ORDER BY first DESC, s DESC NULLS LAST, entity) <= 30 AS chosen, 0.15 * 0.8 * sw AS target FROM r3),
+r5 AS (SELECT *, CASE WHEN chosen THEN 0.0075 ELSE 0.0 END AS up, CASE WHEN chosen THEN 1 / greatest(vol, 0.0001) ELSE 0 END AS wish, CASE WHEN chosen THEN 0 ELSE least(base, 0.0075) END AS down, CASE WHEN chosen THEN 0 ELSE base END AS give FROM r4),
+{allocate_sql('r5', 'm', 'up', 'target', 'wish', 'more')}, r6 AS (SELECT *, sum(more) OVER (PARTITION BY date, sector) AS wanted FROM m), {allocate_sql('r6', 'l', 'down', 'wanted', 'give', 'less')},
+r7 AS (SELECT *, sum(less) OVER (PARTITION BY date, sector) AS given FROM l), r8 AS (SELECT *, coalesce(more * least(wanted, given) / nullif(wanted, 0), 0) - coalesce(less * least(wanted, given) / nullif(given, 0), 0) AS tilt0 FROM r7),
+r9 AS (SELECT *, sqrt(sum((tilt0 * vol) ** 2) OVER (PARTITION BY date) * 252) AS error FROM r8), r10 AS (SELECT *, tilt0 * CASE WHEN error > 0.06 THEN 0.06 / error ELSE 1 END AS tilt FROM r9)
+SELECT date, entity, round(greatest(base + tilt, 0) / sum(greatest(base + tilt, 0)) OVER (PARTITION BY date), 8) AS weight, round(tilt, 8) AS tilt FROM r10"""
+)
 def benchmark_relative_weights(spark, d):
-    """Benchmark weights tilted within a budget; held against a step-by-step version in tests."""
+    """Benchmark weights tilted within a budget, by exact capped allocations."""
     rows = cross_sections(spark, d, "year").select("date", "entity", "sector", F.col("score").alias("benchmark_weight"), F.when(F.col("entity") % 4 > 0, F.col("label")).alias("score"), (0.01 + F.col("size") / 50).alias("volatility"), F.lit(0.8).alias("confidence"))
     return decisions.benchmark_relative(rows).select("date", "entity", F.round("weight", 8).alias("weight"), F.round("tilt", 8).alias("tilt"))
 

@@ -7,8 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +30,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the earlier rows of the same keys, in an order that tells rows apart.
+
+    Rows are sorted in ranges of about equal size, summed within each range and key, and the ranges' sums are added
+    up, so a key with all rows is spread like any other.
+    """
+    placed = df.withColumn("__value", value).repartitionByRange(*map(_column, keys), *map(_column, order)).sortWithinPartitions(*map(_column, keys), *map(_column, order))
+    placed = written(placed.withColumn("__at", F.monotonically_increasing_id()), f"running-{name}").withColumn("__part", F.shiftright("__at", 33))
+    part = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("__part", *keys).agg(F.sum("__value").alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and key
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    first = parts.select("__part", *keys, F.sum("__sum").over(earlier).alias("__first"))
+    both = placed.withColumn("__own", F.sum("__value").over(part)).alias("a").join(first.alias("b"), reduce(Column.__and__, map(same, ["__part", *keys])))
+    zero = F.lit(0).cast(df.select(value.alias("v")).schema["v"].dataType)
+    return both.select("a.*", "__first").withColumn(name, F.coalesce("__own", zero) + F.coalesce("__first", zero)).drop("__own", "__first", "__value", "__at", "__part")
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str = "n", keys: list[str] | None = None) -> DataFrame:
+    """df with the number of each row (from 0) within its keys, in an order that tells rows apart."""
+    return running(df, keys or [], order, F.lit(1).cast("long"), name)
+
+
+def _column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
