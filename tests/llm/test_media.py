@@ -134,3 +134,16 @@ def test_whole_table(spark):
 def _bins(payload):
     c = media.PALETTE[np.frombuffer(payload, np.uint8)] >> 6
     return c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2]
+
+
+def test_expanding_stream_is_stopped(spark):
+    """A small file whose codes stand for twenty million samples on a screen of one pixel."""
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0xF7, 0, 0) + bytes(768) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x08"
+    codes = media.lzw_encode(bytes(20_000_000))
+    bomb += b"".join(bytes([len(b)]) + b for b in (codes[i : i + 255] for i in range(0, len(codes), 255))) + b"\0;"
+    assert len(bomb) < 40_000
+    with pytest.raises(ValueError, match="too many samples"):
+        list(media.decode(bomb))
+    rows = media.read_media(spark.createDataFrame([(1, bomb)], "doc_id long, media binary")).collect()
+    assert "too many samples" in rows[0].error and rows[0].feature is None
+    assert media.lzw_decode(media.lzw_encode(b"abcabc"), 8, 6) == b"abcabc"

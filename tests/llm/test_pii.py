@@ -142,3 +142,19 @@ def test_whole_table(spark):
             shift += len(new) - (b - a)
             at = b + shift
         assert "".join([*back, r.text[at:]]) == text
+
+
+@pytest.mark.parametrize("n", [10, 63, 64, 65, 128, 200, 3040, 20_000, 1_000_000])
+def test_words_of_any_length(n):
+    r = random.Random(n)
+    word = "".join(r.choices("abcXYZ019_-", k=n))
+    for kind, text in (("secret", f"token={word}"), ("email", f"mail {word.replace('_', '.')}@x.org")):
+        done, found = pii.replace(text, KEY)
+        assert found and len(done) == len(text)
+        value = text[found[0][1] : found[0][2]]
+        new = done[found[0][1] : found[0][2]]
+        assert pii.reveal(kind, new, KEY) == value and all(pii._alphabet(a) == pii._alphabet(b) for a, b in zip(value, new, strict=True))
+        if n >= 200:  # one changed symbol changes every chunk
+            i = next(i for i in range(n // 2, n) if value[i].isdigit())
+            other = pii.pseudonym(kind, value[:i] + str((int(value[i]) + 1) % 10) + value[i + 1 :], KEY)
+            assert all(other[j : j + 64] != new[j : j + 64] for j in range(0, n - n % 64, 64))

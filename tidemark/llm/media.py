@@ -84,12 +84,14 @@ def lzw_encode(data: bytes, min_size: int = 8) -> bytes:
     return out[: (at + 7) // 8].astype(np.uint8).tobytes()
 
 
-def lzw_decode(stream: bytes, min_size: int) -> bytes:
+def lzw_decode(stream: bytes, min_size: int, most: int | None = None) -> bytes:
+    """The samples of a code stream; more of them than ``most`` raise an error before they are put together."""
     clear, end = 1 << min_size, (1 << min_size) + 1
     raw, bits = np.frombuffer(stream + b"\0" * 4, np.uint8).astype(np.uint32), 8 * len(stream)
     offsets, literals = _OFFSETS[min_size], [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     at, table, prev = 0, literals.copy(), None
+    size = 0
     base = 0  # place, since the last clear code, of the code at ``at``
     while at + min_size < bits:
         span = offsets[base : base + _LIMIT + 1] - offsets[base]
@@ -116,7 +118,10 @@ def lzw_decode(stream: bytes, min_size: int) -> bytes:
                 if len(table) < _LIMIT:
                     table.append(prev + entry[:1])
             out.append(entry)
+            size += len(entry)
             prev = entry
+            if most is not None and size > most:
+                raise ValueError("frame with too many samples")
         if not len(stop):
             at, base = at + int(span[n]), min(base + n, _LIMIT)  # widths no longer change beyond
             continue
@@ -230,10 +235,10 @@ def _decode(data: bytes, view: memoryview, max_pixels: int) -> Iterator[Frame]:
         if not 2 <= size <= 8:
             raise ValueError("LZW code size")
         codes, at = _blocks(view, at + 1)
-        samples = np.frombuffer(lzw_decode(codes, size), np.uint8)
+        samples = np.frombuffer(lzw_decode(codes, size, w * h), np.uint8)
         if len(samples) < w * h:
             raise ValueError("frame with too few samples")
-        samples = samples[: w * h].reshape(h, w)
+        samples = samples.reshape(h, w)
         if local & 0x40:
             rows = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
             plain = np.empty_like(samples)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Symbols that are permuted as one number, and characters of a value up to which its pseudonym is remembered.
+CHUNK, REMEMBERED = 64, 256
 #: Days that dates are permuted among.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -51,6 +53,7 @@ def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -
         return value
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
+    person = hashlib.blake2b(f"{tweak}/{size}".encode(), digest_size=16).digest()
     while True:
         left, right = value >> half, value & mask
         for r in reversed(range(ROUNDS)) if undo else range(ROUNDS):
@@ -58,7 +61,7 @@ def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -
             raw = b""
             block = 0
             while len(raw) < width:
-                raw += hashlib.blake2b(source.to_bytes(width, "big") + bytes([r, block]), key=key, person=hashlib.blake2b(f"{tweak}/{size}".encode(), digest_size=16).digest()).digest()
+                raw += hashlib.blake2b(source.to_bytes(width, "big") + bytes([r, block]), key=key, person=person).digest()
                 block += 1
             mixed = int.from_bytes(raw[:width], "big") & mask
             left, right = (right ^ mixed, left) if undo else (right, left ^ mixed)
@@ -68,7 +71,30 @@ def feistel(value: int, size: int, key: bytes, tweak: str, undo: bool = False) -
 
 
 def _mixed(symbols: list[tuple[str, str]], key: bytes, tweak: str, undo: bool) -> str:
-    """Permute a word whose i-th symbol is one of an alphabet of its own."""
+    """Permute a word whose i-th symbol is one of an alphabet of its own.
+
+    Longer words than CHUNK symbols are permuted chunk by chunk, each with a tweak of its place and of all other chunks
+    (a keyed sum of their digests), in two passes, so that every symbol depends on all; undone in the opposite order.
+    """
+    if len(symbols) <= CHUNK:
+        return _permuted(symbols, key, tweak, undo)
+    parts = [symbols[i : i + CHUNK] for i in range(0, len(symbols), CHUNK)]
+    words = ["".join(c for c, _ in p) for p in parts]
+    alphabets = [[a for _, a in p] for p in parts]
+    digest = lambda i: int.from_bytes(hashlib.blake2b(f"{i}/{words[i]}".encode(), key=key, digest_size=16).digest(), "big")
+    sums = [digest(i) for i in range(len(words))]
+    total = sum(sums)
+    steps = [(turn, i) for turn in range(2) for i in range(len(words))]
+    for turn, i in reversed(steps) if undo else steps:
+        others = (total - sums[i]) % (1 << 128)
+        words[i] = _permuted(list(zip(words[i], alphabets[i], strict=True)), key, f"{tweak}/{len(symbols)}/{turn}/{i}/{others:x}", undo)
+        total -= sums[i]
+        sums[i] = digest(i)
+        total += sums[i]
+    return "".join(words)
+
+
+def _permuted(symbols: list[tuple[str, str]], key: bytes, tweak: str, undo: bool) -> str:
     value = 0
     size = 1
     for symbol, alphabet in symbols:
@@ -197,9 +223,13 @@ KINDS: dict[str, Callable[[str, bytes, bool], str | None]] = {
 }
 
 
-@lru_cache(30_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None where it isn't valid for its kind."""
+    return _remembered(kind, value, key) if len(value) <= REMEMBERED else KINDS[kind](value, key, False)
+
+
+@lru_cache(30_000)
+def _remembered(kind: str, value: str, key: bytes) -> str | None:
     return KINDS[kind](value, key, False)
 
 
