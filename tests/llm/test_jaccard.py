@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -127,3 +128,62 @@ def test_spread():
     for a, b in ((0, 3), (3, 4), (1, 2)):
         near[a, b] = near[b, a] = True
     assert jaccard._spread(near).tolist() == [0, 1, 1, 0, 0]
+
+
+def signatures_alike(n, likeness, seed):
+    """Tokens of sets that share a passage and have shingles of their own, any two of them so much alike."""
+    r = np.random.default_rng(seed)
+    own = (1 - likeness) / (2 * likeness)
+    shared, mine = r.exponential(1, jaccard.TOKENS), r.exponential(1 / own, (n, jaccard.TOKENS))
+    values = r.integers(0, 2**32, (n, jaccard.TOKENS), dtype=np.uint32)
+    return np.where(shared < mine, np.arange(jaccard.TOKENS, dtype=np.uint32), values)
+
+
+@pytest.mark.parametrize(("likeness", "most"), [(0.5, 50), (0.6, 80), (0.7, 120)])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_similar_texts_do_not_multiply(likeness, most, seed):
+    """Rows made per set by all runs, additional ones included, for 20,000 sets below the threshold: the loop of coarse_components without its pivots."""
+    n = 20_000
+    values = signatures_alike(n, likeness, seed)
+    made, runs, turn = 0, jaccard.RUNS, 0
+    root = lambda r, ids: (lambda row, node, used: (ids[row], node, used))(*jaccard.children(np.full(len(ids), jaccard.mix(np.array([r + 1], np.uint64))[0]), np.zeros(len(ids), np.uint64), values[ids]))
+    nodes = [root(r, np.arange(n)) for r in range(runs)]
+    while nodes:
+        ids, node, used = (np.concatenate(x) for x in zip(*nodes, strict=True))
+        made += len(ids)
+        _, back, count = np.unique(node, return_inverse=True, return_counts=True)
+        large = count[back] > jaccard.LIMIT
+        ids, node, used = ids[large], node[large], used[large]
+        if not len(ids):
+            break
+        row, node, used = jaccard.children(node, used, values[ids])
+        again, node, used = jaccard.children(node, used, values[ids[row]])
+        nodes = [(ids[row][again], node, used)]
+        turn += 1
+        assert turn <= math.ceil(math.log(n) / math.log(1.25)) / 2
+        if turn > 1 and turn & (turn - 1) == 0:
+            nodes += [root(r, np.unique(ids)) for r in range(runs, runs + jaccard.EXTRA)]
+            runs += jaccard.EXTRA
+    assert made <= most * n, made / n
+
+
+def test_used_places_are_not_taken_again():
+    r = np.random.default_rng(1)
+    values = r.integers(0, 2**32, (500, jaccard.TOKENS), dtype=np.uint32)
+    at, node, used = np.arange(500), np.full(500, 7, np.uint64), np.zeros(500, np.uint64)
+    for level in range(1, 30):
+        row, node, used = jaccard.children(node, used, values[at])
+        at = at[row]
+        assert all(int(u).bit_count() == level for u in used)
+        keep = r.permutation(len(at))[:500]
+        at, node, used = at[keep], node[keep], used[keep]
+
+
+def test_form_letters_end(spark):
+    """Thousands of texts that are alike, but no near duplicates, and a few that are."""
+    r = random.Random(2)
+    form = " ".join(f"form{i}" for i in range(140))
+    texts = [form + " " + " ".join(f"own{r.randrange(10**9)}" for _ in range(30)) for _ in range(6000)]
+    texts += [t + " tail" for t in texts[:20]]
+    rows = jaccard.near_duplicates(docs(spark, texts)).collect()
+    assert {(x.doc_id, x.class_id) for x in rows if x.n_links} == {(i, i % 6000) for k in range(20) for i in (k, 6000 + k)}

@@ -2,18 +2,21 @@
 
 Every whole text becomes its set of five-word shingle hashes (a shorter text is one shingle) and 64
 min-hash tokens of it. Equal sets (told apart by 128 bits) are collapsed to one representative.
-Representatives are split recursively on sampled shared tokens: the root samples, in expectation,
-1 / threshold of the token places and a deeper node two, and its members go on to a child per sampled
-place and value. Nodes of up to LIMIT members are compared by brute force; larger ones are split
-further, with no last level. What recursion cannot part, large groups of near copies, goes by pivots:
-every member of a large node is compared with one drawn member, in as many tasks as the node's size
-asks for. Where many share CLOSE tokens with it, these leave the node, and all that share LINK tokens
-are linked to it: whoever is similar to one that left is among them.
-
-Independent runs repeat this until the target recall: a pair at the threshold meets in a run's first level
-with probability of at least 0.8 and is carried on for ever by 0.94 of the runs after that (a branching
-process with 1.6 children in the mean), 0.7 in all where the tokens are unkind, so that eight runs miss
-fewer than 1 in 10,000. Tests measure the recall against brute force.
+Representatives are split recursively on sampled shared tokens: a node samples, in expectation, 1 / threshold
+of the token places that its path has not used (one, and by chance a second), and its members go on to a child per
+sampled place and value. So pairs at the threshold have one common child in the mean and pairs below it die out:
+members of a node that are alike to a degree J below it have J / threshold children in the mean.
+Nodes of up to LIMIT members are compared by brute force; larger ones are split further, down to
+ln n / ln(1 / threshold) levels, where what is left is compared in blocks. What recursion cannot part, large
+groups of near copies, goes by pivots: every member of a large node is compared with one drawn member, in as many
+tasks as the node's size asks for. Where many share CLOSE tokens with it, these leave the node, and all that share
+LINK tokens are linked to it: whoever is similar to one that left is among them.
+
+Independent runs repeat this until the target recall: a pair at the threshold outlives two levels of a run with a
+probability of 0.73, so that eight runs miss fewer than 1 in 10,000. It outlives 8 levels with 0.41 and L with some 6 / L:
+sets whose nodes are still large after 5, 9, 17, ... levels
+take EXTRA more runs each time. 20,000 sets that are 0.7 alike make some 100 rows each over all runs, fewer if less alike. Tests measure the recall against
+brute force.
 
 What meets is linked if the tokens allow for similarity (a bound four standard deviations below the
 threshold), which gives coarse components; inside them every pair of sets is then compared exactly, in
@@ -50,11 +53,13 @@ SHARED = 38
 #: In a large node with many near copies of its pivot: tokens shared with it that settle all of a member's own links, and those that link a member to it.
 CLOSE = 50
 LINK = SHARED + CLOSE - TOKENS
-#: Target recall at the threshold, and the share of such pairs that one run finds at least.
-RECALL, FOUND = 0.9999, 0.7
+#: Target recall at the threshold, and the share of such pairs that one run finds within two levels.
+RECALL, FOUND = 0.9999, 0.72
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - FOUND))
+#: More runs of sets in nodes that stay large.
+EXTRA = 2
 #: Members of a node that are compared by brute force, and how many near copies of its pivot are many.
-LIMIT, CROWD = 1024, 128
+LIMIT, CROWD = 4096, 128
 #: Pivots (some 300 bytes each) that may be broadcast.
 PIVOTS = 20_000
 #: Members, and bytes of sets, of one block of an exact comparison.
@@ -64,6 +69,7 @@ PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = [_U((k + 1) * _BASE % (1 << 64)) for k in range(2)]
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * _U(2) + _U(1)
@@ -161,37 +167,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def children(nodes: np.ndarray, values: np.ndarray, root: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row and child node of each member: two token places that the node samples, the root's second one by chance (1 / threshold in all)."""
-    rows, out = [], []
+def children(nodes: np.ndarray, used: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, child node and used places (a bit each) of each member's children: of a place that the node samples, and by chance (1 / threshold in all) of a second one."""
+    rows, out, marks = [], [], []
+    taken = used
     for k in range(2):
-        h = mix(nodes + _U(k + 1) * _U(_BASE))
-        place = (h % _U(TOKENS)).astype(np.int64)
-        other = place != before if k else np.ones(len(nodes), bool)  # one place taken twice gives one child
-        if root and k:
-            other &= (h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR)
-        own, before = np.flatnonzero(other), place
-        value = values[own, place[own]].astype(np.uint64)
-        out.append(mix(mix(nodes[own] ^ (place[own].astype(np.uint64) << _U(48))) + value * _U(_BASE)))
+        h = mix(nodes + _STEP[k])
+        place = h % _U(TOKENS)
+        for _ in range(TOKENS):
+            again = (taken >> place) & _U(1) == _U(1)
+            if not again.any():
+                break
+            place = np.where(again, (place + _U(1)) % _U(TOKENS), place)
+        bit = _U(1) << place
+        taken = taken | bit
+        own = np.arange(len(nodes)) if k == 0 else np.flatnonzero((h >> _U(40)) % _U(NUMERATOR) < _U(DENOMINATOR - NUMERATOR))
+        value = values[own, place[own].astype(np.int64)].astype(np.uint64)
+        out.append(mix(mix(nodes[own] ^ (place[own] << _U(48))) + value * _U(_BASE)))
         rows.append(own)
-    return np.concatenate(rows), np.concatenate(out)
+        marks.append(used[own] | bit[own])
+    return np.concatenate(rows), np.concatenate(out), np.concatenate(marks)
 
 
-def first_nodes(sets: DataFrame, runs: int) -> DataFrame:
+def first_nodes(sets: DataFrame, first: int, runs: int) -> DataFrame:
+    """node, used, set: the root's children of so many runs, from the number ``first`` on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             values, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
-            for r in range(runs):
-                row, node = children(np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]), values, True)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], ["node", "set"])
+            for r in range(first, first + runs):
+                row, node, used = children(np.full(len(ids), mix(np.array([r + 1], np.uint64))[0]), np.zeros(len(ids), np.uint64), values)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(used.view(np.int64)), pa.array(ids[row])], ["node", "used", "set"])
 
-    return sets.select("set", "tokens").mapInArrow(run, "node long, set long")
+    return sets.select("set", "tokens").mapInArrow(run, "node long, used long, set long")
 
 
 def pivoted(members: DataFrame) -> DataFrame:
-    """node, set, tokens, pivot and the number of tokens shared with it, for the members (node, set, n, tokens) of large nodes."""
+    """node, used, set, tokens, pivot and the number of tokens shared with it, for the members (node, used, set, n, tokens) of large nodes."""
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     first = F.min(F.struct(F.xxhash64("node", "set").alias("at"), F.col("set").alias("pivot"), F.col("tokens").alias("theirs"))).alias("p")
     pivots = members.groupBy("node", "n").agg(first).select("node", "p.pivot", "p.theirs", parts.alias("parts"))
@@ -202,14 +216,14 @@ def pivoted(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column(2)) == _matrix(batch.column(4))).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same.astype(np.int32))], ["node", "set", "tokens", "pivot", "same"])
+                same = (_matrix(batch.column(3)) == _matrix(batch.column(5))).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(same.astype(np.int32))], ["node", "used", "set", "tokens", "pivot", "same"])
 
-    return dealt.select("node", "set", "tokens", "pivot", "theirs").mapInArrow(run, "node long, set long, tokens binary, pivot long, same int")
+    return dealt.select("node", "used", "set", "tokens", "pivot", "theirs").mapInArrow(run, "node long, used long, set long, tokens binary, pivot long, same int")
 
 
 def split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of members of large nodes to their node's pivot, and the nodes (node, set) two levels below of what is not settled.
+    """Links (a, b) of members of large nodes to their node's pivot, and the nodes (node, used, set) two levels below of what is not settled.
 
     The pivot's own links are settled. Where many are close to it they are settled too: whoever is similar to them is so
     near the pivot that a wider bound links it.
@@ -227,20 +241,24 @@ def next_nodes(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                values = _matrix(batch.column(2))
-                row, node = children(batch.column(0).to_numpy().view(np.uint64), values, False)
-                again, node = children(node, values[row], False)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(batch.column(1).to_numpy()[row][again])], ["node", "set"])
+                values, ids = _matrix(batch.column(3)), batch.column(2).to_numpy()
+                row, node, used = children(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64), values)
+                again, node, used = children(node, used, values[row])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(used.view(np.int64)), pa.array(ids[row][again])], ["node", "used", "set"])
 
-    return members.select("node", "set", "tokens").mapInArrow(run, "node long, set long")
+    return members.select("node", "used", "set", "tokens").mapInArrow(run, "node long, used long, set long")
 
 
 def _small_links(values: np.ndarray) -> np.ndarray:
     """For each member of a small node the first member that its tokens allow to be similar."""
-    same = np.zeros((len(values), len(values)), np.int16)
-    for i in range(0, TOKENS, 8):
-        same += (values[:, None, i : i + 8] == values[None, :, i : i + 8]).sum(2, dtype=np.int16)
-    return _spread(same >= SHARED)
+    n, low = len(values), values.astype(np.uint16)  # half of a token: what meets by chance only links more
+    near = np.zeros((n, n), bool)
+    for lo in range(0, n, 256):
+        same = np.zeros((min(256, n - lo), n), np.uint8)
+        for i in range(TOKENS):
+            same += low[lo : lo + 256, i, None] == low[None, :, i]
+        near[lo : lo + 256] = same >= SHARED
+    return _spread(near)
 
 
 def _spread(near: np.ndarray) -> np.ndarray:
@@ -281,19 +299,34 @@ def coarse_links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of nodes of any size as members of nodes of some LIMIT: one for each pair of a node's blocks."""
+    blocks = F.ceil(F.col("n") * 2 / LIMIT).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "set")
+
+
 def coarse_components(sets: DataFrame, runs: int = RUNS) -> DataFrame:
     """set, component of the sets that meet one that may be similar. sets: set (distinct), tokens."""
-    nodes, leaves, links = first_nodes(sets, runs), [], []
+    levels = min(TOKENS - 4, math.ceil(math.log(max(sets.count(), 2)) / math.log(DENOMINATOR / NUMERATOR)))
+    nodes, leaves, links, turn = first_nodes(sets, 0, runs), [], [], 0
     while True:
         nodes = materialize(nodes, "nodes")  # read twice
         # Counts are added up before they are shuffled; a hot node's members are spread by the skew join.
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = materialize(nodes.join(counts.hint("merge"), "node"), "paths")
-        leaves.append(met.where(F.col("n") <= LIMIT))
+        leaves.append(met.where(F.col("n") <= LIMIT).select("node", "set"))
         if (met.agg(F.max("n")).first()[0] or 0) <= LIMIT:
             break
-        near, nodes = split(materialize(met.where(F.col("n") > LIMIT).join(sets, "set"), "large-nodes"))
+        deep = F.bit_count("used") >= levels
+        leaves.append(in_blocks(met.where((F.col("n") > LIMIT) & deep)))
+        large = materialize(met.where((F.col("n") > LIMIT) & ~deep).join(sets, "set"), "large-nodes")
+        near, nodes = split(large)
         links.append(near)
+        turn += 1
+        if turn > 1 and turn & (turn - 1) == 0:
+            nodes = nodes.unionByName(first_nodes(large.select("set", "tokens").dropDuplicates(["set"]), runs, EXTRA))
+            runs += EXTRA
     links.append(coarse_links(reduce(DataFrame.unionByName, leaves).join(sets, "set")))
     return components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("set"), F.col("root").alias("component"))
 
