@@ -1,5 +1,6 @@
 """Operators that SQL doesn't express, by recomputation; sources, sinks and guards."""
 
+import hashlib
 import datetime as dt
 import math
 import random
@@ -240,13 +241,29 @@ def test_write_once(spark, tmp_path):
     assert evidence.table_hash(df).first() != evidence.table_hash(df.where("k = 1")).first()
 
 
-def test_audit_chain(spark):
-    df = spark.createDataFrame([(i, f"event {i}") for i in range(1, 6)], "at long, what string")
-    log = evidence.chain(df, "at", ["what"]).cache()
-    assert tuple(evidence.verify_chain(log).first()) == (0, 0, 0)
-    bad = log.withColumn("body", F.when(F.col("at") == 3, "forged").otherwise(F.col("body")))
-    assert tuple(evidence.verify_chain(bad).first()) == (0, 1, 0)
-    assert tuple(evidence.verify_chain(log.where("at <> 3")).first())[0] == 1
+def test_audit_chain(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "RANGE", 4)
+    df = spark.createDataFrame([(i * 10, f"event {i}") for i in range(1, 31)], "at long, what string").repartition(3)
+    log = evidence.link(df, ["at"], ["what"]).cache()
+    rows = {r.sequence: r for r in log.collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for i in range(1, 31):
+        before = sha(rows[i - 1].body) if i > 1 else "GENESIS"
+        assert rows[i].body == f'{{"what":"event {i}"}}' and rows[i].previous_hash == before and rows[i].record_hash == sha(f"{i}|{before}|{rows[i].body}")
+    faults = lambda x: {tuple(r) for r in evidence.verify_chain(x).collect()}
+    assert faults(log) == set() and faults(log.limit(0)) == set()
+    s = F.col("sequence")
+    assert faults(log.withColumn("body", F.when(s == 3, "forged").otherwise(F.col("body")))) == {(3, "hash"), (4, "previous_hash")}
+    forged = log.withColumn("body", F.when(s == 3, "forged").otherwise(F.col("body"))).withColumn("record_hash", F.when(s == 3, evidence.record_hash()).otherwise(F.col("record_hash")))
+    assert faults(forged) == {(4, "previous_hash")}
+    assert faults(log.where(s != 3)) == {(4, "missing")} and faults(log.where(s > 2)) == {(3, "missing")}
+    assert faults(log.unionByName(log.where(s == 7))) == {(7, "repeated")}
+    swapped = log.withColumn("sequence", F.when(s == 5, 6).when(s == 6, 5).otherwise(s))
+    assert faults(swapped) == {(5, "hash"), (6, "hash"), (5, "previous_hash"), (6, "previous_hash"), (7, "previous_hash")}
+    # Digests of ranges lead from the seal to the range that was changed.
+    tree = lambda x: {(r.level, r.place): r.digest for r in evidence.range_digests(x).collect()}
+    one, two = tree(log), tree(forged)
+    assert {k for k in one if one[k] != two[k]} == {(0, 0), (1, 0), (2, 0)} and max(k for k, _ in one) == 2 and len(one) == 8 + 2 + 1
 
 
 def test_text(spark):

@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from tidemark.streaming import intake, revisions
 from tidemark.streaming import observations as obs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -27,12 +28,81 @@ def run(df, name, mode="append"):
     return df.sparkSession.table(name).collect()
 
 
-def test_observations(feed):
-    schema = "id string, observed timestamp, content_hash string"
-    feed([("a", T0, "1"), ("b", T0, "1")], schema)
-    stream = feed([("a", T0 + dt.timedelta(1), "1"), ("b", T0 + dt.timedelta(1), "2"), ("c", T0, "9")], schema)
-    got = sorted((r.id, r.observed.day, r.status, r.first_seen.day) for r in run(obs.classify_observations(stream), "observed"))
-    assert got == [("a", 1, "new", 1), ("a", 2, "repeat_same", 1), ("b", 1, "new", 1), ("b", 2, "identity_hash_changed", 1), ("c", 1, "new", 1)]
+def batches(spark, folder, schema, each):
+    """A function that adds rows as files of their own and calls ``each`` with a stream of the folder: one micro-batch."""
+    count = iter(range(99))
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{next(count)}")
+        each(spark.readStream.schema(schema).parquet(f"{folder}/*"))
+
+    return add
+
+
+def test_revisions(spark, tmp_path):
+    """New, repeated, revised; an identity that was away for longer than the expiry is new, by its timer or before it fires."""
+    schema, out = "id string, observed timestamp, content_hash string", str(tmp_path / "out")
+    own = revisions.session(spark)
+
+    def each(stream):
+        told = revisions.classify(own.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), 5 * 86_400)
+        told.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start(out).awaitTermination()
+
+    add = batches(spark, tmp_path / "in", schema, each)
+    day = lambda n: T0 + dt.timedelta(n)
+    add([("a", day(0), "1"), ("b", day(0), "1"), ("c", day(0), "9")])
+    add([("a", day(2), "1"), ("b", day(2), "2"), ("d", day(2), "1")])
+    add([("b", day(4), "2"), ("b", day(4), "2"), ("a", day(4), "3")])
+    add([("b", day(9), "1"), ("c", day(9), "9")])  # c was away for nine days
+    add([("a", day(20), "7"), ("b", day(30), "4")])  # timers have fired by then
+    got = sorted((r.id, (r.observed - T0).days, r.status, (r.first_seen - T0).days, r.revisions) for r in spark.read.parquet(out).collect())
+    assert got == [
+        ("a", 0, "new", 0, 0), ("a", 2, "repeat_same", 0, 0), ("a", 4, "identity_hash_changed", 0, 1), ("a", 20, "new", 20, 0),
+        ("b", 0, "new", 0, 0), ("b", 2, "identity_hash_changed", 0, 1), ("b", 4, "repeat_same", 0, 1), ("b", 4, "repeat_same", 0, 1), ("b", 9, "repeat_same", 0, 1), ("b", 30, "new", 30, 0),
+        ("c", 0, "new", 0, 0), ("c", 9, "new", 9, 0), ("d", 2, "new", 2, 0),
+    ]
+
+
+SEEN = "id int, ts timestamp, observed timestamp"
+
+
+def test_dead_letters(spark, tmp_path):
+    hours = lambda n: T0 + dt.timedelta(hours=n)
+    taken = intake.Intake(str(tmp_path / "root"), "ts", intake.in_time("ts", "observed", 3600))
+    with pytest.raises(ValueError, match="no batch"):
+        taken.accepted(spark)
+    add = batches(spark, tmp_path / "in", SEEN, lambda s: taken.run(s, str(tmp_path / "mark")))
+    add([(1, hours(1), hours(5)), (2, hours(6), hours(5)), (3, None, hours(5)), (4, hours(2), None)])
+    add([(5, hours(0), hours(9)), (6, hours(0.5), hours(9)), (7, hours(8), hours(9)), (8, hours(8), hours(9)), (8, hours(8), hours(9))])
+    add([(9, hours(6), hours(9)), (10, hours(7), hours(9))])
+    assert sorted(r.id for r in taken.accepted(spark).collect()) == [1, 5, 6, 7, 8, 8, 10]
+    reasons = {r.id: (r.batch, r.reason) for r in taken.rejected(spark).collect()}
+    assert reasons == {2: (0, "future"), 3: (0, "no_time"), 4: (0, "no_time"), 9: (2, "late")}
+    receipts = taken.receipts(spark).orderBy("batch").collect()
+    assert [(r.n_read, r.n_accepted, r.n_rejected) for r in receipts] == [(4, 1, 3), (5, 5, 0), (2, 1, 1)]
+    assert sum(r.n_read for r in receipts) == taken.accepted(spark).count() + taken.rejected(spark).count() == 11
+
+
+def test_batches_are_taken_once(spark, tmp_path, monkeypatch):
+    """A crash between rows and receipt leaves nothing half taken; equal retries do nothing, changed ones fail."""
+    taken = intake.Intake(str(tmp_path / "root"), "ts", intake.in_time("ts", "observed", 3600))
+    add = batches(spark, tmp_path / "in", SEEN, lambda s: taken.run(s, str(tmp_path / "mark")))
+    add([(1, T0, T0)])
+    commit = intake.Intake.commit
+    monkeypatch.setattr(intake.Intake, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(Exception, match="stopped"):
+        add([(2, T0, T0), (3, T0, T0)])
+    assert [r.id for r in taken.accepted(spark).collect()] == [1]  # rows without a receipt aren't there
+    assert spark.read.parquet(f"{tmp_path}/root/accepted/number=1").count() == 2
+    monkeypatch.setattr(intake.Intake, "commit", commit)
+    taken.run(spark.readStream.schema(SEEN).parquet(f"{tmp_path}/in/*"), str(tmp_path / "mark"))  # the replayed batch
+    assert sorted(r.id for r in taken.accepted(spark).collect()) == [1, 2, 3]
+    rows = [(3, T0, T0), (2, T0, T0)]
+    assert taken.take(spark.createDataFrame(rows, SEEN), 1) == "identical"
+    with pytest.raises(ValueError, match="other rows"):
+        taken.take(spark.createDataFrame(rows[:1], SEEN), 1)
+    assert sorted(r.id for r in taken.accepted(spark).collect()) == [1, 2, 3]
+    assert taken.take(spark.createDataFrame([], SEEN), 2) == "taken" and taken.receipts(spark).count() == 3
 
 
 def test_repeats_are_dropped(feed):
@@ -47,15 +117,14 @@ def test_windowed_counts(feed):
     assert sum(r.n for r in run(obs.windowed_counts(stream, "ts", "1 minute", "5 minutes", "id"), "counted", "complete")) == 10
 
 
-def test_append_days(spark, feed, tmp_path):
-    schema = "day date, x int"
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+def test_days_are_appended_once(spark, tmp_path):
+    days = intake.daily(str(tmp_path / "root"), "day")
+    add = batches(spark, tmp_path / "in", "day date, x int", lambda s: days.run(s, str(tmp_path / "mark")))
     day = T0.date()
-    stream = feed([(day, 1)], schema)
-    obs.append_days(stream, out, "day", mark)()
-    stream = feed([(day, 2), (day + dt.timedelta(1), 3)], schema)
-    obs.append_days(stream, out, "day", mark)()
-    assert sorted(r.x for r in spark.read.parquet(out).collect()) == [1, 3]
+    add([(day, 1), (None, 9)])
+    add([(day, 2), (day + dt.timedelta(1), 3)])
+    assert sorted(r.x for r in days.accepted(spark).collect()) == [1, 3]
+    assert sorted((r.x, r.reason) for r in days.rejected(spark).collect()) == [(2, "known_day"), (9, "no_day")]
 
 
 def test_settlement(spark):

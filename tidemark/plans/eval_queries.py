@@ -9,7 +9,7 @@ from tidemark.functions.expr import compound, rank_pct, row_in, share_of, size_o
 from tidemark.operators import evaluate, joins, models, portfolio, text
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, cdf_sql, cross_sql, query, r6, rank_sql, s6
-from tidemark.sources.evidence import row_hash, table_hash
+from tidemark.sources.evidence import row_hash
 from tidemark.sources.panel import cross_sections, filings, panel_week, read, sectors
 
 #: A score per label row of documents, for the classification metrics: a fixed function of its id.
@@ -586,8 +586,3 @@ def nav_ledger(spark, d):
     rows = returns(spark, d)
     one = lambda c: rows.select(F.lit(c).alias("strategy"), "date", "entity", F.col(c).alias("score"), F.col("open").alias("price"))
     return portfolio.ledger(one("ret_4").unionByName(one("ret_12")), 10, 10.0)
-
-
-@query()
-def canonical_hash(spark, d):
-    return table_hash(panel_week(spark, d).select("entity", "date", F.round("close", 6).alias("close")))

@@ -1,11 +1,13 @@
-"""Write-once tables, content hashes and the audit chain."""
+"""Write-once tables, content hashes and linked logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidemark.sources.stages import numbered, written
+
 
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
@@ -31,41 +33,55 @@ def write_once(df: DataFrame, path: str) -> str:
     return "identical"
 
 
-def chain(records: DataFrame, order: str, payload: list[str]) -> DataFrame:
-    """Audit chain: each record's hash covers its payload and the hash before. Ordered work on one chain, so on one small log."""
-    body = F.to_json(F.struct(*payload))
-    log = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), body.alias("body"))))
-    hashed = F.aggregate(
-        log,
-        F.array().cast("array<struct<at:bigint,body:string,previous_hash:string,record_hash:string>>"),
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    x["at"].cast("bigint").alias("at"), x["body"].alias("body"), _last(acc).alias("previous_hash"), F.sha2(F.concat(_last(acc), x["body"]), 256).alias("record_hash")
-                )
-            ),
-        ),
-    )
-    return records.agg(hashed.alias("chain")).select(F.inline("chain"))
+#: Records per digest of a range, and what the first record follows.
+RANGE, GENESIS = 1024, "GENESIS"
+
+
+def link(records: DataFrame, order: list[str], payload: list[str]) -> DataFrame:
+    """sequence (from 1), body, previous_hash and record_hash: a record's hash covers its sequence, its body and the digest of the body before it.
+
+    Numbers come from ranges' counts and the body before from a join on sequence + 1, so nothing is ordered in one task.
+    """
+    rows = numbered(records.select(*order, F.to_json(F.struct(*payload)).alias("body")), list(order), "sequence")
+    rows = written(rows.select((F.col("sequence") + 1).alias("sequence"), "body"), "audit-log")
+    before = rows.select((F.col("sequence") + 1).alias("sequence"), F.sha2("body", 256).alias("previous_hash"))
+    linked = rows.join(before, "sequence", "left").withColumn("previous_hash", F.coalesce("previous_hash", F.lit(GENESIS)))
+    return linked.select("sequence", "body", "previous_hash", record_hash().alias("record_hash"))
 
 
-def _last(acc: Column) -> Column:
-    return F.coalesce(F.try_element_at(acc, F.lit(-1))["record_hash"], F.lit("0" * 64))
+def record_hash() -> Column:
+    return F.sha2(F.concat_ws("|", F.col("sequence").cast("string"), "previous_hash", "body"), 256)
 
 
 def verify_chain(log: DataFrame) -> DataFrame:
-    """Counts of records whose sequence, previous hash or own hash is wrong. log: at, body, previous_hash, record_hash."""
-    w = Window.orderBy("at")
-    before = F.coalesce(F.lag("record_hash").over(w), F.lit("0" * 64))
-    return (
-        log.withColumns({"expected": before, "place": F.row_number().over(w)})
-        .agg(
-            F.count(F.when(F.col("previous_hash") != F.col("expected"), 1)).alias("broken_links"),
-            F.count(F.when(F.col("record_hash") != F.sha2(F.concat("previous_hash", "body"), 256), 1)).alias("broken_hashes"),
-            F.count(F.when(F.col("at") != F.col("place"), 1)).alias("broken_sequence"),
+    """sequence and fault of each record of a log that is not as it was linked: hash (changed), previous_hash (doesn't follow the record before), repeated, and missing (the record before isn't there)."""
+    one = log.groupBy("sequence").agg(F.count("*").alias("n"), F.min(F.struct("record_hash", "body")).alias("r"))
+    before = one.select((F.col("sequence") + 1).alias("sequence"), F.sha2("r.body", 256).alias("expected"))
+    both = log.join(before, "sequence", "left")
+    first = F.col("sequence") == 1
+    faults = F.array_compact(
+        F.array(
+            F.when(~F.col("record_hash").eqNullSafe(record_hash()), "hash"),
+            F.when(F.col("expected").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("expected")) | first & ~F.col("previous_hash").eqNullSafe(F.lit(GENESIS)), "previous_hash"),
+            F.when(F.col("expected").isNull() & ~first, "missing"),
         )
     )
+    found = both.select("sequence", F.explode(faults).alias("fault")).unionByName(one.where("n > 1").select("sequence", F.lit("repeated").alias("fault")))
+    return found.distinct()
+
+
+def range_digests(log: DataFrame) -> DataFrame:
+    """level, place, n, digest: a hash per RANGE consecutive records, per RANGE of those, and so on up to one that seals the log."""
+    level, out = 0, None
+    rows = log.select("sequence", F.col("record_hash").alias("digest"), F.lit(1).cast("long").alias("n"))
+    at = F.floor((F.col("sequence") - 1) / RANGE).cast("long")
+    while True:
+        rows = rows.groupBy(at.alias("place")).agg(F.sum("n").alias("n"), F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("sequence", "digest"))), lambda x: x["digest"])), 256).alias("digest"))
+        rows = written(rows.select(F.lit(level).alias("level"), "place", "n", "digest"), f"digests-{level}")
+        out = rows if out is None else out.unionByName(rows)
+        if rows.limit(2).count() < 2:
+            return out
+        level, rows = level + 1, rows.select((F.col("place") + 1).alias("sequence"), "digest", "n")
 
 
 def latest_file(spark: SparkSession, path: str, glob: str) -> DataFrame:

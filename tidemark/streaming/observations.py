@@ -1,40 +1,12 @@
-"""Streams of observations: duplicates and revisions by identity, late rows, label maturity."""
+"""Streams of observations: repeats, counts by window, settlement."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.expr import finite
 
-SEEN = "id string, observed timestamp, status string, first_seen timestamp"
-
-
-def classify_observations(stream: DataFrame) -> DataFrame:
-    """Each row of (id, observed, content_hash) as new, repeat_same or identity_hash_changed, with the time its id was first seen.
-
-    State per id is its first hash and time; rows of one batch are taken by time.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["observed", "content_hash"])
-        first, seen = state.get if state.exists else (None, None)
-        out = []
-        for observed, content in zip(rows.observed, rows.content_hash, strict=True):
-            if first is None:
-                first, seen, status = content, observed, "new"
-            else:
-                status = "repeat_same" if content == first else "identity_hash_changed"
-            out.append((key[0], observed, status, pd.Timestamp(seen)))
-        state.update((first, pd.Timestamp(seen)))
-        yield pd.DataFrame(out, columns=["id", "observed", "status", "first_seen"])
-
-    return stream.groupBy("id").applyInPandasWithState(step, SEEN, "content_hash string, first_seen timestamp", "append", GroupStateTimeout.NoTimeout)
-
 
 def drop_repeats(stream: DataFrame, time: str, delay: str, keys: list[str]) -> DataFrame:
     """The first row of each key, with state held only as long as ``delay`` allows repeats."""
@@ -42,7 +14,7 @@ def drop_repeats(stream: DataFrame, time: str, delay: str, keys: list[str]) -> D
 
 
 def windowed_counts(stream: DataFrame, time: str, delay: str, window: str, key: str) -> DataFrame:
-    """Rows per window and key; later rows than the delay are left out."""
+    """Rows per window and key; rows later than the delay are not counted (an intake keeps them as dead letters)."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, window), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
@@ -76,24 +48,3 @@ def settle(predictions: DataFrame, prices: DataFrame, benchmark: DataFrame, hori
     settled = F.col("status") == "SETTLED"
     both = both.withColumn("status", status)
     return both.select(*predictions.columns, "status", F.when(settled, F.try_divide("exit", "entry") - 1).alias("actual"), F.when(settled, F.try_divide("index_exit", "index_entry") - 1).alias("benchmark_return"))
-
-
-def append_days(stream: DataFrame, path: str, date: str, checkpoint: str) -> Callable[[], None]:
-    """A query that writes each new day once, refusing a day that is there: run() takes all that has arrived."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        try:
-            there = spark.read.parquet(path).select(date).distinct()
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            there = None
-        fresh = batch if there is None else batch.join(there, date, "left_anti")
-        fresh.write.mode("append").partitionBy(date).parquet(path)
-
-    def run() -> None:
-        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-
-    return run
