@@ -119,6 +119,17 @@ def test_unit_mentions(spark):
     assert rows[-1].context == flat[max(0, rows[-1].start - 70) : rows[-1].end + 70]
 
 
+@pytest.mark.parametrize("digits", [20, 21, 24, 28, 29, 30, 31, 60, 400])
+def test_unit_mentions_of_many_digits(spark, digits):
+    number = "9" * digits
+    rows = text.unit_mentions(spark.createDataFrame([(1, f"{number}元 {number}.{number}元 {number}亿元 -{number}%")], "k int, t string"), "k", "t").orderBy("place").collect()
+    fits = lambda v: None if abs(v) >= 10**30 else v
+    whole = int(number)
+    assert len(rows) == 4 and rows[0].value == fits(Decimal(whole)) and rows[2].value == fits(Decimal(whole * 10**8))
+    assert rows[3].value == (None if digits > 30 else Decimal(f"-{whole // 100}.{whole % 100:02d}"))
+    assert rows[1].value == (None if digits >= 30 else Decimal(whole + 1))  # nines after the point round up
+
+
 def test_allowed_url(spark):
     good = ["https://a.org/x/12", "https://w.a.org:443/x/1?q=2"]
     bad = ["http://a.org/x/12", "https://a.org:8443/x/1", "https://u@a.org/x/1", "https://a.org/x/1#f", "https://ba.org/x/1", "https://a.org/x/", "https://a.org/x/1/y", "not a url", "", None]

@@ -290,3 +290,19 @@ def test_every_document_has_its_ngrams(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 2")
     assert load()[0]["char_ngrams"](spark, SF).count() == docs.count() > 150
+
+
+def test_asof_with_a_hot_key(spark):
+    """One key with all rows, a null key and ties: by blocks of time as by a search."""
+    r = random.Random(6)
+    day = dt.date(2020, 1, 1)
+    key = lambda: r.choice(["hot"] * 8 + ["cold", None])
+    lefts = [(key(), i, day + dt.timedelta(r.randrange(900))) for i in range(1500)]
+    rights = [(key(), day + dt.timedelta(r.randrange(100, 900)), r.randrange(50)) for _ in range(400)]
+    df = joins.asof_backward(spark.createDataFrame(lefts, "k string, i int, t date"), spark.createDataFrame(rights, "k string, s date, v int"), "k", "t", "s", ["s", "v"])
+    got = {x.i: None if x.fact is None else (x.fact.s, x.fact.v) for x in df.collect()}
+    for k, i, t in lefts:
+        assert got[i] == max(((s, v) for q, s, v in rights if q == k and s <= t), default=None)
+    assert df.columns == ["k", "i", "t", "fact"]
+    empty = spark.createDataFrame([], "k string, s date, v int")
+    assert {x.fact for x in joins.asof_backward(spark.createDataFrame(lefts[:9], "k string, i int, t date"), empty, "k", "t", "s", ["s", "v"]).collect()} == {None}

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.evaluate import value_range
+from tidemark.sources.stages import written
+
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, whose evaluation fails where a key repeats."""
@@ -22,14 +25,22 @@ def left_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: Sequence[str], name: str = "fact") -> DataFrame:
     """left with the struct ``name`` of ``columns`` of the last right row of its key at or before its time.
 
-    One shuffle by key: both sides are sorted together and the last right row is carried forward, so no
-    pairs are made. Of right rows with one time the greatest by ``columns`` counts.
+    Both sides are sorted together by key and block of time, and the last right row is carried forward within a block;
+    a second window, of a row per key and block, carries it on to the blocks after. No pairs are made, and a
+    key with all rows is spread over the blocks. Of right rows with one time the greatest by ``columns`` counts.
     """
     rights = right.select(F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.struct(*(F.col(c) for c in columns)).alias("__fact"), F.lit(0).alias("__side"))
     lefts = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct("*").alias("__row"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__fact").rowsBetween(Window.unboundedPreceding, 0)
-    both = lefts.unionByName(rights, allowMissingColumns=True).withColumn(name, F.last("__fact", ignorenulls=True).over(w))
-    return both.where("__side = 1").select("__row.*", name)
+    both = written(lefts.unionByName(rights, allowMissingColumns=True).withColumn("__at", F.col("__t").cast("timestamp").cast("double")), "asof")
+    both = both.withColumn("__b", value_range(both, "__at"))
+    fact = F.col("__fact").isNotNull()
+    ends = both.groupBy("__k", "__b").agg(F.max(F.when(fact, F.struct("__t", "__fact"))).alias("__end"))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("__k").alias("__key"), F.col("__b").alias("__block"), F.last("__end", ignorenulls=True).over(before).getField("__fact").alias("__carried"))
+    own = Window.partitionBy("__k", "__b").orderBy("__t", "__side", "__fact").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("__own", F.last("__fact", ignorenulls=True).over(own)).where("__side = 1")
+    told = told.join(ends, F.col("__k").eqNullSafe(F.col("__key")) & (F.col("__b") == F.col("__block")), "left")
+    return told.select("__row.*", F.coalesce("__own", "__carried").alias(name))
 
 
 def pit_violations(df: DataFrame, known: str, decision: str) -> Column:

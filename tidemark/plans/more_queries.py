@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market
 from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
-from tidemark.operators import evaluate, features, joins, labels, models, portfolio, text
+from tidemark.operators import evaluate, features, gates, joins, labels, models, portfolio, text
 from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
@@ -141,13 +141,43 @@ def volatility_target(spark, d):
 
 
 @query(
-    f"""WITH {RETURNS}, b AS (SELECT date, avg(ret_12) AS m, avg(CAST(ret_4 > 0 AS DOUBLE)) AS breadth FROM rets GROUP BY date)
-SELECT date, round(m, 6) AS momentum, round(breadth, 6) AS breadth, CASE WHEN m > 0.2 AND breadth > 0.5 THEN 'risk_on' WHEN m <= 0.2 AND breadth <= 0.5 THEN 'risk_off' ELSE 'mixed' END AS regime FROM b"""
+    f"""WITH {RETURNS}, b AS (SELECT date, avg(CASE WHEN volume >= 20 THEN ret_12 / 10 END) AS m, avg(CASE WHEN volume >= 20 THEN coalesce(ret_4 > 0, false)::INT END) AS breadth FROM rets GROUP BY date)
+SELECT date, round(m, 6) AS momentum, round(breadth, 6) AS breadth, CASE WHEN m > 0.02 AND breadth > 0.55 THEN 'risk_on' WHEN m < -0.02 AND breadth < 0.45 THEN 'risk_off' ELSE 'neutral' END AS regime FROM b"""
 )
 def market_regime(spark, d):
-    b = returns(spark, d).groupBy("date").agg(F.avg("ret_12").alias("m"), share_of(F.col("ret_4") > 0).alias("b"))
-    regime = F.when((F.col("m") > 0.2) & (F.col("b") > 0.5), "risk_on").when((F.col("m") <= 0.2) & (F.col("b") <= 0.5), "risk_off").otherwise("mixed")
-    return b.select("date", F.round("m", 6).alias("momentum"), F.round("b", 6).alias("breadth"), regime.alias("regime"))
+    rows = returns(spark, d).withColumn("m", F.col("ret_12") / 10)
+    return gates.market_regime(rows, "m", "ret_4", F.col("volume") >= 20).select("date", *r6("momentum", "breadth"), "regime")
+
+
+@query(
+    f"""WITH {PANEL}, {CALENDAR}, w AS (SELECT entity, session, close, CASE WHEN volume >= 5 THEN amount ELSE 0 END / nullif(sum(CASE WHEN volume >= 5 THEN amount ELSE 0 END) OVER (PARTITION BY date), 0) AS w FROM panel JOIN calendar USING (date)),
+p AS (SELECT a.session, sum(CASE WHEN b.close > 0 THEN (a.close / b.close - 1) / 20 * b.w END) AS s, sum(CASE WHEN b.close > 0 THEN b.w ELSE 0 END) AS c FROM w a JOIN w b ON b.entity = a.entity AND b.session = a.session - 1 GROUP BY 1),
+r AS (SELECT date, session, CASE WHEN date IN (SELECT date FROM panel) THEN coalesce(c, 0) END AS c, CASE WHEN c >= 0.3 THEN s / c END AS r FROM calendar LEFT JOIN p USING (session)),
+m AS (SELECT *, CASE WHEN count(r) OVER k = 6 THEN product(1 + r) OVER k - 1 END AS m FROM r WINDOW k AS (ORDER BY session ROWS 5 PRECEDING)), g AS (SELECT *, CASE WHEN m > 0.02 THEN 'bull' WHEN m < -0.02 THEN 'bear' WHEN m IS NOT NULL THEN 'neutral' END AS regime FROM m)
+SELECT date, round(r, 6) AS market_return, round(c, 6) AS covered_weight, round(m, 6) AS market_momentum, regime, CASE regime WHEN 'bull' THEN 0.5 WHEN 'neutral' THEN 0.65 WHEN 'bear' THEN 0.8 END::DOUBLE AS weight FROM g"""
+)
+def market_timing(spark, d):
+    """The market's momentum over six weeks from members traded in consecutive ones (twentieths of weekly moves), and the exposure it asks for."""
+    p = panel_week(spark, d)
+    # Closes whose relative moves are a twentieth: c_t / c_(t-1) - 1 of the index of moves.
+    w = Window.partitionBy("entity").orderBy("date")
+    chained = p.withColumn("move", F.coalesce(1 + (F.col("close") / F.lag("close").over(w) - 1) / 20, F.lit(1.0)))
+    level = chained.withColumn("close", F.product("move").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = level.select("entity", "date", "close", F.col("amount").alias("benchmark_weight"), (F.col("volume") >= 5).alias("in_universe"))
+    out = gates.market_timing(rows, joins.calendar(p), 6, 0.3)
+    return out.select("date", *r6("market_return", "covered_weight", "market_momentum"), "regime", "weight")
+
+
+@query(
+    f"""WITH {LABELS}, {_LONG}, {_ICS}, y AS (SELECT factor, year(date) AS year, avg(ic) AS ic, median(ic) AS middle, avg(ic) - 0.5 * stddev_samp(ic) / sqrt(count(ic)) AS low FROM ics WHERE year(date) IN (1996, 1997) GROUP BY ALL),
+g AS (SELECT factor, count(*) AS years, count(*) FILTER (ic IS NOT NULL AND middle IS NOT NULL AND low IS NOT NULL) AS known, count(*) FILTER (ic > 0 AND middle > 0 AND low > 0) AS good, avg(ic) > 0 AS a, avg(middle) > 0 AS b, avg(low) > 0 AS c FROM y GROUP BY 1)
+SELECT factor, CASE WHEN years = 2 THEN CASE WHEN known < 2 THEN 0 WHEN good = 2 AND a AND b AND c THEN 1 WHEN good >= 1 AND a AND b AND c THEN 0.5 WHEN a OR b OR c THEN 0.25 ELSE 0 END END::DOUBLE AS confidence FROM g"""
+)
+def confidence_tiers(spark, d):
+    """Confidence in each factor from its mean, median and lower bound in two validation years."""
+    y = factor_ics(spark, d).where(F.year("date").isin(1996, 1997)).groupBy("factor", F.year("date").alias("year"))
+    y = y.agg(F.avg("ic").alias("ic"), F.percentile("ic", 0.5).alias("middle"), gates.lower_bound("ic", 0.5).alias("low"))  # a value per date
+    return gates.confidence_from_years(y, "factor", "year", ["ic", "middle", "low"])
 
 
 @query(

@@ -327,11 +327,20 @@ def exposure_staleness(spark, d):
     return out
 
 
-@query("SELECT column_name, regexp_matches(lower(column_name), 'future_|label|entry_|exit_|execution_|raw_up|tradable_up|target') AS forbidden FROM (VALUES " + ", ".join(f"('{c}')" for c in ("ret_4", "Future_return_5d", "label_end", "volume", "entry_open", "exit_open", "price", "RAW_UP_1d", "target_raw", "momentum")) + ") t(column_name)")
+_GUARDED = ["entity", "date", "open", "high", "low", "close", "volume", "amount", "ret_1", "ret_4", "ret_12", "entry_open", "exit_open", "label_end", "label"]
+
+
+@query(
+    f"""WITH {LABELS}, n AS (SELECT {", ".join(f"count({c}) AS {c}" for c in _GUARDED)} FROM labeled)
+SELECT column_name, n_known, regexp_matches(lower(column_name), 'future_|label|entry_|exit_|execution_|raw_up|tradable_up|target') AS forbidden FROM n UNPIVOT (n_known FOR column_name IN ({", ".join(_GUARDED)}))"""
+)
 def forbidden_feature_guard(spark, d):
-    names = ["ret_4", "Future_return_5d", "label_end", "volume", "entry_open", "exit_open", "price", "RAW_UP_1d", "target_raw", "momentum"]
-    found = set(decisions.forbidden_features(names))
-    return spark.createDataFrame([(n, n in found) for n in names], "column_name string, forbidden boolean")
+    """Every column of the labelled panel, how many values it has, and whether it tells of the future; the rest is safe to train on."""
+    rows = labeled(spark, d).select(*_GUARDED)
+    found = decisions.forbidden_features(rows.columns)
+    decisions.assert_features_safe(rows, [c for c in rows.columns if c not in found])
+    known = rows.agg(*(F.count(c).alias(c) for c in rows.columns)).unpivot([], rows.columns, "column_name", "n_known")
+    return known.withColumn("forbidden", F.col("column_name").isin(*found))
 
 
 @query(
