@@ -57,6 +57,17 @@ def test_licenses(spark):
     assert license.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_that_name_their_holder(spark):
+    bsd = dict(TEXTS)["BSD-3-Clause"]
+    regents = bsd.replace("the copyright holder nor the names of its contributors", "the University nor the names of its contributors").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS")
+    foo = bsd.replace("the copyright holder nor", "Foo Inc., nor").replace("COPYRIGHT HOLDERS AND", "Foo, Inc. and")
+    assert regents.count("REGENTS") == 2 and foo.count("Foo") == 2
+    two = dict(TEXTS)["BSD-2-Clause"].replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE AUTHOR AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "THE AUTHOR OR CONTRIBUTORS")
+    other = bsd.replace("may be used to endorse", "may not be used to endorse")
+    rows = license.scan(docs(spark, [regents, foo, two, other, f"head\n----\n{regents}\n----\ntail"])).orderBy("doc_id").collect()
+    assert [(r.license_id, r.part_ids) for r in rows] == [("BSD-3-Clause", ""), ("BSD-3-Clause", ""), ("BSD-2-Clause", ""), (None, ""), (None, "BSD-3-Clause")]
+
+
 def test_every_known_text_is_itself(spark):
     texts = [t for _, t in TEXTS] + [n for _, n in NOTICES]
     rows = license.scan(docs(spark, texts)).orderBy("doc_id").collect()

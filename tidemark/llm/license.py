@@ -1,7 +1,7 @@
 """License scans: canonical digest lookup.
 
 An entire text is normalised (case, copyright lines, punctuation and white space, equivalent
-spellings) and its SHA-256 joined to the digests of known licence texts. Its parts, single lines and
+spellings, the names of holders that licences of the BSD family have in their clauses) and its SHA-256 joined to the digests of known licence texts. Its parts, single lines and
 the blocks between rules of dashes, stars and the like, are joined to the same table, which has short
 texts such as one-line notices and SPDX tags besides licences. Built-in functions only; the known table
 is broadcast if its size, which is looked at, allows, and else joined by shuffle.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
+from tidemark.llm.license_texts import DIGESTS, NOTICES, SLOTS, SPELLINGS, TEXTS
 
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[|by )|\(c\)[ \t]|©|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}]*$)"
 #: A line of signs alone, between two blocks.
@@ -27,10 +27,12 @@ BROADCAST_ROWS = 10_000
 
 
 def plain(text: Column) -> Column:
-    """Lower case, one blank for whatever isn't a letter or digit, and one spelling for equivalent words."""
+    """Lower case, one blank for whatever isn't a letter or digit, one spelling for equivalent words, and one holder where a licence names its own."""
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for written, read in SPELLINGS:
         out = F.replace(out, F.lit(f" {written} "), F.lit(f" {read} "))
+    for word, slot, read in SLOTS:
+        out = F.when(F.contains(out, F.lit(word)), F.regexp_replace(out, slot, read)).otherwise(out)
     return F.trim(out)
 
 
