@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.license_texts import DIGESTS, NOTICES, SLOTS, SPELLINGS, TEXTS
+from tidemark.llm.license_texts import DIGESTS, NOTICES, SLOT_WORD, SLOTS, SPELLINGS, TEXTS
 
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*(?:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|[0-9]{4}|<|\[|by )|\(c\)[ \t]|©|all[ \t]+rights[ \t]+reserved[^\p{L}\p{N}]*$)"
 #: A line of signs alone, between two blocks.
@@ -31,9 +31,15 @@ def plain(text: Column) -> Column:
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for written, read in SPELLINGS:
         out = F.replace(out, F.lit(f" {written} "), F.lit(f" {read} "))
-    for word, slot, read in SLOTS:
-        out = F.when(F.contains(out, F.lit(word)), F.regexp_replace(out, slot, read)).otherwise(out)
-    return F.trim(out)
+    # The array makes the text be put together once, not wherever it is named.
+    return F.trim(F.get(F.transform(F.array(out), _one_holder), F.lit(0)))
+
+
+def _one_holder(text: Column) -> Column:
+    out = text
+    for slot, read in SLOTS:
+        out = F.regexp_replace(out, slot, read)
+    return F.when(F.contains(text, F.lit(SLOT_WORD)), out).otherwise(text)
 
 
 def canonical(lowered: Column) -> Column:

@@ -62,9 +62,10 @@ SPELLINGS = [
     ("copyright owners", "copyright holders"), ("per cent", "percent"), ("non infringement", "noninfringement"), ("wilful", "willful"),
 ]
 
-#: Places of canonical texts where a licence names its holder, and what counts there: (a word that is there, pattern, reading).
+#: Places of canonical texts where a licence names its holder and what counts there; all have one word.
+SLOT_WORD = " contributors "
 SLOTS = [
-    ("neither the name", " neither the names? of .{1,200}? nor the names of (?:its |any |other )?contributors ", " neither the name of the copyright holder nor the names of its contributors "),
-    ("contributors as is", " provided by .{1,200}? and contributors as is ", " provided by the copyright holders and contributors as is "),
-    ("contributors be liable", " in no event shall .{1,200}? or contributors be liable ", " in no event shall the copyright holder or contributors be liable "),
+    (" neither the names? of .{1,200}? nor the names of (?:its |any |other )?contributors ", " neither the name of the copyright holder nor the names of its contributors "),
+    (" provided by .{1,200}? and contributors as is ", " provided by the copyright holders and contributors as is "),
+    (" in no event shall .{1,200}? or contributors be liable ", " in no event shall the copyright holder or contributors be liable "),
 ]

@@ -139,7 +139,7 @@ def license_sql() -> str:
         out = rf"' ' || trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
         for written, read in license_texts.SPELLINGS:
             out = f"replace({out}, ' {written} ', ' {read} ')"
-        for _, slot, read in license_texts.SLOTS:
+        for slot, read in license_texts.SLOTS:
             out = f"regexp_replace({out}, {quoted(slot)}, {quoted(read)}, 'g')"
         return f"trim({out})"
 
