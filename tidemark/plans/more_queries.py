@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import market
 from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
-from tidemark.operators import evaluate, features, gates, joins, labels, models, portfolio, text
+from tidemark.operators import evaluate, features, gates, joins, labels, models, portfolio, text, text_heads
 from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
 from tidemark.sources.panel import filings, panel_week, read, sectors
+from tidemark.sources.stages import written
 from tidemark.streaming.observations import settle
 
 _TOP10 = "top AS (SELECT date, entity, ret_4, row_number() OVER (PARTITION BY date ORDER BY ret_4 DESC, entity) AS place FROM rets WHERE ret_4 IS NOT NULL QUALIFY place <= 10)"
@@ -329,16 +330,16 @@ def embedding_ridge(spark, d):
 
 @query()
 def text_hash_model(spark, d):
-    """Hashed character 2- to 4-grams of a document in 32,768 features and a linear model with the Huber loss; learning is by the labelled documents."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.regression import LinearRegression
-
-    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    grams = F.concat(*(text.char_ngrams(F.col("text"), n) for n in (2, 3, 4)))
-    hashed = HashingTF(numFeatures=32_768, inputCol="g", outputCol="tf").transform(docs.select("doc_id", "y", grams.alias("g"))).drop("g")
-    x = Normalizer(inputCol="tf", outputCol="x").transform(hashed)
-    fitted = LinearRegression(featuresCol="x", labelCol="y", loss="huber", regParam=0.01, maxIter=10).fit(x)
-    return fitted.transform(x).select("doc_id", "y", F.round("prediction", 6).alias("score"))
+    """Heads on hashed character and word n-grams for two targets, fitted to what was known before a date and scored after it; documents are dated by their id."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
+    docs = read(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), day.alias("date"))
+    heads = {"char": ("char", (2, 3, 4)), "word": ("word", (1, 2))}
+    rows = written(text_heads.features(docs, "doc_id", "text", heads, 4096), "text-features").join(docs.select("doc_id", "date"), "doc_id")
+    known = rows.join(read(spark, d, "labels").select("doc_id", *(F.col(c).cast("double").alias(c) for c in ("quality", "toxic"))), "doc_id")
+    m = text_heads.fit(known.where("date_add(date, 20) < date '1995-06-01'"), ["char", "word"], ["quality", "toxic"], 4096, clip=1.0, rounds=10)
+    char, word = (m.column(h, [0.7, 0.3]) for h in ("char", "word"))
+    out = rows.where("date >= date '1995-06-01'").select("doc_id", char.alias("char_score"), word.alias("word_score"))
+    return out.select("doc_id", F.round("char_score", 6).alias("char_score"), F.round(0.5 * F.col("char_score") + 0.5 * F.col("word_score"), 6).alias("score"))
 
 
 @query()
