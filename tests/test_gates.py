@@ -55,3 +55,48 @@ def test_confidence_and_lower_bound(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 4.0, None)], "v double")
     assert df.agg(gates.lower_bound("v", 2.0).alias("b")).first().b == pytest.approx(7 / 3 - 2 * math.sqrt(7 / 3) / math.sqrt(3))
     assert df.limit(1).agg(gates.lower_bound("v", 2.0).alias("b")).first().b is None
+
+
+def test_gates_by_hand(spark):
+    """A score that orders its dates, groups and periods passes; its opposite fails; nothing known fails."""
+    r = random.Random(2)
+    rows = []
+    for y in range(5):
+        for k in range(4):
+            for e in range(24):
+                s = r.random()
+                rows.append((dt.date(2015 + y, 1 + k, 5), e, "ab"[e % 2], s, s + r.gauss(0, 0.05), s * 2 + r.gauss(0, 0.05)))
+    df = spark.createDataFrame(rows, "date date, entity int, g string, s double, near double, far double")
+    say = lambda x: {v.measure: (v.value, v.passed) for v in x.collect()}
+    good = say(gates.ranking_gate(df, "s", "near", "far", "g", "a"))
+    assert all(p for _, p in good.values()) and good["positive_near_years"] == (5.0, True) and good["mean_near_ic"][0] > 0.9
+    bad = say(gates.ranking_gate(df.withColumn("s", -F.col("s")), "s", "near", "far", "g", "a"))
+    assert not any(p for _, p in bad.values())
+    picked = say(gates.selection_gate(df, "s", "near", "far", "g", "entity"))
+    assert all(p for _, p in picked.values())
+    spreads, lifts = [], []
+    for d in sorted({x[0] for x in rows}):
+        cells = []
+        for g in "ab":
+            own = sorted((x for x in rows if x[0] == d and x[2] == g), key=lambda x: (x[3], x[1]))
+            top = [x for i, x in enumerate(own) if round((i + 1) / len(own), 9) > 0.8]
+            rest = [x for x in own if x not in top]
+            truth = sorted(own, key=lambda x: (x[4], x[1]))[-len(top) :]
+            cells.append((sum(x[4] for x in top) / len(top) - sum(x[4] for x in rest) / len(rest), sum(x in truth for x in top) / len(top) - 0.2))
+        spreads.append(sum(c[0] for c in cells) / 2)
+        lifts.append(sum(c[1] for c in cells) / 2)
+    assert picked["mean_near_spread"][0] == pytest.approx(sum(spreads) / len(spreads)) and picked["precision_lift"][0] == pytest.approx(sum(lifts) / len(lifts))
+    assert not any(p for _, p in say(gates.selection_gate(df.where("entity < 12"), "s", "near", "far", "g", "entity", least=13)).values())
+    periods = [(dt.date(2015 + i // 4, 1 + i % 4, 1), 0.02 if i % 3 else -0.01, 0.005, 0.3, 0.001) for i in range(20)]
+    curve = spark.createDataFrame(periods, "date date, period_return double, benchmark_return double, turnover double, cost double")
+    got = say(gates.conversion_gate(curve, curve, years=3))
+    wealth = peak = 1.0
+    worst = 0.0
+    for i, (_, p, b, *_) in enumerate(periods):
+        wealth *= (1 + p) / (1 + b)
+        peak = max(peak, wealth) if i else wealth
+        worst = min(worst, wealth / peak - 1)
+    assert all(p for _, p in got.values()) and got["active_max_drawdown"][0] == pytest.approx(worst)
+    assert got["excess_return"][0] == pytest.approx(math.prod(1 + x[1] for x in periods) - math.prod(1 + x[2] for x in periods))
+    dear = say(gates.conversion_gate(curve.withColumn("cost", F.col("cost") * 2), curve, floor=0.0))
+    assert not dear["average_cost"][1] and dear["average_turnover"][1] and not dear["active_max_drawdown"][1]

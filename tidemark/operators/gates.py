@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import finite
+from tidemark.operators import evaluate
 
 #: Bounds of a regime: mean momentum and share of rising members.
 RISK_ON, RISK_OFF = (0.02, 0.55), (-0.02, 0.45)
@@ -68,3 +69,65 @@ def lower_bound(value: str, z: float) -> Column:
     """Mean less z standard errors (ddof 1), as an aggregate; null for fewer than two values."""
     n = F.count(value)
     return F.when(n >= 2, F.avg(value) - z * F.stddev_samp(value) / F.sqrt(n.cast("double")))
+
+
+def _told(gate: str, one: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """gate, measure, value, passed (null: not) of a table of one row."""
+    rows = F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("value"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks.items()))
+    return one.select(F.lit(gate).alias("gate"), F.inline(rows))
+
+
+def ranking_gate(df: DataFrame, score: str, near: str, far: str, group: str, value: str, years: int = 4, least: int = 5) -> DataFrame:
+    """Mean daily rank correlations of a score with a near and a far target and, within one group, with the near one; years whose near mean is positive. df: date and eligible rows."""
+
+    def ic(rows: DataFrame, target: str, name: str) -> DataFrame:
+        known = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull())
+        return evaluate.rank_ic(known, score, target, ["date"], least).select("date", F.col("ic").alias(name))
+
+    daily = df.select("date").distinct().join(ic(df, near, "a"), "date", "left").join(ic(df, far, "b"), "date", "left").join(ic(df.where(F.col(group) == value), near, "c"), "date", "left")
+    by = daily.groupBy(F.year("date").alias("y")).agg(F.avg("a").alias("m")).agg(F.count(F.when(F.round("m", 12) > 0, 1)).alias("positive_near_years"))
+    one = daily.agg(F.avg("a").alias("mean_near_ic"), F.avg("b").alias("mean_far_ic"), F.avg("c").alias("group_near_ic")).crossJoin(by)  # one row each
+    c = F.col
+    return _told("ranking", one, {"mean_near_ic": c("mean_near_ic") > 0, "mean_far_ic": c("mean_far_ic") > 0, "positive_near_years": c("positive_near_years") >= years, "group_near_ic": c("group_near_ic") >= 0})
+
+
+def selection_gate(df: DataFrame, score: str, near: str, far: str, group: str, tie: str, quantile: float = 0.8, years: int = 4, least: int = 10) -> DataFrame:
+    """What the best of each group by score earn above its others, on the near and the far target, and how many of them are among its best by the near target above chance.
+
+    Means of groups with ``least`` rows per date, then of dates. df: date and eligible rows; equal scores and targets come by ``tie``.
+    """
+    cell = Window.partitionBy("date", group)
+
+    def best(c: str) -> Column:
+        place = F.row_number().over(cell.orderBy(F.col(c).asc_nulls_last(), tie)) / F.count(c).over(cell)
+        return F.coalesce(F.col(c).isNotNull() & (F.round(place, 9) > quantile), F.lit(False))
+
+    rows = df.withColumn("__n", F.count("*").over(cell)).where(F.col("__n") >= least).withColumns({"__top": best(score), "__true": best(near)})
+    spread = lambda t: F.avg(F.when(F.col("__top"), F.col(t))) - F.avg(F.when(~F.col("__top"), F.col(t)))
+    lift = F.avg(F.when(F.col("__top") & F.col(near).isNotNull(), F.col("__true").cast("double"))) - (1 - quantile)
+    cells = rows.groupBy("date", group).agg(spread(near).alias("a"), spread(far).alias("b"), lift.alias("c"))
+    daily = cells.groupBy("date").agg(*(F.avg(x).alias(x) for x in "abc"))
+    by = daily.groupBy(F.year("date").alias("y")).agg(F.avg("a").alias("m")).agg(F.count(F.when(F.round("m", 12) > 0, 1)).alias("positive_near_years"))
+    one = daily.agg(F.avg("a").alias("mean_near_spread"), F.avg("b").alias("mean_far_spread"), F.avg("c").alias("precision_lift")).crossJoin(by)  # one row each
+    c = F.col
+    return _told("selection", one, {"mean_near_spread": c("mean_near_spread") > 0, "mean_far_spread": c("mean_far_spread") > 0, "positive_near_years": c("positive_near_years") >= years, "precision_lift": c("precision_lift") > 0})
+
+
+def conversion_gate(candidate: DataFrame, control: DataFrame, periods: float = 252 / 20, years: int = 4, floor: float = -0.10, tracking: float = 0.06) -> DataFrame:
+    """Cumulative excess, years ahead, active drawdown and tracking error of a candidate's periods, and its mean turnover and cost against a control's. Both: date, period_return, benchmark_return, turnover, cost (a row per period)."""
+    order = Window.orderBy("date")  # a row per period
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = candidate.withColumn("__active", F.product(1 + F.col("period_return")).over(upto) / F.product(1 + F.col("benchmark_return")).over(upto))
+    rows = rows.withColumn("__down", F.col("__active") / F.max("__active").over(upto) - 1)
+    gain = lambda c: F.product(1 + F.col(c)) - 1
+    by = rows.groupBy(F.year("date").alias("y")).agg((gain("period_return") - gain("benchmark_return")).alias("e")).agg(F.count(F.when(F.round("e", 12) > 0, 1)).alias("positive_excess_years"))
+    one = rows.agg(
+        (gain("period_return") - gain("benchmark_return")).alias("excess_return"), F.min("__down").alias("active_max_drawdown"), (F.stddev_samp(F.col("period_return") - F.col("benchmark_return")) * periods**0.5).alias("tracking_error"),
+        F.avg("turnover").alias("average_turnover"), F.avg("cost").alias("average_cost"),
+    )
+    one = one.crossJoin(by).crossJoin(control.agg(F.avg("turnover").alias("__t"), F.avg("cost").alias("__c")))  # one row each
+    c = F.col
+    return _told(
+        "conversion", one,
+        {"excess_return": c("excess_return") > 0, "positive_excess_years": c("positive_excess_years") >= years, "active_max_drawdown": c("active_max_drawdown") >= floor, "tracking_error": c("tracking_error") <= tracking, "average_turnover": c("average_turnover") <= c("__t"), "average_cost": c("average_cost") <= c("__c")},
+    )

@@ -232,15 +232,53 @@ def output_audit(spark, d):
     return rules.crossJoin(gaps).unpivot([], names, "rule", "violations")  # one row each
 
 
+def _ic_of(target: str, where: str, name: str) -> str:
+    """A CTE of the daily rank correlation of the score with a target."""
+    return f"""{name} AS (SELECT date, CASE WHEN count(*) >= 5 AND min(x) < max(x) AND min(y) < max(y) THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) END AS ic
+ FROM (SELECT date, {rank_sql('score', 'date')} AS x, {rank_sql(target, 'date')} AS y FROM src WHERE score IS NOT NULL AND {target} IS NOT NULL AND {where}) GROUP BY date)"""
+
+
+def _best_of(c: str) -> str:
+    return f"{c} IS NOT NULL AND round(row_number() OVER (PARTITION BY date, sector ORDER BY {c} NULLS LAST, entity) / count({c}) OVER (PARTITION BY date, sector), 9) > 0.8"
+
+
+def _curve(score: str, name: str) -> str:
+    """CTEs of the periods of the ten best by a score: {name} has period and benchmark return, turnover and cost."""
+    return f"""{name}p AS (SELECT date, entity, near / 2000 AS r FROM src WHERE {score} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY {score} DESC, entity) <= 10), {name}d AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM {name}p)),
+{name}w AS (SELECT n, entity, 1.0 / count(*) OVER (PARTITION BY n) AS w FROM {name}p JOIN {name}d USING (date)), {name}m AS (SELECT coalesce(a.n, b.n + 1) AS n, sum(greatest(coalesce(a.w, 0) - coalesce(b.w, 0), 0)) AS bought, sum(greatest(coalesce(b.w, 0) - coalesce(a.w, 0), 0)) AS sold FROM {name}w a FULL JOIN {name}w b ON a.entity = b.entity AND a.n = b.n + 1 GROUP BY 1),
+{name} AS (SELECT date, coalesce(avg(r), 0) AS p, any_value(b) AS b, any_value(bought + sold) / 2 AS turnover, any_value(bought * 0.0005 + sold * 0.0015) AS cost FROM {name}p JOIN {name}d USING (date) JOIN {name}m USING (n) JOIN (SELECT date, coalesce(avg(near / 2000), 0) AS b FROM src GROUP BY date) USING (date) GROUP BY date)"""
+
+
 @query(
-    f"""WITH {LABELS}, {_LONG}, {_ICS}, g AS (SELECT factor, avg(ic) AS m, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CAST(round(ic, 9) > 0 AS DOUBLE)) AS pos FROM ics GROUP BY 1)
-SELECT factor, m > 0 AS ranking, ir > 0.05 AS selection, pos > 0.5 AS conversion, m > 0 AND ir > 0.05 AND pos > 0.5 AS certified, concat_ws(',', CASE WHEN NOT m > 0 THEN 'ranking' END, CASE WHEN NOT ir > 0.05 THEN 'selection' END, CASE WHEN NOT pos > 0.5 THEN 'conversion' END) AS reasons FROM g"""
+    f"""WITH {LABELS}, {SECTORS}, src AS (SELECT entity, date, sector, ret_4 AS score, ret_12 AS other, label AS near, lead(open, 7) OVER (PARTITION BY entity ORDER BY date) / lead(open, 1) OVER (PARTITION BY entity ORDER BY date) - 1 AS far, volume FROM labeled JOIN sectors USING (entity) QUALIFY volume >= 5),
+{_ic_of('near', 'true', 'ia')}, {_ic_of('far', 'true', 'ib')}, {_ic_of('near', "sector = 'ASIA'", 'ic')}, yr AS (SELECT count(*) FILTER (round(m, 12) > 0) AS y FROM (SELECT avg(ic) AS m FROM ia GROUP BY year(date))),
+cells AS (SELECT * FROM src QUALIFY count(*) OVER (PARTITION BY date, sector) >= 10), marked AS (SELECT *, {_best_of('score')} AS top, {_best_of('near')} AS truth FROM cells),
+sp AS (SELECT date, avg(CASE WHEN top THEN near END) - avg(CASE WHEN NOT top THEN near END) AS a, avg(CASE WHEN top THEN far END) - avg(CASE WHEN NOT top THEN far END) AS b, avg(CASE WHEN top AND near IS NOT NULL THEN truth::INT END) - (1 - 0.8) AS c FROM marked GROUP BY date, sector),
+sd AS (SELECT date, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM sp GROUP BY date), sy AS (SELECT count(*) FILTER (round(m, 12) > 0) AS y FROM (SELECT avg(a) AS m FROM sd GROUP BY year(date))),
+{_curve('score', 'cand')}, {_curve('other', 'ctrl')}, act AS (SELECT *, product(1 + p) OVER w / product(1 + b) OVER w AS active FROM cand WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)), dn AS (SELECT *, active / max(active) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS down FROM act),
+cy AS (SELECT count(*) FILTER (round(e, 12) > 0) AS y FROM (SELECT product(1 + p) - product(1 + b) AS e FROM cand GROUP BY year(date))), cs AS (SELECT product(1 + p) - product(1 + b) AS excess, min(down) AS down, stddev_samp(p - b) * sqrt(12.6) AS te, avg(turnover) AS t, avg(cost) AS c FROM dn), ct AS (SELECT avg(turnover) AS t, avg(cost) AS c FROM ctrl),
+v AS (SELECT 'ranking' AS gate, 'mean_near_ic' AS measure, (SELECT avg(ic) FROM ia)::DOUBLE AS value, (SELECT avg(ic) FROM ia) > 0 AS passed UNION ALL SELECT 'ranking', 'mean_far_ic', (SELECT avg(ic) FROM ib), (SELECT avg(ic) FROM ib) > 0 UNION ALL SELECT 'ranking', 'positive_near_years', (SELECT y FROM yr), (SELECT y FROM yr) >= 4 UNION ALL SELECT 'ranking', 'group_near_ic', (SELECT avg(ic) FROM ic), (SELECT avg(ic) FROM ic) >= 0
+UNION ALL SELECT 'selection', 'mean_near_spread', avg(a), avg(a) > 0 FROM sd UNION ALL SELECT 'selection', 'mean_far_spread', avg(b), avg(b) > 0 FROM sd UNION ALL SELECT 'selection', 'positive_near_years', y, y >= 4 FROM sy UNION ALL SELECT 'selection', 'precision_lift', avg(c), avg(c) > 0 FROM sd
+UNION ALL SELECT 'conversion', 'excess_return', excess, excess > 0 FROM cs UNION ALL SELECT 'conversion', 'positive_excess_years', y, y >= 4 FROM cy UNION ALL SELECT 'conversion', 'active_max_drawdown', down, down >= -0.1 FROM cs UNION ALL SELECT 'conversion', 'tracking_error', te, te <= 0.06 FROM cs
+UNION ALL SELECT 'conversion', 'average_turnover', cs.t, cs.t <= ct.t FROM cs, ct UNION ALL SELECT 'conversion', 'average_cost', cs.c, cs.c <= ct.c FROM cs, ct)
+SELECT gate, measure, round(value, 5) AS value, coalesce(passed, false) AS passed FROM v"""
 )
 def three_gates(spark, d):
-    g = factor_ics(spark, d).groupBy("factor").agg((F.avg("ic") > 0).alias("ranking"), (F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) > 0.05).alias("selection"), (share_of(F.round("ic", 9) > 0) > 0.5).alias("conversion"))
-    names = ["ranking", "selection", "conversion"]
-    reasons = F.array_compact(F.array(*(F.when(~F.col(n), n) for n in names)))
-    return g.select("factor", *names, (F.col("ranking") & F.col("selection") & F.col("conversion")).alias("certified"), F.concat_ws(",", reasons).alias("reasons"))
+    """Whether a score ranks, whether its best are better, and whether a portfolio of them beats its market at no more turnover or cost than another score's."""
+    w = Window.partitionBy("entity").orderBy("date")
+    rows = labeled(spark, d).withColumn("far", F.lead("open", 7).over(w) / F.lead("open", 1).over(w) - 1).where("volume >= 5").join(sectors(spark, d), "entity")
+    rows = written(rows.select("entity", "date", "sector", F.col("ret_4").alias("score"), F.col("ret_12").alias("other"), F.col("label").alias("near"), "far"), "gates")
+
+    def curve(score: str) -> DataFrame:
+        picks = portfolio.top_k(rows, score, ["date"], 10, "entity")
+        held = portfolio.weighted(picks, "equal", "date").select("date", "entity", "weight")
+        moves = portfolio.turnover(held, joins.calendar(held)).select("date", ((F.col("bought") + F.col("sold")) / 2).alias("turnover"), "cost")
+        mean = lambda df, name: df.groupBy("date").agg(F.coalesce(F.avg(F.col("near") / 2000), F.lit(0.0)).alias(name))
+        return written(mean(picks, "period_return").join(mean(rows, "benchmark_return"), "date").join(moves, "date"), "curve")
+
+    gates_ = [gates.ranking_gate(rows, "score", "near", "far", "sector", "ASIA"), gates.selection_gate(rows, "score", "near", "far", "sector", "entity"), gates.conversion_gate(curve("score"), curve("other"))]
+    out = gates_[0].unionByName(gates_[1]).unionByName(gates_[2])
+    return out.select("gate", "measure", F.round("value", 5).alias("value"), "passed")
 
 
 @query(
