@@ -129,5 +129,5 @@ def conversion_gate(candidate: DataFrame, control: DataFrame, periods: float = 2
     c = F.col
     return _told(
         "conversion", one,
-        {"excess_return": c("excess_return") > 0, "positive_excess_years": c("positive_excess_years") >= years, "active_max_drawdown": c("active_max_drawdown") >= floor, "tracking_error": c("tracking_error") <= tracking, "average_turnover": c("average_turnover") <= c("__t"), "average_cost": c("average_cost") <= c("__c")},
+        {"excess_return": c("excess_return") > 0, "positive_excess_years": c("positive_excess_years") >= years, "active_max_drawdown": c("active_max_drawdown") >= floor, "tracking_error": c("tracking_error") <= tracking, "average_turnover": F.round(c("average_turnover") - c("__t"), 12) <= 0, "average_cost": F.round(c("average_cost") - c("__c"), 12) <= 0},
     )

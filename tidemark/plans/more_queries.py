@@ -260,7 +260,7 @@ cy AS (SELECT count(*) FILTER (round(e, 12) > 0) AS y FROM (SELECT product(1 + p
 v AS (SELECT 'ranking' AS gate, 'mean_near_ic' AS measure, (SELECT avg(ic) FROM ia)::DOUBLE AS value, (SELECT avg(ic) FROM ia) > 0 AS passed UNION ALL SELECT 'ranking', 'mean_far_ic', (SELECT avg(ic) FROM ib), (SELECT avg(ic) FROM ib) > 0 UNION ALL SELECT 'ranking', 'positive_near_years', (SELECT y FROM yr), (SELECT y FROM yr) >= 4 UNION ALL SELECT 'ranking', 'group_near_ic', (SELECT avg(ic) FROM ic), (SELECT avg(ic) FROM ic) >= 0
 UNION ALL SELECT 'selection', 'mean_near_spread', avg(a), avg(a) > 0 FROM sd UNION ALL SELECT 'selection', 'mean_far_spread', avg(b), avg(b) > 0 FROM sd UNION ALL SELECT 'selection', 'positive_near_years', y, y >= 4 FROM sy UNION ALL SELECT 'selection', 'precision_lift', avg(c), avg(c) > 0 FROM sd
 UNION ALL SELECT 'conversion', 'excess_return', excess, excess > 0 FROM cs UNION ALL SELECT 'conversion', 'positive_excess_years', y, y >= 4 FROM cy UNION ALL SELECT 'conversion', 'active_max_drawdown', down, down >= -0.1 FROM cs UNION ALL SELECT 'conversion', 'tracking_error', te, te <= 0.06 FROM cs
-UNION ALL SELECT 'conversion', 'average_turnover', cs.t, cs.t <= ct.t FROM cs, ct UNION ALL SELECT 'conversion', 'average_cost', cs.c, cs.c <= ct.c FROM cs, ct)
+UNION ALL SELECT 'conversion', 'average_turnover', cs.t, round(cs.t - ct.t, 12) <= 0 FROM cs, ct UNION ALL SELECT 'conversion', 'average_cost', cs.c, round(cs.c - ct.c, 12) <= 0 FROM cs, ct)
 SELECT gate, measure, round(value, 5) AS value, coalesce(passed, false) AS passed FROM v"""
 )
 def three_gates(spark, d):
