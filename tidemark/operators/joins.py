@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import value_range
-from tidemark.sources.stages import written
+from tidemark.sources.stages import running, written
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,17 +91,19 @@ def pre_release(actuals: DataFrame, estimates: DataFrame, key: str, release: str
     """actuals with consensus (mean), n_sources: of each source's latest estimate strictly before the release, unless withdrawn.
 
     Estimates and releases of a key are put in one order of time. Each estimate takes back what its source said before,
-    so running sums of the differences give the consensus at any release: no pairs are made.
+    so running sums of the differences give the consensus at any release: no pairs are made. Values are summed as
+    decimals of nine places, exactly, and in ranges of time, so that a key with all rows is spread.
     """
     own = Window.partitionBy("__k", "__s").orderBy("__t", "__v")
-    e = estimates.select(F.col(key).alias("__k"), F.col(published).alias("__t"), F.col(source).alias("__s"), F.col(value).cast("double").alias("__v"), withdrawn.alias("__w"))
+    e = estimates.select(F.col(key).alias("__k"), F.col(published).alias("__t"), F.col(source).alias("__s"), F.round(F.col(value), 9).cast("decimal(28,9)").alias("__v"), withdrawn.alias("__w"))
     counts = (~F.col("__w")).cast("long")
-    e = e.withColumns({"__n": counts, "__x": F.when(F.col("__w"), 0.0).otherwise(F.col("__v"))})
+    e = e.withColumns({"__n": counts, "__x": F.when(F.col("__w"), F.lit(0).cast("decimal(28,9)")).otherwise(F.col("__v"))})
     e = e.select("__k", "__t", *((F.col(c) - F.coalesce(F.lag(c).over(own), F.lit(0))).alias(c) for c in ("__n", "__x")), F.lit(1).alias("__side"))
     marks = actuals.select(F.col(key).alias("__k"), F.col(release).alias("__t")).distinct().withColumn("__side", F.lit(0))
-    w = Window.partitionBy("__k").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)  # at one time the release comes first
-    both = e.unionByName(marks, allowMissingColumns=True).withColumns({"n_sources": F.sum("__n").over(w), "__sum": F.sum("__x").over(w)})
-    found = both.where("__side = 0 and n_sources > 0").select(F.col("__k").alias(key), F.col("__t").alias(release), (F.col("__sum") / F.col("n_sources")).alias("consensus"), "n_sources")
+    both = e.unionByName(marks, allowMissingColumns=True)
+    zero = {"n_sources": F.coalesce("__n", F.lit(0).cast("long")), "__sum": F.coalesce("__x", F.lit(0).cast("decimal(28,9)"))}
+    summed = running(both, ["__k"], ["__t", "__side"], zero, "releases")  # at one time the release comes first
+    found = summed.where("__side = 0 and n_sources > 0").select(F.col("__k").alias(key), F.col("__t").alias(release), (F.col("__sum").cast("double") / F.col("n_sources")).alias("consensus"), "n_sources")
     return actuals.join(found, [key, release], "left")
 
 

@@ -32,22 +32,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str) -> DataFrame:
-    """df with ``name``: the sum of ``value`` over the earlier rows of the same keys, in an order that tells rows apart.
+def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Column | dict[str, Column], name: str) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the earlier rows of the same keys, in an order that tells rows apart; several sums by name if ``value`` is a dictionary.
 
     Rows are sorted in ranges of about equal size, summed within each range and key, and the ranges' sums are added
     up, so a key with all rows is spread like any other.
     """
-    placed = df.withColumn("__value", value).repartitionByRange(*map(_column, keys), *map(_column, order)).sortWithinPartitions(*map(_column, keys), *map(_column, order))
+    values = value if isinstance(value, dict) else {name: value}
+    placed = df.withColumns({f"__v_{n}": v for n, v in values.items()}).repartitionByRange(*map(_column, keys), *map(_column, order)).sortWithinPartitions(*map(_column, keys), *map(_column, order))
     placed = written(placed.withColumn("__at", F.monotonically_increasing_id()), f"running-{name}").withColumn("__part", F.shiftright("__at", 33))
     part = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("__part", *keys).agg(F.sum("__value").alias("__sum"))
+    parts = placed.groupBy("__part", *keys).agg(*(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and key
     same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    first = parts.select("__part", *keys, F.sum("__sum").over(earlier).alias("__first"))
-    both = placed.withColumn("__own", F.sum("__value").over(part)).alias("a").join(first.alias("b"), reduce(Column.__and__, map(same, ["__part", *keys])))
-    zero = F.lit(0).cast(df.select(value.alias("v")).schema["v"].dataType)
-    return both.select("a.*", "__first").withColumn(name, F.coalesce("__own", zero) + F.coalesce("__first", zero)).drop("__own", "__first", "__value", "__at", "__part")
+    first = parts.select("__part", *keys, *(F.sum(f"__s_{n}").over(earlier).alias(f"__f_{n}") for n in values))
+    own = placed.withColumns({f"__o_{n}": F.sum(f"__v_{n}").over(part) for n in values})
+    both = own.alias("a").join(first.alias("b"), reduce(Column.__and__, map(same, ["__part", *keys])))
+    both = both.select("a.*", *(f"__f_{n}" for n in values))
+    zero = {n: F.lit(0).cast(placed.schema[f"__v_{n}"].dataType) for n in values}
+    both = both.withColumns({n: F.coalesce(f"__o_{n}", zero[n]) + F.coalesce(f"__f_{n}", zero[n]) for n in values})
+    return both.drop("__at", "__part", *(f"__{x}_{n}" for n in values for x in "vof"))
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "n", keys: list[str] | None = None) -> DataFrame:
