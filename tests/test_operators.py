@@ -235,8 +235,22 @@ def test_write_once(spark, tmp_path):
     path = str(tmp_path / "t")
     assert evidence.write_once(df, path) == "created"
     assert evidence.write_once(df.orderBy(F.desc("k")), path) == "identical"
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="other content"):
         evidence.write_once(df.where("k = 1"), path)
+    with pytest.raises(ValueError, match="other content"):
+        evidence.write_once(df.select(F.col("k").cast("long").alias("k"), "v"), path)
+    assert evidence.verify_once(spark, path) and evidence.receipt(spark, path)[0] == 2
+    df.where("k = 1").write.mode("overwrite").parquet(path)  # damaged afterwards
+    assert not evidence.verify_once(spark, path)
+    # A writer that stopped between the rows and the receipt.
+    half = str(tmp_path / "half")
+    df.write.parquet(half)
+    with pytest.raises(ValueError, match="other content"):
+        evidence.write_once(df.where("k = 2"), half)
+    assert evidence.receipt(spark, half) is None
+    assert evidence.write_once(df, half) == "identical" and evidence.verify_once(spark, half)
+    none = str(tmp_path / "none")
+    assert evidence.write_once(df.limit(0), none) == "created" and evidence.write_once(df.limit(0), none) == "identical"
     assert evidence.table_hash(df).first() == evidence.table_hash(df.orderBy(F.desc("k")).repartition(3)).first()
     assert evidence.table_hash(df).first() != evidence.table_hash(df.where("k = 1")).first()
 

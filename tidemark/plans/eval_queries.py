@@ -539,18 +539,6 @@ def decayed_event_score(spark, d):
 # Models and path-dependent operators: checked in tests against recomputation
 
 
-@query()
-def ridge_walk_forward(spark, d):
-    """Ridge per purged fold: fitted on rows whose labels end before the fold, scored on its dates; one aggregation for all folds."""
-    rows = labeled(spark, d)
-    dates = joins.calendar(rows)
-    n = dates.count()
-    spans = models.folds(dates, "date", n // 2, max(n // 4, 1), 1)
-    assigned = models.assign_folds(rows, spans, "date", "label_end")
-    fitted = {k: m for k, (m, _, _) in models.ridge_by(assigned.where("role = 'train'"), ["ret_1", "ret_4", "ret_12"], "label", 10.0, "fold").items()}  # a handful of test periods
-    return assigned.where("role = 'test'").select("fold", "entity", "date", models.column_by(fitted, "fold").alias("score"), "label")
-
-
 @query()
 def logistic_platt(spark, d):
     """Logistic ridge of document quality on simple text features, calibrated."""

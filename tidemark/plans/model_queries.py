@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import share_of
-from tidemark.operators import models, resampling, trees
+from tidemark.operators import joins, models, resampling, trees
 from tidemark.plans.eval_queries import _ICS, _LONG, factor_ics
 from tidemark.plans.panel_queries import labeled
 from tidemark.plans.registry import LABELS, query, rank_sql
@@ -49,6 +51,15 @@ def two_stage_product(spark, d):
     return out.select("entity", "date", *(F.round(c, 6).alias(c) for c in ("probability", "magnitude", "score")))
 
 
+@query()
+def gbt_direction(spark, d):
+    """Log-loss trees of the label's direction, as probabilities of a rise on later dates."""
+    train, test = _panel(spark, d)
+    up = F.when(F.col("label") > 0, 1.0).otherwise(0.0)
+    model = trees.fit(train.withColumn("up", up), FEATURES, "up", "binary", SETTINGS)
+    return test.where("label is not null").select("entity", "date", F.round(models.sigmoid(model.column()), 6).alias("p"), up.alias("up"))
+
+
 # Resampling
 
 BLOCK, REPLICATIONS, SEED = 6, 200, 42
@@ -99,30 +110,88 @@ def paired_fold_comparison(spark, d):
     return boot.join(folds, "factor").join(above, "factor").select("factor", "samples", *(F.round(c, 6).alias(c) for c in names), "fold_wins", "folds")
 
 
+_FILLED = ", ".join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN greatest(q{i}[1], least(q{i}[2], {c})) END, q{i}[3]) AS f{i}" for i, c in enumerate(FEATURES))
+_Z = ", ".join(f"(f{i} - m{i}) / d{i} AS z{i}" for i in range(3))
+_PREPARED = f"""train AS (SELECT * FROM labeled WHERE label IS NOT NULL AND label_end < {SPLIT}), q AS (SELECT {", ".join(f"quantile_cont({c}, [0.01, 0.99, 0.5]) AS q{i}" for i, c in enumerate(FEATURES))} FROM train),
+ft AS (SELECT label, {_FILLED} FROM train, q), m AS (SELECT {", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(3))} FROM ft)"""
+
+
+@query(f"WITH {LABELS}, {_PREPARED} SELECT entity, date, {', '.join(f'round(z{i}, 6) AS {c}' for i, c in enumerate(FEATURES))} FROM (SELECT entity, date, {_Z} FROM (SELECT entity, date, {_FILLED} FROM labeled, q), m)")
+def train_only_preprocessor(spark, d):
+    """Features of all rows clipped, filled and scaled by what the rows known before a date say."""
+    train, _ = _panel(spark, d)
+    scaled = models.fit_preprocessor(train, FEATURES).columns()
+    return labeled(spark, d).select("entity", "date", *(F.round(c, 6).alias(n) for n, c in scaled.items()))
+
+
+def _det(cell: Callable[[int, int], str]) -> str:
+    """The determinant of a 3 x 3 matrix in SQL."""
+    return "(" + " + ".join(f"{cell(0, p)} * ({cell(1, (p + 1) % 3)} * {cell(2, (p + 2) % 3)} - {cell(1, (p + 2) % 3)} * {cell(2, (p + 1) % 3)})" for p in range(3)) + ")"
+
+
+def _swapped(k: int | None) -> Callable[[int, int], str]:
+    """The Gram matrix's cells, with the right-hand side in column k."""
+    return lambda i, j: f"b{i}" if j == k else f"g{i}{j}"
+
+
 def _importance_sql() -> str:
-    train = f"label IS NOT NULL AND label_end < {SPLIT}"
-    q = ", ".join(f"quantile_cont({c}, [0.01, 0.99, 0.5]) AS q{i}" for i, c in enumerate(FEATURES))
-    filled = ", ".join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN greatest(q{i}[1], least(q{i}[2], {c})) END, q{i}[3]) AS f{i}" for i, c in enumerate(FEATURES))
-    moments = ", ".join(f"avg(f{i}) AS m{i}, stddev_pop(f{i}) AS d{i}" for i in range(3))
-    z = ", ".join(f"(f{i} - m{i}) / d{i} AS z{i}" for i in range(3))
     gram = ", ".join(f"sum((z{i} - a{i}) * (z{j} - a{j})) + {1.0 if i == j else 0.0} AS g{i}{j}" for i in range(3) for j in range(3))
     right = ", ".join(f"sum((z{i} - a{i}) * label) AS b{i}" for i in range(3))
-    det = lambda c: "(" + " + ".join(f"{c(0, p)} * ({c(1, (p + 1) % 3)} * {c(2, (p + 2) % 3)} - {c(1, (p + 2) % 3)} * {c(2, (p + 1) % 3)})" for p in range(3)) + ")"
-    cell = lambda k: lambda i, j: f"b{i}" if j == k else f"g{i}{j}"
-    beta = ", ".join(f"{det(cell(k))} / {det(lambda i, j: f'g{i}{j}')} AS w{k}" for k in range(3))
+    beta = ", ".join(f"{_det(_swapped(k))} / {_det(_swapped(None))} AS w{k}" for k in range(3))
     score = " + ".join(f"z{i} * w{i}" for i in range(3))
     mixed = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, label, " + ", ".join(f"o.z{k} AS z{k}" if k == i else f"t.z{k}" for k in range(3)) + f" FROM test t JOIN (SELECT z{i}, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '{c}', entity, date)), entity, date) AS n FROM test) o USING (n)"
         for i, c in enumerate(FEATURES)
     )
-    return f"""WITH {LABELS}, train AS (SELECT * FROM labeled WHERE {train}), q AS (SELECT {q} FROM train), ft AS (SELECT label, {filled} FROM train, q), m AS (SELECT {moments} FROM ft), zt AS (SELECT label, {z} FROM ft, m),
+    return f"""WITH {LABELS}, {_PREPARED}, zt AS (SELECT label, {_Z} FROM ft, m),
 a AS (SELECT {", ".join(f"avg(z{i}) AS a{i}" for i in range(3))} FROM zt), g AS (SELECT {gram}, {right} FROM zt, a), w AS (SELECT {beta} FROM g),
-test AS (SELECT *, row_number() OVER (ORDER BY entity, date) AS n FROM (SELECT entity, date, label, {z} FROM (SELECT entity, date, label, {filled} FROM labeled, q WHERE date >= {SPLIT} AND label IS NOT NULL), m)),
+test AS (SELECT *, row_number() OVER (ORDER BY entity, date) AS n FROM (SELECT entity, date, label, {_Z} FROM (SELECT entity, date, label, {_FILLED} FROM labeled, q WHERE date >= {SPLIT} AND label IS NOT NULL), m)),
 mixed AS ({mixed} UNION ALL SELECT '' AS feature, label, z0, z1, z2 FROM test), s AS (SELECT feature, label, round({score}, 12) AS score FROM mixed, w), r AS (SELECT feature, {rank_sql('score', 'feature')} AS x, {rank_sql('label', 'feature')} AS y FROM s),
 rho AS (SELECT feature, covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) AS rho FROM r GROUP BY 1)
 SELECT feature, round((SELECT rho FROM rho WHERE feature = '') - rho, 6) AS importance FROM rho WHERE feature <> ''"""
 
 
+_FOLDS = """cal AS (SELECT date, row_number() OVER (ORDER BY date) AS session, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM labeled)),
+spans AS (SELECT fold, test_from, test_until, cal.date AS train_until FROM (SELECT CAST((session - n // 2 - 1) // greatest(n // 4, 1) AS INT) AS fold, min(date) AS test_from, max(date) AS test_until, min(session) - 1 AS s FROM cal WHERE session > n // 2 GROUP BY 1) JOIN cal ON session = s),
+assigned AS (SELECT labeled.*, fold, CASE WHEN date BETWEEN test_from AND test_until THEN 'test' ELSE 'train' END AS role FROM labeled JOIN spans ON date BETWEEN test_from AND test_until OR (label_end < train_until AND date < train_until))"""
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    rows = labeled(spark, d)
+    dates = joins.calendar(rows)
+    n = dates.count()
+    return models.assign_folds(rows, models.folds(dates, "date", n // 2, max(n // 4, 1), 1), "date", "label_end")
+
+
+@query(f"WITH {LABELS}, {_FOLDS} SELECT fold, role, count(*) AS n, min(date) AS first_date, max(date) AS last_date, max(CASE role WHEN 'train' THEN label_end END) AS last_known FROM assigned GROUP BY ALL")
+def purged_folds(spark, d):
+    """Rows of each walk-forward fold by role: a training row's label ends before the fold's training limit."""
+    known = F.max(F.when(F.col("role") == "train", F.col("label_end"))).alias("last_known")
+    return _assigned(spark, d).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), known)
+
+
+def _ridge_sql(alpha: float) -> str:
+    """A ridge on three features per fold, by Cramer's rule."""
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*FEATURES, "label"])
+    moments = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(FEATURES))
+    zs = ", ".join(f"({c} - m{i}) / d{i} AS z{i}" for i, c in enumerate(FEATURES))
+    gram = ", ".join(f"sum(z{i} * z{j}) + {alpha if i == j else 0.0} AS g{i}{j}" for i in range(3) for j in range(3))
+    right = ", ".join(f"sum(z{i} * (label - my)) AS b{i}" for i in range(3))
+    beta = ", ".join(f"{_det(_swapped(k))} / {_det(_swapped(None))} AS w{k}" for k in range(3))
+    score = " + ".join(f"({c} - m{i}) / d{i} * w{i}" for i, c in enumerate(FEATURES))
+    return f"""WITH {LABELS}, {_FOLDS}, tr AS (SELECT * FROM assigned WHERE role = 'train' AND {complete}), m AS (SELECT fold, avg(label) AS my, {moments} FROM tr GROUP BY fold),
+zt AS (SELECT fold, label, my, {zs} FROM tr JOIN m USING (fold)), g AS (SELECT fold, {gram}, {right} FROM zt GROUP BY fold), w AS (SELECT fold, {beta} FROM g)
+SELECT fold, entity, date, round(my + {score}, 6) AS score, round(label, 6) AS label FROM assigned JOIN m USING (fold) JOIN w USING (fold) WHERE role = 'test'"""
+
+
+@query(_ridge_sql(10.0))
+def ridge_walk_forward(spark, d):
+    """Ridge per purged fold: fitted on rows whose labels end before the fold, scored on its dates; one aggregation for all folds."""
+    assigned = _assigned(spark, d)
+    fitted = {k: m for k, (m, _, _) in models.ridge_by(assigned.where("role = 'train'"), FEATURES, "label", 10.0, "fold").items()}  # a handful of test periods
+    return assigned.where("role = 'test'").select("fold", "entity", "date", F.round(models.column_by(fitted, "fold"), 6).alias("score"), F.round("label", 6).alias("label"))
+
+
 @query(_importance_sql())
 def permutation_importance(spark, d):
     """What a ridge's rank correlation on later rows loses when a feature is permuted; clipping, filling and scaling are fitted with the model."""

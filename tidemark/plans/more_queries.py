@@ -358,11 +358,13 @@ def validation_weights(spark, d):
 
 @query()
 def embedding_ridge(spark, d):
-    """Ridge of the label on all of the embedding's coordinates, by one Gram aggregation."""
+    """Ridge of the label on all of the embedding's coordinates, by one Gram aggregation; a vector that is null or of fewer coordinates than others has no score."""
     e = read(spark, d, "embeddings")
     width = e.agg(F.max(F.size("embedding"))).first()[0]
-    wide = e.where(F.size("embedding") == width).select("vec_id", F.col("label").cast("double").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)))
-    m = models.ridge_arrays(wide.select("vec_id", "y", F.array(*(f"e{i}" for i in range(width))).alias("x")), "x", "y", 1.0)
+    part = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    wide = e.select("vec_id", F.col("label").cast("double").alias("y"), F.size("embedding").alias("n"), *(part(i).alias(f"e{i}") for i in range(width)))
+    known = wide.where(F.col("n") == width).select("vec_id", "y", F.array(*(f"e{i}" for i in range(width))).alias("x"))
+    m = models.ridge_arrays(known, "x", "y", 1.0)
     return wide.select("vec_id", "y", F.round(m.column(), 6).alias("score"))
 
 
@@ -380,19 +382,6 @@ def text_hash_model(spark, d):
     return out.select("doc_id", F.round("char_score", 6).alias("char_score"), F.round(0.5 * F.col("char_score") + 0.5 * F.col("word_score"), 6).alias("score"))
 
 
-@query()
-def gbt_direction(spark, d):
-    """Gradient-boosted trees of the label's direction on the panel's features, fitted before a date and scored after."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = labeled(spark, d).dropna(subset=["ret_1", "ret_4", "ret_12", "label"]).withColumn("up", (F.col("label") > 0).cast("double"))
-    x = VectorAssembler(inputCols=["ret_1", "ret_4", "ret_12"], outputCol="x").transform(rows)
-    fitted = GBTClassifier(featuresCol="x", labelCol="up", maxIter=5, maxDepth=3, seed=7).fit(x.where("label_end < date '1997-01-01'"))
-    return fitted.transform(x.where("date >= date '1997-01-01'")).select("entity", "date", F.round(vector_to_array("probability")[1], 6).alias("p"), "up")
-
-
 @query()
 def policy_grid(spark, d):
     """Ledgers of a grid of factors and sizes at two costs."""

@@ -20,19 +20,51 @@ def table_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *(part(i) for i in range(4))), 256).alias("content_hash"))
 
 
+RECEIPT = "n long, content_hash string, schema string"
+
+
 def write_once(df: DataFrame, path: str) -> str:
-    """'created', or 'identical' where the table is there with the same rows; a different one raises."""
-    spark = df.sparkSession
-    try:
-        there = spark.read.parquet(path)
-    except AnalysisException:
-        df.write.mode("errorifexists").parquet(path)
-        return "created"
-    if there.schema.simpleString() != df.schema.simpleString() or not (there.exceptAll(df).isEmpty() and df.exceptAll(there).isEmpty()):
+    """'created', or 'identical' where the table is there with the same rows; a different one raises.
+
+    A receipt (rows, content hash, schema) beside the table is written after it. A retry is compared with the receipt by one
+    pass over its own rows; a table whose writer stopped before the receipt is compared itself and gets one.
+    """
+    spark, schema = df.sparkSession, df.schema.simpleString()
+    seen = (*table_hash(df).first(), schema)
+    old = receipt(spark, path)
+    if old is None:
+        try:
+            there = spark.read.parquet(path)
+        except AnalysisException:
+            df.write.mode("errorifexists").parquet(path)
+            _sign(spark, path, seen)
+            return "created"
+        old = (*table_hash(there).first(), there.schema.simpleString())
+        if old == seen:
+            _sign(spark, path, seen)
+    if old != seen:
         raise ValueError(f"{path} exists with other content")
     return "identical"
 
 
+def receipt(spark: SparkSession, path: str) -> tuple | None:
+    """What the receipt of a table that was written once says."""
+    try:
+        return tuple(spark.read.schema(RECEIPT).parquet(f"{path}.receipt").first())
+    except AnalysisException:
+        return None
+
+
+def verify_once(spark: SparkSession, path: str) -> bool:
+    """Whether a table that was written once still has the rows of its receipt."""
+    there = spark.read.parquet(path)
+    return receipt(spark, path) == (*table_hash(there).first(), there.schema.simpleString())
+
+
+def _sign(spark: SparkSession, path: str, seen: tuple) -> None:
+    spark.createDataFrame([seen], RECEIPT).coalesce(1).write.mode("errorifexists").parquet(f"{path}.receipt")  # one row
+
+
 #: Records per digest of a range, and what the first record follows.
 RANGE, GENESIS = 1024, "GENESIS"
 
