@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.evidence_queries import _folder, _take
-from tidemark.plans.registry import PANEL, query, r6, s6
+from tidemark.plans.registry import PANEL, SHIFT, query
 from tidemark.sources import evidence, panel
 from tidemark.sources.panel import panel_week
 from tidemark.sources.stages import written
@@ -18,6 +18,15 @@ _MARK = "(entity * 31 + date_diff('day', DATE '1992-01-01', date)) % 41"
 _CODE = "lpad(CAST(entity AS VARCHAR), 6, '0') AS symbol"
 
 
+def _r(name: str) -> Column:
+    """A price rounded off ties: cents over up to 50 pieces often end halfway between two six-digit numbers."""
+    return F.round(F.col(name) + SHIFT, 6).alias(name)
+
+
+def _s(*names: str) -> str:
+    return ", ".join(f"round({n} + {SHIFT}, 6) AS {n}" for n in names)
+
+
 def _bars(spark: SparkSession, d: str) -> DataFrame:
     """The weekly panel as a provider would send it (date as text, code without padding), with ``k``, which decides on damage."""
     mark = (F.col("entity") * 31 + F.datediff("date", F.lit("1992-01-01"))) % 41
@@ -29,17 +38,17 @@ def _csv(df: DataFrame, path: str) -> str:
     return path
 
 
-@query(f"WITH {PANEL} SELECT date, {_CODE}, {s6(*BARS)} FROM panel WHERE {_MARK} NOT IN (3, 5, 7)")
+@query(f"WITH {PANEL} SELECT date, {_CODE}, {_s(*BARS)} FROM panel WHERE {_MARK} NOT IN (3, 5, 7)")
 def scan_panel_csv(spark, d):
     """A folder of CSV files with unreadable dates, negative opens, missing closes and repeated keys, validated."""
     k, bars = F.col("k"), _bars(spark, d)
     bad = bars.withColumns({"date": F.when(k == 3, "n/a").otherwise(F.col("date")), "open": F.when(k == 5, -F.col("open")).otherwise(F.col("open")), "close": F.when(k != 7, F.col("close"))})
     bad = bad.unionByName(bars.where("k = 11").withColumn("open", F.col("open") + 1)).unionByName(bars.where("k = 13"))
-    return panel.scan_csv(spark, _csv(bad.drop("k"), _folder(spark, "bars"))).select("date", "symbol", *r6(*BARS))
+    return panel.scan_csv(spark, _csv(bad.drop("k"), _folder(spark, "bars"))).select("date", "symbol", *map(_r, BARS))
 
 
 @query(
-    f"""WITH {PANEL} SELECT date, {_CODE}, round(CASE WHEN date >= DATE '1996-07-01' THEN close * 1.5 ELSE close END, 6) AS close, {s6("open", "volume")} FROM panel"""
+    f"""WITH {PANEL} SELECT date, {_CODE}, round(CASE WHEN date >= DATE '1996-07-01' THEN close * 1.5 ELSE close END + {SHIFT}, 6) AS close, {_s("open", "volume")} FROM panel"""
 )
 def scan_dir_union(spark, d):
     """A baseline up to 1996 and later files that overlap it by half a year; the later ones count."""
@@ -47,12 +56,12 @@ def scan_dir_union(spark, d):
     base = _csv(bars.where("date < '1997-01-01'"), _folder(spark, "baseline"))
     later = bars.where("date >= '1996-07-01'").withColumn("close", F.col("close") * 1.5)
     daily = _csv(later.repartition(F.substring("date", 1, 7)), _folder(spark, "daily"))
-    return panel.scan_union(spark, base, daily).select("date", "symbol", *r6("close", "open", "volume"))
+    return panel.scan_union(spark, base, daily).select("date", "symbol", *map(_r, ("close", "open", "volume")))
 
 
 @query(
     f"""WITH {PANEL}, a AS (SELECT entity, CASE WHEN {_MARK} <> 3 THEN date END AS date, close, (year(date) - 1992) // 2 + (entity % 19 = 0)::INT AS batch FROM panel)
-SELECT entity, date, round(close, 6) AS close, batch, CASE WHEN date IS NULL THEN 'no_day' WHEN min(batch) OVER (PARTITION BY date) < batch THEN 'known_day' END AS reason FROM a"""
+SELECT entity, date, {_s('close')}, batch, CASE WHEN date IS NULL THEN 'no_day' WHEN min(batch) OVER (PARTITION BY date) < batch THEN 'known_day' END AS reason FROM a"""
 )
 def append_daily_bars(spark, d):
     """Bars that arrive by two years: each day is appended once, what comes later for a known day or without a day is kept apart."""
@@ -65,7 +74,7 @@ def append_daily_bars(spark, d):
     _take(spark, rows, "b", lambda home, schema: days.run(spark.readStream.schema(schema).parquet(home), mark))
     number = F.element_at(F.array(*map(F.lit, numbers)), F.col("batch").cast("int") + 1).cast("long").alias("batch")  # arrivals by their own number
     good = days.accepted(spark).withColumn("reason", F.lit(None).cast("string"))
-    return good.unionByName(days.rejected(spark)).select("entity", "date", F.round("close", 6).alias("close"), number, "reason")
+    return good.unionByName(days.rejected(spark)).select("entity", "date", _r("close"), number, "reason")
 
 
 @query(f"WITH {PANEL}, n AS (SELECT count(*) AS n FROM panel) SELECT n.n AS n, attempt, outcome FROM n, (VALUES ('first', 'created'), ('again', 'identical'), ('changed', 'refused'), ('verified', 'true')) AS t(attempt, outcome)")
