@@ -1,6 +1,11 @@
+import random
+
+import duckdb
+
 from tests.llm.helpers import docs
 from tidemark.llm import chat, license
 from tidemark.llm.license_texts import NOTICES, TEXTS
+from tidemark.llm.queries import CHAT_SQL
 
 
 def conversations(spark, convs):
@@ -37,9 +42,28 @@ def test_equal_turn_numbers_and_repeated_rows(spark):
         assert sorted(got[0].rendered.split("<|end|>\n"))[1:] == [f"<|user|>\n{t}\n" for t in "abcc"]
 
 
-def test_null_conversation(spark):
-    got = chat.collapse(conversations(spark, [(None, [("user", "x")]), (1, [("user", "y")])])).collect()
-    assert {r.conv_id for r in got} == {None, 1}
+def test_null_conversations(spark):
+    """Each row without a conv_id is a conversation of one turn, by the SQL too."""
+    rows = [(None, 0, "user", "x"), (None, 1, "user", "x"), (None, None, None, None), (None, 4, "user", "y"), (None, 4, "user", "z"), (1, 0, "user", "y"), (2, 0, "user", "z"), (2, 1, "user", "x"), (3, None, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((tuple(r) for r in chat.collapse(df).collect()), key=str)
+    x = [f"<|user|>\n{t}\n<|end|>\n" for t in "xyz"]
+    assert got == sorted([(None, 1, 2, x[0]), (None, 1, 1, "<||>\n\n<|end|>\n"), (1, 1, 3, x[1]), (2, 2, 1, x[2] + x[0])], key=str)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert sorted(con.sql(CHAT_SQL).fetchall(), key=str) == got
+
+
+def test_full_blocks_are_cut_again(spark):
+    """Turns without a number or with equal ones come to the same prefixes, however they are cut."""
+    r = random.Random(5)
+    turn = lambda: (r.choice([None, 0, 3, 3, 700]), r.choice(["user", "assistant", None]), f"t{r.randrange(400)}")
+    rows = [(c, *turn()) for c in range(3) for _ in range(500)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    whole = key(chat.prefixes(df, full=10**9))
+    assert len(whole) == len(rows) and key(chat.prefixes(df, full=20)) == whole == key(chat.prefixes(df, block=7, full=1))
+    assert [n for _, n, m, *_ in whole] == [*range(1, 501)] * 3
 
 
 def test_licenses(spark):

@@ -123,10 +123,11 @@ SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY
 TOPK_SQL = f"""WITH {_vectors_sql(1024)}, s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
 
-CHAT_SQL = """WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations),
-c AS (SELECT conv_id, count(*) AS n_turns, list([role, text] ORDER BY pos) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY 1),
-p AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON a.l[1] = b.l[1] AND b.n_turns > a.n_turns AND b.l[1:a.n_turns] = a.l)
-SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_logged, rendered FROM c WHERE conv_id NOT IN (SELECT conv_id FROM p) GROUP BY n_turns, l, rendered"""
+CHAT_SQL = """WITH own AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), 'row ' || row_number() OVER ()) AS conv FROM conversations),
+t AS (SELECT conv_id, conv, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv ORDER BY coalesce(turn, -1), coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM own),
+c AS (SELECT min(conv_id) AS conv_id, conv, count(*) AS n_turns, list([role, text] ORDER BY pos) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered FROM t GROUP BY conv),
+p AS (SELECT DISTINCT a.conv FROM c a JOIN c b ON a.l[1] = b.l[1] AND b.n_turns > a.n_turns AND b.l[1:a.n_turns] = a.l)
+SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_logged, rendered FROM c WHERE conv NOT IN (SELECT conv FROM p) GROUP BY n_turns, l, rendered"""
 
 
 def license_sql() -> str:
