@@ -64,6 +64,11 @@ def zfill(x: Column, width: int) -> Column:
     return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
 
 
+def places(x: str | Column, n: int) -> Column:
+    """A double rounded to n places in floating point, as DuckDB does it; F.round goes by the decimal digits, which differs at halves."""
+    return F.round(col(x) * 10.0**n) / 10.0**n
+
+
 def finite(x: Column) -> Column:
     """Null for what isn't a finite number."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

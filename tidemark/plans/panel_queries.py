@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import market
-from tidemark.functions.expr import finite, pct_change, rank_pct, rolling, row_in, size_of, zfill
+from tidemark.functions.expr import finite, pct_change, places, rank_pct, rolling, row_in, size_of, zfill
 from tidemark.operators import features, joins, labels
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql, s6
 from tidemark.sources.panel import filings, panel_week, read, sectors, validate_panel
@@ -148,8 +148,8 @@ def signal_strength(spark, d):
 SELECT entity, date, round(p, 6) AS p FROM p WHERE p >= 0.6 AND date >= DATE '1997-01-01' ORDER BY p DESC, date, entity LIMIT 1000"""
 )
 def api_predicates(spark, d):
-    p = labeled(spark, d).withColumn("p", F.round(rank_pct("ret_12", ["date"]), 9)).where("p >= 0.6 and date >= date '1997-01-01'")
-    return p.orderBy(F.desc("p"), "date", "entity").limit(1000).select("entity", "date", *r6("p"))
+    p = labeled(spark, d).withColumn("p", places(rank_pct("ret_12", ["date"]), 9)).where("p >= 0.6 and date >= date '1997-01-01'")
+    return p.select("entity", "date", places("p", 6).alias("p")).orderBy(F.desc("p"), "date", "entity").limit(1000)  # by the rounded p, which is what its SQL's ORDER BY names
 
 
 @query(
