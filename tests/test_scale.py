@@ -1,11 +1,13 @@
 """Queries on tables made here: sizes at which earlier versions went wrong or grew too fast."""
 
 import datetime
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from tidemark.operators import portfolio
 from tidemark.plans import load
 
 QUERIES, ORACLES = load()
@@ -31,3 +33,45 @@ def test_api_predicates_orders_by_what_it_shows(spark, tmp_path):
     db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{d}/lineitem.parquet'")
     want = db.sql(f"SELECT entity, date, p FROM ({ORACLES['api_predicates']})").fetchall()
     assert got == want and any(a[1] < b[1] for a, b in zip(want, want[2:], strict=False))
+
+
+def stepwise(rows, n, bps):
+    """The ledger of one strategy over all rows, day by day."""
+    cash, units, marks, out = 1.0, {}, {}, []
+    for date in sorted({r[1] for r in rows}):
+        day = {e: (s, p) for _, t, e, s, p in rows if t == date}
+        price = {e: p for e, (_, p) in day.items() if p is not None and p > 0}
+        marks |= price
+        wanted = [e for _, e in sorted((-day[e][0], e) for e in price if day[e][0] is not None)[:n]]
+        nav, traded = cash + sum(u * marks[e] for e, u in units.items()), 0.0
+        for e in sorted(set(units) & set(price)):
+            less = max(units[e] * price[e] - (nav / n if e in wanted else 0.0), 0.0)
+            cash, traded = cash + less * (1 - bps / 1e4), traded + less
+            units[e] -= less / price[e]
+            if e not in wanted:
+                del units[e]
+        for e in wanted:
+            more = min(max(nav / n - units.get(e, 0.0) * price[e], 0.0), cash / (1 + bps / 1e4))
+            units[e] = units.get(e, 0.0) + more / price[e]
+            cash, traded = cash - more * (1 + bps / 1e4), traded + more
+        out.append((date, cash + sum(u * marks[e] for e, u in units.items()), cash, len(units), traded))
+    return out
+
+
+def test_ledger_folds_what_is_traded_only(spark):
+    r = random.Random(4)
+    day = datetime.date(2024, 1, 1)
+    rows = []
+    for i in range(40):
+        for e in range(60):
+            if r.random() < 0.85:
+                closed = i in (7, 20)  # dates on which nothing can be traded
+                rows.append(("s", day + datetime.timedelta(i), 2**60 + e, r.choice([None, round(r.random(), 1)]), None if closed or r.random() < 0.1 else r.choice([0.0, 10 + r.random(), 11.0])))
+    df = spark.createDataFrame(rows, "strategy string, date date, entity long, score double, price double")
+    kept = portfolio.traded_rows(df, 3)
+    assert kept.count() <= 2 * 3 * 40 and kept.count() * 5 < len(rows)
+    for bps in (0.0, 50.0):
+        got = portfolio.ledger(df, 3, bps).orderBy("date").collect()
+        want = stepwise(rows, 3, bps)
+        assert [x.date for x in got] == [w[0] for w in want] and [x.n_held for x in got] == [w[3] for w in want]
+        assert all(abs(a - b) < 1e-9 for x, w in zip(got, want, strict=True) for a, b in ((x.nav, w[1]), (x.cash, w[2]), (x.traded, w[4])))

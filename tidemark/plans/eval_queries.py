@@ -569,6 +569,11 @@ def regime_states(spark, d):
     return portfolio.regime_states(m, "market", "date", "drawdown", "momentum").select("date", "state", F.col("exposure").cast("double"))
 
 
+def signals(spark: SparkSession, d: str) -> DataFrame:
+    """Two strategies' scores and prices, from one reading of the panel."""
+    return returns(spark, d).unpivot(["date", "entity", F.col("open").alias("price")], ["ret_4", "ret_12"], "strategy", "score")
+
+
 @query()
 def nav_ledger(spark, d):
     rows = returns(spark, d)

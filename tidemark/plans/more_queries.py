@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import market
 from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
 from tidemark.operators import evaluate, features, gates, joins, labels, models, portfolio, text, text_heads
-from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs
+from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs, signals
 from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
 from tidemark.sources.panel import filings, panel_week, read, sectors
@@ -385,13 +385,5 @@ def text_hash_model(spark, d):
 @query()
 def policy_grid(spark, d):
     """Ledgers of a grid of factors and sizes at two costs."""
-    rows = returns(spark, d)
-    grid = None
-    for f in ("ret_4", "ret_12"):
-        one = rows.select(F.lit(f).alias("strategy"), "date", "entity", F.col(f).alias("score"), F.col("open").alias("price"))
-        grid = one if grid is None else grid.unionByName(one)
-    out = None
-    for bps in (0.0, 20.0):
-        led = portfolio.ledger(grid, 10, bps).groupBy("strategy").agg(F.max_by("nav", "date").alias("nav"), F.sum("traded").alias("traded")).withColumn("bps", F.lit(bps))
-        out = led if out is None else out.unionByName(led)
-    return out
+    led = portfolio.ledgers(signals(spark, d), 10, [0.0, 20.0])
+    return led.groupBy("strategy", "bps").agg(F.max_by("nav", "date").alias("nav"), F.sum("traded").alias("traded")).select("strategy", "nav", "traded", "bps")
