@@ -576,6 +576,4 @@ def signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nav_ledger(spark, d):
-    rows = returns(spark, d)
-    one = lambda c: rows.select(F.lit(c).alias("strategy"), "date", "entity", F.col(c).alias("score"), F.col("open").alias("price"))
-    return portfolio.ledger(one("ret_4").unionByName(one("ret_12")), 10, 10.0)
+    return portfolio.ledger(signals(spark, d), 10, 10.0)
