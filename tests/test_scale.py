@@ -7,8 +7,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tidemark.operators import portfolio
-from tidemark.plans import load
+from tidemark.operators import evaluate, portfolio
+from tidemark.plans import load, panel_queries
+from tidemark.sources import stages
 
 QUERIES, ORACLES = load()
 
@@ -75,3 +76,14 @@ def test_ledger_folds_what_is_traded_only(spark):
         want = stepwise(rows, 3, bps)
         assert [x.date for x in got] == [w[0] for w in want] and [x.n_held for x in got] == [w[3] for w in want]
         assert all(abs(a - b) < 1e-9 for x, w in zip(got, want, strict=True) for a, b in ((x.nav, w[1]), (x.cash, w[2]), (x.traded, w[4])))
+
+
+def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
+    # AQE gives small shuffles few tasks, however wide their rows are sorted: parts go by the number of rows.
+    d = lines(tmp_path, [(e, w, 100 + (e * w) % 7) for e in range(50) for w in range(20)])
+    monkeypatch.setattr(stages, "ROWS", 20)
+    for df in (panel_queries.by_date(panel_queries.labeled(spark, d), spark, d), panel_queries.returns(spark, d), QUERIES["row_means"](spark, d)):
+        assert df.rdd.getNumPartitions() == 50
+    ics = evaluate.rank_ic_matrix(panel_queries.labeled(spark, d), ["ret_1", "ret_4"], "label", "date", 5, 1000)
+    plain = evaluate.rank_ic_matrix(panel_queries.labeled(spark, d), ["ret_1", "ret_4"], "label", "date", 5)
+    assert ics.rdd.getNumPartitions() == 50 and sorted(ics.collect()) == sorted(plain.collect())

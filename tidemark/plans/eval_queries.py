@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import compound, rank_pct, row_in, share_of, size_of
 from tidemark.operators import evaluate, joins, models, portfolio, text
-from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
+from tidemark.plans.panel_queries import SNAPSHOTS, by_date, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, cdf_sql, cross_sql, query, r6, rank_sql, s6
 from tidemark.sources.evidence import row_hash
-from tidemark.sources.panel import cross_sections, filings, panel_week, read, sectors
+from tidemark.sources.panel import cross_sections, filings, n_lines, panel_week, read, sectors
+from tidemark.sources.stages import written
 
 #: A score per label row of documents, for the classification metrics: a fixed function of its id.
 PROBS = "probs AS (SELECT doc_id, quality AS y, round(0.35 + 0.3 * ((doc_id * 7919) % 101) / 101.0 + 0.25 * quality * ((doc_id % 7) / 7.0), 6) AS p, doc_id % 4 AS slice FROM labels)"
@@ -154,7 +155,8 @@ _ICS = f"ics AS (SELECT date, factor, n, ic FROM {ic_sql('score', 'date, factor'
 
 
 def factor_ics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.rank_ic_matrix(labeled(spark, d), FACTORS, "label", "date", 5)
+    """Daily rank correlations of the factors with the label: a row per date and factor, written once for all that is asked of them."""
+    return written(evaluate.rank_ic_matrix(labeled(spark, d), FACTORS, "label", "date", 5, n_lines(spark, d)), "factor-ics")
 
 
 @query(f"WITH {LABELS}, {_LONG}, {_ICS} SELECT date, factor, n, round(ic, 6) AS ic FROM ics")
@@ -253,7 +255,7 @@ def horizon_return_metrics(spark, d):
 
 @query(f"WITH {LABELS}, r AS (SELECT entity, date, {rank_sql('ret_4', 'date')} AS r FROM labeled), p AS (SELECT *, lag(r) OVER (PARTITION BY entity ORDER BY date) AS was FROM r) SELECT date, round(avg(abs(r - was)), 6) AS rank_turnover, count(r - was) AS n FROM p GROUP BY date")
 def rank_persistence(spark, d):
-    r = labeled(spark, d).select("entity", "date", rank_pct("ret_4", ["date"]).alias("r"))
+    r = by_date(labeled(spark, d), spark, d).select("entity", "date", rank_pct("ret_4", ["date"]).alias("r"))
     moved = r.withColumn("move", F.col("r") - F.lag("r").over(Window.partitionBy("entity").orderBy("date")))
     return moved.groupBy("date").agg(F.round(F.avg(F.abs("move")), 6).alias("rank_turnover"), F.count("move").alias("n"))
 
@@ -288,7 +290,7 @@ SELECT date, round(CASE WHEN count(*) >= 5 AND min(a) < max(a) AND min(b) < max(
 def ranking_differences(spark, d):
     from tidemark.functions.expr import correlation
 
-    v = labeled(spark, d).where("ret_4 is not null and ret_12 is not null").withColumns({"a": rank_pct("ret_4", ["date"]), "b": rank_pct("ret_12", ["date"]), "ta": row_in([F.desc("ret_4"), "entity"], ["date"]) <= 5, "tb": row_in([F.desc("ret_12"), "entity"], ["date"]) <= 5})
+    v = by_date(labeled(spark, d).where("ret_4 is not null and ret_12 is not null"), spark, d).withColumns({"a": rank_pct("ret_4", ["date"]), "b": rank_pct("ret_12", ["date"]), "ta": row_in([F.desc("ret_4"), "entity"], ["date"]) <= 5, "tb": row_in([F.desc("ret_12"), "entity"], ["date"]) <= 5})
     return v.groupBy("date").agg(F.round(correlation("a", "b", 5), 6).alias("rho"), F.sum((F.col("ta") & F.col("tb")).cast("long")).alias("common"))
 
 

@@ -9,7 +9,7 @@ from tidemark.functions import market
 from tidemark.functions.expr import correlation, rank_pct, rolling, row_in, share_of, size_of, zfill
 from tidemark.operators import evaluate, features, gates, joins, labels, models, portfolio, text, text_heads
 from tidemark.plans.eval_queries import _DAILY, _ICS, _LONG, FACTORS, PROBS, factor_ics, pnl, probs, signals
-from tidemark.plans.panel_queries import SNAPSHOTS, labeled, returns, snapshots
+from tidemark.plans.panel_queries import SNAPSHOTS, by_date, labeled, returns, snapshots
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql
 from tidemark.sources.panel import filings, panel_week, read, sectors
 from tidemark.sources.stages import written
@@ -287,7 +287,7 @@ l AS (SELECT date, entity, f, v FROM r UNPIVOT (v FOR f IN (ret_1, ret_4, ret_12
 SELECT a.f AS f, b.f AS g, round(covar_pop(a.v, b.v) / sqrt(var_pop(a.v) * var_pop(b.v)), 6) AS rho, count(*) AS n FROM l a JOIN l b USING (date, entity) WHERE a.f < b.f GROUP BY ALL"""
 )
 def spearman_matrix(spark, d):
-    ranked = labeled(spark, d).select(*(rank_pct(f, ["date"]).alias(f) for f in FACTORS))
+    ranked = by_date(labeled(spark, d), spark, d).select(*(rank_pct(f, ["date"]).alias(f) for f in FACTORS))
     pairs = [(f, g) for f in sorted(FACTORS) for g in sorted(FACTORS) if f < g]
     got = ranked.agg(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), F.round(correlation(f, g), 6).alias("rho"), F.count(F.when(F.col(f).isNotNull() & F.col(g).isNotNull(), 1)).alias("n")).alias(f"p{i}") for i, (f, g) in enumerate(pairs)))
     return got.select(F.inline(F.array(*(f"p{i}" for i in range(len(pairs))))))

@@ -9,19 +9,25 @@ from tidemark.functions import market
 from tidemark.functions.expr import finite, pct_change, places, rank_pct, rolling, row_in, size_of, zfill
 from tidemark.operators import features, joins, labels
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, query, r6, rank_sql, s6
-from tidemark.sources.panel import filings, panel_week, read, sectors, validate_panel
+from tidemark.sources.panel import filings, n_lines, panel_week, read, sectors, validate_panel
+from tidemark.sources.stages import dealt
 
 W = "WINDOW w AS (PARTITION BY entity ORDER BY date)"
 
 
 def returns(spark: SparkSession, d: str) -> DataFrame:
-    return features.momentum(panel_week(spark, d))
+    return features.momentum(dealt(panel_week(spark, d), n_lines(spark, d), "entity"))
 
 
 def labeled(spark: SparkSession, d: str) -> DataFrame:
     return labels.open_to_open(returns(spark, d), 2)
 
 
+def by_date(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """A panel dealt by date, for ranks among a date's rows."""
+    return dealt(df, n_lines(spark, d), "date")
+
+
 @query(
     """WITH raw AS (SELECT CAST(l_shipdate AS DATE) AS date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, l_extendedprice / l_quantity AS open, l_extendedprice * (1 - l_discount) / l_quantity AS close,
  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_quantity) AS n FROM lineitem
@@ -139,7 +145,7 @@ SELECT entity, date, round(pct, 6) AS pct, CASE WHEN pct >= 95 THEN 'VERY_HIGH'
  coalesce(pct >= 90, false) AS top10, coalesce(pct >= 80, false) AS top20 FROM p"""
 )
 def signal_strength(spark, d):
-    p = labeled(spark, d).withColumn("pct", 100 * rank_pct("ret_4", ["date"]))
+    p = by_date(labeled(spark, d), spark, d).withColumn("pct", 100 * rank_pct("ret_4", ["date"]))
     return p.select("entity", "date", *r6("pct"), market.signal_strength(F.col("pct")).alias("strength"), F.coalesce(F.col("pct") >= 90, F.lit(False)).alias("top10"), F.coalesce(F.col("pct") >= 80, F.lit(False)).alias("top20"))
 
 
@@ -148,7 +154,7 @@ def signal_strength(spark, d):
 SELECT entity, date, round(p, 6) AS p FROM p WHERE p >= 0.6 AND date >= DATE '1997-01-01' ORDER BY p DESC, date, entity LIMIT 1000"""
 )
 def api_predicates(spark, d):
-    p = labeled(spark, d).withColumn("p", places(rank_pct("ret_12", ["date"]), 9)).where("p >= 0.6 and date >= date '1997-01-01'")
+    p = by_date(labeled(spark, d), spark, d).withColumn("p", places(rank_pct("ret_12", ["date"]), 9)).where("p >= 0.6 and date >= date '1997-01-01'")
     return p.select("entity", "date", places("p", 6).alias("p")).orderBy(F.desc("p"), "date", "entity").limit(1000)  # by the rounded p, which is what its SQL's ORDER BY names
 
 
@@ -432,7 +438,7 @@ def group_rank(spark, d):
 
 @query(f"WITH {RETURNS} SELECT entity, date, round(coalesce({rank_sql('ret_12', 'date')} - 0.5, 0), 6) AS c_rank FROM rets")
 def cross_section_rank_pct(spark, d):
-    return returns(spark, d).select("entity", "date", F.round(F.coalesce(rank_pct("ret_12", ["date"]) - 0.5, F.lit(0.0)), 6).alias("c_rank"))
+    return by_date(returns(spark, d), spark, d).select("entity", "date", F.round(F.coalesce(rank_pct("ret_12", ["date"]) - 0.5, F.lit(0.0)), 6).alias("c_rank"))
 
 
 @query(

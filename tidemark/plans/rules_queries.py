@@ -9,7 +9,7 @@ from tidemark.functions import market
 from tidemark.functions.expr import compound, known_share, rank_pct, row_in, row_mean, zfill
 from tidemark.operators import decisions, evaluate, joins, models, portfolio, text
 from tidemark.plans.eval_queries import _ICS, _LONG, _QUOTAS, FACTORS, PROBS, factor_ics, ic_sql, probs
-from tidemark.plans.panel_queries import labeled, returns
+from tidemark.plans.panel_queries import by_date, labeled, returns
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, SHIFT, cdf_sql, cross_sql, query, r6, rank_sql, residual_sql, s6
 from tidemark.sources.panel import cross_sections, filings, normalize_market, panel_week, read, sectors
 
@@ -538,7 +538,7 @@ SELECT entity, date, round(((ret_1 IS NOT NULL)::INT + (ret_4 IS NOT NULL)::INT
 )
 def row_means(spark, d):
     """Means and minima across columns that skip nulls."""
-    r = returns(spark, d).withColumns({"a": rank_pct("ret_1", ["date"]), "b": rank_pct("ret_4", ["date"]), "c": rank_pct("ret_12", ["date"])})
+    r = by_date(returns(spark, d), spark, d).withColumns({"a": rank_pct("ret_1", ["date"]), "b": rank_pct("ret_4", ["date"]), "c": rank_pct("ret_12", ["date"])})
     return r.select("entity", "date", F.round(known_share("ret_1", "ret_4", "ret_12"), 6).alias("coverage"), F.round(row_mean("a", "b", "c"), 6).alias("quality"), F.round(F.least("ret_1", "ret_4", "ret_12"), 6).alias("worst"))
 
 
@@ -579,7 +579,7 @@ r AS (SELECT *, vol * 0.4 + thin * 0.3 + (NOT tradable)::INT * 0.1 + (coalesce(e
 SELECT entity, date, round(s, 4) AS strength, CASE WHEN s >= 90 THEN '强' WHEN s >= 75 THEN '中' ELSE '观望' END AS grade, CASE WHEN round(risk, 9) >= 0.55 THEN '高' WHEN round(risk, 9) >= 0.3 THEN '中' ELSE '低' END AS risk FROM r"""
 )
 def strength_grade_risk(spark, d):
-    p = labeled(spark, d).withColumn("range", F.col("high") - F.col("low")).withColumns({"s": 100 * rank_pct("ret_4", ["date"]), "vol": rank_pct("range", ["date"]), "liquid": rank_pct("amount", ["date"])})
+    p = by_date(labeled(spark, d), spark, d).withColumn("range", F.col("high") - F.col("low")).withColumns({"s": 100 * rank_pct("ret_4", ["date"]), "vol": rank_pct("range", ["date"]), "liquid": rank_pct("amount", ["date"])})
     e, day = F.col("entity"), F.dayofmonth("date")
     risk = market.risk_score(F.col("vol"), F.col("liquid"), (e + day) % 7 > 0, F.when(e % 3 > 0, (e * 5 + day) % 14), F.col("ret_1"))
     return p.select("entity", "date", F.round("s", 4).alias("strength"), market.buy_grade(F.col("s")).alias("grade"), market.risk_rating(risk).alias("risk"))

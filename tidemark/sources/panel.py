@@ -61,6 +61,11 @@ def panel_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def n_lines(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the table that the panel comes from, by its files' footers."""
+    return read(spark, sf_dir, "lineitem").count()
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, industry (nation), sector (region)."""
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))

@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a source table to a task, where ``dealt`` knows their number.
+ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys in parts for windows over them, as many as ``rows`` (of the table it comes from) ask for: what a task sorts and holds stays the same when tables grow, down to one group of keys."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Column | dict[str, Column], name: str) -> DataFrame:
     """df with ``name``: the sum of ``value`` over the earlier rows of the same keys, in an order that tells rows apart; several sums by name if ``value`` is a dictionary.
 
