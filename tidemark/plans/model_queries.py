@@ -13,6 +13,7 @@ from tidemark.plans.eval_queries import _ICS, _LONG, factor_ics
 from tidemark.plans.panel_queries import labeled
 from tidemark.plans.registry import LABELS, query, rank_sql
 from tidemark.sources.panel import sectors
+from tidemark.sources.stages import written
 
 FEATURES = ["ret_1", "ret_4", "ret_12"]
 SPLIT = "date '1997-01-01'"
@@ -21,8 +22,8 @@ SETTINGS = trees.Settings(rounds=6, rate=0.1, depth=3, leaves=6, least=20, l1=1.
 
 
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose labels ended before a date, and the rows from it on."""
-    rows = labeled(spark, d).join(sectors(spark, d), "entity").select("entity", "date", "sector", "label", "label_end", *FEATURES)
+    """Rows whose labels ended before a date, and the rows from it on; fits read them many times, so they are written once."""
+    rows = written(labeled(spark, d).join(sectors(spark, d), "entity").select("entity", "date", "sector", "label", "label_end", *FEATURES), "model-panel")
     return rows.where(f"label is not null and label_end < {SPLIT}"), rows.where(f"date >= {SPLIT}")
 
 
@@ -119,9 +120,10 @@ ft AS (SELECT label, {_FILLED} FROM train, q), m AS (SELECT {", ".join(f"avg(f{i
 @query(f"WITH {LABELS}, {_PREPARED} SELECT entity, date, {', '.join(f'round(z{i}, 6) AS {c}' for i, c in enumerate(FEATURES))} FROM (SELECT entity, date, {_Z} FROM (SELECT entity, date, {_FILLED} FROM labeled, q), m)")
 def train_only_preprocessor(spark, d):
     """Features of all rows clipped, filled and scaled by what the rows known before a date say."""
-    train, _ = _panel(spark, d)
+    rows = written(labeled(spark, d).select("entity", "date", "label", "label_end", *FEATURES), "model-panel")
+    train = rows.where(f"label is not null and label_end < {SPLIT}")
     scaled = models.fit_preprocessor(train, FEATURES).columns()
-    return labeled(spark, d).select("entity", "date", *(F.round(c, 6).alias(n) for n, c in scaled.items()))
+    return rows.select("entity", "date", *(F.round(c, 6).alias(n) for n, c in scaled.items()))
 
 
 def _det(cell: Callable[[int, int], str]) -> str:
