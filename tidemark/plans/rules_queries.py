@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import market
-from tidemark.functions.expr import compound, known_share, rank_pct, row_in, row_mean, zfill
+from tidemark.functions.expr import compound, correlation, known_share, rank_pct, row_in, row_mean, zfill
 from tidemark.operators import decisions, evaluate, joins, models, portfolio, text
 from tidemark.plans.eval_queries import _ICS, _LONG, _QUOTAS, FACTORS, PROBS, factor_ics, ic_sql, probs
 from tidemark.plans.panel_queries import by_date, labeled, returns
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, SHIFT, cdf_sql, cross_sql, query, r6, rank_sql, residual_sql, s6
-from tidemark.sources.panel import cross_sections, filings, normalize_market, panel_week, read, sectors
+from tidemark.sources.panel import cross_sections, filings, n_lines, normalize_market, panel_week, read, sectors
+from tidemark.sources.stages import dealt, written
 
 QUARTER, YEAR = cross_sql("quarter"), cross_sql("year")
 
@@ -628,8 +629,10 @@ def signal_screening_core(spark, d):
     """Two candidates against a core of two: rank correlation, what a score cleared of size and sector keeps of it, years, and likeness to the core."""
     rows = labeled(spark, d).join(sectors(spark, d), "entity").withColumn("size", rank_pct("amount", ["date"])).where("label is not null")
     long = rows.unpivot(["entity", "date", "sector", "label", "size"], FACTORS, "factor", "score").where("score is not null")
-    cleared = evaluate.residualize(long, "score", ["size"], ["date", "factor"], "sector", 5).where("residual is not null").withColumn("res", F.round("residual", 9))
-    a, b = (evaluate.rank_ic(cleared, c, "label", ["date", "factor"], 5) for c in ("score", "res"))
+    cleared = evaluate.residualize(dealt(long, n_lines(spark, d), "date", "factor"), "score", ["size"], ["date", "factor"], "sector", 5).where("residual is not null").withColumn("res", F.round("residual", 9))
+    ranked = cleared.select("date", "factor", *(rank_pct(c, ["date", "factor"]).alias(c) for c in ("score", "res", "label")))
+    ics = written(ranked.groupBy("date", "factor").agg(correlation("score", "label", 5).alias("a"), correlation("res", "label", 5).alias("b")), "screened-ics")
+    a, b = (ics.select("date", "factor", F.col(c).alias("ic")) for c in "ab")
     years = a.groupBy("factor", F.year("date").alias("year")).agg(F.avg("ic").alias("m")).groupBy("factor").agg(F.count(F.when(F.round("m", 9) > 0, 1)).alias("positive_years"), F.min("m").alias("worst_year"))
     rho = evaluate.pooled_spearman(labeled(spark, d), FACTORS)
     both = rho.unionByName(rho.select(F.col("g").alias("f"), F.col("f").alias("g"), "rho")).where("f in ('ret_1', 'ret_4') and g in ('ret_12', 'volume')")
