@@ -110,3 +110,13 @@ def test_tails_of_one_key_are_spread(spark):
 
     for name, part in (("overall_rank_ic", placed), ("top_decile_ic", placed[:40]), ("top_quintile_ic", placed[:80]), ("bottom_decile_ic", placed[-40:])):
         assert abs(row[0][name] - rho(part)) < 1e-9
+
+
+def test_panel_and_ranks_sort_rows_once(spark, tmp_path):
+    # Line items used to be sorted before and after they were dealt, and each factor made rows of its own for the ranks.
+    d = lines(tmp_path, [(e, w, 100 + (e * w) % 7) for e in range(50) for w in range(20)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = panel_queries.labeled(spark, d)
+    assert plan(rows).count("Exchange ") == 1 and plan(rows).count("Sort [") == 1
+    ics = evaluate.rank_ic_matrix(rows, ["ret_1", "ret_4", "ret_12", "volume"], "label", "date", 5, 1000)
+    assert "Expand" not in plan(ics) and plan(ics).count("Sort [") == 6

@@ -16,7 +16,7 @@ W = "WINDOW w AS (PARTITION BY entity ORDER BY date)"
 
 
 def returns(spark: SparkSession, d: str) -> DataFrame:
-    return features.momentum(dealt(panel_week(spark, d), n_lines(spark, d), "entity"))
+    return features.momentum(panel_week(spark, d, histories=True))
 
 
 def labeled(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.expr import finite, zfill
+from tidemark.sources.stages import dealt
 
 OHLCV = T.StructType(
     [T.StructField("date", T.StringType()), T.StructField("symbol", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "amount"))]
@@ -47,9 +48,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def panel_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity (supplier), date (week), open, high, low, close (unit prices), volume, amount."""
-    rows = read(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
+def panel_week(spark: SparkSession, sf_dir: str, histories: bool = False) -> DataFrame:
+    """entity (supplier), date (week), open, high, low, close (unit prices), volume, amount; for ``histories`` the line items are dealt by entity, so that they are sorted once for the weeks and for windows over them."""
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    rows = dealt(rows, n_lines(spark, sf_dir), "l_suppkey") if histories else rows
+    rows = rows.withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     return rows.groupBy(F.col("l_suppkey").alias("entity"), F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(
         F.min_by("price", order).alias("open"),
