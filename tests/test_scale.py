@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tidemark.operators import evaluate, portfolio
-from tidemark.plans import load, panel_queries
+from tidemark.plans import eval_queries, load, panel_queries, rules_queries
 from tidemark.sources import stages
 
 QUERIES, ORACLES = load()
@@ -120,3 +120,13 @@ def test_panel_and_ranks_sort_rows_once(spark, tmp_path):
     assert plan(rows).count("Exchange ") == 1 and plan(rows).count("Sort [") == 1
     ics = evaluate.rank_ic_matrix(rows, ["ret_1", "ret_4", "ret_12", "volume"], "label", "date", 5, 1000)
     assert "Expand" not in plan(ics) and plan(ics).count("Sort [") == 6
+
+
+def test_audit_makes_the_panel_once(spark, tmp_path, monkeypatch):
+    d = lines(tmp_path, [(e, w, 100 + (e * w) % 7) for e in range(20) for w in range(60)])
+    made = []
+    monkeypatch.setattr(rules_queries, "labeled", lambda *a: made.append(a) or panel_queries.labeled(*a))
+    monkeypatch.setattr(eval_queries, "labeled", rules_queries.labeled)
+    for name in ("factor_gates", "factor_selection"):
+        made.clear()
+        assert QUERIES[name](spark, d).count() == 3 and len(made) == 1  # volumes are all equal

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import market
 from tidemark.functions.expr import compound, correlation, known_share, rank_pct, row_in, row_mean, zfill
 from tidemark.operators import decisions, evaluate, joins, models, portfolio, text
-from tidemark.plans.eval_queries import _ICS, _LONG, _QUOTAS, FACTORS, PROBS, factor_ics, ic_sql, probs
+from tidemark.plans.eval_queries import _ICS, _LONG, _QUOTAS, FACTORS, PROBS, ic_sql, probs
 from tidemark.plans.panel_queries import by_date, labeled, returns
 from tidemark.plans.registry import CALENDAR, FILINGS, LABELS, PANEL, RETURNS, SECTORS, SHIFT, cdf_sql, cross_sql, query, r6, rank_sql, residual_sql, s6
 from tidemark.sources.panel import cross_sections, filings, n_lines, normalize_market, panel_week, read, sectors
@@ -104,15 +104,18 @@ def grouped_stability(spark, d):
 _GATES = {"dates": 30, "size": 0.0005, "positive": 0.4, "consistency": 0.3, "fdr": 0.99}
 
 
-def _turnover(spark: SparkSession, d: str) -> DataFrame:
-    rows = labeled(spark, d)
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    """date, label, the factors and how far each moved from its entity's date before: the panel is made once, with all windows by entity, and written."""
     w = Window.partitionBy("entity").orderBy("date")
-    moved = rows.select(*(F.abs(F.col(f) - F.lag(f).over(w)).alias(f) for f in FACTORS))
-    return moved.agg(*(F.avg(f).alias(f) for f in FACTORS)).unpivot([], FACTORS, "factor", "turnover_proxy")
+    rows = labeled(spark, d)
+    return written(rows.select("date", "label", *FACTORS, *(F.abs(F.col(f) - F.lag(f).over(w)).alias(f"moved_{f}") for f in FACTORS)), "audited")
 
 
-def audit(spark: SparkSession, d: str) -> DataFrame:
-    return decisions.factor_audit(factor_ics(spark, d), _turnover(spark, d), **_GATES)
+def audit(rows: DataFrame, n: int) -> DataFrame:
+    """The factors' audit by the rows of ``_audited``, which come from n line items."""
+    ics = written(evaluate.rank_ic_matrix(rows, FACTORS, "label", "date", 5, n), "factor-ics")
+    moved = rows.agg(*(F.avg(f"moved_{f}").alias(f) for f in FACTORS)).unpivot([], FACTORS, "factor", "turnover_proxy")
+    return decisions.factor_audit(ics, moved, **_GATES)
 
 
 _U = " + ".join(f"{2 * (1 - k / 6)} * coalesce(sum(g{k}), 0)" for k in range(1, 6))
@@ -128,7 +131,7 @@ audit AS (SELECT *, ic_dates >= {_GATES['dates']} AND abs(mean_rank_ic) >= {_GAT
 
 @query(f"WITH {_AUDIT} SELECT factor, ic_dates, {s6('mean_rank_ic', 'rank_ic_std')}, round(rank_ic_ir, 4) AS rank_ic_ir, {s6('positive_ratio', 'direction_consistency')}, round(hac_t, 4) AS hac_t, round(p_value, 5) AS p_value, round(fdr_q_value, 5) AS fdr_q_value, round(turnover_proxy, 4) AS turnover_proxy, passes FROM audit")
 def factor_gates(spark, d):
-    a = audit(spark, d)
+    a = audit(_audited(spark, d), n_lines(spark, d))
     return a.select("factor", "ic_dates", *r6("mean_rank_ic", "rank_ic_std"), F.round("rank_ic_ir", 4).alias("rank_ic_ir"), *r6("positive_ratio", "direction_consistency"), F.round("hac_t", 4).alias("hac_t"), F.round("p_value", 5).alias("p_value"), F.round("fdr_q_value", 5).alias("fdr_q_value"), F.round("turnover_proxy", 4).alias("turnover_proxy"), F.col("passes_statistical_gate").alias("passes"))
 
 
@@ -152,8 +155,8 @@ SELECT a.factor, coalesce(s.likeness, '') AS redundant_with, list_contains(last_
 FROM audit a CROSS JOIN last_ LEFT JOIN s ON s.factor = a.factor"""
 )
 def factor_selection(spark, d):
-    rho = evaluate.pooled_spearman(labeled(spark, d), FACTORS)
-    return decisions.select_factors(audit(spark, d), rho, 0.5, 2).select("factor", "redundant_with", "selected", "rejection_reason")
+    rows = _audited(spark, d)
+    return decisions.select_factors(audit(rows, n_lines(spark, d)), evaluate.pooled_spearman(rows, FACTORS), 0.5, 2).select("factor", "redundant_with", "selected", "rejection_reason")
 
 
 # Weights, periods, policies
