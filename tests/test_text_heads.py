@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tidemark.operators import text_heads
+from tidemark.plans import load
 
 SIZE = 64
 
@@ -75,3 +77,11 @@ def test_grams():
             assert (own.get(b[i : i + n]) == h) == (b[i : i + n] in own) and (h in own.values()) == (b[i : i + n] in own)
     assert len(text_heads.char_grams("a", (2, 3))) == 0 and len(text_heads.word_grams("one two one two", (1, 2))) == 4 + 3
     assert len(set(text_heads.word_grams("one two one two", (1, 2)).tolist())) == 4
+
+
+def test_workers_hold_few_rows(spark, monkeypatch):
+    seen, features = [], text_heads.features
+    monkeypatch.setattr(text_heads, "features", lambda df, *a: seen.append(df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or features(df, *a))
+    got = load()[0]["text_hash_model"](spark, SF)
+    assert seen == [str(text_heads.BATCH)] and got.count() > 0 and got.sparkSession is spark
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

@@ -16,7 +16,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.stages import written
@@ -66,6 +66,19 @@ def word_grams(text: str, sizes: Sequence[int]) -> np.ndarray:
     return np.repeat(hashes, np.fromiter(runs.values(), np.int64, len(runs)))
 
 
+#: Rows to an Arrow batch: features of a text take some 100 KB, so that ten thousand of them would be a GB in every worker.
+BATCH = 256
+
+
+def session(spark: SparkSession) -> SparkSession:
+    """A session for features, fits and scores: what a worker holds stays the same when tables grow."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    for c in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(c, spark.conf.get(c))
+    return own
+
+
 GRAMS = {"char": char_grams, "word": word_grams}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -372,14 +372,16 @@ def embedding_ridge(spark, d):
 def text_hash_model(spark, d):
     """Heads on hashed character and word n-grams for two targets, fitted to what was known before a date and scored after it; documents are dated by their id."""
     day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int"))
-    docs = read(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), day.alias("date"))
+    own = text_heads.session(spark)
+    docs = read(own, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), day.alias("date"))
     heads = {"char": ("char", (2, 3, 4)), "word": ("word", (1, 2))}
     rows = written(text_heads.features(docs, "doc_id", "text", heads, 4096), "text-features").join(docs.select("doc_id", "date"), "doc_id")
-    known = rows.join(read(spark, d, "labels").select("doc_id", *(F.col(c).cast("double").alias(c) for c in ("quality", "toxic"))), "doc_id")
+    known = rows.join(read(own, d, "labels").select("doc_id", *(F.col(c).cast("double").alias(c) for c in ("quality", "toxic"))), "doc_id")
     m = text_heads.fit(known.where("date_add(date, 20) < date '1995-06-01'"), ["char", "word"], ["quality", "toxic"], 4096, clip=1.0, rounds=10)
     char, word = (m.column(h, [0.7, 0.3]) for h in ("char", "word"))
     out = rows.where("date >= date '1995-06-01'").select("doc_id", char.alias("char_score"), word.alias("word_score"))
-    return out.select("doc_id", F.round("char_score", 6).alias("char_score"), F.round(0.5 * F.col("char_score") + 0.5 * F.col("word_score"), 6).alias("score"))
+    out = written(out.select("doc_id", F.round("char_score", 6).alias("char_score"), F.round(0.5 * F.col("char_score") + 0.5 * F.col("word_score"), 6).alias("score")), "text-scores")
+    return spark.read.schema(out.schema).parquet(*out.inputFiles())  # for the caller's session
 
 
 @query()
