@@ -130,3 +130,27 @@ def test_audit_makes_the_panel_once(spark, tmp_path, monkeypatch):
     for name in ("factor_gates", "factor_selection"):
         made.clear()
         assert QUERIES[name](spark, d).count() == 3 and len(made) == 1  # volumes are all equal
+
+
+def test_pooled_ranks_deal_rows_by_ranges_of_values(spark, monkeypatch):
+    # The factors' values used to become rows of their own, shuffled four times. Ties, signed zeros and a value with most rows are ranked like others, and no key holds that value's rows.
+    monkeypatch.setattr(evaluate, "FEW_VALUES", 20)
+    monkeypatch.setattr(stages, "ROWS", 100)
+    r = random.Random(5)
+    inf = float("inf")
+    rows = [(i, r.choice([None, 0.5, 0.5, 0.5, r.gauss(0, 1)]), r.choice([0.0, -0.0, r.gauss(0, 1)]), float(r.randrange(9)), r.choice([inf, -inf, float("nan"), *(r.randrange(300) / 7 for _ in range(40))])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    got = evaluate.pooled_spearman(df, ["a", "b", "c", "d"], len(rows))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Window [") == 3  # c has few values
+    full = [x[1:] for x in rows if x[1] is not None and x[4] == x[4]]
+
+    def ranks(values):
+        below = {v: sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in set(values)}
+        return [below[v] for v in values]
+
+    by = dict(zip("abcd", map(ranks, zip(*full, strict=True)), strict=True))
+    rho = {(x.f, x.g): x.rho for x in got.collect()}
+    assert sorted(rho) == [(f, g) for f in "abcd" for g in "abcd" if f < g]
+    assert all(abs(v - statistics.correlation(by[f], by[g])) < 1e-9 for (f, g), v in rho.items())
+    assert evaluate.pooled_spearman(df.where("id < 0"), ["a", "b"], 0).collect() == [("a", "b", None)]

@@ -105,10 +105,10 @@ _GATES = {"dates": 30, "size": 0.0005, "positive": 0.4, "consistency": 0.3, "fdr
 
 
 def _audited(spark: SparkSession, d: str) -> DataFrame:
-    """date, label, the factors and how far each moved from its entity's date before: the panel is made once, with all windows by entity, and written."""
+    """entity, date, label, the factors and how far each moved from its entity's date before: the panel is made once, with all windows by entity, and written."""
     w = Window.partitionBy("entity").orderBy("date")
     rows = labeled(spark, d)
-    return written(rows.select("date", "label", *FACTORS, *(F.abs(F.col(f) - F.lag(f).over(w)).alias(f"moved_{f}") for f in FACTORS)), "audited")
+    return written(rows.select("entity", "date", "label", *FACTORS, *(F.abs(F.col(f) - F.lag(f).over(w)).alias(f"moved_{f}") for f in FACTORS)), "audited")
 
 
 def audit(rows: DataFrame, n: int) -> DataFrame:
@@ -139,9 +139,14 @@ _POOLED = f"""full_ AS (SELECT {", ".join(FACTORS)} FROM labeled WHERE {" AND ".
 _PAIRS = [(f, g) for f in sorted(FACTORS) for g in sorted(FACTORS) if f < g]
 
 
+def _pooled(spark: SparkSession, d: str) -> DataFrame:
+    """f, g, rho of the factors over the whole panel, which is written once."""
+    return evaluate.pooled_spearman(written(labeled(spark, d).select("entity", "date", *FACTORS), "pooled"), FACTORS, n_lines(spark, d))
+
+
 @query(f"WITH {LABELS}, {_POOLED} " + " UNION ALL ".join(f"SELECT '{f}' AS f, '{g}' AS g, round(corr({f}, {g}), 6) AS rho FROM rk" for f, g in _PAIRS))
 def pooled_spearman(spark, d):
-    return evaluate.pooled_spearman(labeled(spark, d), FACTORS).select("f", "g", *r6("rho"))
+    return _pooled(spark, d).select("f", "g", *r6("rho"))
 
 
 @query(
@@ -155,8 +160,8 @@ SELECT a.factor, coalesce(s.likeness, '') AS redundant_with, list_contains(last_
 FROM audit a CROSS JOIN last_ LEFT JOIN s ON s.factor = a.factor"""
 )
 def factor_selection(spark, d):
-    rows = _audited(spark, d)
-    return decisions.select_factors(audit(rows, n_lines(spark, d)), evaluate.pooled_spearman(rows, FACTORS), 0.5, 2).select("factor", "redundant_with", "selected", "rejection_reason")
+    rows, n = _audited(spark, d), n_lines(spark, d)
+    return decisions.select_factors(audit(rows, n), evaluate.pooled_spearman(rows, FACTORS, n), 0.5, 2).select("factor", "redundant_with", "selected", "rejection_reason")
 
 
 # Weights, periods, policies
@@ -637,7 +642,7 @@ def signal_screening_core(spark, d):
     ics = written(ranked.groupBy("date", "factor").agg(correlation("score", "label", 5).alias("a"), correlation("res", "label", 5).alias("b")), "screened-ics")
     a, b = (ics.select("date", "factor", F.col(c).alias("ic")) for c in "ab")
     years = a.groupBy("factor", F.year("date").alias("year")).agg(F.avg("ic").alias("m")).groupBy("factor").agg(F.count(F.when(F.round("m", 9) > 0, 1)).alias("positive_years"), F.min("m").alias("worst_year"))
-    rho = evaluate.pooled_spearman(labeled(spark, d), FACTORS)
+    rho = _pooled(spark, d)
     both = rho.unionByName(rho.select(F.col("g").alias("f"), F.col("f").alias("g"), "rho")).where("f in ('ret_1', 'ret_4') and g in ('ret_12', 'volume')")
     core = both.groupBy(F.col("f").alias("factor")).agg(F.max(F.abs("rho")).alias("core_correlation"))
     out = core.join(a.groupBy("factor").agg(F.avg("ic").alias("rank_ic")), "factor").join(b.groupBy("factor").agg(F.avg("ic").alias("residual_ic")), "factor").join(years, "factor")

@@ -36,9 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 ROWS = 250_000
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Number of parts that ``dealt`` makes of so many rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """df by keys in parts for windows over them, as many as ``rows`` (of the table it comes from) ask for: what a task sorts and holds stays the same when tables grow, down to one group of keys."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+    return df.repartition(parts_of(df.sparkSession, rows), *keys)
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Column | dict[str, Column], name: str) -> DataFrame:
