@@ -1,6 +1,7 @@
 """Streams give what a batch over the same rows gives."""
 
 import datetime as dt
+import random
 
 import pytest
 
@@ -63,6 +64,37 @@ def test_revisions(spark, tmp_path):
     ]
 
 
+def test_ledger_of_revisions(spark, tmp_path):
+    """Whole batches give what rows taken one by one give; a batch that comes again changes nothing; no Python state is asked row by row; who is gone is forgotten."""
+    schema, r, most = "id string, observed timestamp, content_hash string", random.Random(3), 5 * 86_400
+    ledger = revisions.Ledger(str(tmp_path / "ledger"), most)
+    add = batches(spark, tmp_path / "in", schema, lambda s: ledger.run(s, str(tmp_path / "mark")))
+    state, want, alive, top = {}, [], [], T0
+    for number in range(5):
+        got = [(r.choice([None, *"abcdefgh"]), T0 + dt.timedelta(4 * number + r.randrange(16 if number == 3 else 4)), r.choice("12345")) for _ in range(40)]
+        got += [("z", T0 + dt.timedelta(4 * number), None)] if number < 2 else []
+        for i, t, c in sorted(got, key=lambda x: (x[1], x[2] or "")):
+            if i not in state or (t - state[i][2]).total_seconds() > most:
+                state[i], status = (c, t, t, set()), "new"
+            elif c == state[i][0] or c in state[i][3]:
+                status = "repeat_same"
+            else:
+                status = "identity_hash_changed"
+                state[i][3].add(c)
+            state[i] = (*state[i][:2], max(t, state[i][2]), state[i][3])
+            want.append((i, t, c, status, state[i][1], len(state[i][3])))
+        top = max(top, *(t for _, t, _ in got))
+        state = {i: x for i, x in state.items() if (top - x[2]).total_seconds() <= most}
+        alive.append(len(state))
+        add(got)
+    key = lambda x: str([(v is None, v) for v in x])
+    told = lambda: sorted(map(tuple, ledger.told(spark).collect()), key=key)
+    assert told() == sorted(want, key=key) and {x[3] for x in want} == {"new", "repeat_same", "identity_hash_changed"}
+    assert [spark.read.parquet(f"{tmp_path}/ledger/known/number={k}").count() for k in range(5)] == alive and max(alive) == 10
+    ledger.take(spark.read.schema(schema).parquet(f"{tmp_path}/in/4"), 4)
+    assert told() == sorted(want, key=key)
+
+
 SEEN = "id int, ts timestamp, observed timestamp"
 
 

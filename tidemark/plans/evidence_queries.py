@@ -83,14 +83,9 @@ def revision_status(spark, d):
     ts = F.col("ts").cast("timestamp")
     rows = read(spark, d, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("id"), F.floor(F.datediff(ts, F.lit(DAY0)) / 7).cast("int").alias("w"))
     rows = written(rows.groupBy("id", "w").agg(F.md5((F.count("*") % 3).cast("string")).alias("content_hash")).withColumn("observed", F.lit(DAY0).cast("timestamp") + F.make_dt_interval(7 * F.col("w"))), "observations")
-    own, out, mark = revisions.session(spark), _folder(spark, "statuses"), _folder(spark, "progress")
-
-    def each(home: str, schema) -> None:
-        told = revisions.classify(own.readStream.schema(schema).parquet(home), EXPIRY_DAYS * 86_400)
-        told.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out).awaitTermination()
-
-    _take(spark, rows, "w", each)
-    return spark.read.parquet(out).select("id", F.to_date("observed").alias("observed"), "content_hash", "status", F.to_date("first_seen").alias("first_seen"), "revisions")
+    ledger, mark = revisions.Ledger(_folder(spark, "statuses"), EXPIRY_DAYS * 86_400), _folder(spark, "progress")
+    _take(spark, rows, "w", lambda home, schema: ledger.run(spark.readStream.schema(schema).parquet(home), mark))
+    return ledger.told(spark).select("id", F.to_date("observed").alias("observed"), "content_hash", "status", F.to_date("first_seen").alias("first_seen"), "revisions")
 
 
 @query(f"WITH {PANEL} SELECT CAST(year(date) AS VARCHAR) AS partition, entity, round(sum(amount), 2) AS amount, count(*) AS weeks, 'reused' AS state FROM panel GROUP BY ALL")
