@@ -79,6 +79,19 @@ def test_ledger_folds_what_is_traded_only(spark):
         assert all(abs(a - b) < 1e-9 for x, w in zip(got, want, strict=True) for a, b in ((x.nav, w[1]), (x.cash, w[2]), (x.traded, w[4])))
 
 
+def test_policy_grid_has_every_size(spark, tmp_path):
+    # The grid had one size; every cell is held against a ledger folded over all rows of its strategy.
+    r = random.Random(6)
+    d = lines(tmp_path, [(e, w, round(100 + 30 * r.random(), 2)) for e in range(45) for w in range(30) if r.random() < 0.8])
+    rows = [(x.strategy, x.date, x.entity, x.score, x.price) for x in eval_queries.signals(spark, d).collect()]
+    got = {(x.strategy, x["size"], x.bps): (x.nav, x.traded) for x in QUERIES["policy_grid"](spark, d).collect()}
+    assert set(got) == {(f, n, bps) for f in ("ret_4", "ret_12") for n in (10, 20, 30) for bps in (0.0, 20.0)}
+    for (f, n, bps), (nav, traded) in got.items():
+        want = stepwise([x for x in rows if x[0] == f], n, bps)
+        assert abs(nav - want[-1][1]) < 1e-9 and abs(traded - sum(w[4] for w in want)) < 1e-9
+    assert len({nav for nav, _ in got.values()}) == len(got)
+
+
 def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
     # AQE gives small shuffles few tasks, however wide their rows are sorted: parts go by the number of rows.
     d = lines(tmp_path, [(e, w, 100 + (e * w) % 7) for e in range(50) for w in range(20)])

@@ -387,5 +387,5 @@ def text_hash_model(spark, d):
 @query()
 def policy_grid(spark, d):
     """Ledgers of a grid of factors and sizes at two costs."""
-    led = portfolio.ledgers(signals(spark, d), 10, [0.0, 20.0])
-    return led.groupBy("strategy", "bps").agg(F.max_by("nav", "date").alias("nav"), F.sum("traded").alias("traded")).select("strategy", "nav", "traded", "bps")
+    led = portfolio.ledgers(signals(spark, d), [10, 20, 30], [0.0, 20.0])
+    return led.groupBy("strategy", "size", "bps").agg(F.max_by("nav", "date").alias("nav"), F.sum("traded").alias("traded")).select("strategy", "nav", "traded", "bps", "size")
