@@ -125,6 +125,16 @@ def test_tails_of_one_key_are_spread(spark):
         assert abs(row[0][name] - rho(part)) < 1e-9
 
 
+def test_many_quantiles_cost_a_row_no_more(spark):
+    # Each probability used to be two aggregates over all values.
+    df = spark.createDataFrame([("ab"[i % 2], float(i * i % 101)) for i in range(500)], "k string, x double")
+    plan = lambda n, *keys: evaluate.quantiles(df, "x", [k / n for k in range(n + 1)], *keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(60).count("max(") == plan(1).count("max(") and plan(60, "k").count("max(") == plan(1, "k").count("max(")
+    q = evaluate.quantiles(df, "x", [k / 4 for k in range(5)]).first().q
+    values = sorted(float(i * i % 101) for i in range(500))
+    assert q[0] == values[0] and q[2] == statistics.median(values) and q[4] == values[-1]
+
+
 def test_panel_and_ranks_sort_rows_once(spark, tmp_path):
     # Line items used to be sorted before and after they were dealt, and each factor made rows of its own for the ranks.
     d = lines(tmp_path, [(e, w, 100 + (e * w) % 7) for e in range(50) for w in range(20)])

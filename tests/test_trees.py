@@ -142,6 +142,31 @@ def test_against_plain_loops(spark, objective):
         assert got[r[0], r[1]] == pytest.approx(w, abs=1e-6)
 
 
+def test_pairs_are_taken_as_rows_are_ranked(spark, monkeypatch):
+    # Every pair used to be an element of a row that was written and another row that was shuffled, joined back by place.
+    rows = [(*r[:5], None if r[5] is None else float(abs(int(r[5] * 10)) % 5)) for r in table(5, 90, 3)]
+    made, written = [], trees.written
+    monkeypatch.setattr(trees, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 7)  # a date's top rows lie in several batches
+    try:
+        trees.fit(frame(spark, rows), NAMES, "y", "lambdarank", SETTINGS, "date", "entity")
+    finally:
+        spark.conf.set(size, before)
+    assert [n for n, _ in made] == ["trees-rows", "trees-state", *(f"trees-state-{r}" for r in range(SETTINGS.rounds - 1))]
+    own = [r for r in rows if r[5] is not None]
+    at = {r[:2]: i for i, r in enumerate(own)}
+    for _, state in made[1:3]:
+        got = state.collect()
+        score = {at[x["__date"], x["__key"]]: x.score for x in got}
+        g, h = gradients(own, [r[5] for r in own], [score[i] for i in range(len(own))], "lambdarank", SETTINGS)
+        assert len(got) == len(own)
+        for x in got:
+            i = at[x["__date"], x["__key"]]
+            assert (x.g / trees.UNIT, x.h / trees.UNIT) == pytest.approx((g[i], h[i]), abs=1e-5)
+
+
 def test_ranking_learns_and_importance(spark):
     r = np.random.default_rng(7)
     x = r.normal(size=(1000, 3))

@@ -5,9 +5,9 @@ bin), which every task adds up for its own rows first, and the driver sees nodes
 are rounded to 2 ^ -20 and added up as integers, so sums, splits and trees don't depend on the order of rows or
 on which task is run again. A round ends with the rows written with their new scores and gradients.
 
-LambdaRank takes the pairs of a date of which one is among its TOP rows by score: a date's top rows (TOP at most)
-are joined to its rows, each row adds up its own part, and the parts of the top rows are added up by place, so a
-date of any size is spread over tasks but for the ranking by score, which is a window.
+LambdaRank takes the pairs of a date of which one is among its TOP rows by score. The ranking by score sorts a date's
+rows in one task, and the pairs are taken in the same pass, batch by batch against the top rows at its head, so no pair is
+a row, and a task holds a batch and TOP rows of a date besides what it sorts.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.evaluate import quantiles
-from tidemark.sources.stages import written
+from tidemark.sources.stages import dealt, written
 
 #: Gradients are integers of this many to one.
 UNIT = float(1 << 20)
@@ -219,8 +220,8 @@ def fit(train: DataFrame, features: Sequence[str], label: str, objective: str, s
     kept = ["bins", "__y", *(["__date", "__key", "__ideal"] if extra else [])]
     binned = rows.withColumn("bins", to_bins(F.array(*names)))
     if extra:
-        binned = binned.join(_ideal(rows), "__date", "left")
-    state = written(_gradients(binned.select(*kept, F.lit(base).alias("score")), objective, s), "trees-state")
+        binned = binned.join(F.broadcast(_ideal(rows)), "__date")  # a row per date; rows without a date are in no pair
+    state = written(_gradients(binned.select(*kept, F.lit(base).alias("score")), objective, s, first["n"]), "trees-state")
     rng = np.random.default_rng(s.seed)
     for r in range(s.rounds):
         usable = np.zeros(len(names), bool)
@@ -230,7 +231,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str, objective: str, s
             _medians(state, tree)
         model.trees.append(tree)
         if r + 1 < s.rounds:
-            state = written(_gradients(_moved(state, tree, s.rate, kept), objective, s), f"trees-state-{r}")
+            state = written(_gradients(_moved(state, tree, s.rate, kept), objective, s, first["n"]), f"trees-state-{r}")
     return model
 
 
@@ -254,8 +255,8 @@ def _medians(state: DataFrame, tree: Tree) -> None:
         tree.value[r["leaf"]] = r["q"][0]
 
 
-def _gradients(state: DataFrame, objective: str, s: Settings) -> DataFrame:
-    """state with g and h, as integers."""
+def _gradients(state: DataFrame, objective: str, s: Settings, rows: int) -> DataFrame:
+    """state (of so many rows) with g and h, as integers."""
     whole = lambda c: F.round(c * UNIT).cast("long")
     if objective == "l1":
         return state.withColumns({"g": whole(F.signum(F.col("score") - F.col("__y"))), "h": whole(F.lit(1.0))})
@@ -264,26 +265,65 @@ def _gradients(state: DataFrame, objective: str, s: Settings) -> DataFrame:
         return state.withColumns({"g": whole(w * (p - F.col("__y"))), "h": whole(w * p * (1 - p))})
     if objective != "lambdarank":
         raise ValueError(f"unknown objective {objective}")
-    place = F.row_number().over(Window.partitionBy("__date").orderBy(F.desc(F.round("score", 9)), "__key")) - 1
-    ranked = state.withColumn("place", place)
-    mine = F.struct("place", "score", F.col("__y").alias("y"))
-    tops = ranked.where(F.col("place") < TOP).groupBy("__date").agg(F.collect_list(mine).alias("tops"))
-    both = ranked.join(tops, "__date")
-
-    def pair(t: Column) -> Column:
-        """What the pair with a top row adds to this row's gradient (the top row's gets the opposite) and to both Hessians."""
-        higher = F.signum(F.col("__y") - t["y"])
-        gain = F.abs(F.pow(2.0, "__y") - F.pow(2.0, t["y"])) * F.abs(_discount(F.col("place")) - _discount(t["place"])) * F.col("__ideal")
-        p = 1 / (1 + F.exp(higher * (F.col("score") - t["score"])))
-        return F.struct(t["place"].alias("place"), whole(-higher * p * gain).alias("g"), whole(p * (1 - p) * gain).alias("h"))
-
-    pairs = F.transform(F.filter("tops", lambda t: (t["place"] < F.col("place")) & (t["y"] != F.col("__y"))), pair)
-    paired = written(both.withColumn("pairs", pairs).drop("tops"), "trees-pairs")
-    zero = F.lit(0).cast("long")
-    back = paired.select("__date", F.explode("pairs").alias("p")).groupBy("__date", F.col("p.place").alias("place")).agg(F.sum("p.g").alias("__g"), F.sum("p.h").alias("__h"))
-    total = lambda part: F.aggregate("pairs", zero, lambda a, x: a + x[part])
-    out = paired.join(back, ["__date", "place"], "left").withColumns({"g": total("g") - F.coalesce("__g", zero), "h": total("h") + F.coalesce("__h", zero)})
-    return out.drop("place", "pairs", "__g", "__h")
+    rank = Window.partitionBy("__date").orderBy(F.desc("__by"), "__key")
+    ranked = dealt(state, rows, "__date").withColumn("__by", F.round("score", 9)).withColumn("__place", F.row_number().over(rank) - 1)
+    ranked = ranked.sortWithinPartitions("__date", F.desc("__by"), "__key").drop("__by")  # as the window left them
+    return ranked.mapInArrow(_paired, StructType([*state.schema, StructField("g", LongType()), StructField("h", LongType())]))
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with g and h, from rows of whole dates by place: a date's top rows wait until all its pairs are added up."""
+    tops: list[tuple[pa.RecordBatch, np.ndarray]] = []
+    top, back = np.zeros((3, 0)), np.zeros((2, 0), np.int64)  # place, score and relevance of the top rows, and what later rows add to them
+
+    def told(rows: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        names = [c for c in rows.schema.names if c != "__place"]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(sums[0]), pa.array(sums[1])], [*names, "g", "h"])
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        at = 0
+        for rows, sums in tops:
+            yield told(rows, sums + back[:, at : at + rows.num_rows])
+            at += rows.num_rows
+
+    for batch in batches:
+        x = np.array([batch.column(c).to_numpy(zero_copy_only=False) for c in ("__place", "score", "__y", "__ideal")], float)
+        starts = np.flatnonzero(x[0] == 0)
+        for first, last in zip([0, *starts], [*starts, batch.num_rows], strict=True):
+            if first == last:
+                continue
+            if x[0, first] == 0:
+                yield from ended()
+                tops, top, back = [], np.zeros((3, 0)), np.zeros((2, 0), np.int64)
+            own = x[:, first:last]
+            n = int((own[0] < TOP).sum())
+            top, back = np.hstack([top, own[:3, :n]]), np.hstack([back, np.zeros((2, n), np.int64)])
+            g, h = _pairs(own, top)
+            back += np.array([-g.sum(0), h.sum(0)])
+            sums = np.array([g.sum(1), h.sum(1)])
+            if n:
+                tops.append((batch.slice(first, n), sums[:, :n]))
+            if first + n < last:
+                yield told(batch.slice(first + n, last - first - n), sums[:, n:])
+    yield from ended()
+
+
+def _pairs(own: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row's pair with each top row adds to the row's gradient (the top row's gets the opposite) and to both Hessians."""
+    place, score, y, ideal = own[:, :, None]
+    p_place, p_score, p_y = top[:, None, :]
+    higher = np.where(p_place < place, np.sign(y - p_y), 0.0)
+    gain = np.abs(np.exp2(y) - np.exp2(p_y)) * np.abs(1 / np.log2(place + 2) - 1 / np.log2(p_place + 2)) * ideal * np.abs(higher)
+    with np.errstate(over="ignore"):
+        p = 1 / (1 + np.exp(higher * (score - p_score)))
+    return _whole(-higher * p * gain), _whole(p * (1 - p) * gain)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """x in units, halves away from zero."""
+    x = x * UNIT
+    down = np.trunc(x)
+    return (down + np.sign(x) * (np.abs(x - down) >= 0.5)).astype(np.int64)
 
 
 def _discount(place: Column) -> Column:
@@ -292,9 +332,9 @@ def _discount(place: Column) -> Column:
 
 def _ideal(rows: DataFrame) -> DataFrame:
     """__date and __ideal: one over the highest discounted gain of a date's TOP rows (0 where there is none)."""
-    place = F.row_number().over(Window.partitionBy("__date").orderBy(F.desc("__y"))) - 1
-    best = rows.select("__date", "__y").withColumn("place", place).where(F.col("place") < TOP)
-    dcg = F.sum((F.pow(2.0, "__y") - 1) * _discount(F.col("place")))
+    place = F.row_number().over(Window.partitionBy("__date").orderBy(F.desc("__y")))
+    best = rows.select("__date", "__y").withColumn("place", place).where(F.col("place") <= TOP)
+    dcg = F.sum((F.pow(2.0, "__y") - 1) * _discount(F.col("place") - 1))
     return best.groupBy("__date").agg(F.when(dcg > 0, 1 / dcg).otherwise(0.0).alias("__ideal"))
 
 
