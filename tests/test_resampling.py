@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, resampling
+from tidemark.sources import stages
 from tidemark.sources.stages import numbered, running
 
 
@@ -59,6 +60,47 @@ def test_permutation_importance(spark):
     assert got["a"] > got["b"] > abs(got["c"])
 
 
+def test_permutation_writes_each_row_twice(spark, monkeypatch):
+    # Rows used to be written per feature with their hashes, again with their scores, and again per distinct score.
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(400, 3)), 1)
+    df = spark.createDataFrame([(int(i), *map(float, x[i]), float(round(x[i, 0] + r.normal(), 1))) for i in range(400)], "e int, a double, b double, c double, y double")
+    made, written = [], stages.written
+    for module in (stages, resampling):
+        monkeypatch.setattr(module, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    got = resampling.permutation_importance(df, ["e"], ["a", "b", "c"], "y", F.col("a") + F.col("b"), 2)
+    assert {v.feature: round(v.importance, 9) for v in got.collect()}["c"] == 0.0
+    assert sum(m.count() for m in made) <= 2 * 400 + 4
+
+
+@pytest.mark.parametrize("few", [3, 1000])
+def test_pooled_ic(spark, monkeypatch, few):
+    # Ties, a value that most rows have, zeros of either sign, infinities, NaN, and scores that are missing on different rows.
+    r = random.Random(7)
+    monkeypatch.setattr(evaluate, "FEW_VALUES", few)
+    monkeypatch.setattr(stages, "ROWS", 40)
+    inf = float("inf")
+    draw_s = lambda: r.choice([None, 0.0, -0.0, inf, -inf, float("nan"), *[0.5] * 6, *(round(r.gauss(0, 1), 2) for _ in range(12))])
+    rows = [(r.choice([None, *[0.25] * 9, *(round(r.gauss(0, 1), 1) for _ in range(12))]), draw_s(), draw_s(), round(r.gauss(0, 1), 3), 1.0, None) for _ in range(700)]
+    df = spark.createDataFrame(rows, "y double, a double, b double, c double, d double, e double").repartition(3)
+    got = {x.score: x.rho for x in evaluate.pooled_ic(df, list("abcde"), "y").collect()}
+    top = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731 -- NaN is the highest
+
+    def ranks(values):
+        at = sorted(map(top, values))
+        low, high = {}, {}
+        for i, v in enumerate(at):
+            low.setdefault(v, i + 1)
+            high[v] = i + 1
+        return [(low[top(v)] + high[top(v)]) / 2 for v in values]
+
+    for i in range(3):
+        both = [(x[0], x[1 + i]) for x in rows if x[0] is not None and x[1 + i] is not None]
+        assert got[i] == pytest.approx(np.corrcoef(ranks([a for a, _ in both]), ranks([b for _, b in both]))[0, 1], abs=1e-9)
+    assert got[3] is None and 4 not in got
+    assert evaluate.pooled_ic(df.limit(0), ["a"], "y").collect() == []
+
+
 def test_numbers_and_running_sums_in_ranges(spark):
     r = random.Random(8)
     rows = [("hot" if i % 3 else r.choice(["x", "y", None]), i, r.randrange(100)) for i in range(2000)]

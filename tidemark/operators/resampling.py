@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import correlation
-from tidemark.operators.evaluate import pooled_ranks
-from tidemark.sources.stages import numbered, running, written
+from tidemark.operators.evaluate import pooled_ic
+from tidemark.sources.stages import dealt, numbered, parts_of, running, written
 
 #: Differences are summed as decimals, so that sums don't depend on their order.
 EXACT = "decimal(38,12)"
@@ -49,18 +48,31 @@ def permutation_importance(test: DataFrame, keys: Sequence[str], features: Seque
     """feature, importance: what the pooled rank correlation of a score with the label loses when one feature is permuted over all rows.
 
     Rows are numbered by their keys, and once per feature by a hash of seed, feature and keys; the row of one
-    number takes the value of the row of the other. Nothing is ordered in one task; keys must tell rows apart.
+    number takes the value of the row of the other. Hashes are dealt in buckets by their first digits, so a place is that in the
+    bucket and the rows of the buckets before. Nothing is ordered in one task; keys must tell rows apart.
     """
     names = list(features)
+    spark = test.sparkSession
     rows = numbered(test.dropna(subset=[label]).select(*keys, *names, F.col(label).alias("__y")), list(keys))
-    rows = written(rows, "importance-rows")
-    long = rows.unpivot([*keys], names, "feature", "other")
-    mixed = numbered(long.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), "feature", *(F.col(k).cast("string") for k in keys)))), ["__h", *keys], "n", ["feature"])
-    changed = rows.join(mixed.select("n", "feature", "other"), "n")
-    changed = changed.select("__y", "feature", *(F.when(F.col("feature") == f, F.col("other")).otherwise(F.col(f)).alias(f) for f in names))
-    both = changed.unionByName(rows.select("__y", F.lit("").alias("feature"), *names)).select("feature", "__y", F.round(score, 12).alias("__s"))
-    both = written(both.where("__s is not null"), "importance-scores")
-    ranked = pooled_ranks(pooled_ranks(both, "feature", "__s", "a"), "feature", "__y", "b").groupBy("feature").agg(correlation("a", "b").alias("rho"))
-    ranked = written(ranked, "importance-rho")
-    base = ranked.where("feature = ''").select(F.col("rho").alias("base"))
-    return ranked.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("rho")).alias("importance"))  # one row
+    size = rows.count()
+    buckets = min(4 * parts_of(spark, size), 1 << 16)
+    hashed = lambda f: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(f), *(F.col(k).cast("string") for k in keys)))
+    drawn = rows.select("n", F.explode(F.array(*(F.struct(F.lit(i).alias("f"), hashed(f).alias("h"), F.col(f).alias("v")) for i, f in enumerate(names)))).alias("e")).select("n", "e.*")
+    drawn = drawn.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * buckets / (1 << 16)).cast("int")).withColumn("h", F.unhex("h"))
+    starts, before = [], [0] * len(names)
+    for f, bucket, n in sorted(tuple(r) for r in drawn.groupBy("f", "bucket").count().collect()):  # a row per feature and bucket
+        starts.append((f, bucket, before[f]))
+        before[f] += n
+    first = F.broadcast(spark.createDataFrame(starts, "f int, bucket int, before long"))
+    place = F.row_number().over(Window.partitionBy("f", "bucket").orderBy("h", "n")) - 1
+    mixed = dealt(drawn, size * len(names), "f", "bucket").withColumn("at", place).join(first, ["f", "bucket"])
+    mixed = dealt(mixed.select((F.col("at") + F.col("before")).alias("n"), "f", "v"), size * len(names), "n").groupBy("n").agg(*(F.max(F.when(F.col("f") == i, F.col("v"))).alias(f"__o{i}") for i in range(len(names))))
+    both = dealt(rows.select("n", "__y", *names), size * len(names), "n").join(mixed, "n").withColumn("__s", F.round(score, 12))
+    for i, f in enumerate(names):
+        changed = both.withColumns({"__own": F.col(f), f: F.col(f"__o{i}")}).withColumn(f"__s{i}", F.round(score, 12))
+        both = changed.withColumn(f, F.col("__own")).drop("__own")
+    scores = ["__s", *(f"__s{i}" for i in range(len(names)))]
+    rho = written(pooled_ic(written(both.select("__y", *scores), "importance-scores"), scores, "__y"), "importance-rho")
+    base = rho.where("score = 0").select(F.col("rho").alias("base"))
+    named = F.element_at(F.array(*map(F.lit, names)), F.col("score"))
+    return rho.where("score > 0").crossJoin(F.broadcast(base)).select(named.alias("feature"), (F.col("base") - F.col("rho")).alias("importance"))  # one row

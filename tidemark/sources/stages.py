@@ -69,8 +69,21 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], value: Co
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "n", keys: list[str] | None = None) -> DataFrame:
-    """df with the number of each row (from 0) within its keys, in an order that tells rows apart."""
-    return running(df, keys or [], order, F.lit(1).cast("long"), name)
+    """df with the number of each row (from 0) within its keys, in an order that tells rows apart.
+
+    Rows are sorted in ranges of about equal size and written once with their place in the range; a key's rows in a range are side by
+    side, so its first place there and its rows in the ranges before are all that numbers take.
+    """
+    keys = keys or []
+    by = [*map(_column, keys), *map(_column, order)]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, f"numbered-{name}").withColumn("__part", F.shiftright("__at", 33))
+    parts = placed.groupBy("__part", *keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__k"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range and key
+    first = parts.select("__part", *keys, (F.coalesce(F.sum("__k").over(earlier), F.lit(0)) - F.col("__first")).alias("__from"))
+    same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = placed.alias("a").join((first if keys else F.broadcast(first)).alias("b"), reduce(Column.__and__, map(same, ["__part", *keys])))
+    return both.select("a.*", "__from").withColumn(name, F.col("__at") + F.col("__from")).drop("__at", "__part", "__from")
 
 
 def _column(c: Column | str) -> Column:
