@@ -29,6 +29,8 @@ from tidemark.sources.stages import dealt, written
 UNIT = float(1 << 20)
 #: Rows of a date whose pairs count.
 TOP = 30
+#: Rows whose pairs are taken at a time.
+STEP = 1024
 
 
 @dataclass(frozen=True)
@@ -157,7 +159,10 @@ def histogram(rows: DataFrame, tree: Tree, nodes: list[int], features: int, bins
 
 
 def _matrix(column: pa.Array, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, features)
+    """Bins of rows, from the column's own bytes: every value has as many."""
+    _, offsets, data = column.buffers()
+    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(data, np.uint8)[first : first + len(column) * features].reshape(-1, features)
 
 
 def grow(rows: DataFrame, features: int, bins: int, usable: np.ndarray, s: Settings) -> Tree:
@@ -298,9 +303,11 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = x[:, first:last]
             n = int((own[0] < TOP).sum())
             top, back = np.hstack([top, own[:3, :n]]), np.hstack([back, np.zeros((2, n), np.int64)])
-            g, h = _pairs(own, top)
-            back += np.array([-g.sum(0), h.sum(0)])
-            sums = np.array([g.sum(1), h.sum(1)])
+            sums = np.zeros((2, last - first), np.int64)
+            for i in range(0, last - first, STEP):
+                g, h = _pairs(own[:, i : i + STEP], top)
+                back += np.array([-g.sum(0), h.sum(0)])
+                sums[:, i : i + STEP] = g.sum(1), h.sum(1)
             if n:
                 tops.append((batch.slice(first, n), sums[:, :n]))
             if first + n < last:
@@ -309,21 +316,25 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(own: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each row's pair with each top row adds to the row's gradient (the top row's gets the opposite) and to both Hessians."""
+    """What each row's pair with each top row adds to the row's gradient (the top row's gets the opposite) and to both Hessians, in units."""
     place, score, y, ideal = own[:, :, None]
     p_place, p_score, p_y = top[:, None, :]
-    higher = np.where(p_place < place, np.sign(y - p_y), 0.0)
-    gain = np.abs(np.exp2(y) - np.exp2(p_y)) * np.abs(1 / np.log2(place + 2) - 1 / np.log2(p_place + 2)) * ideal * np.abs(higher)
+    higher = np.sign(y - p_y)
+    gain = np.abs(np.exp2(y) - np.exp2(p_y))  # 0 for equals, which make no pair
+    gain *= np.abs(1 / np.log2(place + 2) - 1 / np.log2(p_place + 2))
+    gain *= ideal
+    if place[0, 0] < TOP:
+        gain *= p_place < place
     with np.errstate(over="ignore"):
         p = 1 / (1 + np.exp(higher * (score - p_score)))
-    return _whole(-higher * p * gain), _whole(p * (1 - p) * gain)
+    h = p * (1 - p) * gain
+    p *= gain
+    return (-higher * _whole(p)).astype(np.int64), _whole(h).astype(np.int64)
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
-    """x in units, halves away from zero."""
-    x = x * UNIT
-    down = np.trunc(x)
-    return (down + np.sign(x) * (np.abs(x - down) >= 0.5)).astype(np.int64)
+    """x, 0 or more, in units; halves go up."""
+    return np.floor(x * UNIT + 0.5)
 
 
 def _discount(place: Column) -> Column:
